@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, exact_dedup, mixing
 
 QUERIES = {
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_mixing": mixing.op4_mixing,
     "op6_byte_bpe": bpe.op6_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
+}
