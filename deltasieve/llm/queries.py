@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, simhash
+from . import bpe, exact_dedup, langid, mixing, quality, simhash, substring_dedup
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_simhash": simhash.op8_simhash,
+    "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
