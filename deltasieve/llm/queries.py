@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, mixing, quality, simhash, substring_dedup
+from . import bpe, embedding_dedup, exact_dedup, langid, lm_scoring, mixing, quality, simhash, substring_dedup
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_mixing": mixing.op4_mixing,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_simhash": simhash.op8_simhash,
+    "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {
