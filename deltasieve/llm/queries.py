@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, langid, lm_scoring, mixing, quality, simhash, substring_dedup
+from . import bpe, chat, embedding_dedup, exact_dedup, langid, lm_scoring, mixing, quality, simhash, substring_dedup
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -11,10 +11,12 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_chat_preferences": chat.op7_chat_preferences,
     "op8_simhash": simhash.op8_simhash,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op7_chat_preferences": chat.OP7_SQL,
 }
