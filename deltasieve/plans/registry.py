@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import core
+from . import code, core
 
-_MODULES = (core,)
+_MODULES = (core, code)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
