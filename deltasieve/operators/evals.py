@@ -105,8 +105,8 @@ def score_corpus(results: DataFrame, by: list[str] = ["run"]) -> DataFrame:  # n
 
 def finding_records(judged: DataFrame, width: int = 80) -> DataFrame:
     """What of a finding is kept for later sweeps: all but dropped ones, titles cut to width bytes at a character."""
-    short = F.when(F.octet_length("title") <= width, F.col("title")).otherwise(F.regexp_extract(F.left("title", F.lit(width)), r"^(?s)(.*)$", 1))
-    cut = F.aggregate(F.sequence(F.lit(1), F.lit(4)), short, lambda t, _: F.when(F.octet_length(t) > width, F.left(t, F.greatest(F.lit(0), F.char_length(t) - F.ceil((F.octet_length(t) - width) / 4)).cast("int"))).otherwise(t))
+    fitting = F.filter(F.sequence(F.lit(width // 4), F.lit(width)), lambda n: F.octet_length(F.left("title", n)) <= width)
+    cut = F.when(F.octet_length("title") <= width, F.col("title")).otherwise(F.left("title", F.array_max(fitting)))
     return judged.where("verdict <> 'drop'").select(*KEYS, "seq", "file", "line", "severity", "sev_rank", "category", "confidence", "verdict", cut.alias("title"))
 
 

@@ -134,6 +134,7 @@ def _absorb(rows: list[dict], opts: MergeOptions) -> list[dict]:
     kept: list[dict] = []
     for row in rows:
         row["_t"] = set(_TOKEN.findall(row["title"]))
+        alone = True
         for other in reversed(kept):
             if other["line"] is not None and row["line"] is not None and abs(row["line"] - other["line"]) > opts.window:
                 break
@@ -150,8 +151,9 @@ def _absorb(rows: list[dict], opts: MergeOptions) -> list[dict]:
                     other["rationale"] = row["rationale"]
                 other["suggestion"] = other["suggestion"] if other["suggestion"] is not None else row["suggestion"]
                 other["merged"] += row["merged"]
+                alone = False
                 break
-        else:
+        if alone:
             kept.append(row)
     return kept
 
