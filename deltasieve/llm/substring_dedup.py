@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import chunked, mix, partitions, row_key, slice_hashes, word_bounds, word_hashes
+from ._common import chunked, mix, partitions, slice_hashes, word_bounds, word_hashes
 
 #: Words of a window that must not repeat, and of the shortest windows looked at.
 LENGTH, SHORTEST = 35, 9
@@ -82,7 +82,7 @@ class Chunk:
 
 
 def _questions(length: int, sizes: list[int], held: int):
-    """Rows (h, h2, n, k1, k2, pos): windows of the last of sizes to be counted over the whole corpus.
+    """Rows (h, n, k, pos): windows of the last of sizes to be counted over the whole corpus.
 
     Windows that a task meets twice are known to repeat: one row without place tells the others how often they were
     met, and their places go on under keys of their own, so that no key has more than a row from each task's hold.
@@ -91,36 +91,31 @@ def _questions(length: int, sizes: list[int], held: int):
     def flush(parts: list[tuple]) -> object:
         import pyarrow as pa
 
-        h, k1, k2, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-        h2 = (mix(h ^ np.uint64(0xA5A5A5A5)) >> np.uint64(33)).astype(np.int32)
+        h, k, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
-        h, h2, k1, k2, pos = h[order], h2[order], k1[order], k2[order], pos[order]
+        h, k, pos = h[order], k[order], pos[order]
         begin = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1])
         count = np.diff(np.concatenate([begin, [len(h)]]))
         many = np.repeat(count > 1, count)
         tell = begin[count > 1]
-        key = np.where(many, mix(h ^ mix(k2.view(np.uint64) + pos.astype(np.uint64))), h)
-        key, h2 = np.concatenate([key, h[tell]]), np.concatenate([h2, h2[tell]])
+        key = np.concatenate([np.where(many, mix(h ^ mix(k.view(np.uint64) + pos.astype(np.uint64))), h), h[tell]])
         n = np.concatenate([np.where(many, 2, 1), count[count > 1]]).astype(np.int32)
-        null = np.zeros(len(key), bool)
-        null[len(h) :] = True
-        fill = np.zeros(len(tell), np.int64)
-        columns = [pa.array(key.view(np.int64)), pa.array(h2), pa.array(n)]
-        columns += [pa.array(np.concatenate([k, fill]), mask=null) for k in (k1, k2)]
-        columns.append(pa.array(np.concatenate([pos, fill.astype(np.int32)]), mask=null))
-        return pa.RecordBatch.from_arrays(columns, ["h", "h2", "n", "k1", "k2", "pos"])
+        null = np.arange(len(key)) >= len(h)
+        fill = np.zeros(len(tell), np.int32)
+        columns = [pa.array(key.view(np.int64)), pa.array(n), pa.array(np.concatenate([k, fill]), mask=null), pa.array(np.concatenate([pos, fill]), mask=null)]
+        return pa.RecordBatch.from_arrays(columns, ["h", "n", "k", "pos"])
 
     def work(batches: Iterator) -> Iterator:
         parts: list[tuple] = []
         total = 0
-        for texts, k1, k2, *repeated in chunked(batches, ["k1", "k2", *(f"r{s}" for s in sizes[:-1])]):
+        for texts, k, *repeated in chunked(batches, ["k", *(f"r{s}" for s in sizes[:-1])]):
             chunk = Chunk(texts, length)
             for size, places in zip(sizes, repeated, strict=False):
                 chunk.answer(size, places)
             hashes, asked = chunk.ask(sizes[-1])
             at = np.flatnonzero(asked)
             doc = chunk.doc[at]
-            parts.append((hashes[at], np.asarray(k1, np.int64)[doc], np.asarray(k2, np.int64)[doc], (at - chunk.first[doc]).astype(np.int32)))
+            parts.append((hashes[at], np.asarray(k, np.int64)[doc], (at - chunk.first[doc]).astype(np.int32)))
             total += len(at)
             if total >= held:
                 yield flush(parts)
@@ -132,34 +127,45 @@ def _questions(length: int, sizes: list[int], held: int):
 
 
 def _places(docs: DataFrame, length: int, shortest: int, held: int) -> DataFrame:
-    """k1, k2, places: where windows of the full length that also start elsewhere start, for documents that have any."""
+    """k, places: where windows of the full length that also start elsewhere start, for documents that have any."""
     found: list[DataFrame] = []
     sizes = levels(length, shortest)
+    parts = partitions(docs.sparkSession)
     for i, size in enumerate(sizes):
-        now = docs.select("k1", "k2", "text")
+        now = docs.select("k", "text")
         for old, repeated in zip(sizes, found, strict=False):
-            now = now.join(repeated.withColumnRenamed("places", f"r{old}"), ["k1", "k2"])
-        asked = now.mapInArrow(_questions(length, sizes[: i + 1], held), "h bigint, h2 int, n int, k1 bigint, k2 bigint, pos int")
-        met = F.sum("n").over(Window.partitionBy("h", "h2"))
-        again = asked.withColumn("met", met).where("met > 1 AND pos IS NOT NULL")
-        found.append(again.groupBy("k1", "k2").agg(F.collect_list("pos").alias("places")))
+            now = now.join(repeated.withColumnRenamed("places", f"r{old}"), "k")
+        asked = now.mapInArrow(_questions(length, sizes[: i + 1], held), "h bigint, n int, k bigint, pos int")
+        met = F.sum("n").over(Window.partitionBy("h"))
+        again = asked.withColumn("met", met).where("met > 1 AND pos IS NOT NULL").select("k", "pos")
+        found.append(again.repartition(parts, "k").groupBy("k").agg(F.collect_list("pos").alias("places")))
     return found[-1]
 
 
+def _copies(keyed: DataFrame) -> DataFrame:
+    """k, first for rows whose whole text stands in several rows; first marks the one that asks for all of them."""
+    texts = keyed.select("k", F.xxhash64("text", F.lit(1)).alias("th"))
+    groups = texts.groupBy("th").agg(F.count(F.lit(1)).alias("rows"), F.min("k").alias("least")).where("rows > 1")
+    marked = texts.join(groups, "th").groupBy("k").agg(F.max(F.col("k") == F.col("least")).alias("first"))
+    return marked.repartition(partitions(keyed.sparkSession), "k")
+
+
 def _run(docs: DataFrame, length: int, shortest: int, held: int, schema: str, finish) -> DataFrame:
     # One exchange of the texts serves every level and the removal: the plans below share it.
-    keyed = docs.select(*row_key(), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"))
-    keyed = keyed.repartition(partitions(docs.sparkSession), "k1", "k2")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"))
+    dealt = keyed.repartition(partitions(docs.sparkSession), "k")
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for texts, ids, places in chunked(batches, ["doc_id", "places"]):
+        for texts, ids, first, places in chunked(batches, ["doc_id", "first", "places"]):
             rows = []
-            for text, at in zip(texts, places, strict=True):
+            for text, copied, at in zip(texts, first, places, strict=True):
                 words = text.split()
                 total = len(words)
-                if at is not None and len(at):
+                if copied is not None:  # all its windows start in the copies too
+                    words = words if total < length else []
+                elif at is not None and len(at):
                     edge = np.zeros(total + 1, np.int64)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, np.asarray(at) + length, -1)
@@ -169,8 +175,10 @@ def _run(docs: DataFrame, length: int, shortest: int, held: int, schema: str, fi
             names = [part.split()[0] for part in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c) for c in zip(*rows, strict=True))], names)
 
-    places = _places(keyed, length, shortest, held)
-    return keyed.join(places, ["k1", "k2"], "left").select("doc_id", "text", "places").mapInArrow(work, schema)
+    copied = _copies(keyed)
+    marked = dealt.join(copied, "k", "left")
+    places = _places(marked.where("first IS NULL OR first"), length, shortest, held)
+    return marked.join(places, "k", "left").select("doc_id", "text", "first", "places").mapInArrow(work, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, shortest: int = SHORTEST, held: int = HELD) -> DataFrame:
@@ -178,8 +186,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shortest: int = SHORTE
 
     A word goes if a window of length words that covers it has a word sequence that also starts anywhere else, in the
     same document or another, all judged on the input. Windows are compared level by level: only where a
-    window of one length repeats are windows of twice that length, which hold it, counted. Sequences are equal if
-    their 64-bit hashes are, at every level.
+    window of one length repeats are windows of twice that length, which hold it, counted. Of rows with one text,
+    only one has its windows counted. Sequences are equal if their 64-bit hashes are, at every level; rows are
+    told apart by 64 bits as well.
 
     A null text has no words; texts shorter than length keep all; rows that repeat doc_id and text repeat each
     other's words. Other columns play no part; an empty table gives no rows.
