@@ -1,0 +1,86 @@
+"""Findings, feedback and evaluation against plain folds."""
+
+import json
+import random
+
+from pyspark.sql import functions as F
+
+from deltasieve.operators import corpus as co
+from deltasieve.operators import evals as ev
+from deltasieve.operators import findings as fi
+from deltasieve.options import MergeOptions
+
+SCHEMA = "repo string, pr bigint, seq bigint, file string, line bigint, severity string, sev_rank int, category string, title string, rationale string, suggestion string, raised_by string"
+
+
+def test_merge_equals_the_whole_file_fold(spark):
+    rng = random.Random(11)
+    words = ["null", "check", "loop", "slow"]
+    rows = []
+    for i in range(300):
+        rank = rng.randint(0, 3)
+        rows.append(("r", 1, i, rng.choice("ab"), rng.choice([None, *range(0, 60)]), list(fi.SEVERITY_RANK)[rank], rank, "c", " ".join(rng.choices(words, k=rng.randint(0, 3))), "x" * rng.randint(0, 9), rng.choice([None, "s"]), rng.choice(["p", "q", None])))
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    want = []
+    for file in "ab":
+        some = sorted((dict(zip(names, r, strict=True)) | {"merged": 1} for r in rows if r[3] == file), key=lambda r: (r["line"] is None, r["line"] or 0, r["title"], r["seq"]))
+        want += fi._absorb(some, MergeOptions())
+    key = lambda r: (r["seq"], r["merged"], r["sev_rank"], r["raised_by"], r["rationale"], r["suggestion"])
+    got = fi.merge_findings(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(str, map(key, got))) == sorted(str(key(r)) for r in want)
+    assert sum(r["merged"] for r in got) == 300
+
+
+def test_responses(spark):
+    texts = [
+        '```json\n{"findings":[{"title":" a ","severity":"BLOCKER","line":3}]}\n```',
+        'So: {"findings":[{"title":"b","category":"perf"},{"title":" "}]} done',
+        '{"findings":[{"title":"c"},{"title":5}]}',
+        '{"findings":[{"title":"d","line":-1}]}',
+        "no json",
+        '{"other":1}',
+        None,
+    ]
+    d = spark.createDataFrame([("r", 1, i, "security", t) for i, t in enumerate(texts)], "repo string, pr bigint, chunk_idx int, persona string, raw string")
+    got = {(r["title"], r["severity"], r["category"], r["line"]) for r in fi.parse_findings(d).collect()}
+    assert got == {("a", "critical", "security", 3), ("b", "minor", "performance", None)}
+
+
+def test_verdicts_default(spark):
+    c = spark.createDataFrame([("r", 1, i) for i in range(3)], "repo string, pr bigint, index bigint")
+    raw = json.dumps({"verdicts": [{"index": 0, "verdict": "keep"}, {"index": 0, "verdict": "reject", "confidence": 7}, {"index": 9}]})
+    got = {r["index"]: (r["verdict"], r["confidence"]) for r in fi.parse_verdicts(spark.createDataFrame([("r", 1, raw)], "repo string, pr bigint, raw string"), c).collect()}
+    assert got == {0: ("drop", 1.0), 1: ("keep", 0.6), 2: ("keep", 0.6)}
+
+
+def test_score_and_globs(spark):
+    rows = [("user-directive", 1, 0, "2026-01-01T00:00:00Z"), ("confirmed", 1, 0, "2025-11-02T00:00:00Z"), ("refuted", 0, 3, "2026-01-01T00:00:00Z"), ("confirmed", 0, 0, "??"), ("confirmed", 0, 0, "2027-01-01T00:00:00Z")]
+    d = spark.createDataFrame(rows, "strongest_kind string, confirmations int, refutations int, last_seen string")
+    assert [round(r["score"], 6) for r in co.score_entries(d, "2026-01-01T00:00:00Z").collect()] == [6.0, 1.5, 0.0, 0.2, 2.0]
+    g = spark.createDataFrame([("src/**", "src/a/b", True), ("src/**", "srcx", False), ("src/*", "src/a", True), ("src/*", "src/a/b", False), ("**/x.rs", "a/x.rs", True), ("a*c", "abc", True), ("a*c", "ac", True), ("p", "q", False)], "g string, p string, want boolean")
+    assert all(r[0] == r[1] for r in g.select(co.glob_matches(F.col("g"), F.col("p")), "want").collect())
+
+
+def test_assignment_equals_the_plain_fold(spark):
+    rng = random.Random(8)
+    pairs = {(o, s) for o in range(30) for s in range(30) if rng.random() < 0.12}
+    want, used = {}, set()
+    for o in range(30):
+        for s in sorted(s for x, s in pairs if x == o):
+            if s not in used:
+                want[o] = s
+                used.add(s)
+                break
+    d = spark.createDataFrame([("a", 1, o, s) for o, s in pairs], "run string, case bigint, ord bigint, seq bigint")
+    assert {r["ord"]: r["seq"] for r in ev.assign_matches(d).collect()} == want
+
+
+def test_merge_entries_idempotent(spark):
+    cols = "repo string, id string, guidance string, file_glob string, category string, strongest_kind string, source_pr bigint, source_comment_id bigint, confirmations int, refutations int, first_seen string, last_seen string"
+    old = spark.createDataFrame([("r", "x", " ", None, None, "refuted", 1, 5, 1, 1, "a", "m")], cols)
+    new = spark.createDataFrame([("r", "x", "g", None, None, "confirmed", 1, 5, 1, 0, "b", "c"), ("r", "y", "h", None, None, "confirmed", 2, 6, 1, 0, "b", "z")], cols)
+    got = {r["id"]: r for r in co.merge_entries(old, new).collect()}
+    assert (got["x"]["guidance"], got["x"]["strongest_kind"], got["x"]["confirmations"], got["x"]["last_seen"]) == ("g", "confirmed", 2, "m")
+    assert got["y"]["added"] and not got["x"]["added"]
+    again = {r["id"]: r for r in co.merge_entries(old, new, idempotent=True).collect()}
+    assert again["x"]["confirmations"] == 1
