@@ -159,11 +159,12 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = exact_duplicates(docs, capacity).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    marked = docs.withColumn("_sha", F.sha2(normalised(), 256))
-    same = marked["doc_id"].cast("bigint").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha"))
-    once = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(F.lit(0)))
-    return marked.join(kept, same, "left_semi").withColumn("_nth", once).where("_nth = 1").select(docs.columns)
+    kept = exact_duplicates(docs, capacity).where("kept").select(F.col("doc_id").alias("keep"), "text_sha256")
+    # The whole row is one column, so that no column of docs meets another of its name.
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.sha2(normalised(), 256).alias("sha"))
+    once = F.row_number().over(Window.partitionBy("id", "sha").orderBy(F.lit(0)))
+    same = F.col("id").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("text_sha256"))
+    return marked.join(kept, same, "left_semi").withColumn("nth", once).where("nth = 1").select("row.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,8 +95,10 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> Data
     return node.select((F.col("node") - shards).alias("shard"), F.explode("all").alias("x")).select(F.col("x._sk").alias("_sk"), "shard", F.col("x.q").alias("quota"))
 
 
-def mix(docs: DataFrame, seed: int = 0, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """docs with _size, _source_size, _target, _taken (words, repeats counted) and _draws (array of copy, shard, words).
+def mix(docs: DataFrame, carry: list[str], seed: int = 0, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
+    """row (struct of the columns to carry along), size, source_size, target, taken (words, repeats counted) and draws.
+
+    draws is an array of copy, shard and words for each row of docs.
 
     A source's documents are dealt over blocks by hash; its target is drawn as whole passes over the blocks and then
     blocks in an order permuted for each pass, the last of them in part: within it, documents come in an
@@ -104,13 +106,12 @@ def mix(docs: DataFrame, seed: int = 0, shards: int = SHARDS, blocks: int = BLOC
     Which shard gets which draws is settled by split_quotas. All sorts are within a source's blocks or one block.
 
     A null text has size 0 and is never drawn; null sources are one source, the last; repeated rows are documents of
-    their own. Columns of docs whose names begin with an underscore are taken to be the caller's to rename.
-    An empty table, or one without words, gives draws for no row.
+    their own. Other columns only go along. An empty table, or one without words, gives draws for no row.
     """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
-    sized = docs.withColumns({"_size": size, "_sk": key})
-    sized = sized.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_size")))
+    sized = docs.select(F.struct(*carry).alias("row"), F.col("doc_id").alias("_id"), size.alias("_size"), key.alias("_sk"))
+    sized = sized.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("_id"), F.col("_size")))
     sized = sized.withColumn("_block", F.pmod(F.col("_hash"), F.lit(blocks)).cast("int"))
     words = sized.groupBy("_sk", "_block").agg(F.sum("_size").alias("_words"))
     goal = targets(words.withColumnRenamed("_words", "_size"))
@@ -132,28 +133,30 @@ def mix(docs: DataFrame, seed: int = 0, shards: int = SHARDS, blocks: int = BLOC
     shard = F.size(F.filter("_ends", lambda e: e < F.col("_turn")))
     shards_of = drawn.join(ends, "_sk").groupBy("_sk", "_block").agg(F.sort_array(F.collect_list(F.struct("_pass", shard.alias("_shard")))).alias("_turns"))
     block = block.join(shards_of, ["_sk", "_block"], "left").select("_sk", "_block", "_source_size", "_target", "_passes", "_part", "_turns")
-    within = Window.partitionBy("_sk", "_block").orderBy("_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_sk", "_block").orderBy("_hash", "_id").rowsBetween(Window.unboundedPreceding, -1)
     out = sized.join(block, ["_sk", "_block"]).withColumn("_before", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     cut = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_part") - F.col("_before")))
     out = out.withColumn("_cut", cut).withColumn("_taken", F.col("_passes") * F.col("_size") + F.col("_cut"))
     draws = F.transform("_turns", lambda t: F.struct(t["_pass"].alias("copy"), t["_shard"].alias("shard"), F.when(t["_pass"] < F.col("_passes"), F.col("_size")).otherwise(F.col("_cut")).alias("words")))
     draws = F.filter(F.coalesce(draws, F.array().cast("array<struct<copy:bigint,shard:int,words:bigint>>")), lambda d: d["words"] > 0)
-    return out.withColumn("_draws", draws).select(*docs.columns, "_size", "_source_size", "_target", "_taken", "_draws")
+    return out.select("row", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), draws.alias("draws"))
 
 
-def materialise(docs: DataFrame, seed: int = 0, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """The mixture itself: docs' columns, once for each draw, and its shard; shuffled within each shard.
+def materialise(docs: DataFrame, seed: int = 0, shards: int = SHARDS, blocks: int = BLOCKS, shard_column: str | None = None) -> DataFrame:
+    """The mixture itself: docs' rows, once for each draw, in a random order within each shard.
 
     A document cut at a word keeps its first words, joined by one space.
     """
-    drawn = mix(docs, seed, shards, blocks).withColumn("_d", F.explode("_draws"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), 0), 1, F.col("_d.words").cast("int")), " ")
-    drawn = drawn.withColumn("text", F.when(F.col("_d.words") < F.col("_size"), cut).otherwise(F.col("text")))
-    order = F.xxhash64(F.lit(seed), F.lit("order"), F.col("doc_id"), F.col("_d.copy"))
-    return drawn.select(*docs.columns, F.col("_d.shard").alias("shard"), order.alias("_order")).repartition("shard", "_order").sortWithinPartitions("shard", "_order").drop("_order")
+    drawn = mix(docs, docs.columns, seed, shards, blocks).select("row", "size", F.explode("draws").alias("draw"))
+    words = F.regexp_extract_all(F.col("row.text").cast("string"), F.lit(WORD), 0)
+    cut = F.array_join(F.slice(words, 1, F.col("draw.words").cast("int")), " ")
+    text = F.when(F.col("draw.words") < F.col("size"), cut).otherwise(F.col("row.text"))
+    order = F.xxhash64(F.lit(seed), F.lit("order"), F.col("row.doc_id"), F.col("draw.copy"))
+    placed = drawn.select(F.col("row").withField("text", text).alias("row"), F.col("draw.shard").alias("shard"), order.alias("order"))
+    return placed.repartition("shard", "order").sortWithinPartitions("shard", "order").select("row.*", *([F.col("shard").alias(shard_column)] if shard_column else []))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    mixed = mix(docs)
-    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.transform("_draws", lambda d: d["shard"]).alias("shards"))
+    mixed = mix(docs, ["doc_id"])
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))

@@ -186,11 +186,11 @@ def keep_one(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
     The row with the component's smallest doc_id stays; of rows that share it, one.
     """
     found = near_duplicates(docs, width, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("component_id").agg(F.min(F.struct("k1", "k2")).alias("_kept")).select(F.col("_kept.k1").alias("_k1"), F.col("_kept.k2").alias("_k2"))
-    k1, k2 = row_key()
-    marked = docs.withColumns({"_a": k1, "_b": k2})
-    once = F.row_number().over(Window.partitionBy("_a", "_b").orderBy(F.lit(0)))
-    return marked.join(kept, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left_semi").withColumn("_nth", once).where("_nth = 1").select(docs.columns)
+    kept = found.groupBy("component_id").agg(F.min(F.struct("k1", "k2")).alias("least")).select("least.k1", "least.k2")
+    # The whole row is one column, so that no column of docs meets another of its name.
+    marked = docs.select(F.struct(*docs.columns).alias("row"), *row_key())
+    once = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0)))
+    return marked.join(kept, ["k1", "k2"], "left_semi").withColumn("nth", once).where("nth = 1").select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
