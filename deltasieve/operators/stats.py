@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dist import norm_cdf, student_t_cdf
-
-ZERO = F.lit
+from ..sources.shared import settled
 
 
 def _or_zero(c: Column) -> Column:
@@ -45,14 +44,35 @@ def iqr(c: str = "ns") -> Column:
     return percentile_ns(0.75, c) - percentile_ns(0.25, c)
 
 
-def percentiles_by_rank(samples: DataFrame, keys: list[str], points: list[float], c: str = "ns") -> DataFrame:
+def with_running_sum(rows: DataFrame, keys: list[str], order: str, value: str, name: str, wide: bool = False) -> DataFrame:
+    """rows with name, the sum of value up to and with each row, by keys in order.
+
+    A window orders a group in one task. With wide, groups too large for that are cut by ranges of order: sums
+    within each range are moved on by those of the ranges before it, of which there is a row for each key and range.
+    """
+    if not wide:
+        upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn(name, F.sum(value).over(upto))
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written, so that the two uses below see the same ranges.
+    cut = settled(rows.repartitionByRange(ranges, *keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = cut.groupBy(*keys, "_range").agg(F.sum(value).alias("_total"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
+    summed = cut.withColumn(name, F.sum(value).over(within)).join(offsets, [*keys, "_range"])
+    return summed.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
+def percentiles_by_rank(samples: DataFrame, keys: list[str], points: list[float], c: str = "ns", wide: bool = False) -> DataFrame:
     """keys, p, value: the same percentiles from counts of distinct values, for groups of any size.
 
-    A group is reduced to its distinct values before it is ordered, and no value list is held in memory.
+    A group is reduced to its distinct values before it is ordered, and no value list is held in memory. wide: see
+    with_running_sum.
     """
     counts = samples.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(c)
-    ranked = counts.select(*keys, c, (F.sum("_n").over(upto) - F.col("_n")).alias("_from"), F.sum("_n").over(upto).alias("_to"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"))
+    sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    ranked = with_running_sum(counts, keys, c, "_n", "_to", wide).withColumn("_from", F.col("_to") - F.col("_n")).join(sizes, keys)
     asked = ranked.withColumn("p", F.explode(F.array(*map(F.lit, points))))
     at = F.col("p") * (F.col("_all") - 1)
     low = F.floor(at)
@@ -129,15 +149,15 @@ def normalize_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     return runs.where(~F.coalesce(suspect, F.lit(False))).unionByName(fixed.select(runs.columns))
 
 
-def mann_whitney(samples: DataFrame, keys: list[str], side: str = "side", base: str = "base", head: str = "head") -> DataFrame:
+def mann_whitney(samples: DataFrame, keys: list[str], side: str = "side", base: str = "base", head: str = "head", wide: bool = False) -> DataFrame:
     """keys, u, z, p of the two sides of each key: normal approximation with tie and continuity corrections.
 
-    Samples are counted by value first, so ties shrink the data before it is ordered.
+    Samples are counted by value first, so ties shrink the data before it is ordered. wide: see with_running_sum.
     """
     counted = samples.groupBy(*keys, "ns").agg(F.count_if(F.col(side) == base).alias("_a"), F.count_if(F.col(side) == head).alias("_b"))
     counted = counted.withColumn("_t", (F.col("_a") + F.col("_b")).cast("double"))
-    before = F.coalesce(F.sum("_t").over(Window.partitionBy(*keys).orderBy("ns").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = counted.withColumn("_rank", before + (F.col("_t") + 1) / 2)
+    upto = with_running_sum(counted, keys, "ns", "_t", "_upto", wide)
+    ranked = upto.withColumn("_rank", F.col("_upto") - (F.col("_t") - 1) / 2)
     t = F.col("_t")
     sums = ranked.groupBy(*keys).agg(F.sum("_a").cast("double").alias("_na"), F.sum("_b").cast("double").alias("_nb"), F.sum(F.col("_a") * F.col("_rank")).alias("_ranks"), F.sum(t * t * t - t).alias("_ties"))
     na, nb = F.col("_na"), F.col("_nb")

@@ -114,11 +114,15 @@ def comments_with_defaults(raw: DataFrame) -> DataFrame:
 CASE = "name STRING, description STRING, diff STRING, filesDir STRING, expected ARRAY<STRUCT<file: STRING, lineRange: ARRAY<BIGINT>, severity: STRING, category: STRING, description: STRING, mustCatch: BOOLEAN>>, forbidden ARRAY<STRUCT<path: STRING, reason: STRING>>, maxFindings BIGINT"
 
 
-def read_cases(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """cases, expected and forbidden of a folder of labelled cases, of those that its _index.json lists."""
-    raw = spark.read.schema(CASE).option("multiLine", True).option("pathGlobFilter", "[!_]*.json").json(root).where("name IS NOT NULL")
-    listed = spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/_index.json").select(F.explode(F.regexp_extract_all("value", F.lit(r'"([^"]+?)(?:\.json)?"'), 1)).alias("name")).distinct()
-    kept = raw.join(listed, "name", "left_semi")
+def read_cases(spark: SparkSession, root: str, index: str | None = None) -> dict[str, DataFrame]:
+    """cases, expected and forbidden of a folder of labelled cases, of those that the index (a JSON text of names) lists.
+
+    Spark passes over files whose names begin with an underscore, so the index must be named otherwise.
+    """
+    kept = spark.read.schema(CASE).option("multiLine", True).option("pathGlobFilter", "*.json").json(root).where("name IS NOT NULL")
+    if index is not None:
+        names = F.regexp_extract_all("value", F.lit(r'"([^"]+?)(?:\.json)?"'), 1)
+        kept = kept.join(spark.read.option("wholetext", True).text(index).select(F.explode(names).alias("name")).distinct(), "name", "left_semi")
     expected = kept.select(F.col("name").alias("case"), F.posexplode("expected").alias("ord", "e"))
     return {
         "cases": kept.select(F.col("name").alias("case"), "diff", "filesDir", F.col("maxFindings").alias("max_findings")),

@@ -85,3 +85,36 @@ def test_reports_and_baselines(spark, tmp_path):
     events = finished(live.reports_as_events(live.stream_reports(spark, str(tmp_path / "in"), "2020-01-01")), "append", spark, tmp_path, "reports")
     assert events.first()["type"] == "runIngested"
     assert finished(live.stream_reports(spark, str(tmp_path / "in"), "2999-01-01"), "append", spark, tmp_path, "late").count() == 0
+
+
+def test_trees_cases_and_comments(spark, tmp_path):
+    for name, text in {"a/x.ts": "import 'y'", "b.rs": "mod a;"}.items():
+        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / name).write_text(text)
+    assert {r["path"] for r in rp.read_repo_files(spark, str(tmp_path / "tree")).collect()} == {"a/x.ts", "b.rs"}
+    (tmp_path / "diffs").mkdir()
+    (tmp_path / "diffs" / "pr-17.diff").write_text("diff --git a/x b/x")
+    assert rp.read_diffs(spark, str(tmp_path / "diffs")).first()["pr"] == 17
+    cases = tmp_path / "cases"
+    cases.mkdir()
+    (tmp_path / "index.json").write_text(json.dumps({"cases": ["one.json"]}))
+    for name in ("one", "two"):
+        (cases / f"{name}.json").write_text(json.dumps({"name": name, "diff": "d", "expected": [{"file": "f", "lineRange": [1, 3], "severity": "major"}], "forbidden": [{"path": "p"}], "maxFindings": 2}))
+    got = rp.read_cases(spark, str(cases), str(tmp_path / "index.json"))
+    assert [r["case"] for r in got["cases"].collect()] == ["one"]
+    assert got["expected"].first()["line_hi"] == 3 and got["forbidden"].first()["path"] == "p"
+    (tmp_path / "comments.json").write_text(json.dumps([{"id": 1, "body": "b", "reactions": {"heart": 2}}]))
+    row = rp.read_comments(spark, str(tmp_path / "comments.json")).first()
+    assert (row["author_association"], row["reactions"]["heart"], row["reactions"]["confused"]) == ("NONE", 2, 0)
+    lines = spark.createDataFrame([("METRIC a=1.5",), ("METRIC b=x",), ("other",)], "value string")
+    assert [tuple(r) for r in rp.metric_lines(lines).collect()] == [("a", 1.5)]
+
+
+def test_latency_stream_equals_batch(spark, tmp_path):
+    rows = [("s", "p", i, 1_700_000_000 + i * 10 + d, d) for i in range(6) for d in (0, 3)]
+    df = spark.createDataFrame(rows, "session_id string, persona string, chunk_idx bigint, t bigint, d int").selectExpr("session_id", "persona", "chunk_idx", "timestamp_seconds(t) AS ts", "d")
+    want = sorted(map(tuple, live.reviewer_latency(df.where("d = 0"), df.where("d = 3")).collect()))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    got = finished(live.reviewer_latency(stream().where("d = 0"), stream().where("d = 3")), "append", spark, tmp_path, "latency")
+    assert sorted(map(tuple, got.collect())) == want and want[0][3] == 3000

@@ -116,3 +116,11 @@ def test_verdict_precedence(spark):
 def test_no_python_in_verdict_plans(spark, samples):
     plan = compare.compare_samples(samples.withColumns({"side": F.lit("base"), "file": F.lit("f")}), ["bench"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_wide_groups_give_the_same(spark, samples):
+    two = samples.withColumn("side", F.when(F.col("idx") % 2 == 0, "base").otherwise("head"))
+    plain, wide = (sorted(map(tuple, stats.mann_whitney(two, ["bench"], wide=w).collect())) for w in (False, True))
+    assert plain == wide
+    plain, wide = (sorted(map(tuple, stats.percentiles_by_rank(samples, ["bench"], [0.2, 0.9], wide=w).collect())) for w in (False, True))
+    assert plain == wide
