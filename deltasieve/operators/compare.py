@@ -64,10 +64,10 @@ def compare_samples(samples: DataFrame, keys: list[str], opts: CompareOptions =
     Summaries, ranks and the pairing are each one exchange on keys, whatever the number of pairs. With welch the
     diagnostic p of Welch's test is added; no verdict reads it.
     """
-    summary = summarize_samples(samples, [*keys, "side"])
-    files = samples.groupBy(*keys, "side").agg(F.max("file").alias("file"))
-    both = summary.join(files, [*keys, "side"])
-    pairs = pair_benches(both.where("side = 'base'").drop("side"), both.where("side = 'head'").drop("side"), keys)
+    summary = summarize_samples(samples, [*keys, "side"], carry=("file",))
+    # Both sides are rows of one summary: they meet by grouping, so that the samples are read and dealt once.
+    fields = F.struct(*[c for c in summary.columns if c not in (*keys, "side")])
+    pairs = summary.groupBy(*keys).agg(*[F.first(F.when(F.col("side") == s, fields), ignorenulls=True).alias(s) for s in ("base", "head")])
     tests = mann_whitney(samples, keys).withColumnRenamed("p", "p_value")
     out = with_deltas(pairs).join(tests, keys, "left")
     two = F.col("base").isNotNull() & F.col("head").isNotNull()

@@ -98,14 +98,16 @@ def mad(samples: DataFrame, keys: list[str], c: str = "ns") -> DataFrame:
     return samples.select(*keys, c).join(middle, keys).groupBy(*keys).agg(_or_zero(F.median(F.abs(F.col(c) - F.col("_median")))).alias("mad"))
 
 
-def summarize_samples(samples: DataFrame, keys: list[str], trim: float = 0.05) -> DataFrame:
+def summarize_samples(samples: DataFrame, keys: list[str], trim: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
     """keys, n, elapsed and the twelve summary numbers of each group, from one exchange of the samples on keys.
 
+    carry: other columns, of which each group keeps the greatest value.
+
     Moments and percentiles are one aggregate; the trimmed mean and the median distance need the group's order and
     median first, which windows over the same partitioning give.
     """
     group, ordered = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("ns")
-    rows = samples.select(*keys, "ns").withColumns({"_at": F.row_number().over(ordered), "_n": F.count(F.lit(1)).over(group), "_median": F.median("ns").over(group)})
+    rows = samples.select(*keys, *carry, "ns").withColumns({"_at": F.row_number().over(ordered), "_n": F.count(F.lit(1)).over(group), "_median": F.median("ns").over(group)})
     cut = F.floor(F.col("_n") * trim)
     inside = ((F.col("_at") > cut) & (F.col("_at") <= F.col("_n") - cut)) | (2 * cut >= F.col("_n"))
     return rows.groupBy(*keys).agg(
@@ -123,6 +125,7 @@ def summarize_samples(samples: DataFrame, keys: list[str], trim: float = 0.05) -
         F.first("_median").alias("p50"),
         percentile_ns(0.95).alias("p95"),
         percentile_ns(0.99).alias("p99"),
+        *[F.max(c).alias(c) for c in carry],
     )
 
 
