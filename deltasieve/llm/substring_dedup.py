@@ -132,7 +132,7 @@ def _places(docs: DataFrame, length: int, shortest: int, held: int) -> DataFrame
     sizes = levels(length, shortest)
     parts = partitions(docs.sparkSession)
     for i, size in enumerate(sizes):
-        now = docs.select("k", "text")
+        now = docs.select("k", "doc_id", "text")  # the columns of the removal: all read the same exchange
         for old, repeated in zip(sizes, found, strict=False):
             now = now.join(repeated.withColumnRenamed("places", f"r{old}"), "k")
         asked = now.mapInArrow(_questions(length, sizes[: i + 1], held), "h bigint, n int, k bigint, pos int")
@@ -203,3 +203,15 @@ def digests(docs: DataFrame, length: int = LENGTH, shortest: int = SHORTEST, hel
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1),
+c AS (SELECT doc_id, list(DISTINCT j) AS js FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM r) GROUP BY doc_id),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+k AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.j) AS kept FROM u ANTI JOIN (SELECT doc_id, unnest(js) AS j FROM c) x ON u.doc_id = x.doc_id AND u.j = x.j GROUP BY u.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(len(js), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
