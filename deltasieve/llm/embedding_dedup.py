@@ -263,3 +263,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, interval: int = INTERV
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT r.n, l.b FROM r JOIN l ON r.m = l.a),
+g AS (SELECT n, min(m) AS least FROM r GROUP BY n),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT g.n AS vec_id, coalesce(k.n, 0) AS n_links, least AS component_id, least = g.n AS kept FROM g LEFT JOIN k ON k.a = g.n
+"""

@@ -18,5 +18,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op7_chat_preferences": chat.OP7_SQL,
+    "op9_embedding_dedup": embedding_dedup.OP9_SQL,
 }
