@@ -31,6 +31,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let at most so many whole texts go to a Python worker at once: ten times fewer than Spark's default.
+
+    A batch is held by the executor and by the worker in turn, so that its size counts several times over.
+    """
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(conf)) > rows:
+        spark.conf.set(conf, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

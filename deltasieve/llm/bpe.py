@@ -10,6 +10,8 @@ from array import array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import small_batches
+
 
 def read_ranks(path: str) -> list[bytes]:
     """Tokens of a rank file, by id."""
@@ -30,7 +32,7 @@ class Bpe:
     mapped to Latin-1 so that the automaton, which works on characters, finds the longest entries.
     """
 
-    def __init__(self, tokens: list[bytes], pattern: str, memory: int = 300_000):
+    def __init__(self, tokens: list[bytes], pattern: str, memory: int = 150_000):
         import ahocorasick
         import regex
 
@@ -98,7 +100,7 @@ class Bpe:
                     limit, a = a, split[a][1]
             if (a, b) == before:
                 break
-        if len(self.compatible) > 2_000_000:
+        if len(self.compatible) > 150_000:
             self.compatible.clear()
         self.compatible[key] = fits
         return fits
@@ -178,7 +180,7 @@ _loaded: dict[str, Bpe] = {}
 
 
 def loaded(tokens: list[bytes], pattern: str) -> Bpe:
-    """The encoder of this worker process, kept with its memory from task to task."""
+    """The encoder of this worker process, built once for a task."""
     key = hashlib.sha256(b"\n".join(tokens) + pattern.encode()).hexdigest()
     if key not in _loaded:
         _loaded.clear()
@@ -187,6 +189,7 @@ def loaded(tokens: list[bytes], pattern: str) -> Bpe:
 
 
 def _run(docs: DataFrame, vocabulary: str, pattern: str, schema: str, finish) -> DataFrame:
+    small_batches(docs.sparkSession)
     tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def work(batches):
@@ -202,6 +205,7 @@ def _run(docs: DataFrame, vocabulary: str, pattern: str, schema: str, finish) ->
             names = [part.split()[0] for part in schema.split(", ")]
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
+        _loaded.clear()  # the worker may go on with other work
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(work, schema)
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, partitions, stash
+from ._common import SPACE, partitions, small_batches, stash
 
 #: Slots of the directory at most 2**MAX_DEPTH: this bounds what the driver holds and what is broadcast.
 MAX_DEPTH = 16
@@ -127,6 +127,7 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, D
     64-bit key), sha, keep_id (smallest doc_id), n (rows), n_keep (rows with that doc_id).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     owners = partitions(spark)
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normalised().alias("norm"))
     text = text.withColumn("h", F.xxhash64("norm"))

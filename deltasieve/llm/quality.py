@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import IS_SPACE, stash, word_bounds, word_hashes
+from ._common import IS_SPACE, small_batches, stash, word_bounds, word_hashes
 
 #: Bounds of what is fitted on: labelled and unlabelled documents, those least by hash of doc_id.
 LABELLED, POOL = 12_000, 8_000
@@ -164,6 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
 
     A document's label is the majority of its rows in labels, a tie counting as good; null labels don't count.
     """
+    small_batches(docs.sparkSession)
     marks = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct().join(marks, "doc_id", "left")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import chunked, partitions, row_key, stash
+from ._common import chunked, partitions, row_key, small_batches, stash
 from ._components import components
 
 #: Fingerprints link at so many differing bits or fewer: in one of two segments at most one bit then differs.
@@ -171,6 +171,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFr
     Equal fingerprints are one node, whatever the number of rows: copies are never paired. Rows with null doc_id
     take part; they come last for the smallest doc_id. Other columns play no part; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = stash(fingerprints(docs, width), "fingerprints")
     nodes = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(variant_edges(nodes, bits))
