@@ -165,35 +165,45 @@ def variant_edges(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return variants.repartition(partitions(distinct.sparkSession), "key").sortWithinPartitions("key", "fp").mapInArrow(_link(bits), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
-    """k1, k2, doc_id, fp and component_id (smallest doc_id reachable by links) for each row of docs.
-
-    Equal fingerprints are one node, whatever the number of rows: copies are never paired. Rows with null doc_id
-    take part; they come last for the smallest doc_id. Other columns play no part; an empty table gives no rows.
-    """
+def _rooted(docs: DataFrame, width: int, bits: int) -> DataFrame:
+    """k1, k2, doc_id, fp, root (smallest fingerprint of the component) and component_id for each row of docs."""
     small_batches(docs.sparkSession)
     rows = stash(fingerprints(docs, width), "fingerprints")
     nodes = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(variant_edges(nodes, bits))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp", "left").select("k1", "k2", "doc_id", "fp", "component_id")
+    named = rooted.join(names, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp", "left").select("k1", "k2", "doc_id", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
-    """The rows of docs of which each is the first of its component, with all their columns.
+def near_duplicates(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
+    """k1, k2, doc_id, fp and component_id (smallest doc_id reachable by links) for each row of docs.
 
-    The row with the component's smallest doc_id stays; of rows that share it, one.
+    Equal fingerprints are one node, whatever the number of rows: copies are never paired. Rows with null doc_id
+    take part; they come last for the smallest doc_id. Other columns play no part; an empty table gives no rows.
     """
-    found = near_duplicates(docs, width, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("component_id").agg(F.min(F.struct("k1", "k2")).alias("least")).select("least.k1", "least.k2")
+    return _rooted(docs, width, bits).drop("root")
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that come first in their component; found has k1, k2, doc_id and root of each row.
+
+    Components are told apart by root, not by doc_id, which may be null or shared. The row with the smallest doc_id
+    stays (null last, then by k1 and k2); of rows alike in doc_id and text, one.
+    """
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "k1", "k2")).alias("least")).select("least.k1", "least.k2")
     # The whole row is one column, so that no column of docs meets another of its name.
     marked = docs.select(F.struct(*docs.columns).alias("row"), *row_key())
     once = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0)))
     return marked.join(kept, ["k1", "k2"], "left_semi").withColumn("nth", once).where("nth = 1").select("row.*")
 
 
+def keep_one(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
+    """The rows of docs of which each is the first of its component, with all their columns."""
+    return first_of_each(docs, _rooted(docs, width, bits))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

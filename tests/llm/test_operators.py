@@ -193,6 +193,14 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_simhash_keeps_unrelated_rows_of_null_or_shared_id(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(8)]
+    rows = [doc(None, t) for t in texts[:4]] + [doc(None, texts[0])] + [doc(5, t) for t in texts[4:]] + [doc(5, texts[4]), doc(6, texts[4])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r["text"] for r in kept.collect()) == sorted(texts)
+
+
 def test_variant_edges_find_all_links(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
