@@ -14,8 +14,8 @@ from ._common import chunked, remainder, word_bounds
 CELLS = 1 << 15
 #: Pseudo-count of a cell. Trigrams overlap, so a word's log-likelihood is scaled down by their length.
 SMOOTHING, TEMPER = 0.5, 1 / 3
-#: Most languages in a document, EM steps for the full set and for each smaller one, and the fee for one more language.
-MOST, STEPS, FEWER_STEPS, PENALTY = 3, 8, 4, 6.0
+#: EM steps for the full set and for each smaller one, and the fee for one more language.
+STEPS, FEWER_STEPS, PENALTY = 8, 4, 6.0
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -101,7 +101,7 @@ def mixture(texts: list[bytes], table: np.ndarray) -> np.ndarray:
     best = np.zeros_like(share)
     best[np.arange(len(rows)), order[:, 0]] = 1
     value = np.add.reduceat(np.log(like[np.arange(len(doc)), order[doc, 0]]), begin) - fee
-    for k in range(2, min(MOST, len(table)) + 1):
+    for k in range(2, len(table) + 1):
         # Only documents whose k-th language has a share that could pay its fee are fitted again.
         some = np.flatnonzero(share[np.arange(len(rows)), order[:, k - 1]] * n > 0.5)
         if not len(some):

@@ -276,6 +276,18 @@ def test_language_id(spark, docs, rows, empty):
     assert {r["lang_pred"] for r in langid.identify(test, none, nothing).collect()} == {"und"}
 
 
+def test_language_id_of_more_than_three_languages(spark):
+    rng = random.Random(8)
+    tongues = TONGUES | {"zz": "hxk pwtq gdbv ccnm lrrs zhhj vvwx bpkg", "qq": "ilulu anana umumu ororo ububu ededo isisa okoko"}
+    text = lambda lang, n: " ".join(rng.choices(tongues[lang].split(), k=n))
+    langs, table = langid.learn(spark.createDataFrame([(i, text(lang, 60), lang) for i, lang in enumerate(list(tongues) * 15)], "doc_id bigint, text string, lang string"))
+    mixed = lambda names: " ".join(text(lang, 60) for lang in names)
+    rows = [(4, mixed(["en", "xx", "yy", "zz"])), (5, mixed(tongues)), (2, mixed(["en", "xx"]))]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string"), langs, table).collect()}
+    assert {i: len(r["langs"]) for i, r in got.items()} == {2: 2, 4: 4, 5: 5}
+    assert got[4]["shares"] == pytest.approx([0.25] * 4, abs=0.05) and got[5]["shares"] == pytest.approx([0.2] * 5, abs=0.05)
+
+
 def test_quality(spark, empty):
     rng = random.Random(9)
     good = lambda: " ".join(rng.choices(WORDS, k=60))
