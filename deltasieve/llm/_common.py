@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,15 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share; set to a temporary one only where the session names none."""
+    """Folder that the driver and all executors share.
+
+    Where the session names none, a temporary one is set if driver and executors are one process; on a cluster, whose
+    executors would each write to a disk of their own, that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -31,10 +38,19 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(stashed: DataFrame) -> None:
+    """Delete the files of a stashed table that nothing will read again."""
+    for file in {f.rsplit("/", 1)[0] for f in stashed.inputFiles()}:
+        path = stashed.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(stashed.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let at most so many whole texts go to a Python worker at once: ten times fewer than Spark's default.
 
-    A batch is held by the executor and by the worker in turn, so that its size counts several times over.
+    A batch is held by the executor and by the worker in turn, so that its size counts several times over. The setting is
+    read when a plan runs, after its operator has returned, so that it stays lowered for the session; results don't
+    depend on it.
     """
     conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(conf)) > rows:
@@ -90,13 +106,13 @@ def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((total[ends] - total[starts]) * powers(_BASE_INV, len(values) + 1)[starts])
 
 
-def word_bounds(docs: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, word starts, word ends, first word of each document plus the total) of a chunk."""
-    blob = b"\n" + b"\n".join(docs) + b"\n"
+def word_bounds(docs: list[bytes], gap: bytes = b"\n") -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, word starts, word ends, first word of each document plus the total) of a chunk; gap parts documents."""
+    blob = gap + gap.join(docs) + gap
     data = np.frombuffer(blob, np.uint8)
     edge = np.flatnonzero(np.diff(IS_SPACE[data].view(np.int8))) + 1
     starts, ends = edge[::2], edge[1::2]
-    offsets = np.cumsum([1] + [len(d) + 1 for d in docs])
+    offsets = np.cumsum([len(gap)] + [len(d) + len(gap) for d in docs])
     return blob, starts, ends, np.searchsorted(starts, offsets)
 
 
@@ -120,3 +136,31 @@ def chunked(batches, columns: list[str], size: int = 2_000_000):
                 end += 1
             yield [t or b"" for t in texts[at:end]], *(r[at:end] for r in rest)
             at = end
+
+
+def runs(batches, names: list[str]):
+    """Columns of the rows of whole runs of the first column, from batches of rows that come sorted by it.
+
+    A run over many batches is put together once, when it ends.
+    """
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        key = now[0]
+        if not len(key):
+            continue
+        if held and (key[0] != held[-1][0][-1] or key[-1] != key[0]):
+            # The run held ends here: what is before this batch's last run is whole.
+            done = int(np.searchsorted(key, key[-1]))
+            held.append([c[:done] for c in now])
+            yield [np.concatenate(p) for p in zip(*held, strict=True)]
+            held = [[c[done:] for c in now]]
+        elif not held:
+            done = int(np.searchsorted(key, key[-1]))
+            if done:
+                yield [c[:done] for c in now]
+            held = [[c[done:] for c in now]]
+        else:
+            held.append(now)
+    if held:
+        yield [np.concatenate(p) for p in zip(*held, strict=True)]

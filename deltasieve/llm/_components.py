@@ -5,7 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stash
+from ._common import discard, stash
+
+#: Nodes with more neighbours than this, and than their share of the edges below, are hubs: at most so many are broadcast.
+HUB, MOST_HUBS = 20_000, 50_000
+
+
+def _lowest(edges: DataFrame, least: DataFrame, size: int) -> DataFrame:
+    """edges (a, b) with m from least (u, m, n; n neighbours), matched on a = u.
+
+    A hub's edges aren't dealt by its number, which would put all of them into one task: hubs are so few (no more than
+    MOST_HUBS, as each has at least that share of the edges) that they are broadcast.
+    """
+    limit = max(HUB, size // MOST_HUBS)
+    hubs = F.broadcast(least.where(F.col("n") > limit).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
+    marked = edges.join(hubs, edges["a"] == F.col("hub"), "left")
+    far = marked.where("hub IS NOT NULL").select("a", "b", F.col("hub_m").alias("m"))
+    near = marked.where("hub IS NULL").select("a", "b").join(least.where(F.col("n") <= limit).select("u", "m"), F.col("a") == F.col("u")).select("a", "b", "m")
+    return near.unionByName(far)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,19 +30,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps in turn: each node's larger neighbours, then its smaller ones, are linked to the
     smallest node around it. Neither gathers a node's neighbours; each takes a minimum and a join. A round's edges
-    are written to the shared folder. The edges become stars after a number of rounds that is logarithmic in
-    practice; if they haven't by the last round allowed, an error is raised rather than a partial result given.
+    are written to the shared folder, in place of those of the round before. The edges become stars after a number of
+    rounds that is logarithmic in practice; if they haven't by the last round allowed, an error is raised rather than a
+    partial result given. Links from a node to itself and repeated links change nothing; no edges give no rows.
     """
     now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     size = _size(now)
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).withColumnRenamed("a", "u")
-        large = both.join(least, both["a"] == least["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(low, large["a"] == low["u"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+        large = _lowest(both, least, 2 * size[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _lowest(large, low, 2 * size[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = stash(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
         grown = _size(after)
+        discard(now)
         if grown == size:
             return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(after.select("b", "b").distinct())
         now, size = after, grown

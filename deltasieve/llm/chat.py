@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers in a piece of a section: a longer conversation is rendered in several rows.
+#: Turn numbers that are rendered together, before the pieces of a section are put together.
 PIECE = 64
 TRAINED = "assistant"
 
@@ -17,17 +17,23 @@ def _opening(role: Column) -> Column:
 _CLOSING = "<|end|>\n"
 
 
+SECTIONS = ("prompt", "chosen", "rejected")
+
+
 def format_preferences(turns: DataFrame, piece: int = PIECE) -> DataFrame:
-    """pair_id, section (prompt, chosen, rejected), piece, text, spans, n_turns from rows pair_id, side, turn, role, text.
+    """One row for each pair: pair_id, prompt, chosen, rejected, and of the two the spans and numbers of turns.
 
-    The prompt is the longest common prefix of the two sides' turns (equal in number, role and text); what follows on
-    each side is its completion. A turn is rendered as an opening with its role, its text and a closing; spans lists
-    the places "begin-end" of the text that is trained on: texts of the assistant's turns in completions.
+    From rows pair_id, side (chosen or rejected), turn, role, text. The prompt is the longest common prefix of the two
+    sides' turns (equal in number, role and text), rendered once; what follows on each side is its completion. A turn is
+    rendered as an opening with its role, its text and a closing. chosen_spans and rejected_spans list the places
+    "begin-end" of a completion that are trained on: the texts of its assistant's turns; the prompt is all masked.
 
     Turns are in order of turn (null first), and those with one number in order of role and text; a null role
-    is 'unknown', a null text empty. A section without turns has no row; one of more than piece turn numbers has a row
-    for each such range, and no row holds more, so that one endless conversation is not gathered in one task. A side
-    that is missing altogether shares nothing. Rows with a null pair_id are one pair. Other columns play no part.
+    is 'unknown', a null text empty. A section without turns is an empty text. A side that is missing altogether
+    shares nothing. Rows with a null pair_id are one pair. Other columns play no part; an empty table gives no rows.
+
+    A long conversation's turns are rendered piece by piece, by ranges of turn numbers, and only these texts meet: a
+    task holds a piece's turns, or one pair's rendered row, which is the result and must fit in a row.
     """
     rows = turns.select("pair_id", "side", F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     nth = F.row_number().over(Window.partitionBy("pair_id", "side", "turn").orderBy("role", "text"))
@@ -40,20 +46,32 @@ def format_preferences(turns: DataFrame, piece: int = PIECE) -> DataFrame:
     split = rows.join(ends, F.col("pair_id").eqNullSafe(F.col("p")), "left").drop("p")
     shared = F.col("end").isNull() | (place < F.col("end"))
     split = split.where(~shared | (F.col("side") == "chosen")).withColumn("section", F.when(shared, F.lit("prompt")).otherwise(F.col("side")))
-    split = split.withColumn("piece", F.coalesce(F.floor(F.col("turn") / piece), F.lit(-1)).cast("bigint"))
+    split = split.withColumn("piece", F.coalesce(F.floor(F.col("turn") / piece), F.lit(-(1 << 62))).cast("bigint"))
     opening = _opening(F.col("role"))
     body = F.struct("turn", "nth", F.concat(opening, F.col("text"), F.lit(_CLOSING)).alias("shown"), F.char_length(opening).alias("skip"), F.char_length("text").alias("long"), ((F.col("role") == TRAINED) & (F.col("section") != "prompt")).alias("trained"))
     groups = split.groupBy("pair_id", "section", "piece").agg(F.sort_array(F.collect_list(body)).alias("parts"))
 
     def step(acc: Column, part: Column) -> Column:
         begin = acc["at"] + part["skip"]
-        span = F.concat(begin.cast("string"), F.lit("-"), (begin + part["long"]).cast("string"))
+        span = F.struct(begin.alias("begin"), (begin + part["long"]).alias("end"))
         return F.struct((acc["at"] + F.char_length(part["shown"])).alias("at"), F.when(part["trained"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("spans"))
     spans = F.aggregate("parts", start, step, lambda acc: acc["spans"])
     text = F.array_join(F.transform("parts", lambda p: p["shown"]), "")
-    return groups.select("pair_id", "section", "piece", text.alias("text"), F.array_join(spans, ",").alias("spans"), F.size("parts").cast("bigint").alias("n_turns"))
+    pieces = groups.select("pair_id", "section", F.struct("piece", text.alias("text"), spans.alias("spans"), F.size("parts").alias("turns")).alias("x"))
+    whole = pieces.groupBy("pair_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("section") == s, F.col("x")))).alias(s) for s in SECTIONS])
+
+    def moved(acc: Column, x: Column) -> Column:
+        """A piece's spans stand after the texts of those before it."""
+        own = F.transform(x["spans"], lambda s: F.concat_ws("-", (s["begin"] + acc["at"]).cast("string"), (s["end"] + acc["at"]).cast("string")))
+        return F.struct((acc["at"] + F.char_length(x["text"])).alias("at"), F.concat(acc["spans"], own).alias("spans"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
+    texts = [F.array_join(F.transform(s, lambda x: x["text"]), "").alias(s) for s in SECTIONS]
+    masks = [F.array_join(F.aggregate(s, none, moved, lambda acc: acc["spans"]), ",").alias(f"{s}_spans") for s in SECTIONS[1:]]
+    counts = [F.aggregate(s, F.lit(0).cast("bigint"), lambda n, x: n + x["turns"]).alias(f"{s}_turns") for s in SECTIONS]
+    return whole.select("pair_id", *texts, *masks, *counts)
 
 
 def stale_replies(conversations: DataFrame) -> DataFrame:
@@ -72,6 +90,7 @@ def stale_replies(conversations: DataFrame) -> DataFrame:
 
 
 def op7_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """format_preferences() over all conversations, each paired with its stale copy; one row for each conv_id."""
     return format_preferences(stale_replies(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
@@ -87,15 +106,20 @@ r AS (
   SELECT pair_id, 'rejected', turn, role, CASE WHEN role = 'assistant' AND turn = last THEN CASE WHEN first = last THEN '' ELSE stale END ELSE text END FROM c),
 m AS (SELECT a.pair_id, min(a.turn) AS cut FROM r a JOIN r b ON a.pair_id = b.pair_id AND a.turn = b.turn AND a.side = 'chosen' AND b.side = 'rejected' WHERE a.text <> b.text GROUP BY a.pair_id),
 s AS (
-  SELECT r.pair_id, CASE WHEN cut IS NULL OR turn < cut THEN 'prompt' ELSE side END AS section, turn // 64 AS piece, turn, role, text,
+  SELECT r.pair_id, CASE WHEN cut IS NULL OR turn < cut THEN 'prompt' ELSE side END AS section, turn, role, text,
          '<|' || role || '|>' || chr(10) AS opening
   FROM r LEFT JOIN m ON r.pair_id = m.pair_id WHERE side = 'chosen' OR turn >= cut),
 p AS (
   SELECT *, opening || text || '<|end|>' || chr(10) AS shown,
-         sum(length(opening) + length(text) + 8) OVER (PARTITION BY pair_id, section, piece ORDER BY turn) - length(text) - 8 AS begin
-  FROM s)
-SELECT pair_id, section, piece, string_agg(shown, '' ORDER BY turn) AS text,
-       coalesce(string_agg(CASE WHEN role = 'assistant' AND section <> 'prompt' THEN begin::BIGINT || '-' || (begin + length(text))::BIGINT END, ',' ORDER BY turn), '') AS spans,
-       count(*) AS n_turns
-FROM p GROUP BY pair_id, section, piece
+         sum(length(opening) + length(text) + 8) OVER (PARTITION BY pair_id, section ORDER BY turn) - length(text) - 8 AS begin
+  FROM s),
+g AS (
+  SELECT pair_id, section, string_agg(shown, '' ORDER BY turn) AS text, count(*) AS n,
+         coalesce(string_agg(CASE WHEN role = 'assistant' AND section <> 'prompt' THEN begin::BIGINT || '-' || (begin + length(text))::BIGINT END, ',' ORDER BY turn), '') AS spans
+  FROM p GROUP BY pair_id, section)
+SELECT pair_id, coalesce(max(text) FILTER (WHERE section = 'prompt'), '') AS prompt, coalesce(max(text) FILTER (WHERE section = 'chosen'), '') AS chosen,
+       coalesce(max(text) FILTER (WHERE section = 'rejected'), '') AS rejected, coalesce(max(spans) FILTER (WHERE section = 'chosen'), '') AS chosen_spans,
+       coalesce(max(spans) FILTER (WHERE section = 'rejected'), '') AS rejected_spans, coalesce(max(n) FILTER (WHERE section = 'prompt'), 0) AS prompt_turns,
+       coalesce(max(n) FILTER (WHERE section = 'chosen'), 0) AS chosen_turns, coalesce(max(n) FILTER (WHERE section = 'rejected'), 0) AS rejected_turns
+FROM g GROUP BY pair_id
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import partitions, stash
@@ -13,21 +13,30 @@ from ._components import components
 
 #: Vectors in an interval of the sequence, and in the intervals at which the recursion inside a task ends.
 INTERVAL, LEAF = 4096, 256
-#: Leading principal dimensions of the grid, and the vectors that these are fitted on (least by hash of vec_id).
+#: Leading principal dimensions of the grid, and the vectors that these are fitted on (least by hash).
 DIMENSIONS, FITTED = 8, 20_000
 #: Slack of the bounds and of single precision; whatever falls in it is decided in double precision.
 SLACK = 1e-4
 
 
-def _unit(batch) -> tuple[np.ndarray, np.ndarray]:
-    """(whether usable, double-precision unit vectors of the usable rows) of a batch's embedding column."""
-    rows = batch.column("embedding").to_pylist()
-    good = np.array([bool(v) and None not in v for v in rows], bool)
-    x = [np.asarray(v, np.float64) for v, g in zip(rows, good, strict=True) if g]
-    norm = np.array([np.sqrt((v * v).sum()) if np.isfinite(v).all() else 0.0 for v in x])
-    fine = np.isfinite(norm) & (norm > 0)
-    good[np.flatnonzero(good)[~fine]] = False
-    return good, [v / n for v, n, f in zip(x, norm, fine, strict=True) if f]
+def _unit(column) -> tuple[list, list]:
+    """(bytes of the double-precision unit vector, its length) of each row of a list column; two nulls if unusable."""
+    import pyarrow.compute as pc
+
+    width = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null component is no number
+    begin = np.concatenate([[0], np.cumsum(width)])[:-1]
+    units: list = [None] * len(width)
+    for w in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero(width == w)
+        x = values[begin[rows][:, None] + np.arange(w)]
+        largest = np.abs(x).max(axis=1)
+        rows, x, largest = (v[np.isfinite(largest) & (largest > 0)] for v in (rows, x, largest))
+        x = x / np.exp2(np.frexp(largest)[1] - 1.0)[:, None]  # a power of two: exact, and squares stay in range
+        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        for i, row in zip(rows.tolist(), x, strict=True):
+            units[i] = row.tobytes()
+    return units, [None if u is None else len(u) // 8 for u in units]
 
 
 def units(vectors: DataFrame) -> DataFrame:
@@ -37,11 +46,8 @@ def units(vectors: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            good, x = _unit(batch)
-            some = iter(x)
-            cells = [next(some) if g else None for g in good]
-            columns = [pa.array([None if v is None else v.tobytes() for v in cells], pa.binary()), pa.array([None if v is None else len(v) for v in cells], pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *columns], ["vec_id", "unit", "width"])
+            unit, width = _unit(batch.column("embedding"))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(unit, pa.binary()), pa.array(width, pa.int32())], ["vec_id", "unit", "width"])
 
     plain = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     return plain.mapInArrow(work, "vec_id bigint, unit binary, width int")
@@ -49,7 +55,7 @@ def units(vectors: DataFrame) -> DataFrame:
 
 def principal(classes: DataFrame, width: int, dimensions: int = DIMENSIONS) -> np.ndarray:
     """The leading principal directions [width, dimensions] of at most FITTED vectors."""
-    some = classes.where(F.col("width") == width).orderBy(F.xxhash64("rep"), "rep").limit(FITTED).select("unit").toPandas()["unit"]
+    some = classes.where(F.col("width") == width).orderBy(F.xxhash64("unit"), "unit").limit(FITTED).select("unit").toPandas()["unit"]
     x = np.stack([np.frombuffer(b) for b in some])
     values, directions = np.linalg.eigh(np.cov(x.T) if len(x) > 1 else np.eye(width))
     return np.ascontiguousarray(directions[:, np.argsort(-values)[:dimensions]])
@@ -228,17 +234,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, interval: int = INTERV
 
     Equal vectors are one class, whose members link with each other and share all links; only classes are compared,
     every one with every other that isn't provably too far off. A vector that is null, empty, zero, or has a null or
-    non-finite component links with nothing. Vectors of different lengths do not link. A null vec_id is named by
-    nothing: its row is its own component, kept. Rows that repeat a vec_id are vectors of their own. Labels and
-    other columns play no part; an empty table gives no rows.
+    non-finite component links with nothing. Vectors of different lengths do not link. A row with a null vec_id is
+    a vector like others; it names no component, and is kept only if no row of its component has a vec_id. Rows that
+    repeat a vec_id are vectors of their own. Labels and other columns play no part; an empty table gives no rows.
     """
     rows = stash(units(vectors), "units")
-    usable = rows.where("unit IS NOT NULL AND vec_id IS NOT NULL")
-    # The smallest vec_id names a class; copies meet in the partial aggregates before the shuffle.
-    keyed = usable.withColumn("h", F.xxhash64("unit"))
-    classes = stash(keyed.groupBy("h", "unit", "width").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-    # A vec_id that names several classes would mix them up: its rows are told apart by the class's hash.
-    classes = classes.withColumn("vec", F.col("rep")).withColumn("rep", F.when(F.count(F.lit(1)).over(Window.partitionBy("rep")) > 1, F.xxhash64("rep", "h")).otherwise(F.col("rep")))
+    # Copies meet in the partial aggregates before the shuffle. A class is named by a number of its own, written with it.
+    grouped = rows.where("unit IS NOT NULL").groupBy(F.xxhash64("unit").alias("h"), "unit", "width").agg(F.min("vec_id").alias("vec"), F.count(F.lit(1)).alias("n"))
+    classes = stash(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
     found = None
     for width in sorted(r["width"] for r in classes.select("width").distinct().collect()):
         of_width = classes.where(F.col("width") == width)
@@ -257,11 +260,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, interval: int = INTERV
     named = rooted.join(counts, "rep", "left").join(least, "root")
     named = named.select("h", "unit", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component_id")
     out = rows.withColumn("h", F.xxhash64("unit")).join(named, ["h", "unit"], "left")
-    own = F.when(F.col("vec_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "vec_id"))
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), own.cast("bigint").alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))
+    own = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), own.alias("component_id"), own.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every vector, by near_vectors() at a cosine of 0.9."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

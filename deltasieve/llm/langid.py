@@ -14,6 +14,10 @@ from ._common import chunked, remainder, word_bounds
 CELLS = 1 << 15
 #: Pseudo-count of a cell. Trigrams overlap, so a word's log-likelihood is scaled down by their length.
 SMOOTHING, TEMPER = 0.5, 1 / 3
+#: Between documents, so that no trigram reaches from one into the next.
+GAP = b"\n\n"
+#: Languages that may be learned: what the driver and each task hold grows with them.
+MOST_LANGS = 1000
 #: EM steps for the full set and for each smaller one, and the fee for one more language.
 STEPS, FEWER_STEPS, PENALTY = 8, 4, 6.0
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -45,7 +49,8 @@ def count_profiles(docs: DataFrame) -> DataFrame:
             for text, lang in zip(texts, langs, strict=True):
                 by_lang.setdefault(lang, []).append(text)
             for lang, some in by_lang.items():
-                count = np.bincount(_cells(b"\n" + b"\n".join(some) + b"\n"), minlength=CELLS)
+                # The leading gap belongs to no text.
+                count = np.bincount(_cells(GAP + GAP.join(some) + GAP)[len(GAP) :], minlength=CELLS)
                 total[lang] = total.get(lang, 0) + count
         for lang, count in total.items():
             cell = np.flatnonzero(count)
@@ -56,7 +61,12 @@ def count_profiles(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages in order, log-probability of each cell in each): CELLS numbers a language, whatever the corpus."""
+    """(languages in order, log-probability of each cell in each): CELLS numbers a language, whatever the corpus.
+
+    Without any text that has a lang there are no languages; over MOST_LANGS of them are an error, none is left out.
+    """
+    if docs.where("lang IS NOT NULL").select("lang").distinct().limit(MOST_LANGS + 1).count() > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} values of lang: their profiles are more than the driver should hold")
     found = count_profiles(docs).toPandas()
     langs = sorted(found["lang"].unique())
     counts = np.zeros((len(langs), CELLS))
@@ -82,7 +92,7 @@ def mixture(texts: list[bytes], table: np.ndarray) -> np.ndarray:
     languages of the fitted mixture, in order of their share, give nested sets; the one with the best
     log-likelihood less half of log(words) and PENALTY for each language is chosen and fitted again.
     """
-    blob, starts, ends, first = word_bounds(texts)
+    blob, starts, ends, first = word_bounds(texts, GAP)
     out = np.zeros((len(texts), len(table)))
     rows = np.flatnonzero(np.diff(first))
     if not len(rows) or not len(table):
@@ -155,6 +165,10 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, langs, shares of every document; the held-out fifth is not learned from.
+
+    Null texts and texts without letters are 'und' with score 0; repeated rows give equal rows; ties as in identify().
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     langs, table = learn(docs.where(remainder(5) != 0))
     found = identify(docs, langs, table)

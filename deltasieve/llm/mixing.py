@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD
+from ._common import WORD, stash
 
-#: Blocks of a source, whatever its size: its documents are dealt over them by hash.
-BLOCKS = 1024
+#: Documents of a source's block, over which they are dealt by hash; more only where a source would have over MOST_BLOCKS.
+BLOCK, MOST_BLOCKS = 256, 1 << 16
+#: Sources up to which what is known of each is broadcast: some 100 bytes for each.
+FEW_SOURCES = 100_000
 #: Output shards, a power of two.
 SHARDS = 16
 #: A source's words are taken at most so many times.
@@ -95,24 +97,26 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> Data
     return node.select((F.col("node") - shards).alias("shard"), F.explode("all").alias("x")).select(F.col("x._sk").alias("_sk"), "shard", F.col("x.q").alias("quota"))
 
 
-def mix(docs: DataFrame, carry: list[str], seed: int = 0, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """row (struct of the columns to carry along), size, source_size, target, taken (words, repeats counted) and draws.
+def _sized(docs: DataFrame, carry: list[str], seed: int) -> DataFrame:
+    """The rows' keys and sizes, written once: no text is read again, or dealt out, to plan the mixture."""
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
+    source = F.col("source").cast("string")
+    key = F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
+    rows = docs.select(*_row_key(), F.struct(*carry).alias("row"), F.col("doc_id").cast("string").alias("_id"), size.alias("_size"), key.alias("_sk"))
+    return stash(rows.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("_id"), F.col("_size"))), "sizes")
 
-    draws is an array of copy, shard and words for each row of docs.
 
-    A source's documents are dealt over blocks by hash; its target is drawn as whole passes over the blocks and then
-    blocks in an order permuted for each pass, the last of them in part: within it, documents come in an
-    order permuted alike, and the last is cut at a word, so that the words taken are the target, rounded.
-    Which shard gets which draws is settled by split_quotas. All sorts are within a source's blocks or one block.
+def _row_key() -> list[Column]:
+    """A row's doc_id, and its text and source by hash: rows alike in these are interchangeable."""
+    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k1"), F.xxhash64(F.col("text").cast("string"), F.col("source").cast("string")).alias("k2")]
 
-    A null text has size 0 and is never drawn; null sources are one source, the last; repeated rows are documents of
-    their own. Other columns only go along. An empty table, or one without words, gives draws for no row.
-    """
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
-    sized = docs.select(F.struct(*carry).alias("row"), F.col("doc_id").alias("_id"), size.alias("_size"), key.alias("_sk"))
-    sized = sized.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("_id"), F.col("_size")))
-    sized = sized.withColumn("_block", F.pmod(F.col("_hash"), F.lit(blocks)).cast("int"))
+
+def _plan(docs: DataFrame, carry: list[str], seed: int, shards: int, block_size: int) -> DataFrame:
+    rows = _sized(docs, carry, seed)
+    sources = stash(rows.groupBy("_sk").agg(F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.count(F.lit(1)) / block_size))).cast("int").alias("_blocks")), "sources")
+    few = sources.count() <= FEW_SOURCES
+    sized = rows.join(F.broadcast(sources) if few else sources, "_sk")
+    sized = sized.withColumn("_block", F.pmod(F.col("_hash"), F.col("_blocks")).cast("int")).drop("_blocks")
     words = sized.groupBy("_sk", "_block").agg(F.sum("_size").alias("_words"))
     goal = targets(words.withColumnRenamed("_words", "_size"))
     goal = goal.withColumn("_goal", F.round("_target").cast("bigint"))
@@ -133,30 +137,51 @@ def mix(docs: DataFrame, carry: list[str], seed: int = 0, shards: int = SHARDS,
     shard = F.size(F.filter("_ends", lambda e: e < F.col("_turn")))
     shards_of = drawn.join(ends, "_sk").groupBy("_sk", "_block").agg(F.sort_array(F.collect_list(F.struct("_pass", shard.alias("_shard")))).alias("_turns"))
     block = block.join(shards_of, ["_sk", "_block"], "left").select("_sk", "_block", "_source_size", "_target", "_passes", "_part", "_turns")
-    within = Window.partitionBy("_sk", "_block").orderBy("_hash", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    # Long documents first: what overlaps the end of the last block's part is then one of its shorter ones.
+    within = Window.partitionBy("_sk", "_block").orderBy(F.col("_size").desc(), "_hash", "_id").rowsBetween(Window.unboundedPreceding, -1)
     out = sized.join(block, ["_sk", "_block"]).withColumn("_before", F.coalesce(F.sum("_size").over(within), F.lit(0)))
-    cut = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_part") - F.col("_before")))
-    out = out.withColumn("_cut", cut).withColumn("_taken", F.col("_passes") * F.col("_size") + F.col("_cut"))
-    draws = F.transform("_turns", lambda t: F.struct(t["_pass"].alias("copy"), t["_shard"].alias("shard"), F.when(t["_pass"] < F.col("_passes"), F.col("_size")).otherwise(F.col("_cut")).alias("words")))
-    draws = F.filter(F.coalesce(draws, F.array().cast("array<struct<copy:bigint,shard:int,words:bigint>>")), lambda d: d["words"] > 0)
-    return out.select("row", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), draws.alias("draws"))
+    # Whole documents: the one that overlaps is taken if that comes nearer to the part.
+    last = 2 * F.col("_before") + F.col("_size") <= 2 * F.col("_part")
+    taken = F.col("_size") * (F.col("_passes") + last.cast("bigint"))
+    draws = F.transform("_turns", lambda t: F.struct(t["_pass"].alias("copy"), t["_shard"].alias("shard")))
+    draws = F.filter(F.coalesce(draws, F.array().cast("array<struct<copy:bigint,shard:int>>")), lambda d: (F.col("_size") > 0) & ((d["copy"] < F.col("_passes")) | last))
+    return out.select("k1", "k2", "row", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"), draws.alias("draws"))
+
+
+def mix(docs: DataFrame, carry: list[str], seed: int = 0, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
+    """row (struct of the columns to carry along), size, source_size, target, taken (words, repeats counted) and draws.
+
+    draws is an array of copy and shard for each row of docs.
+
+    A source's documents are dealt over blocks by hash, of about block documents; its target is drawn as whole passes
+    over the blocks and then blocks in an order permuted for each pass, the last of them in part. Documents are taken
+    whole, so that a source's words differ from its target by up to half of one document, a short one of that block.
+    Which shard gets which draws is settled by split_quotas. All sorts are within a source's blocks or one block.
+
+    A null text has size 0 and is never drawn; null sources are one source, the last; repeated rows are documents of
+    their own. Other columns only go along. An empty table, or one without words, gives draws for no row.
+    """
+    return _plan(docs, carry, seed, shards, block).drop("k1", "k2")
 
 
-def materialise(docs: DataFrame, seed: int = 0, shards: int = SHARDS, blocks: int = BLOCKS, shard_column: str | None = None) -> DataFrame:
-    """The mixture itself: docs' rows, once for each draw, in a random order within each shard.
+def materialise(docs: DataFrame, seed: int = 0, shards: int = SHARDS, block: int = BLOCK, shard_column: str | None = None) -> DataFrame:
+    """The mixture itself: docs' rows, whole, once for each draw, in a random order within each shard.
 
-    A document cut at a word keeps its first words, joined by one space.
+    Nulls, repeated rows and empty tables as in mix(); docs' columns stay as they are, whatever their names.
     """
-    drawn = mix(docs, docs.columns, seed, shards, blocks).select("row", "size", F.explode("draws").alias("draw"))
-    words = F.regexp_extract_all(F.col("row.text").cast("string"), F.lit(WORD), 0)
-    cut = F.array_join(F.slice(words, 1, F.col("draw.words").cast("int")), " ")
-    text = F.when(F.col("draw.words") < F.col("size"), cut).otherwise(F.col("row.text"))
-    order = F.xxhash64(F.lit(seed), F.lit("order"), F.col("row.doc_id"), F.col("draw.copy"))
-    placed = drawn.select(F.col("row").withField("text", text).alias("row"), F.col("draw.shard").alias("shard"), order.alias("order"))
+    alike = Window.partitionBy("k1", "k2").orderBy(F.lit(0))
+    drawn = _plan(docs, ["doc_id"], seed, shards, block).where(F.size("draws") > 0).select("k1", "k2", "draws")
+    drawn = drawn.withColumn("nth", F.row_number().over(alike))
+    # The whole row is one column, so that no column of docs meets another of its name.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_row_key()).withColumn("nth", F.row_number().over(alike))
+    met = rows.join(drawn, ["k1", "k2", "nth"]).select("row", "k1", "k2", "nth", F.explode("draws").alias("draw"))
+    order = F.xxhash64(F.lit(seed), F.lit("order"), F.col("k1"), F.col("k2"), F.col("nth"), F.col("draw.copy"))
+    placed = met.select("row", F.col("draw.shard").alias("shard"), order.alias("order"))
     return placed.repartition("shard", "order").sortWithinPartitions("shard", "order").select("row.*", *([F.col("shard").alias(shard_column)] if shard_column else []))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken and shards (of each draw) of every document, by mix() with its defaults."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     mixed = mix(docs, ["doc_id"])
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))

@@ -8,15 +8,23 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import chunked, partitions, row_key, small_batches, stash
+from ._common import chunked, partitions, row_key, runs, small_batches, stash
 from ._components import components
 
-#: Fingerprints link at so many differing bits or fewer: in one of two segments at most one bit then differs.
+#: Fingerprints link at so many differing bits or fewer.
 BITS = 2
-SEGMENTS = 2
 SEED = 42
 
 
+def segments(bits: int) -> list[tuple[int, int]]:
+    """(first bit, width) of the fewest segments of which one differs by at most one bit if at most bits bits differ."""
+    if not 0 <= bits < 16:
+        raise ValueError("from 0 to 15 differing bits")
+    n = bits // 2 + 1
+    cuts = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """k1, k2 (row key), doc_id, fp (64 bits) of each row of docs.
 
@@ -93,16 +101,18 @@ def _near(fp: np.ndarray, bits: int, block: int = 2048) -> tuple[np.ndarray, np.
 
 
 def _spanning(fp: np.ndarray, bits: int, dense: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """_near, but a large group is first parted by two of four 16-bit quarters: with bits <= 2 some two are equal."""
+    """_near, but a large group is first parted by two of bits + 2 pieces of the fingerprint, of which some two are equal."""
     if len(fp) <= dense:
         return _near(fp, bits)
-    a, b = [], []
-    for p in range(4):
+    a, b = [fp[:0]], [fp[:0]]
+    cuts = [64 * i // (bits + 2) for i in range(bits + 3)]
+    masks = [(1 << end) - (1 << begin) for begin, end in zip(cuts, cuts[1:], strict=False)]
+    for p in range(bits + 2):
         for q in range(p):
-            mask = np.uint64((0xFFFF << (16 * p)) | (0xFFFF << (16 * q)))
+            mask = np.uint64(masks[p] | masks[q])
             order = np.argsort(fp & mask, kind="stable")
-            cuts = np.flatnonzero(np.diff((fp & mask)[order])) + 1
-            for part in np.split(order, cuts):
+            ends = np.flatnonzero(np.diff((fp & mask)[order])) + 1
+            for part in np.split(order, ends):
                 if len(part) > 1:
                     x, y = _near(fp[part], bits)
                     a.append(x)
@@ -130,20 +140,8 @@ def _link(bits: int):
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([fp, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(key):
-                continue
-            # The last key's run may go on in the next batch.
-            done = int(np.searchsorted(key, key[-1]))
-            if done:
-                a, b = edges(key[:done], fp[:done])
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-                key, fp = key[done:], fp[done:]
-        if len(key):
-            a, b = edges(key, fp)
+        for key, fp in runs(batches, ["key", "fp"]):
+            a, b = edges(key, fp.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     return work
@@ -152,16 +150,21 @@ def _link(bits: int):
 def variant_edges(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that differ in at most bits bits, enough to connect them.
 
-    A fingerprint is cut into SEGMENTS halves; each half is indexed 32 times, with one bit deleted. Two that
-    differ in at most 2 bits differ by at most one bit in some half, so they share a variant there; others
-    that share one are told apart by comparing.
+    A fingerprint is cut into segments (two halves for 2 bits); each is indexed once for each of its bits, with that one
+    deleted. Two that differ in at most bits bits differ by at most one bit in some segment, so they share a variant
+    there; others that share one are told apart by comparing.
     """
-    size = 64 // SEGMENTS
-    segment = F.when(F.col("v") < size, F.shiftrightunsigned("fp", size)).otherwise(F.col("fp").bitwiseAND(F.lit((1 << size) - 1)))
-    deleted = segment.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("v") % size)))
-    # The variant's number above the 32 bits of its segment.
-    key = F.shiftleft(F.col("v").cast("bigint"), size).bitwiseOR(deleted)
-    variants = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * size - 1))).alias("v")).select(key.alias("key"), "fp")
+    cut = segments(bits)
+    where = F.array(*[F.lit(begin) for begin, width in cut for _ in range(width)])
+    size = F.array(*[F.lit(width) for _, width in cut for _ in range(width)])
+    one = F.lit(1).cast("bigint")
+    shift = lambda c, by: F.call_function("shiftleft", c, by)
+    segment = F.call_function("shiftrightunsigned", F.col("fp"), where[F.col("v")]).bitwiseAND(shift(one, size[F.col("v")]) - 1)
+    whole = F.when(size[F.col("v")] == 64, F.col("fp")).otherwise(segment)
+    deleted = whole.bitwiseAND(F.bitwise_not(shift(one, F.col("v") - where[F.col("v")])))
+    # A variant's number and what is left of its segment: in one word where the segment leaves room for the number.
+    key = shift(F.col("v").cast("bigint"), F.lit(56)).bitwiseOR(deleted) if len(cut) > 1 else F.xxhash64("v", deleted)
+    variants = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).select(key.alias("key"), "fp")
     return variants.repartition(partitions(distinct.sparkSession), "key").sortWithinPartitions("key", "fp").mapInArrow(_link(bits), "a bigint, b bigint")
 
 
@@ -205,5 +208,6 @@ def keep_one(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every document, by near_duplicates() with its defaults."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -15,6 +15,8 @@ from ._common import chunked, mix, partitions, slice_hashes, word_bounds, word_h
 LENGTH, SHORTEST = 35, 9
 #: Rows held by a task before it sends its questions on.
 HELD = 1_000_000
+#: Shares among which the copies of one text are dealt.
+SALTS = 32
 
 
 def levels(length: int, shortest: int = SHORTEST) -> list[int]:
@@ -144,9 +146,11 @@ def _places(docs: DataFrame, length: int, shortest: int, held: int) -> DataFrame
 
 def _copies(keyed: DataFrame) -> DataFrame:
     """k, first for rows whose whole text stands in several rows; first marks the one that asks for all of them."""
-    texts = keyed.select("k", F.xxhash64("text", F.lit(1)).alias("th"))
+    # Copies of a text are counted before they are dealt, and look their group up in SALTS shares.
+    texts = keyed.select("k", F.xxhash64("text", F.lit(1)).alias("th"), F.pmod(F.col("k"), F.lit(SALTS)).alias("salt"))
     groups = texts.groupBy("th").agg(F.count(F.lit(1)).alias("rows"), F.min("k").alias("least")).where("rows > 1")
-    marked = texts.join(groups, "th").groupBy("k").agg(F.max(F.col("k") == F.col("least")).alias("first"))
+    groups = groups.select("th", "least", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    marked = texts.join(groups, ["th", "salt"]).groupBy("k").agg(F.max(F.col("k") == F.col("least")).alias("first"))
     return marked.repartition(partitions(keyed.sparkSession), "k")
 
 
@@ -202,6 +206,7 @@ def digests(docs: DataFrame, length: int = LENGTH, shortest: int = SHORTEST, hel
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every document, by digests() with windows of LENGTH words."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
