@@ -168,7 +168,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """encode(), with each document's ids and decoded bytes reduced to counts and SHA-256 inside the task."""
+    """encode(), with each document's ids and decoded bytes reduced to counts and SHA-256 inside the task.
+
+    Nulls, empty and long texts, repeated rows and empty tables as there.
+    """
 
     def reduce(ids: bytes, text: bytes) -> tuple:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
@@ -176,6 +179,15 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return _run(docs, vocabulary, pattern, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", reduce)
 
 
+def tokens(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the digests of digests() for each row, by the same rules for nulls, repeats and empty tables."""
+
+    def both(ids: bytes, text: bytes) -> tuple:
+        return len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
+
+    return _run(docs, vocabulary, pattern, "doc_id bigint, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string", both)
+
+
 _loaded: dict[str, Bpe] = {}
 
 
@@ -211,6 +223,7 @@ def _run(docs: DataFrame, vocabulary: str, pattern: str, schema: str, finish) ->
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, by digests() with the public vocabulary."""
     import public_tokenizers as tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

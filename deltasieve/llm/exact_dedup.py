@@ -159,7 +159,7 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns; nulls, ties and empty tables as in exact_duplicates()."""
     kept = exact_duplicates(docs, capacity).where("kept").select(F.col("doc_id").alias("keep"), "text_sha256")
     # The whole row is one column, so that no column of docs meets another of its name.
     marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.sha2(normalised(), 256).alias("sha"))
@@ -169,6 +169,7 @@ def drop_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every document, by exact_duplicates()."""
     return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -14,8 +14,8 @@ from ._common import IS_SPACE, mix, small_batches, stash, word_bounds, word_hash
 
 #: Labelled documents that are learned from: so many at most, those least by hash of doc_id.
 LABELLED = 12_000
-#: Rounds of exchange, logit from which a view is sure of a document, and ridge.
-ROUNDS, SURE, PENALTY = 5, 1.0, 3.0
+#: Rounds of exchange, logit from which a view is sure of a document, and ridge of the views and of their calibration.
+ROUNDS, SURE, PENALTY, MILD = 5, 1.0, 120.0, 1.0
 BIGRAMS, WORDS, PAIRS, SOURCES, LANGS = 128, 128, 128, 64, 16
 _KIND = np.zeros(256, np.uint8)
 _KIND[128:] = 1
@@ -98,14 +98,19 @@ class Logistic:
         """Standardised features and a one."""
         return np.concatenate([(x - self.mean) / self.scale, np.ones((len(x), 1))], axis=1).astype(float)
 
-    def step(self, x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, more: np.ndarray | float = 0.0, weight: float = 1.0) -> np.ndarray:
-        """One Newton step on rows x and labels y. more is the gradient of other rows, weight what all rows weigh against these."""
+    def step(self, x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, more: np.ndarray | None = None, weight: float = 1.0) -> np.ndarray:
+        """One Newton step on rows x and labels y.
+
+        more is the gradient of other rows, and weight what all rows weigh against these; as the others' curvature isn't
+        known, it is then taken at its bound of a quarter, so that the step is never too long.
+        """
         z = self.rows(x)
         p = 1 / (1 + np.exp(-np.clip(z @ self.weight, -30, 30)))
         ridge = np.full(len(self.weight), penalty)
         ridge[-1] = 1e-6
-        curve = np.maximum(p * (1 - p), 1e-6) * weight
-        step = np.linalg.solve((z * curve[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) + more - ridge * self.weight)
+        curve = np.maximum(p * (1 - p), 1e-6) if more is None else np.full(len(z), weight / 4)
+        gradient = z.T @ (y - p) - ridge * self.weight + (0 if more is None else more)
+        step = np.linalg.solve((z * curve[:, None]).T @ z + np.diag(ridge), gradient)
         self.weight = self.weight + step
         return step
 
@@ -162,9 +167,9 @@ def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, ask) -> CoTr
         for model, x, (gradient, count) in zip(models, views, ask(models), strict=True):
             weight = np.where(count > 0, share * len(known) / np.maximum(count, 1), 0.0)
             model.step(x[~held], known, more=weight @ gradient, weight=1 + float((weight * count).sum()) / len(known))
-    scaled = [Logistic.fit(m.logit(x[held])[:, None], label[held]) for m, x in zip(models, views, strict=True)]
+    scaled = [Logistic.fit(m.logit(x[held])[:, None], label[held], MILD) for m, x in zip(models, views, strict=True)]
     logits = np.stack([s.logit(m.logit(x[held])[:, None]) for s, m, x in zip(scaled, models, views, strict=True)], axis=1)
-    return CoTrained(*models, *scaled, Logistic.fit(logits, label[held]))
+    return CoTrained(*models, *scaled, Logistic.fit(logits, label[held], MILD))
 
 
 def _lists(batch) -> tuple:

@@ -201,7 +201,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shortest: int = SHORTE
 
 
 def digests(docs: DataFrame, length: int = LENGTH, shortest: int = SHORTEST, held: int = HELD) -> DataFrame:
-    """remove_repeats(), with what is kept reduced to its SHA-256 inside the task."""
+    """remove_repeats(), with what is kept reduced to its SHA-256 inside the task; the same rules hold."""
     return _run(docs, length, shortest, held, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", lambda kept: hashlib.sha256(kept).hexdigest())
 
 

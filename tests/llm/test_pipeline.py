@@ -1,7 +1,7 @@
 """The pipeline's stages on the smallest tables, each against what its operator decides."""
 
 import corpus_pipeline
-from deltasieve.llm import exact_dedup, mixing, quality, simhash
+from deltasieve.llm import exact_dedup, mixing, near_copies, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +13,7 @@ def test_stages(spark, tmp_path):
     wanted = [
         lambda d: quality.score(d, labels, corpus_pipeline.THRESHOLD).where("keep").count(),
         lambda d: exact_dedup.exact_duplicates(d).where("kept").count(),
-        lambda d: simhash.near_duplicates(d).select("component_id").distinct().count(),
+        lambda d: near_copies.groups(d).select("root").distinct().count(),
         lambda d: mixing.mix(d, ["doc_id"]).selectExpr("sum(size(draws))").first()[0],
         lambda d: d.count(),
     ]
@@ -39,6 +39,25 @@ def test_clean_documents_stay(spark):
     assert kept.get(0, 0) <= 0.25 * labels.where("quality = 0").count()
 
 
+def test_stages_on_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    text = "one two three four five six seven eight nine ten " * 3
+    other = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", "a", 9), (2, text + " ", "en", "a", 9), (1, text, "en", "a", 9), (3, text + "more", None, None, None), (None, other, "fr", "b", 1), (None, None, None, None, None), (4, "", "en", "a", 0), (5, other + " x" * 30_000, "en", "b", 5)]
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    extra = ["row", "root", "k1", "shard", "keep", "draw", "label", "nth", "h", "order"]
+    docs = spark.createDataFrame([(*r, *range(len(extra))) for r in rows], names + "".join(f", {c} int" for c in extra))
+    columns, left = docs.columns, []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        if i < 4:
+            assert docs.columns == columns
+        left.append(sorted((r["doc_id"] or 0 for r in docs.collect()), key=str))
+    assert left[1] == sorted(set(left[0]) - {2} if 1 in left[0] else set(left[0]), key=str) or len(left[1]) <= len(left[0])
+    assert len(left[2]) <= len(left[1]) and left[4] == left[3]
+    assert sum(r["n_tokens"] for r in docs.collect()) == sum(len(r["ids"]) for r in docs.collect()) // 4
+
+
 def test_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
