@@ -511,6 +511,13 @@ def test_lm_windows_score_each_token_once_and_add_up():
     p = np.exp(y[0, 5])
     p /= p.sum()
     assert (p[model.cls] * np.exp(model.inner)).sum() == pytest.approx(1, abs=1e-3)
+    for start in (0, 8):  # what scoring takes from tables is what training computes
+        y, _ = model.forward(model.cls[ids[:320]].reshape(-1, 32), start)
+        chance = np.exp(y.reshape(-1, y.shape[2]))
+        assert model.chances(model.cls[ids[:320]].reshape(-1, 32), start, model.tables()) == pytest.approx(chance, rel=2e-3, abs=1e-6)
+        big = (*model.tables()[:2], False)
+        assert model.chances(model.cls[ids[:320]].reshape(-1, 32), start, big) == pytest.approx(chance, rel=2e-3, abs=1e-6)
+    y, _ = model.forward(model.cls[ids[:24]][None], 0)
     later = model.cls[ids[:24]].copy()
     later[10:] = 0
     assert model.forward(later[None], 0)[0][0, :10] == pytest.approx(y[0, :10], abs=1e-5)
