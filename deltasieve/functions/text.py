@@ -6,11 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DASH = "—"
+# The characters that are white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # File extensions and the hint of each.
-LANG_HINTS = {"rs": "rust", "go": "go", "ts": "ts", "tsx": "tsx", "js": "js", "jsx": "jsx", "mjs": "js", "cjs": "js", "py": "python", "java": "java", "kt": "kotlin", "rb": "ruby", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "swift": "swift", "sh": "bash", "sql": "sql", "toml": "toml", "yaml": "yaml", "yml": "yaml", "json": "json", "md": "markdown"}
+LANG_HINTS = {
+    "rs": "rust", "ts": "ts", "tsx": "ts", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "go": "go", "py": "py", "java": "java", "kt": "kotlin", "kts": "kotlin",
+    "rb": "ruby", "php": "php", "cs": "csharp", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "swift": "swift", "scala": "scala",
+    "sh": "bash", "bash": "bash", "zsh": "bash", "yaml": "yaml", "yml": "yaml", "json": "json", "toml": "toml", "md": "md", "sql": "sql",
+}
 LANGUAGES = {"ts": "ts", "tsx": "ts", "js": "ts", "mjs": "ts", "cjs": "ts", "go": "go", "rs": "rust"}
 
 
+def strip(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def format_ns(ns: Column) -> Column:
     """A duration in the most readable unit; a dash if it isn't finite."""
     finite = ns.isNotNull() & ~F.isnan(ns) & (F.abs(ns) != float("inf"))
@@ -35,8 +46,11 @@ def format_signed_pct(fraction: Column) -> Column:
     return F.when(fraction.isNotNull(), F.concat(F.when(fraction > 0, "+").otherwise(""), F.format_string("%.1f%%", fraction * 100)))
 
 
-def short_ref(ref: Column) -> Column:
-    return F.left(ref, F.lit(7))
+def format_p(p: Column) -> Column:
+    """A probability with three digits and a power of ten."""
+    shown = F.format_string("%.2e", p)
+    # One digit of the exponent where one is enough, and no sign but a minus.
+    return F.when(p.isNotNull(), F.regexp_replace(shown, r"e([-]?)\+?0*(\d)", "e$1$2"))
 
 
 def basename(path: Column) -> Column:
@@ -57,7 +71,8 @@ def language_of(path: Column) -> Column:
 
 
 def lang_hint(path: Column) -> Column:
-    return F.coalesce(_lookup(LANG_HINTS, extension(path)), F.lit(""))
+    """Hint of what stands after the path's last dot, in the case that it has; empty if it is none that is known."""
+    return F.coalesce(_lookup(LANG_HINTS, F.when(F.instr(path, ".") > 0, F.substring_index(path, ".", -1))), F.lit(""))
 
 
 def normalize_path(path: Column) -> Column:
@@ -85,17 +100,29 @@ def glob_to_regex(pattern: str) -> str:
 
 
 def truncate_middle(body: Column, limit: int) -> Column:
-    """A text over limit bytes loses its middle, at line ends, and says how many bytes it lost.
+    """A text over limit bytes (UTF-8) loses its middle, at line ends, and says how many bytes it lost.
 
-    Cuts fall on characters: the front has at most limit // 2 bytes' worth if the text is ASCII.
+    Front and back have limit // 2 bytes each, or up to three fewer where that is inside a character; the front ends
+    before its last line feed, the back begins after its first one.
     """
     half = limit // 2
+    data = F.encode(body, "UTF-8")
     size = F.octet_length(body)
-    front = F.left(body, F.lit(half))
+
+    def inside(place: Column) -> Column:
+        """Whether the byte at a place (from 1) goes on with a character."""
+        byte = F.hex(F.substring(data, place, F.lit(1)))
+        return (byte >= "80") & (byte <= "BF")
+
+    ends = [max(0, half - back) for back in range(4)]
+    end = F.coalesce(*[F.when(~inside(F.lit(e + 1)), F.lit(e)) for e in ends[:3]], F.lit(ends[3]))
+    front = F.substring(data, F.lit(1), end).cast("string")
     # Place of the front's last line feed, if any.
     back_at = F.instr(F.reverse(front), "\n")
     head = F.when(back_at > 0, F.left(front, F.char_length(front) - back_at)).otherwise(front)
-    rest = F.right(body, F.lit(half))
+    begins = [size - half + 1 + ahead for ahead in range(4)]
+    begin = F.coalesce(*[F.when(~inside(at), at) for at in begins[:3]], begins[3])
+    rest = F.substring(data, begin, size).cast("string")
     next_line = F.instr(rest, "\n")
     tail = F.when(next_line > 0, F.substring(rest, next_line + 1, F.lit(1 << 30))).otherwise(rest)
     elided = size - F.octet_length(head) - F.octet_length(tail)
@@ -107,4 +134,4 @@ def sanitise(text: Column) -> Column:
     """One line without control characters or code fences, runs of white space as one space."""
     plain = F.regexp_replace(text, r"[\p{Cc}&&[^\t]]", " ")
     broken = F.replace(plain, F.lit("```"), F.lit("`​`​`"))
-    return F.trim(F.regexp_replace(broken, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(broken, r"(?U)\s+", " "))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import WHITE, strip
+
 # Patterns of declarations, calls and imports, and words before a bracket that are no calls.
 FUNCTION = r"(?:export\s+|pub\s+(?:\([^)]*\)\s+)?|async\s+|static\s+)*(?:function|fn|func)\s+([A-Za-z_]\w*)\s*[(<]"
 CLASS = r"(?:export\s+|pub\s+)*class\s+([A-Za-z_]\w*)"
 TYPE = r"(?:pub\s+(?:\([^)]*\)\s+)?)?(?:struct|enum|interface|type)\s+([A-Za-z_]\w*)"
-CALL = r"([A-Za-z_]\w*)\s*\("
+CALL = r"(?<![A-Za-z0-9_])\d*+([A-Za-z_]\w*+)\s*+\("
 IMPORT = r"""(?m)^\s*(?:import\s+(?:[^"']*\s+from\s+)?['"]([^'"]+)['"]|import\s+\(\s*["']([^'"]+)["']|use\s+([A-Za-z_][A-Za-z_0-9:\*\{\}\s,]*)\s*;|extern\s+crate\s+([A-Za-z_]\w*))"""
+KINDS = ("fn", "cls", "type")
 NOT_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "match", "fn", "func", "case", "else", "do", "try", "throw", "select")
 
 
@@ -23,16 +28,18 @@ def extract_symbols(files: DataFrame) -> DataFrame:
 
     A type that a function or class of the same name on its line has already given is left out.
     """
+    # Most lines have no word that declares anything, and are not searched.
+    declaring = reduce(lambda a, b: a | b, [F.col("text").contains(w) for w in ("fn", "func", "class", "struct", "enum", "interface", "type")])
     fn, cls, typ = (F.regexp_extract("text", p, 1) for p in (FUNCTION, CLASS, TYPE))
     kinds = F.array(F.struct(F.lit("fn").alias("kind"), fn.alias("name")), F.struct(F.lit("cls").alias("kind"), cls.alias("name")), F.struct(F.lit("type").alias("kind"), F.when((typ != fn) & (typ != cls), typ).otherwise("").alias("name")))
-    found = _lines(files).select("repo", "path", "line", "text", F.explode(F.filter(kinds, lambda k: k["name"] != "")).alias("k"))
-    start = F.ltrim("text")
-    return found.select("repo", "path", "line", "k.kind", "k.name", (start.startswith("pub") | start.startswith("export")).alias("exported"), F.trim("text").alias("signature"))
+    found = _lines(files).where(declaring).select("repo", "path", "line", "text", F.explode(F.filter(kinds, lambda k: k["name"] != "")).alias("k"))
+    start = F.ltrim("text", F.lit(WHITE))
+    return found.select("repo", "path", "line", "k.kind", "k.name", (start.startswith("pub") | start.startswith("export")).alias("exported"), strip(F.col("text")).alias("signature"))
 
 
 def _first_ids(symbols: DataFrame) -> DataFrame:
     """repo, path, name, id of the first symbol of each name in its file."""
-    order = F.struct("line", F.array_position(F.array(F.lit("fn"), F.lit("cls"), F.lit("type")), F.col("kind")))
+    order = F.struct("line", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")))
     return symbols.groupBy("repo", "path", "name").agg(F.min_by(F.concat("kind", F.lit(":"), "name"), order).alias("id"))
 
 
@@ -45,20 +52,20 @@ def call_edges(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def calls_by_line(files: DataFrame) -> DataFrame:
     """repo, path, line, name of every call site."""
-    calls = _lines(files).select("repo", "path", "line", F.explode(F.regexp_extract_all("text", F.lit(CALL), 1)).alias("name"))
+    calls = _lines(files).where(F.col("text").contains("(")).select("repo", "path", "line", F.explode(F.regexp_extract_all("text", F.lit(CALL), 1)).alias("name"))
     return calls.where(~F.col("name").isin(*NOT_CALLS))
 
 
 def attribute_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """repo, path, caller, name: each call goes to the last symbol declared at or above its line; not to itself.
 
-    An as-of join by line: symbols and calls of a file are one ordered sequence, whose last symbol is carried on.
+    The caller of a call above all symbols is null: the file itself. An as-of join by line: symbols and calls of a file are one ordered sequence, whose last symbol is carried on.
     """
     both = symbols.select("repo", "path", "line", F.lit(0).alias("o"), F.col("name").alias("symbol"), F.lit(None).cast("string").alias("name")).unionByName(
         calls.select("repo", "path", "line", F.lit(1).alias("o"), F.lit(None).cast("string").alias("symbol"), "name")
     )
     above = Window.partitionBy("repo", "path").orderBy("line", "o", "symbol").rowsBetween(Window.unboundedPreceding, 0)
-    asof = both.withColumn("caller", F.last("symbol", ignorenulls=True).over(above)).where("o = 1 AND caller IS NOT NULL AND caller <> name")
+    asof = both.withColumn("caller", F.last("symbol", ignorenulls=True).over(above)).where("o = 1 AND (caller IS NULL OR caller <> name)")
     return asof.select("repo", "path", "caller", "name").distinct()
 
 
@@ -66,7 +73,7 @@ def extract_imports(files: DataFrame) -> DataFrame:
     """repo, path, imports (distinct, in order) and local (those that begin with ./ or ../)."""
     groups = [F.regexp_extract_all("content", F.lit(IMPORT), i) for i in range(1, 5)]
     zipped = F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)])
-    first = F.transform(zipped, lambda z: F.trim(F.concat(*[z[f"g{i}"] for i in range(4)])))
+    first = F.transform(zipped, lambda z: strip(F.concat(*[z[f"g{i}"] for i in range(4)])))
     found = files.select("repo", "path", F.array_distinct(F.filter(first, lambda s: s != "")).alias("imports"))
     return found.withColumn("local", F.filter("imports", lambda s: s.startswith("./") | s.startswith("../")))
 
@@ -77,11 +84,15 @@ def called_names(edges: DataFrame) -> DataFrame:
 
 
 def callers(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """repo, path, name, caller_path, caller: who calls a symbol, in any file; recursion in its own file is left out."""
+    """repo, path, name, called_by: who calls a symbol, in any file (path and caller, null for the file itself, in order).
+
+    Recursion within its own file is left out, and a symbol that nothing else calls has no row. The callers of a name are
+    gathered once, whatever the number of files that declare it.
+    """
+    used = calls.groupBy("repo", "name").agg(F.sort_array(F.collect_set(F.struct("path", "caller"))).alias("all"))
     defined = symbols.select("repo", "path", "name").distinct()
-    used = calls.select("repo", F.col("path").alias("caller_path"), "caller", "name")
-    own = (F.col("path") == F.col("caller_path")) & (F.col("caller") == F.col("name"))
-    return used.join(defined, ["repo", "name"]).where(~own).select("repo", "path", "name", "caller_path", "caller").distinct()
+    others = F.filter("all", lambda c: ~((c["path"] == F.col("path")) & c["caller"].eqNullSafe(F.col("name"))))
+    return defined.join(used, ["repo", "name"]).select("repo", "path", "name", others.alias("called_by")).where(F.size("called_by") > 0)
 
 
 def fit_in_order(sizes: Column, cap: int) -> Column:
@@ -95,13 +106,43 @@ def fit_in_order(sizes: Column, cap: int) -> Column:
     return F.aggregate(sizes, start, step, lambda acc: acc["kept"])
 
 
-def scope_rows(symbols: DataFrame, changed: DataFrame, cap: int = 8 * 1024) -> DataFrame:
-    """repo, listed (path, line and signature of symbols of changed files, in order, as far as cap bytes go) and elided.
+def _one_line(text: Column) -> Column:
+    flat = F.regexp_replace(text, r"[ \n\r\t]+", " ")
+    return F.when(F.octet_length(flat) > 240, F.concat(F.left(flat, F.lit(237)), F.lit("…"))).otherwise(flat)
+
+
+def scope_rows(symbols: DataFrame, called_by: DataFrame, changed: DataFrame, cap: int = 8 * 1024) -> DataFrame:
+    """repo, block, elided: the symbols of changed files and who calls them, as text of at most cap bytes, file by file.
 
-    Only sizes are folded; texts are joined back by place.
+    A file has a header, then its symbols in order. What doesn't fit any more is passed over, while smaller entries
+    after it may fit; without its header a file has no entries. The number of entries left out is told at the end.
+    Only places and sizes are folded; the texts of what fits, which cap bounds, are joined back.
     """
-    mine = symbols.join(changed, ["repo", "path"], "left_semi").withColumn("shown", F.concat_ws(" ", "path", F.col("line").cast("string"), "signature"))
-    groups = mine.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("path", "line", "name", "shown"))).alias("all"))
-    fits = fit_in_order(F.transform("all", lambda x: F.octet_length(x["shown"]).cast("bigint") + 1), cap)
-    listed = F.filter(F.zip_with("all", "fits", lambda x, f: F.when(f, x["shown"])), lambda s: s.isNotNull())
-    return groups.withColumn("fits", fits).select("repo", listed.alias("listed"), F.size(F.filter("fits", lambda f: ~f)).cast("bigint").alias("elided"))
+    mine = symbols.join(changed.select("repo", "path").distinct(), ["repo", "path"], "left_semi").join(called_by, ["repo", "path", "name"], "left")
+    who = F.array_join(F.transform("called_by", lambda c: F.concat(c["path"], F.coalesce(F.concat(F.lit("::"), c["caller"]), F.lit("")))), ", ")
+    signature = F.when(F.col("signature") == "", "").otherwise(F.concat(F.lit(" `"), _one_line(F.col("signature")), F.lit("`")))
+    entry = F.concat(F.lit("  - "), "kind", F.lit(" "), "name", F.lit(" (L"), F.col("line").cast("string"), F.lit(")"), F.when(F.col("exported"), " [pub]").otherwise(""), signature, F.lit("\n"))
+    shown = F.concat(entry, F.coalesce(F.concat(F.lit("    called by: "), who, F.lit("\n")), F.lit("")))
+    in_file = Window.partitionBy("repo", "path").orderBy("line", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")))
+    entries = mine.select("repo", "path", F.row_number().over(in_file).alias("nth"), shown.alias("shown"))
+    headers = mine.select("repo", "path").distinct().select("repo", "path", F.lit(0).alias("nth"), F.concat(F.lit("\n"), "path", F.lit(":\n")).alias("shown"))
+    rows = headers.unionByName(entries)
+    sized = rows.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("path", "nth", F.octet_length("shown").cast("bigint").alias("size")))).alias("all"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = (acc["used"] + x["size"] <= cap) & ((x["nth"] == 0) | acc["open"])
+        decided = F.transform(F.array(fits), lambda f: F.struct(
+            F.when(f, acc["used"] + x["size"]).otherwise(acc["used"]).alias("used"),
+            F.when(x["nth"] == 0, f).otherwise(acc["open"]).alias("open"),
+            (acc["elided"] + ((x["nth"] > 0) & ~f).cast("bigint")).alias("elided"),
+            F.when(f, F.concat(acc["kept"], F.array(F.struct(x["path"].alias("path"), x["nth"].alias("nth"))))).otherwise(acc["kept"]).alias("kept"),
+        ))
+        return decided[0]
+
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("used"), F.lit(False).alias("open"), zero.alias("elided"), F.array().cast("array<struct<path:string,nth:int>>").alias("kept"))
+    folded = sized.select("repo", F.aggregate("all", start, step).alias("f"))
+    kept = folded.select("repo", F.col("f.elided").alias("elided"), F.explode("f.kept").alias("k")).select("repo", "elided", "k.path", "k.nth")
+    whole = rows.join(kept, ["repo", "path", "nth"]).groupBy("repo", "elided").agg(F.sort_array(F.collect_list(F.struct("path", "nth", "shown"))).alias("parts"))
+    mark = F.when(F.col("elided") > 0, F.concat(F.lit("\n… [+"), F.col("elided").cast("string"), F.lit(f" more entries elided to stay under {cap} bytes]\n"))).otherwise("")
+    return whole.select("repo", F.concat(F.array_join(F.transform("parts", lambda x: x["shown"]), ""), mark).alias("block"), "elided")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DASH, basename, format_ns, format_pct, format_signed_pct
+from ..functions.text import DASH, basename, format_ns, format_p, format_pct, format_signed_pct
 from ..options import CompareOptions
 from .stats import mann_whitney, summarize_samples, welch_t
 
@@ -20,10 +20,13 @@ def dedupe_runs(runs: DataFrame, keys: list[str], position: str = "pos") -> Data
     return runs.withColumn("_nth", last).where("_nth = 1").drop("_nth")
 
 
-def pair_benches(base: DataFrame, head: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, base and head (structs of the other columns; null where a side lacks the bench)."""
-    packed = [d.select(*keys, F.struct(*[c for c in d.columns if c not in keys]).alias(n)) for d, n in ((base, "base"), (head, "head"))]
-    return packed[0].join(packed[1], keys, "full_outer")
+def pair_benches(sides: DataFrame, keys: list[str], side: str = "side") -> DataFrame:
+    """keys, base and head (structs of the other columns; null where a side lacks the bench) from rows of both sides.
+
+    They meet by grouping: each row is dealt once, and a side is one row for each of the keys.
+    """
+    fields = F.struct(*[c for c in sides.columns if c not in (*keys, side)])
+    return sides.groupBy(*keys).agg(*[F.first(F.when(F.col(side) == s, fields), ignorenulls=True).alias(s) for s in ("base", "head")])
 
 
 def _delta(field: str) -> Column:
@@ -58,17 +61,16 @@ def mark_out_of_scope(diffs: DataFrame, skipped: DataFrame, keys: list[str]) ->
     return marked.withColumn("verdict", F.when(gone, "out-of-scope").otherwise(F.col("verdict"))).drop("_name", "_skipped").select(diffs.columns)
 
 
-def compare_samples(samples: DataFrame, keys: list[str], opts: CompareOptions = CompareOptions(), skipped: DataFrame | None = None, scope: list[str] | None = None, welch: bool = False) -> DataFrame:
+def compare_samples(samples: DataFrame, keys: list[str], opts: CompareOptions = CompareOptions(), skipped: DataFrame | None = None, scope: list[str] | None = None, welch: bool = False, wide: bool = False) -> DataFrame:
     """One row for each bench: summaries of both sides, changes, p, verdict. samples: keys, side (base or head), file, ns.
 
     Summaries, ranks and the pairing are each one exchange on keys, whatever the number of pairs. With welch the
-    diagnostic p of Welch's test is added; no verdict reads it.
+    diagnostic p of Welch's test is added; no verdict reads it. wide: for benches too large for a task, see
+    with_running_sum.
     """
-    summary = summarize_samples(samples, [*keys, "side"], carry=("file",))
-    # Both sides are rows of one summary: they meet by grouping, so that the samples are read and dealt once.
-    fields = F.struct(*[c for c in summary.columns if c not in (*keys, "side")])
-    pairs = summary.groupBy(*keys).agg(*[F.first(F.when(F.col("side") == s, fields), ignorenulls=True).alias(s) for s in ("base", "head")])
-    tests = mann_whitney(samples, keys).withColumnRenamed("p", "p_value")
+    summary = summarize_samples(samples, [*keys, "side"], carry=("file",), wide=wide)
+    pairs = pair_benches(summary, keys)
+    tests = mann_whitney(samples, keys, wide=wide).withColumnRenamed("p", "p_value")
     out = with_deltas(pairs).join(tests, keys, "left")
     two = F.col("base").isNotNull() & F.col("head").isNotNull()
     out = out.withColumn("p_value", F.when(two, F.col("p_value")))
@@ -88,10 +90,6 @@ def failing_pairs(summary: DataFrame) -> DataFrame:
     return summary.where("regression > 0")
 
 
-def median_delta_sum(diffs: DataFrame, keys: list[str]) -> DataFrame:
-    return diffs.groupBy(*keys).agg(F.coalesce(F.sum("delta_pct"), F.lit(0.0)).alias("delta_sum"))
-
-
 def badge(verdict: Column, reason: Column) -> Column:
     """The label of a verdict in reports."""
     plain = {"regression": "🔴 Regression", "improvement": "🟢 Improvement", "new": "🆕 New", "removed": "🗑 Removed", "out-of-scope": "⏭ Skipped"}
@@ -100,7 +98,7 @@ def badge(verdict: Column, reason: Column) -> Column:
 
 
 def report_rows(diffs: DataFrame, keys: list[str]) -> DataFrame:
-    """The report's table: medians, changes, variation before and after, as text; a dash for what is missing."""
+    """The report's table: medians, changes, variation before and after, and p, as text; a dash for what is missing."""
     two = F.col("base").isNotNull() & F.col("head").isNotNull()
     b95, h95 = F.col("base.p95"), F.col("head.p95")
     return diffs.select(
@@ -110,6 +108,7 @@ def report_rows(diffs: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(format_signed_pct(F.col("delta_pct")), F.lit(DASH)).alias("delta"),
         F.when(two & (b95 > 0), format_signed_pct(F.try_divide(h95 - b95, b95))).otherwise(DASH).alias("p95_delta"),
         F.when(two, F.concat(format_pct(F.col("base.cv")), F.lit("→"), format_pct(F.col("head.cv")))).otherwise(DASH).alias("cv"),
+        F.coalesce(format_p(F.col("p_value")), F.lit(DASH)).alias("p"),
         badge(F.col("verdict"), F.col("neutral_reason")).alias("badge"),
     )
 

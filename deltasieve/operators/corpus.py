@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sanitise
+from ..functions.text import sanitise, strip
+from ..options import ScoreOptions
 
 # Kinds of signals with their authority in scores and their rank in merges.
 AUTHORITY = {"user-directive": 5.0, "confirmed": 2.0, "inferred-applied": 1.0, "refuted": 0.0, "inferred-ignored": 0.5}
@@ -48,9 +49,9 @@ def parse_directives(comments: DataFrame, sigil: str) -> DataFrame:
     A line opens with the sigil and a colon, or with @, the sigil and a blank or colon.
     """
     lines = comments.select("*", F.posexplode(F.split("body", "\n")).alias("at", "_line"))
-    rest = F.trim(F.regexp_extract("_line", rf"(?i)^\s*(?:{sigil}:|@{sigil}[ :])(.*)$", 1))
+    rest = strip(F.regexp_extract("_line", rf"(?is)^\s*(?:{sigil}:|@{sigil}[ :])(.*)$", 1))
     lines = lines.withColumn("_rest", rest)
-    text = F.trim(F.regexp_extract("_rest", r"(?i)^remember (.*)$", 1))
+    text = strip(F.regexp_extract("_rest", r"(?is)^remember (.*)$", 1))
     # A number after the words, with or without a hash.
     index = lambda words: F.regexp_extract("_rest", rf"(?i)^{words} on\s*#?\s*(\d+)", 1)
     good, bad = index("good catch"), index("false[- ]positive")
@@ -71,7 +72,7 @@ def clamp_guidance(text: Column) -> Column:
 
 def entry_id(glob: Column, category: Column, guidance: Column) -> Column:
     """The same id for the same scope and wording, whatever the spacing and case."""
-    words = F.trim(F.regexp_replace(F.lower(guidance), r"(?U)\s+", " "))
+    words = strip(F.regexp_replace(F.lower(guidance), r"(?U)\s+", " "))
     return F.concat(F.lit("e"), F.left(F.sha2(F.concat_ws("\x1f", F.coalesce(glob, F.lit("")), F.coalesce(category, F.lit("")), words), 256), F.lit(16)))
 
 
@@ -123,7 +124,7 @@ def merge_entries(corpus: DataFrame, new: DataFrame, idempotent: bool = False) -
     filled = lambda c, ok: F.coalesce(F.min_by(c, F.when(ok, order)), F.min_by(c, order)).alias(c)
     rank = F.struct(_of(RANK, F.col("strongest_kind")).alias("r"), (-F.col("_o")).alias("o"))
     return both.groupBy("repo", "id").agg(
-        filled("guidance", F.trim("guidance") != ""),
+        filled("guidance", strip(F.col("guidance")) != ""),
         first("file_glob"),
         first("category"),
         F.max_by("strongest_kind", rank).alias("strongest_kind"),
@@ -138,23 +139,23 @@ def merge_entries(corpus: DataFrame, new: DataFrame, idempotent: bool = False) -
     )
 
 
-def score_entries(entries: DataFrame, now: str, half_life: float = 60.0, per_confirmation: float = 1.0, per_refutation: float = 2.0) -> DataFrame:
+def score_entries(entries: DataFrame, now: str, opts: ScoreOptions = ScoreOptions()) -> DataFrame:
     """entries with score: authority and net signals, halved in each half-life since last_seen, never below 0.
 
     A time that can't be read counts as long ago, one to come as now.
     """
     seconds = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.try_to_timestamp("last_seen"))
-    decay = F.when(seconds.isNull(), 0.1).when(seconds <= 0, 1.0).otherwise(F.pow(F.lit(0.5), seconds / 86400.0 / half_life))
-    raw = authority(F.col("strongest_kind")) + F.col("confirmations") * per_confirmation - F.col("refutations") * per_refutation
+    decay = F.when(seconds.isNull(), opts.unparsed_decay).when(seconds <= 0, 1.0).otherwise(F.pow(F.lit(0.5), seconds / 86400.0 / opts.half_life_days))
+    raw = authority(F.col("strongest_kind")) + F.col("confirmations") * opts.per_confirmation - F.col("refutations") * opts.per_refutation
     return entries.withColumn("score", F.greatest(F.lit(0.0), raw * decay))
 
 
-def compact(entries: DataFrame, now: str, keep: int = 100, least: float = 0.1) -> tuple[DataFrame, DataFrame]:
+def compact(entries: DataFrame, now: str, opts: ScoreOptions = ScoreOptions()) -> tuple[DataFrame, DataFrame]:
     """(the best entries of each repo, rescored, with place; repo and evicted, the number that went)."""
-    scored = score_entries(entries, now)
+    scored = score_entries(entries, now, opts)
     order = Window.partitionBy("repo").orderBy(F.col("score").desc(), F.col("last_seen").desc(), "id")
-    ranked = scored.where(F.col("score") >= least).withColumn("place", F.row_number().over(order))
-    kept = ranked.where(F.col("place") <= keep)
+    ranked = scored.where(F.col("score") >= opts.least).withColumn("place", F.row_number().over(order))
+    kept = ranked.where(F.col("place") <= opts.keep)
     n = entries.groupBy("repo").agg(F.count(F.lit(1)).alias("_all")).join(kept.groupBy("repo").agg(F.count(F.lit(1)).alias("_kept")), "repo", "left")
     return kept, n.select("repo", (F.col("_all") - F.coalesce("_kept", F.lit(0))).alias("evicted"))
 
@@ -202,10 +203,23 @@ def guidance_lines(chosen: DataFrame) -> DataFrame:
     return chosen.select("repo", "place", line.alias("line"))
 
 
-def budget_prefix(lines: DataFrame, limit: int, header: int = 0) -> DataFrame:
-    """Lines in order of place up to the first that would overflow limit bytes, after a header of so many bytes."""
+# Fixed value: what opens the block of guidance.
+HEADER = "Project-specific guidance (distilled from prior reviewer feedback). Treat these as priors, not rules — they reflect what *this* project's humans have endorsed or refuted in past PRs:\n"
+OVERFLOW = "…\n"
+
+
+def budget_prefix(lines: DataFrame, limit: int = 1500, header: str = HEADER) -> DataFrame:
+    """The block of guidance of each repo, as lines: a header (place 0), then lines in order of place.
+
+    The first line that would bring all to over limit bytes is replaced by a mark, and none follows it.
+    """
     upto = Window.partitionBy("repo").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("_sum", F.sum(F.octet_length("line").cast("bigint")).over(upto)).where(F.col("_sum") + header <= limit).drop("_sum")
+    used = len(header.encode()) + F.sum(F.octet_length("line").cast("bigint")).over(upto)
+    marked = lines.select("repo", "place", "line", (used > limit).alias("_over"))
+    first_over = F.sum(F.col("_over").cast("bigint")).over(upto)
+    kept = marked.withColumn("_nth", first_over).where("_nth <= 1").select("repo", "place", F.when(F.col("_over"), OVERFLOW).otherwise(F.col("line")).alias("line"))
+    heads = lines.select("repo").distinct().select("repo", F.lit(0).alias("place"), F.lit(header).alias("line"))
+    return heads.unionByName(kept)
 
 
 def corpus_listing(entries: DataFrame, width: int = 80) -> DataFrame:

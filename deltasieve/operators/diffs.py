@@ -101,9 +101,10 @@ def attach_context(diff_files: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def related_files(files: DataFrame, diff_files: DataFrame) -> DataFrame:
-    """repo, pr, path, content: files of the snapshot that a review's diff does not touch."""
+    """repo, pr, path, size (bytes): files of the snapshot that a review's diff does not touch; contents stay where they are."""
     reviews = diff_files.select("repo", "pr").distinct()
-    return files.select("repo", "path", "content").join(reviews, "repo").join(diff_files.select("repo", "pr", "path"), ["repo", "pr", "path"], "left_anti")
+    sized = files.select("repo", "path", F.octet_length("content").cast("bigint").alias("size"))
+    return sized.join(reviews, "repo").join(diff_files.select("repo", "pr", "path"), ["repo", "pr", "path"], "left_anti")
 
 
 def pack_chunks(diff_files: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
@@ -135,13 +136,18 @@ def pack_chunks(diff_files: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> D
     return out.withColumn("context", F.when(F.col("keep"), F.col("context"))).drop("keep")
 
 
-def pack_related(related: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
-    """repo, pr, path, content of related files, cut to their limit, that fit in a chunk's budget in order of path."""
-    cut = related.withColumn("content", truncate_middle(F.col("content"), policy.related_bytes))
-    groups = cut.groupBy("repo", "pr").agg(F.sort_array(F.collect_list(F.struct("path", F.octet_length("content").cast("bigint").alias("size")))).alias("all"))
+def pack_related(related: DataFrame, files: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
+    """repo, pr, path, content of related files, cut to their limit, that fit in a chunk's budget in order of path.
+
+    Reviews are matched with paths and sizes; contents are fetched for what was packed.
+    """
+    cut = files.select("repo", "path", truncate_middle(F.col("content"), policy.related_bytes).alias("content"))
+    sizes = cut.select("repo", "path", F.octet_length("content").cast("bigint").alias("size"))
+    sized = related.select("repo", "pr", "path").join(sizes, ["repo", "path"]).where(F.col("size") <= policy.chunk_related_bytes)
+    groups = sized.groupBy("repo", "pr").agg(F.sort_array(F.collect_list(F.struct("path", "size"))).alias("all"))
     fits = groups.withColumn("fits", fit_in_order(F.transform("all", lambda x: x["size"]), policy.chunk_related_bytes))
     kept = fits.select("repo", "pr", F.explode(F.arrays_zip("all", "fits")).alias("x")).where("x.fits").select("repo", "pr", F.col("x.all.path").alias("path"))
-    return cut.join(kept, ["repo", "pr", "path"], "left_semi")
+    return kept.join(cut, ["repo", "path"]).select("repo", "pr", "path", "content")
 
 
 def chunk_inventory(chunks: DataFrame) -> DataFrame:

@@ -55,7 +55,11 @@ def assign_matches(candidates: DataFrame) -> DataFrame:
 
 
 def score_cases(cases: DataFrame, expected: DataFrame, forbidden: DataFrame, judged: DataFrame, floor: float = 0.5) -> DataFrame:
-    """One row for each run and case: labels required, caught and extra, severity distance, Brier sum, false positives, cap."""
+    """One row for each run and case: labels required, caught and extra, severity distance, Brier sum, false positives, cap.
+
+    critical_shipped are the case's critical findings, critical_right those that match a critical label. cases may have
+    judge_error, duration_ms, prompt_tokens and completion_tokens, which go along.
+    """
     shipped = judged.where((F.col("verdict") != "drop") & (F.col("confidence") >= floor))
     pairs = assign_matches(match_candidates(expected, shipped))
     found = pairs.join(shipped.select(*KEYS, "seq", F.col("sev_rank").alias("_model")), [*KEYS, "seq"])
@@ -71,9 +75,10 @@ def score_cases(cases: DataFrame, expected: DataFrame, forbidden: DataFrame, jud
         *[F.count_if(must & F.col("_hit") & (F.col("sev_rank") == i)).alias(f"{s}_caught") for i, s in enumerate(SEVERITIES)],
     )
     bad = shipped.select(*KEYS, "seq", "file").join(forbidden.select(*KEYS, "path"), KEYS).where(paths_match(F.col("path"), F.col("file"))).select(*KEYS, "seq").distinct()
-    marked = shipped.join(pairs.select(*KEYS, "seq", F.lit(True).alias("_hit")), [*KEYS, "seq"], "left").join(bad.withColumn("_bad", F.lit(True)), [*KEYS, "seq"], "left").na.fill(False, ["_hit", "_bad"])
+    hits = pairs.join(expected.select(*KEYS, "ord", (F.col("sev_rank") == 3).alias("_critical")), [*KEYS, "ord"]).select(*KEYS, "seq", "_critical", F.lit(True).alias("_hit"))
+    marked = shipped.join(hits, [*KEYS, "seq"], "left").join(bad.withColumn("_bad", F.lit(True)), [*KEYS, "seq"], "left").na.fill(False, ["_hit", "_bad", "_critical"])
     miss = F.col("confidence") - F.col("_hit").cast("double")
-    per_finding = marked.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("findings_total"), F.count_if(F.col("_bad")).alias("findings_forbidden"), F.count_if(~F.col("_bad") & ~F.col("_hit")).alias("findings_unmatched"), F.sum(miss * miss).alias("brier_sum"))
+    per_finding = marked.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("findings_total"), F.count_if(F.col("_bad")).alias("findings_forbidden"), F.count_if(~F.col("_bad") & ~F.col("_hit")).alias("findings_unmatched"), F.sum(miss * miss).alias("brier_sum"), F.count_if(F.col("sev_rank") == 3).alias("critical_shipped"), F.count_if((F.col("sev_rank") == 3) & F.col("_critical")).alias("critical_right"))
     out = cases.join(per_label, KEYS, "left").join(per_finding, KEYS, "left")
     out = out.na.fill(0, [c for c in out.columns if c not in [*KEYS, "max_findings"]])
     return out.withColumn("over_cap", F.coalesce(F.col("findings_total") > F.col("max_findings"), F.lit(False)))
@@ -87,7 +92,14 @@ def recall_at_or_above(results: DataFrame, severity: str) -> Column:
 
 
 def score_corpus(results: DataFrame, by: list[str] = ["run"]) -> DataFrame:  # noqa: B006
-    """The summary of each run's cases. critical_precision is always one here; see true_precision for the measured one."""
+    """The summary of each run's cases.
+
+    critical_precision is one, as it is where only what was caught is counted; measured_critical_precision is the share of
+    critical findings shipped that match a critical label (one if none was shipped). Judge errors, mean latency (whole
+    milliseconds) and tokens are 0 where the results don't have them.
+    """
+    have = lambda c: F.col(c) if c in results.columns else F.lit(None)
+    total = lambda c: F.coalesce(F.sum(have(c).cast("bigint")), F.lit(0))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.sum(a), F.sum(b)), F.lit(0.0))
     out = results.groupBy(*by).agg(
         F.count(F.lit(1)).alias("cases_total"),
@@ -98,6 +110,11 @@ def score_corpus(results: DataFrame, by: list[str] = ["run"]) -> DataFrame:  # n
         ratio("brier_sum", "findings_total").alias("judge_brier_score"),
         (F.sum(F.col("findings_unmatched") + F.col("findings_forbidden")) / F.count(F.lit(1))).alias("avg_false_positives_per_case"),
         F.sum("findings_forbidden").alias("forbidden_path_findings"),
+        F.when(F.sum("critical_shipped") == 0, 1.0).otherwise(F.try_divide(F.sum("critical_right"), F.sum("critical_shipped"))).alias("measured_critical_precision"),
+        F.count(have("judge_error").cast("string")).alias("cases_with_judge_error"),
+        F.floor(total("duration_ms") / F.count(F.lit(1))).alias("avg_latency_ms"),
+        total("prompt_tokens").alias("total_prompt_tokens"),
+        total("completion_tokens").alias("total_completion_tokens"),
     )
     recall = F.col("recall_critical")
     return out.withColumns({"critical_precision": F.lit(1.0), "critical_recall": recall, "critical_f1": 2 * recall / (1 + recall)})

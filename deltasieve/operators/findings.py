@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..options import MergeOptions
 
 SEVERITY_RANK = {"nit": 0, "minor": 1, "major": 2, "critical": 3}
@@ -17,11 +19,10 @@ SEVERITY_WORDS = {"critical": "critical", "blocker": "critical", "severe": "crit
 CATEGORY_WORDS = {"correctness": "correctness", "logic": "correctness", "bug": "correctness", "security": "security", "sec": "security", "performance": "performance", "perf": "performance", "speed": "performance", "maintainability": "maintainability", "style": "maintainability", "quality": "maintainability", "readability": "maintainability"}
 VERDICT_WORDS = {"drop": "drop", "reject": "drop", "discard": "drop", "downgrade": "downgrade", "lower": "downgrade", "soften": "downgrade"}
 UNJUDGED = 0.6
-_RAW = "findings array<struct<file:string,line:string,severity:string,category:string,title:string,rationale:string,suggestion:string>>"
 
 
 def _word(table: dict, key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.lower(F.trim(key)))
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.lower(strip(key)))
 
 
 def norm_severity(c: Column) -> Column:
@@ -38,7 +39,7 @@ def sev_rank(c: Column) -> Column:
 
 def json_body(raw: Column) -> Column:
     """Text from its first brace on, without a code fence around it; null if there is no brace."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```(json)?\s*", ""), r"\s*```$", "")
+    bare = F.regexp_replace(F.regexp_replace(strip(raw), r"^```(json)?\s*", ""), r"\s*```$", "")
     at = F.instr(bare, "{")
     return F.when(at > 0, F.substring(bare, at, F.lit(1 << 30)))
 
@@ -76,9 +77,9 @@ def parse_findings(responses: DataFrame) -> DataFrame:
 
     rows = rows.where(F.forall("items", sound)).select("repo", "pr", "chunk_idx", "persona", F.posexplode("items").alias("at", "x"))
     get = lambda f, t="string": F.try_variant_get("x", f"$.{f}", t)
-    out = rows.select("repo", "pr", "chunk_idx", "persona", "at", F.coalesce(get("file"), F.lit("")).alias("file"), get("line", "bigint").alias("line"), F.coalesce(_word(SEVERITY_WORDS, get("severity")), F.lit("minor")).alias("severity"), norm_category(get("category"), F.col("persona")).alias("category"), F.trim(get("title")).alias("title"), F.trim(F.coalesce(get("rationale"), F.lit(""))).alias("rationale"), get("suggestion").alias("suggestion"), F.col("persona").alias("raised_by"))
+    out = rows.select("repo", "pr", "chunk_idx", "persona", "at", F.coalesce(get("file"), F.lit("")).alias("file"), get("line", "bigint").alias("line"), F.coalesce(_word(SEVERITY_WORDS, get("severity")), F.lit("minor")).alias("severity"), norm_category(get("category"), F.col("persona")).alias("category"), strip(get("title")).alias("title"), strip(F.coalesce(get("rationale"), F.lit(""))).alias("rationale"), get("suggestion").alias("suggestion"), F.col("persona").alias("raised_by"))
     out = out.where("title IS NOT NULL AND title <> ''")
-    return out.withColumns({"suggestion": F.when(F.trim("suggestion") != "", F.col("suggestion")), "sev_rank": sev_rank(F.col("severity"))})
+    return out.withColumns({"suggestion": F.when(strip(F.col("suggestion")) != "", F.col("suggestion")), "sev_rank": sev_rank(F.col("severity"))})
 
 
 def parse_verdicts(responses: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -129,32 +130,42 @@ def near_duplicate_pairs(findings: DataFrame, opts: MergeOptions = MergeOptions(
 _TOKEN = re.compile(r"[^\W_]+")
 
 
+def _joined_names(names: str | None, name: str | None) -> str | None:
+    if name is None or names is None:
+        return names if name is None else name
+    return names if name in names.split("+") else f"{names}+{name}"
+
+
+#: How a survivor's fields take in those of a row it absorbs; the fields not named stay as they are.
+_TAKEN = {
+    "severity": lambda old, new: new["severity"] if new["sev_rank"] > old["sev_rank"] else old["severity"],
+    "sev_rank": lambda old, new: max(old["sev_rank"], new["sev_rank"]),
+    "raised_by": lambda old, new: _joined_names(old["raised_by"], new["raised_by"]),
+    "rationale": lambda old, new: max(old["rationale"], new["rationale"], key=lambda t: len((t or "").encode())),
+    "suggestion": lambda old, new: new["suggestion"] if old["suggestion"] is None else old["suggestion"],
+    "merged": lambda old, new: old["merged"] + new["merged"],
+}
+
+
+def _alike(a: tuple[str, set], b: tuple[str, set], least: float) -> bool:
+    both = len(a[1] | b[1])
+    return a[0] == b[0] or not both or len(a[1] & b[1]) / both >= least
+
+
 def _absorb(rows: list[dict], opts: MergeOptions) -> list[dict]:
     """The greedy merge of rows in scan order: each goes to the nearest survivor before it that is alike, or survives."""
     kept: list[dict] = []
+    titles: list[tuple[str, set]] = []
     for row in rows:
-        row["_t"] = set(_TOKEN.findall(row["title"]))
-        alone = True
-        for other in reversed(kept):
-            if other["line"] is not None and row["line"] is not None and abs(row["line"] - other["line"]) > opts.window:
-                break
-            union = row["_t"] | other["_t"]
-            if row["title"] == other["title"] or not union or len(row["_t"] & other["_t"]) / len(union) >= opts.similarity:
-                if row["sev_rank"] > other["sev_rank"]:
-                    other["sev_rank"], other["severity"] = row["sev_rank"], row["severity"]
-                if row["raised_by"] is not None:
-                    if other["raised_by"] is None:
-                        other["raised_by"] = row["raised_by"]
-                    elif row["raised_by"] not in other["raised_by"].split("+"):
-                        other["raised_by"] += "+" + row["raised_by"]
-                if len((row["rationale"] or "").encode()) > len((other["rationale"] or "").encode()):
-                    other["rationale"] = row["rationale"]
-                other["suggestion"] = other["suggestion"] if other["suggestion"] is not None else row["suggestion"]
-                other["merged"] += row["merged"]
-                alone = False
-                break
-        if alone:
+        title = (row["title"], set(_TOKEN.findall(row["title"])))
+        near = (i for i in reversed(range(len(kept))))
+        reach = itertools.takewhile(lambda i, row=row: None in (row["line"], kept[i]["line"]) or abs(row["line"] - kept[i]["line"]) <= opts.window, near)
+        host = next((i for i in reach if _alike(titles[i], title, opts.similarity)), None)
+        if host is None:
             kept.append(row)
+            titles.append(title)
+        else:
+            kept[host] |= {field: take(kept[host], row) for field, take in _TAKEN.items()}
     return kept
 
 
@@ -235,18 +246,21 @@ def category_counts(shipped: DataFrame) -> DataFrame:
     return shipped.groupBy("repo", "pr", "category").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY_RANK])
 
 
-def apply_curation(judged: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Verdicts after a person's decisions: repo, pr, index (place in the display, from 1), action, in order of at.
+def apply_curation(judged: DataFrame, decisions: DataFrame, floor: float = 0.5) -> DataFrame:
+    """Verdicts after a person's decisions: repo, pr, index (from 1, in the order of shippable()), action, in order of at.
 
-    Actions are keep or drop of one index, and keep-rest or drop-rest, which hold for all places from theirs on that
-    have no decision of their own.
+    Only what would be shipped is shown and numbered. Actions are keep or drop of one index, and keep-rest or drop-rest,
+    which hold for all places from theirs on that have no decision of their own. A dropped finding's verdict is drop; one
+    that is kept keeps its verdict, and so does all that wasn't shown.
     """
-    shown = Window.partitionBy("repo", "pr").orderBy(F.col("sev_rank").desc(), "file", F.coalesce("line", F.lit(0)), "title", "seq")
-    rows = judged.withColumn("index", F.row_number().over(shown))
+    ships = (F.col("verdict") != "drop") & (F.col("confidence") >= floor)
+    marked = judged.withColumn("_shown", F.coalesce(ships, F.lit(False)))
+    order = Window.partitionBy("repo", "pr", "_shown").orderBy(F.col("sev_rank").desc(), "category", "title", "seq")
+    rows = marked.withColumn("_index", F.row_number().over(order).cast("bigint"))
     single = F.when(F.col("action").isin("keep", "drop"), F.col("action"))
     rest = F.when(F.col("action").endswith("-rest"), F.substring_index("action", "-", 1))
-    of = decisions.groupBy("repo", "pr", "index").agg(F.max_by(single, F.when(single.isNotNull(), F.col("at"))).alias("one"), F.max_by(rest, F.when(rest.isNotNull(), F.col("at"))).alias("rest"))
-    both = rows.join(of, ["repo", "pr", "index"], "left")
-    on = Window.partitionBy("repo", "pr").orderBy("index").rowsBetween(Window.unboundedPreceding, 0)
-    decided = F.coalesce("one", F.last("rest", ignorenulls=True).over(on))
-    return both.withColumn("verdict", F.coalesce(decided, F.col("verdict"))).drop("one", "rest", "index")
+    of = decisions.groupBy("repo", "pr", F.col("index").cast("bigint").alias("_index")).agg(F.max_by(single, F.when(single.isNotNull(), F.col("at"))).alias("_one"), F.max_by(rest, F.when(rest.isNotNull(), F.col("at"))).alias("_rest"))
+    both = rows.join(of.withColumn("_shown", F.lit(True)), ["repo", "pr", "_shown", "_index"], "left")
+    on = Window.partitionBy("repo", "pr", "_shown").orderBy("_index").rowsBetween(Window.unboundedPreceding, 0)
+    decided = F.coalesce("_one", F.last("_rest", ignorenulls=True).over(on))
+    return both.withColumn("verdict", F.when(F.col("_shown") & (decided == "drop"), "drop").otherwise(F.col("verdict"))).select(judged.columns)

@@ -8,14 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import glob_to_regex, normalize_path
+from ..functions.text import glob_to_regex, normalize_path, strip
 from ..sources.shared import settled
 
 # Globs of benchmark files and source extensions of each language, folders that are never entered.
 BENCH_GLOBS = {"ts": ("**/*.bench.ts", "**/*.bench.js"), "go": ("**/*_bench_test.go",), "rust": ("**/benches/**/*.rs",)}
 EXTENSIONS = {"ts": (".ts", ".tsx", ".js", ".cjs", ".mjs"), "go": (".go",), "rust": (".rs",)}
 INDEX_NAMES = {"ts": "index", "rust": "mod"}
-EXCLUDED_DIRS = ("node_modules", "target", "vendor", "dist", "build", ".git")
+EXCLUDED_DIRS = ("node_modules", "dist", "build", ".git", "target", "vendor")
 # Forms of an import in each language.
 TS_IMPORTS = (r"""\bfrom\s+['"]([^'"]+)['"]""", r"""\bimport\s+['"]([^'"]+)['"]""", r"""\b(?:import|require)\s*\(\s*['"]([^'"]+)['"]\s*\)""")
 GO_IMPORT = r"""(?m)^\s*import\s+(?:[A-Za-z_]\w*\s+)?"([^"]+)\""""
@@ -98,21 +98,24 @@ def import_edges(files: DataFrame, extractor: Callable[[DataFrame], DataFrame] =
     return resolve_imports(relative_only(extractor(files)), files)
 
 
-def _closure(edges: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
+def _closure(edges: DataFrame, start: DataFrame, rounds: int, compact: int = 8) -> DataFrame:
     """All of start's rows (.., node) and those reached over edges (src, dst, and the other columns of start that edges has).
 
     A frontier at a time: new nodes are those joined to the last ones and not seen before. Each frontier is written to
-    shared files. Raises if nodes are still found after so many rounds, rather than return a part.
+    shared files; after some rounds what was seen is written anew as one table, so that few tables are read in a
+    round, however deep the graph. Raises if nodes are still found after so many rounds, rather than return a part.
     """
     keys = start.columns
     on = [c for c in keys if c != "node" and c in edges.columns]
     seen = frontier = settled(start.distinct(), "frontier")
-    for _ in range(rounds):
+    for turn in range(1, rounds + 1):
         step = frontier.join(edges.withColumnRenamed("src", "node"), [*on, "node"]).drop("node").withColumnRenamed("dst", "node").select(keys)
         frontier = settled(step.distinct().join(seen, keys, "left_anti"), "frontier")
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+        if turn % compact == 0:
+            seen = settled(seen.repartition(*keys), "seen")
     raise RuntimeError(f"the graph is deeper than {rounds} links")
 
 
@@ -139,6 +142,6 @@ def scope_files(discovered: DataFrame, affected: DataFrame, changed: DataFrame)
 
 def changed_files(lines: DataFrame, extras: list[str] = ()) -> DataFrame:
     """path: the distinct trimmed lines of texts (column value) that aren't blank, and the extras."""
-    listed = lines.select(F.explode(F.split("value", "\n")).alias("path")).select(F.trim("path").alias("path"))
+    listed = lines.select(F.explode(F.split("value", "\n")).alias("path")).select(strip(F.col("path")).alias("path"))
     more = lines.sparkSession.createDataFrame([(e,) for e in extras], "path string")
     return listed.unionByName(more).where("path <> ''").distinct()

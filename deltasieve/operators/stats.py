@@ -98,19 +98,23 @@ def mad(samples: DataFrame, keys: list[str], c: str = "ns") -> DataFrame:
     return samples.select(*keys, c).join(middle, keys).groupBy(*keys).agg(_or_zero(F.median(F.abs(F.col(c) - F.col("_median")))).alias("mad"))
 
 
-def summarize_samples(samples: DataFrame, keys: list[str], trim: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
+def summarize_samples(samples: DataFrame, keys: list[str], trim: float = 0.05, carry: tuple[str, ...] = (), wide: bool = False) -> DataFrame:
     """keys, n, elapsed and the twelve summary numbers of each group, from one exchange of the samples on keys.
 
     carry: other columns, of which each group keeps the greatest value.
 
     Moments and percentiles are one aggregate; the trimmed mean and the median distance need the group's order and
-    median first, which windows over the same partitioning give.
+    median first, which windows over the same partitioning give. With wide no group is ordered in one task: see
+    _summarize_wide.
     """
+    if wide:
+        return _summarize_wide(samples, keys, trim, carry)
     group, ordered = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("ns")
     rows = samples.select(*keys, *carry, "ns").withColumns({"_at": F.row_number().over(ordered), "_n": F.count(F.lit(1)).over(group), "_median": F.median("ns").over(group)})
     cut = F.floor(F.col("_n") * trim)
     inside = ((F.col("_at") > cut) & (F.col("_at") <= F.col("_n") - cut)) | (2 * cut >= F.col("_n"))
-    return rows.groupBy(*keys).agg(
+    points = F.percentile("ns", F.array(*map(F.lit, _POINTS)))
+    out = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("ns").alias("elapsed_ns"),
         mean_ns().alias("mean"),
@@ -119,14 +123,41 @@ def summarize_samples(samples: DataFrame, keys: list[str], trim: float = 0.05, c
         stddev_ns().alias("stddev"),
         cv().alias("cv"),
         _or_zero(F.median(F.abs(F.col("ns") - F.col("_median")))).alias("mad"),
-        iqr().alias("iqr"),
         F.min("ns").alias("min"),
         F.max("ns").alias("max"),
-        F.first("_median").alias("p50"),
-        percentile_ns(0.95).alias("p95"),
-        percentile_ns(0.99).alias("p99"),
+        points.alias("_points"),
         *[F.max(c).alias(c) for c in carry],
     )
+    return _with_points(out.withColumns({f"_p{i}": F.col("_points")[i] for i in range(len(_POINTS))}), keys, carry)
+
+
+#: Percentiles of a summary beside the median.
+_POINTS = (0.25, 0.75, 0.95, 0.99)
+
+
+def _with_points(rows: DataFrame, keys: list[str], carry: tuple[str, ...]) -> DataFrame:
+    zero = [_or_zero(F.col(f"_p{i}")) for i in range(len(_POINTS))]
+    found = {"iqr": zero[1] - zero[0], "p50": F.col("median"), "p95": zero[2], "p99": zero[3]}
+    return rows.withColumns(found).select(*keys, "n", "elapsed_ns", *DERIVED, *carry)
+
+
+def _summarize_wide(samples: DataFrame, keys: list[str], trim: float, carry: tuple[str, ...]) -> DataFrame:
+    """summarize_samples for groups of any size: over counts of distinct values, ordered by ranges, not by group."""
+    counts = samples.groupBy(*keys, "ns").agg(F.count(F.lit(1)).alias("_k"))
+    plain = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("ns").alias("elapsed_ns"), mean_ns().alias("mean"), stddev_ns().alias("stddev"), cv().alias("cv"), F.min("ns").alias("min"), F.max("ns").alias("max"), *[F.max(c).alias(c) for c in carry])
+    at = percentiles_by_rank(samples, keys, [0.5, *_POINTS], wide=True)
+    of = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
+    points = at.groupBy(*keys).agg(of(0.5).alias("median"), *[of(p).alias(f"_p{i}") for i, p in enumerate(_POINTS)])
+    both = plain.join(points, keys)
+    ranked = with_running_sum(counts, keys, "ns", "_k", "_to", True).join(both.select(*keys, "n", "median"), keys)
+    cut = F.floor(F.col("n") * trim)
+    # How many of a value's samples lie within the places that are kept.
+    inside = F.greatest(F.lit(0), F.least(F.col("_to"), F.col("n") - cut) - F.greatest(F.col("_to") - F.col("_k"), cut))
+    weight = F.when(2 * cut >= F.col("n"), F.col("_k")).otherwise(inside)
+    trimmed = ranked.groupBy(*keys).agg(_or_zero(F.try_divide(F.sum(weight * F.col("ns")), F.sum(weight))).alias("trimmed_mean"))
+    apart = samples.join(both.select(*keys, "median"), keys).select(*keys, F.abs(F.col("ns") - F.col("median")).alias("ns"))
+    mads = percentiles_by_rank(apart, keys, [0.5], wide=True).select(*keys, F.col("value").alias("mad"))
+    return _with_points(both.join(trimmed, keys).join(mads, keys), keys, carry)
 
 
 DERIVED = ["mean", "median", "trimmed_mean", "stddev", "cv", "mad", "iqr", "min", "max", "p50", "p95", "p99"]

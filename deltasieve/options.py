@@ -34,5 +34,5 @@ class ScoreOptions:
     per_refutation: float = 2.0
     half_life_days: float = 60.0
     unparsed_decay: float = 0.1
-    keep: int = 200
-    least: float = 0.5
+    keep: int = 100
+    least: float = 0.1

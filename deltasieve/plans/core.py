@@ -72,6 +72,12 @@ def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(d.select("bench", F.col("base.median").alias("base_median"), F.col("head.median").alias("head_median"), "delta_pct", "mean_delta_pct", "max_cv", "p_value", "verdict", "neutral_reason"), 6)
 
 
+def compare_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison for benches of any size: over distinct values, ordered by ranges."""
+    d = compare.compare_samples(fx.inventory(spark, sf_dir), ["bench"], wide=True)
+    return _rounded(d.select("bench", F.col("base.trimmed_mean").alias("trimmed_mean"), F.col("base.mad").alias("mad"), F.col("head.iqr").alias("iqr"), F.col("head.p99").alias("p99"), "delta_pct", "p_value", "verdict"), 6)
+
+
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(compare.compare_summary(diffs(spark, sf_dir).withColumn("service", F.lit("svc")), ["service"]), 6)
 
@@ -82,7 +88,7 @@ def failing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.report_rows(diffs(spark, sf_dir), ["bench"]).select("bench", "badge", F.col("delta") == "—", F.col("base_median") == "—").toDF("bench", "badge", "no_delta", "no_base")
+    return compare.report_rows(diffs(spark, sf_dir), ["bench"])
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +129,7 @@ QUERIES = {
     "per_op_ns": per_op,
     "normalize_runs": normalized,
     "compare_runs": compare_runs,
+    "compare_wide": compare_wide,
     "compare_summary": summary,
     "failing_pairs": failing,
     "report_rows": rows,
@@ -135,10 +142,17 @@ QUERIES = {
 
 _S = f"WITH {fx.SAMPLES_SQL}"
 _D = f"{_S}, {fx.INVENTORY_SQL}, {fx.SUMMARY_SQL.format(src='v')}, {fx.MANN_WHITNEY_SQL.format(src='v')}, {fx.COMPARE_SQL.format(scoped='true')}"
+_DW = f"{_S}, {fx.INVENTORY_SQL}, {fx.SUMMARY_SQL.format(src='v')}, {fx.MANN_WHITNEY_SQL.format(src='v')}, {fx.COMPARE_SQL.format(scoped='false')}"
 _r = lambda cols, n: ", ".join(f"round({c}, {n}) AS {c}" for c in cols)
 _COUNTS = ", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v.replace('-', '_')}" for v in compare.VERDICTS)
 _BADGE = "CASE verdict WHEN 'regression' THEN '🔴 Regression' WHEN 'improvement' THEN '🟢 Improvement' WHEN 'new' THEN '🆕 New' WHEN 'removed' THEN '🗑 Removed' WHEN 'out-of-scope' THEN '⏭ Skipped' ELSE CASE WHEN neutral_reason = 'too-noisy' THEN '🟡 Noisy' ELSE '⚪ Neutral' END END"
 
+# Half a last digit goes up: through decimals, as the digits of a double are shown.
+_FIX = lambda v, n: f"round(({v})::DECIMAL(30, 12), {n})::DECIMAL(30, {n})::VARCHAR" if n else f"round(({v})::DECIMAL(30, 12), 0)::BIGINT::VARCHAR"
+_NS = lambda v: f"CASE WHEN {v} IS NULL THEN '—' WHEN {v} < 1e3 THEN {_FIX(v, 0)} || 'ns' WHEN {v} < 1e6 THEN {_FIX(v + ' / 1e3', 2)} || 'µs' WHEN {v} < 1e9 THEN {_FIX(v + ' / 1e6', 2)} || 'ms' ELSE {_FIX(v + ' / 1e9', 2)} || 's' END"
+_PCT = lambda v: f"CASE WHEN abs({v}) < 0.001 THEN {_FIX(v + ' * 100', 2)} WHEN abs({v}) < 0.01 THEN {_FIX(v + ' * 100', 1)} ELSE {_FIX(v + ' * 100', 0)} END || '%'"
+_SIGNED = lambda v: f"CASE WHEN {v} > 0 THEN '+' WHEN {v} < 0 AND round(({v} * 100)::DECIMAL(30, 12), 1) = 0 THEN '-' ELSE '' END || {_FIX(v + ' * 100', 1)} || '%'"
+
 ORACLE_SQL = {
     "summarize_samples": f"{_S}, {fx.SUMMARY_SQL.format(src='s')} SELECT bench, side, n, {_r([c for c in NUMBERS if c != 'p50'], 5)}, round(median, 5) AS p50 FROM q",
     "trimmed_mean": f"{_S}, r AS (SELECT *, row_number() OVER (PARTITION BY bench, side ORDER BY ns) AS rn, count(*) OVER (PARTITION BY bench, side) AS n FROM s) SELECT bench, side, round(avg(ns) FILTER (WHERE (rn > floor(n * 0.1) AND rn <= n - floor(n * 0.1)) OR 2 * floor(n * 0.1) >= n), 5) AS trimmed_mean FROM r GROUP BY bench, side",
@@ -152,9 +166,10 @@ ORACLE_SQL = {
     + ", ".join(f"round(CASE WHEN bad THEN {'median' if c == 'p50' else c} ELSE 1.0 END, 5) AS {c}" for c in stats.DERIVED)
     + ", CASE WHEN bad THEN n ELSE 0 END AS iterations, CASE WHEN k % 2 = 0 THEN 1 ELSE k % 2 END AS batch_size, round(CASE WHEN k % 3 = 0 THEN 5.0 ELSE elapsed_ns END, 5) AS elapsed_ns FROM z",
     "compare_runs": f"{_D} SELECT bench, round(b_median, 6) AS base_median, round(h_median, 6) AS head_median, round(delta, 6) AS delta_pct, round(mean_delta, 6) AS mean_delta_pct, round(max_cv, 6) AS max_cv, round(p_value, 6) AS p_value, verdict, neutral_reason FROM d",
+    "compare_wide": f"{_DW} SELECT d.bench, round(b.trimmed_mean, 6) AS trimmed_mean, round(b.mad, 6) AS mad, round(h.iqr, 6) AS iqr, round(h.p99, 6) AS p99, round(delta, 6) AS delta_pct, round(p_value, 6) AS p_value, verdict FROM d LEFT JOIN q b ON b.bench = d.bench AND b.side = 'base' LEFT JOIN q h ON h.bench = d.bench AND h.side = 'head'",
     "compare_summary": f"{_D} SELECT 'svc' AS service, {_COUNTS}, round(coalesce(sum(delta), 0), 6) AS delta_sum, count(*) FILTER (WHERE verdict = 'regression') > 0 AS failed FROM d",
     "failing_pairs": f"{_D} SELECT file, {_COUNTS}, round(coalesce(sum(delta), 0), 6) AS delta_sum, true AS failed FROM d GROUP BY file HAVING count(*) FILTER (WHERE verdict = 'regression') > 0",
-    "report_rows": f"{_D} SELECT bench, {_BADGE} AS badge, delta IS NULL AS no_delta, NOT has_b AS no_base FROM d",
+    "report_rows": f"{_D} SELECT bench, {_NS('b_median')} AS base_median, {_NS('h_median')} AS head_median, coalesce({_SIGNED('delta')}, '—') AS delta, CASE WHEN has_b AND has_h AND b_p95 > 0 THEN {_SIGNED('((h_p95 - b_p95) / b_p95)')} ELSE '—' END AS p95_delta, CASE WHEN has_b AND has_h THEN {_PCT('b_cv')} || '→' || {_PCT('h_cv')} ELSE '—' END AS cv, coalesce(CASE WHEN p_value = 0 THEN '0.00e0' ELSE regexp_replace(printf('%.2e', p_value), 'e([-]?)\\+?0*(\\d)', 'e\\1\\2') END, '—') AS p, {_BADGE} AS badge FROM d",
     "report_sections": f"{_D}, g AS (SELECT file, count(*) FILTER (WHERE verdict IN ('regression', 'improvement')) AS significant, count(*) FILTER (WHERE verdict = 'new') AS \"new\", count(*) FILTER (WHERE verdict = 'removed') AS removed, count(*) FILTER (WHERE verdict = 'neutral') AS neutral, count(*) FILTER (WHERE verdict = 'out-of-scope') AS out_of_scope, count(*) FILTER (WHERE neutral_reason = 'too-noisy') AS noisy, count(*) FILTER (WHERE verdict = 'regression') AS r, count(*) FILTER (WHERE verdict = 'improvement') AS i FROM d GROUP BY file) SELECT * EXCLUDE (r, i), 'Performance · ' || CASE WHEN r > 0 THEN r || ' regression' || CASE r WHEN 1 THEN '' ELSE 's' END WHEN i > 0 THEN i || ' improvement' || CASE i WHEN 1 THEN '' ELSE 's' END WHEN \"new\" + removed > 0 THEN 'inventory changed' ELSE 'no significant changes' END AS headline FROM g",
     "pair_metrics": f"{_S}, {fx.INVENTORY_SQL}, g AS (SELECT bench, any_value(l_partkey) AS k, min(ns) FILTER (WHERE side = 'base') AS base, min(ns) FILTER (WHERE side = 'head') AS head FROM v GROUP BY bench) SELECT bench, 'alloc' AS name, round(base, 5) AS base, round(head, 5) AS head, CASE WHEN head = base THEN 'same' WHEN k % 3 = 2 OR head IS NULL OR base IS NULL THEN NULL WHEN (head < base) = (k % 3 = 0) THEN 'better' ELSE 'worse' END AS direction FROM g",
     "filter_benches": "SELECT DISTINCT 'p' || l_partkey AS bench FROM lineitem WHERE regexp_matches('p' || l_partkey, '^p1[0-9]*$') AND l_partkey % 3 = 1",

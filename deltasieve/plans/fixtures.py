@@ -90,35 +90,39 @@ INVENTORY_SQL = "v AS (SELECT * FROM s WHERE NOT ((side = 'head' AND l_partkey %
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst: two links from each part, with cycles."""
-    parts = table(spark, sf_dir, "part").select("p_partkey")
-    n = parts.count()
-    return parts.select(F.col("p_partkey").alias("src"), F.explode(F.array((7 * F.col("p_partkey") + 3) % n, F.expr("p_partkey div 2"))).alias("dst"))
+    """src, dst: two links from each part, within blocks of 16, with cycles; some lead to parts that aren't there."""
+    key = F.col("p_partkey")
+    block = F.expr("p_partkey div 16 * 16")
+    return table(spark, sf_dir, "part").select(key.alias("src"), F.explode(F.array(block + (7 * key + 3) % 16, block + F.expr("p_partkey % 16 div 2"))).alias("dst"))
+
+
+#: Documents in a repository, and in a review.
+REPO, REVIEW = 1000, 200
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """repo, path, language, content: documents as source files with imports and symbols by arithmetic on doc_id."""
+    """repo, path, language, content: documents as source files: imports and symbols by arithmetic on doc_id, then the text."""
     i = F.col("doc_id")
     ext = F.element_at(F.array(F.lit("ts"), F.lit("go"), F.lit("rs")), (i % 3 + 1).cast("int"))
     path = lambda n: F.concat(F.lit("doc_"), n.cast("string"))
-    ts = F.concat(F.lit("import x from './"), path(i + 3), F.lit("';\nimport '../s/"), path(i + 6), F.lit(".ts';\n// import './gone'\nconst y = require('lib');\nexport function f"), i.cast("string"), F.lit("(a) {\n  g"), (i % 7).cast("string"), F.lit("(a);\n}\nfunction g"), (i % 7).cast("string"), F.lit("(b) { if (b) f"), i.cast("string"), F.lit("(b); }\n"))
-    go = F.concat(F.lit("package a\nimport \"fmt\"\nimport (\n  \"os\"\n  z \"./pkg\"\n)\nfunc h"), i.cast("string"), F.lit("() {\n  k()\n}\nfunc k() { h"), i.cast("string"), F.lit("() }\ntype T"), i.cast("string"), F.lit(" struct {}\n"))
-    rs = F.concat(F.lit("mod "), path(i + 3), F.lit(";\n/* mod gone; */\npub fn m"), i.cast("string"), F.lit("() {\n  n()\n}\nfn n() { m"), i.cast("string"), F.lit("() }\ninclude!(\"doc_"), (i + 6).cast("string"), F.lit(".rs\");\n"))
+    ts = F.concat(F.lit("import x from './"), path(i + 3), F.lit("';\nimport '../s/"), path(i + 6), F.lit(".ts';\n// import './gone'\nconst y = require('lib');\nf"), i.cast("string"), F.lit("(1);\nexport function f"), i.cast("string"), F.lit("(a) {\n  g"), (i % 7).cast("string"), F.lit("(a);\n}\nfunction g"), (i % 7).cast("string"), F.lit("(b) { if (b) f"), i.cast("string"), F.lit("(b); }\n"))
+    go = F.concat(F.lit("package a\nimport \"fmt\"\nimport (\n  \"os\"\n  z \"./pkg\"\n)\nfunc h"), i.cast("string"), F.lit("() {\n  k()\n}\r\nfunc k() { h"), i.cast("string"), F.lit("() }\ntype T"), i.cast("string"), F.lit(" struct {}\n"))
+    rs = F.concat(F.lit("mod "), path(i + 3), F.lit(";\n/* mod gone; */\n\tpub fn m"), i.cast("string"), F.lit("() {\n  n()\n}\nfn n() { m"), i.cast("string"), F.lit("() }\ninclude!(\"doc_"), (i + 6).cast("string"), F.lit(".rs\");\n"))
     body = F.when(i % 3 == 0, ts).when(i % 3 == 1, go).otherwise(rs)
-    rest = F.regexp_replace(F.col("text"), r"[^A-Za-z .\n]", "")
     lang = F.when(i % 3 == 0, "ts").when(i % 3 == 1, "go").otherwise("rust")
-    return table(spark, sf_dir, "documents").select(F.lit("r").alias("repo"), "doc_id", F.concat(F.lit("s/"), path(i), F.lit("."), ext).alias("path"), lang.alias("language"), F.concat(body, F.lit("// "), F.regexp_replace(rest, "\n", " ")).alias("content"))
+    repo = F.concat(F.lit("r"), F.expr(f"doc_id div {REPO}"))
+    return table(spark, sf_dir, "documents").select(repo.alias("repo"), "doc_id", F.concat(F.lit("s/"), path(i), F.lit("."), ext).alias("path"), lang.alias("language"), F.concat(body, F.coalesce("text", F.lit(""))).alias("content"))
 
 
 FILES_SQL = r"""
 f AS (
-  SELECT 'r' AS repo, i, 's/doc_' || i || '.' || CASE i % 3 WHEN 0 THEN 'ts' WHEN 1 THEN 'go' ELSE 'rs' END AS path,
+  SELECT 'r' || (i // 1000) AS repo, i, 's/doc_' || i || '.' || CASE i % 3 WHEN 0 THEN 'ts' WHEN 1 THEN 'go' ELSE 'rs' END AS path,
     CASE i % 3 WHEN 0 THEN 'ts' WHEN 1 THEN 'go' ELSE 'rust' END AS language,
     CASE i % 3
-      WHEN 0 THEN 'import x from ''./doc_' || (i + 3) || ''';' || chr(10) || 'import ''../s/doc_' || (i + 6) || '.ts'';' || chr(10) || '// import ''./gone''' || chr(10) || 'const y = require(''lib'');' || chr(10) || 'export function f' || i || '(a) {' || chr(10) || '  g' || (i % 7) || '(a);' || chr(10) || '}' || chr(10) || 'function g' || (i % 7) || '(b) { if (b) f' || i || '(b); }' || chr(10)
-      WHEN 1 THEN 'package a' || chr(10) || 'import "fmt"' || chr(10) || 'import (' || chr(10) || '  "os"' || chr(10) || '  z "./pkg"' || chr(10) || ')' || chr(10) || 'func h' || i || '() {' || chr(10) || '  k()' || chr(10) || '}' || chr(10) || 'func k() { h' || i || '() }' || chr(10) || 'type T' || i || ' struct {}' || chr(10)
-      ELSE 'mod doc_' || (i + 3) || ';' || chr(10) || '/* mod gone; */' || chr(10) || 'pub fn m' || i || '() {' || chr(10) || '  n()' || chr(10) || '}' || chr(10) || 'fn n() { m' || i || '() }' || chr(10) || 'include!("doc_' || (i + 6) || '.rs");' || chr(10)
-    END || '// ' || replace(regexp_replace(text, '[^A-Za-z .\n]', '', 'g'), chr(10), ' ') AS content
+      WHEN 0 THEN 'import x from ''./doc_' || (i + 3) || chr(39) || ';' || chr(10) || 'import ''../s/doc_' || (i + 6) || '.ts'';' || chr(10) || '// import ''./gone' || chr(39) || chr(10) || 'const y = require(''lib'');' || chr(10) || 'f' || i || '(1);' || chr(10) || 'export function f' || i || '(a) {' || chr(10) || '  g' || (i % 7) || '(a);' || chr(10) || '}' || chr(10) || 'function g' || (i % 7) || '(b) { if (b) f' || i || '(b); }' || chr(10)
+      WHEN 1 THEN 'package a' || chr(10) || 'import "fmt"' || chr(10) || 'import (' || chr(10) || '  "os"' || chr(10) || '  z "./pkg"' || chr(10) || ')' || chr(10) || 'func h' || i || '() {' || chr(10) || '  k()' || chr(10) || '}' || chr(13) || chr(10) || 'func k() { h' || i || '() }' || chr(10) || 'type T' || i || ' struct {}' || chr(10)
+      ELSE 'mod doc_' || (i + 3) || ';' || chr(10) || '/* mod gone; */' || chr(10) || chr(9) || 'pub fn m' || i || '() {' || chr(10) || '  n()' || chr(10) || '}' || chr(10) || 'fn n() { m' || i || '() }' || chr(10) || 'include!("doc_' || (i + 6) || '.rs");' || chr(10)
+    END || coalesce(text, '') AS content
   FROM (SELECT doc_id AS i, text FROM documents))"""
 
 PERSONAS = ("correctness", "security", "performance", "maintainability")
@@ -132,18 +136,17 @@ def _pick(values: tuple, n) -> F.Column:
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo, pr, seq, file, line, severity, sev_rank, category, title, rationale, suggestion, raised_by from documents."""
     i = F.col("doc_id")
-    first = F.substring_index("text", ".", 1)
     return table(spark, sf_dir, "documents").select(
-        F.lit("r").alias("repo"),
-        (i % 5).alias("pr"),
+        F.concat(F.lit("r"), F.expr(f"doc_id div {REPO}")).alias("repo"),
+        F.expr(f"doc_id div {REVIEW}").alias("pr"),
         i.alias("seq"),
         F.col("source").alias("file"),
         F.when(i % 11 == 0, None).otherwise(i % 40).cast("bigint").alias("line"),
         _pick(SEVERITIES, i).alias("severity"),
         (i % 4).cast("int").alias("sev_rank"),
         _pick(PERSONAS, F.expr("doc_id div 4")).alias("category"),
-        first.alias("title"),
-        F.substring("text", 1, 60).alias("rationale"),
+        F.substring_index("text", ".", 1).alias("title"),
+        F.col("text").alias("rationale"),
         F.when(i % 6 == 0, F.concat(F.lit("try "), i.cast("string"))).alias("suggestion"),
         _pick(PERSONAS, F.expr("doc_id div 4")).alias("raised_by"),
     )
@@ -151,15 +154,18 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FINDINGS_SQL = """
 fi AS (
-  SELECT 'r' AS repo, doc_id % 5 AS pr, doc_id AS seq, source AS file, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id % 40 END AS line,
+  SELECT 'r' || (doc_id // 1000) AS repo, doc_id // 200 AS pr, doc_id AS seq, source AS file, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id % 40 END AS line,
     CASE doc_id % 4 WHEN 0 THEN 'nit' WHEN 1 THEN 'minor' WHEN 2 THEN 'major' ELSE 'critical' END AS severity, doc_id % 4 AS sev_rank,
     CASE (doc_id // 4) % 4 WHEN 0 THEN 'correctness' WHEN 1 THEN 'security' WHEN 2 THEN 'performance' ELSE 'maintainability' END AS category,
-    split_part(text, '.', 1) AS title, substr(text, 1, 60) AS rationale, CASE WHEN doc_id % 6 = 0 THEN 'try ' || doc_id END AS suggestion
+    split_part(text, '.', 1) AS title, text AS rationale, CASE WHEN doc_id % 6 = 0 THEN 'try ' || doc_id END AS suggestion
   FROM documents)"""
 
+#: Documents in a diff, a file each.
+DIFF = 40
+
 
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """repo, pr, diff: a unified diff for each source, with a piece for each document."""
+    """repo, pr, diff: unified diffs of DIFF documents each, with a piece for each document."""
     i = F.col("doc_id").cast("string")
     n = F.col("doc_id")
     path = F.when(n % 10 == 0, F.concat(F.lit("vendor/v"), i, F.lit("/Cargo.lock"))).otherwise(F.concat(F.lit("src/m"), (n % 4).cast("string"), F.lit("/f"), i, F.lit(".rs")))
@@ -167,16 +173,20 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.when(n % 9 == 0, F.concat(F.lit("new file mode 100644\n--- /dev/null\n+++ b/"), path)).when(n % 9 == 1, F.concat(F.lit("deleted file mode 100644\n--- a/"), path, F.lit("\n+++ /dev/null"))).otherwise(F.concat(F.lit("--- a/"), path, F.lit("\n+++ b/"), path))
     body = F.when(n % 9 == 2, F.lit("rename from x\nrename to y")).otherwise(F.concat(header, F.lit("\n@@ -1 +1 @@\n"), F.array_join(lines, "\n")))
     piece = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n"), body)
-    rows = table(spark, sf_dir, "documents").select("source", n.alias("doc_id"), piece.alias("piece"))
-    whole = rows.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "piece"))).alias("p"))
-    return whole.select(F.lit("r").alias("repo"), F.regexp_extract("source", r"(\d+)$", 1).cast("bigint").alias("pr"), F.array_join(F.transform("p", lambda x: x["piece"]), "\n").alias("diff"))
+    repo, pr = F.concat(F.lit("r"), F.expr(f"doc_id div {REPO}")).alias("repo"), F.expr(f"doc_id div {DIFF}").alias("pr")
+    rows = table(spark, sf_dir, "documents").select(repo, pr, n.alias("doc_id"), piece.alias("piece"))
+    whole = rows.groupBy("repo", "pr").agg(F.sort_array(F.collect_list(F.struct("doc_id", "piece"))).alias("p"))
+    return whole.select("repo", "pr", F.array_join(F.transform("p", lambda x: x["piece"]), "\n").alias("diff"))
 
 
 DIFFS_SQL = r"""
 df AS (
-  SELECT regexp_extract(source, '(\d+)$', 1)::BIGINT AS pr, n, path, n % 9 = 0 AS is_new, n % 9 = 1 AS is_deleted, n % 9 = 2 AS is_pure_rename,
-    CASE WHEN n % 9 = 2 THEN '' ELSE body END AS body
-  FROM (SELECT source, doc_id AS n, text, CASE WHEN doc_id % 10 = 0 THEN 'vendor/v' || doc_id || '/Cargo.lock' ELSE 'src/m' || (doc_id % 4) || '/f' || doc_id || '.rs' END AS path,
+  SELECT 'r' || (n // 1000) AS repo, n // 40 AS pr, n, path, n % 9 = 0 AS is_new, n % 9 = 1 AS is_deleted, n % 9 = 2 AS is_pure_rename,
+    CASE WHEN n % 9 = 2 THEN '' ELSE body END AS body,
+    'diff --git a/' || path || ' b/' || path || chr(10) || CASE WHEN n % 9 = 2 THEN 'rename from x' || chr(10) || 'rename to y' ELSE
+      CASE n % 9 WHEN 0 THEN 'new file mode 100644' || chr(10) || '--- /dev/null' || chr(10) || '+++ b/' || path WHEN 1 THEN 'deleted file mode 100644' || chr(10) || '--- a/' || path || chr(10) || '+++ /dev/null' ELSE '--- a/' || path || chr(10) || '+++ b/' || path END
+      || chr(10) || '@@ -1 +1 @@' || body END AS piece
+  FROM (SELECT doc_id AS n, text, CASE WHEN doc_id % 10 = 0 THEN 'vendor/v' || doc_id || '/Cargo.lock' ELSE 'src/m' || (doc_id % 4) || '/f' || doc_id || '.rs' END AS path,
           chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda t, k: CASE (k - 1) % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE ' ' END || t), chr(10)) AS body FROM documents)),
 dp AS (
   SELECT *, row_number() OVER (PARTITION BY pr ORDER BY n) - 1 AS pos,

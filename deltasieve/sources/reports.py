@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 _HEADER = ("language", "service", "ref", "runner", "startedAt", "finishedAt")
 _NUMBERS = ("mean", "median", "trimmedMean", "stddev", "cv", "mad", "iqr", "min", "max", "p50", "p95", "p99")
 _RUN = {"name": "STRING", "file": "STRING", "iterations": "BIGINT", "batchSize": "BIGINT", "elapsedNs": "DOUBLE", "samples": "ARRAY<DOUBLE>"}
@@ -14,7 +16,11 @@ _RUN |= {n: "DOUBLE" for n in _NUMBERS}
 _RUN |= {"metrics": "ARRAY<STRUCT<name: STRING, value: DOUBLE, unit: STRING, lowerIsBetter: BOOLEAN>>", "tags": "ARRAY<STRING>"}
 REPORT = f"schemaVersion INT, {', '.join(f'{h} STRING' for h in _HEADER)}, runs ARRAY<STRUCT<{', '.join(f'{k}: {v}' for k, v in _RUN.items())}>>, affectedScope STRUCT<base: STRING, changedFiles: ARRAY<STRING>, benchFiles: ARRAY<STRING>, skippedBenchFiles: ARRAY<STRING>>"
 COMMENT = "id BIGINT, body STRING, user_login STRING, author_association STRING, reactions STRUCT<plus_one: INT, minus_one: INT, heart: INT, hooray: INT, rocket: INT, confused: INT>, created_at STRING"
-EVENT = "seq BIGINT, tsMs BIGINT, type STRING, sessionId STRING, agentId STRING, name STRING, task STRING, tournamentId STRING, kind STRING, text STRING, iteration BIGINT, error STRING, critical BIGINT, major BIGINT, shippable BIGINT, message STRING, report STRING"
+EVENT = "seq BIGINT, tsMs BIGINT, type STRING, sessionId STRING, repoRoot STRING, baseRef STRING, baseSha STRING, benchLabel STRING, agentId STRING, name STRING, task STRING, worktree STRING, branch STRING, tournamentId STRING, agentIds ARRAY<STRING>, kind STRING, text STRING, iteration BIGINT, iterations BIGINT, exitCode BIGINT, error STRING, critical BIGINT, major BIGINT, shippable BIGINT, markdown STRING, message STRING, source STRING, report STRING"
+#: What is read of the comparison that some events carry.
+COMPARISON = "summary STRUCT<regressions: BIGINT, improvements: BIGINT>, diffs ARRAY<STRUCT<name: STRING, deltaPct: DOUBLE, verdict: STRING, base: STRUCT<median: DOUBLE>, head: STRUCT<median: DOUBLE>>>"
+#: Events of a review, a line each; a review is a file.
+REVIEW_EVENT = "kind STRING, repo STRING, pr BIGINT, model STRING, files_total BIGINT, files_reviewed BIGINT, n_chunks BIGINT, persona STRING, chunk_idx BIGINT, findings_count BIGINT, duration_ms BIGINT, error STRING, prompt_tokens BIGINT, completion_tokens BIGINT, n_raw BIGINT, n_deduped BIGINT, n_candidates BIGINT, n_keep BIGINT, n_downgrade BIGINT, n_drop BIGINT, index BIGINT, file STRING, line BIGINT, severity STRING, category STRING, title STRING, confidence DOUBLE, total_duration_ms BIGINT, shippable_count BIGINT, critical_count BIGINT, total_prompt_tokens BIGINT, total_completion_tokens BIGINT"
 SCHEMA_VERSION = 2
 LANGUAGES = ("ts", "go", "rust")
 CORPUS_VERSION = 1
@@ -70,9 +76,9 @@ def go_events_to_samples(lines: DataFrame) -> DataFrame:
     Only output events count. The name is the output's first word if it begins with Benchmark, else the event's
     test; a name's file is the first package seen with it; lines that aren't such JSON are skipped.
     """
-    event = F.from_json(F.trim("value"), "Action STRING, Test STRING, Output STRING, Package STRING")
-    rows = lines.where(F.trim("value").startswith("{")).select("line_no", event.alias("e")).where("e.Action = 'output' AND e.Output IS NOT NULL")
-    out = F.trim("e.Output")
+    event = F.from_json(strip(F.col("value")), "Action STRING, Test STRING, Output STRING, Package STRING")
+    rows = lines.where(strip(F.col("value")).startswith("{")).select("line_no", event.alias("e")).where("e.Action = 'output' AND e.Output IS NOT NULL")
+    out = strip(F.col("e.Output"))
     name = F.coalesce(F.when(out.startswith("Benchmark"), F.regexp_extract(out, r"^(\S+)", 1)), F.col("e.Test"))
     ns = F.regexp_extract(out, r"(?:^|\s)(\S+)\s+ns/op(?:\s|$)", 1).try_cast("double")
     named = rows.select("line_no", name.alias("bench"), ns.alias("ns"), F.col("e.Package").alias("package")).where("bench IS NOT NULL")
@@ -142,7 +148,7 @@ def load_corpus(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     from ..operators.corpus import clamp_guidance
 
-    doc = texts.select("repo", F.trim(F.coalesce("value", F.lit(""))).alias("value")).withColumn("doc", F.try_parse_json("value"))
+    doc = texts.select("repo", strip(F.coalesce("value", F.lit(""))).alias("value")).withColumn("doc", F.try_parse_json("value"))
     kind = F.schema_of_variant(F.try_variant_get("doc", "$.schemaVersion", "variant"))
     number = F.try_variant_get("doc", "$.schemaVersion", "bigint")
     bad = (F.col("value") != "") & (F.col("doc").isNull() | (kind.isNotNull() & ((kind != "BIGINT") | (number < 0))))
@@ -154,23 +160,53 @@ def load_corpus(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = F.when(usable, F.try_variant_get("doc", "$.entries", "array<variant>"))
     rows = state.select("repo", F.explode(items).alias("x"))
     e = F.col("e")
-    rows = rows.withColumn("e", F.try_variant_get("x", "$", _ENTRY)).withColumn("ok", F.coalesce((F.trim(e["guidance"]) != "") & e["sourcePr"].isNotNull(), F.lit(False)))
+    rows = rows.withColumn("e", F.try_variant_get("x", "$", _ENTRY)).withColumn("ok", F.coalesce((strip(e["guidance"]) != "") & e["sourcePr"].isNotNull(), F.lit(False)))
     entries = rows.where("ok").select("repo", "e.id", clamp_guidance(F.col("e.guidance")).alias("guidance"), F.col("e.fileGlob").alias("file_glob"), "e.category", F.coalesce("e.strongestKind", F.lit("inferred-applied")).alias("strongest_kind"), F.col("e.sourcePr").alias("source_pr"), F.col("e.sourceCommentId").alias("source_comment_id"), F.coalesce("e.confirmations", F.lit(0)).alias("confirmations"), F.coalesce("e.refutations", F.lit(0)).alias("refutations"), F.coalesce("e.firstSeen", F.lit("")).alias("first_seen"), F.coalesce("e.lastSeen", F.lit("")).alias("last_seen"))
     counts = rows.groupBy("repo").agg(F.count_if("ok").alias("entries_loaded"), F.count_if(~F.col("ok")).alias("entries_dropped"))
     summary = state.join(counts, "repo", "left").select("repo", "invalid", "future", "upgraded_from", F.coalesce("entries_loaded", F.lit(0)).alias("entries_loaded"), F.coalesce("entries_dropped", F.lit(0)).alias("entries_dropped"))
     return entries, summary
 
 
-def parse_events(lines: DataFrame) -> DataFrame:
-    """Events from JSON lines (column value); lines that aren't events are dropped."""
-    e = F.from_json("value", EVENT + ", bad STRING", {"columnNameOfCorruptRecord": "bad"})
-    rows = lines.select(*[c for c in lines.columns if c != "value"], e.alias("e")).where("e.bad IS NULL AND e.seq IS NOT NULL AND e.type IS NOT NULL")
-    names = [p.split()[0] for p in EVENT.split(", ")]
+def _json_lines(lines: DataFrame, shape: str, needed: list[str]) -> DataFrame:
+    """The fields of JSON lines (column value), beside the other columns; lines that don't have the shape are dropped."""
+    e = F.from_json("value", shape + ", bad STRING", {"columnNameOfCorruptRecord": "bad"})
+    there = " AND ".join(f"e.{n} IS NOT NULL" for n in needed)
+    rows = lines.select(*[c for c in lines.columns if c != "value"], e.alias("e")).where(f"e.bad IS NULL AND {there}")
+    names = [p.split()[0] for p in re.sub(r"<[^>]*>", "", shape).split(", ")]
     return rows.select(*[c for c in rows.columns if c != "e"], *[F.col(f"e.{n}").alias(_snake(n)) for n in names])
 
 
+def parse_events(lines: DataFrame) -> DataFrame:
+    """Events from JSON lines (column value); lines that aren't events are dropped.
+
+    Only the first event of a session names it, so that session_id is the lines' own column of that name where they have
+    one (the log's folder, see event_lines). Of a comparison's report there are regressions, improvements, delta_sum (the
+    sum of its changes) and diffs (bench, delta_pct, verdict, base_median, head_median).
+    """
+    named = "session_id" in lines.columns
+    rows = _json_lines(lines.withColumnRenamed("session_id", "_session") if named else lines, EVENT, ["seq", "type"])
+    if named:
+        rows = rows.withColumn("session_id", F.col("_session")).drop("_session")
+    told = F.from_json(F.when(F.col("type").isin("iterationCompare", "externalCompare"), F.col("report")), COMPARISON)
+    rows = rows.withColumn("_c", told)
+    change = F.aggregate(F.transform("_c.diffs", lambda d: F.coalesce(d["deltaPct"], F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    diffs = F.transform("_c.diffs", lambda d: F.struct(d["name"].alias("bench"), d["deltaPct"].alias("delta_pct"), d["verdict"].alias("verdict"), d["base"]["median"].alias("base_median"), d["head"]["median"].alias("head_median")))
+    return rows.withColumns({"regressions": F.col("_c.summary.regressions"), "improvements": F.col("_c.summary.improvements"), "delta_sum": change, "diffs": diffs}).drop("_c")
+
+
+def parse_review_events(lines: DataFrame) -> DataFrame:
+    """A review's events from JSON lines (column value); lines that aren't such events are dropped."""
+    return _json_lines(lines, REVIEW_EVENT, ["kind"])
+
+
+def event_lines(raw: DataFrame) -> DataFrame:
+    """Lines of logs (as Spark's text source reads them) with session_id, the name of the folder that a log is in."""
+    return raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("session_id"), "value")
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return parse_events(spark.read.text(path))
+    """Events of all logs below a folder of sessions."""
+    return parse_events(event_lines(spark.read.option("recursiveFileLookup", True).text(path)))
 
 
 def write_table(df: DataFrame, path: str, form: str = "parquet", mode: str = "error") -> None:
@@ -200,7 +236,18 @@ class BaselineTable:
         return self.spark.read.parquet(self.path).where(F.col("baseline") == self._check(name)).drop("baseline")
 
     def list(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).groupBy("baseline").agg(F.count(F.lit(1)).alias("rows"))
+        """baseline, rows and whether it can be read, of all that are named; no rows where the table isn't there yet."""
+        jvm = self.spark.sparkContext._jvm
+        top = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = []
+        for name in [f.getPath().getName() for f in fs.listStatus(top)] if fs.exists(top) else []:
+            if name.startswith("baseline="):
+                try:
+                    found.append((name.removeprefix("baseline="), self.spark.read.parquet(f"{self.path}/{name}").count(), True))
+                except Exception:  # noqa: BLE001 - whatever is wrong with it, it is listed
+                    found.append((name.removeprefix("baseline="), None, False))
+        return self.spark.createDataFrame(found, "baseline string, rows bigint, valid boolean")
 
     def remove(self, name: str) -> None:
         """Delete a baseline's partition through the file system that holds the table."""

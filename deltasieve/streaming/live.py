@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..sources.reports import REPORT, parse_events
+from ..sources.reports import REPORT, event_lines, parse_events
 
 SESSION = ["session_id"]
 AGENT = ["session_id", "agent_id"]
@@ -21,17 +21,46 @@ NOTICES = 50
 
 
 def stream_events(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a folder of JSON-lines logs as a stream; lines that aren't events are dropped."""
-    return parse_events(spark.readStream.text(path))
+    """Events of all logs below a folder of sessions as a stream; lines that aren't events are dropped."""
+    return parse_events(event_lines(spark.readStream.option("recursiveFileLookup", True).text(path)))
+
+
+def _reports(raw: DataFrame) -> DataFrame:
+    return raw.select(F.col("_metadata.file_path").alias("run_id"), F.col("_metadata.file_modification_time").alias("changed_at"), *raw.columns)
 
 
 def stream_reports(spark: SparkSession, path: str, start: str) -> DataFrame:
-    """run_id, changed_at and the fields of reports written to a folder after start; older files are passed over."""
-    raw = spark.readStream.schema(REPORT).option("multiLine", True).json(path)
-    rows = raw.select(F.col("_metadata.file_path").alias("run_id"), F.col("_metadata.file_modification_time").alias("changed_at"), *raw.columns)
+    """run_id, changed_at and the fields of reports written to a folder after start; older files are passed over.
+
+    Each file is read once; where reports are written again under their old names, see watch_reports.
+    """
+    rows = _reports(spark.readStream.schema(REPORT).option("multiLine", True).json(path))
     return rows.where(F.col("changed_at") > F.lit(start).cast("timestamp"))
 
 
+def changed_reports(spark: SparkSession, path: str, since: str, until: str) -> DataFrame:
+    """run_id, changed_at and the fields of reports last written from since on and before until; others aren't opened."""
+    rows = _reports(spark.read.schema(REPORT).option("multiLine", True).json(path))
+    at = F.col("changed_at")
+    return rows.where((at >= F.lit(since).cast("timestamp")) & (at < F.lit(until).cast("timestamp")))
+
+
+def watch_reports(spark: SparkSession, path: str, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str = "10 seconds") -> StreamingQuery:
+    """Start a query that hands reports that are new or written again to sink, as events, batch by batch.
+
+    A clock of one tick a second, which the checkpoint remembers, cuts time into batches; each looks up the files of its own
+    span, so that a repeated batch has the same one and none is passed over.
+    """
+
+    def batch(ticks: DataFrame, n: int) -> None:
+        span = ticks.agg(F.min("timestamp").cast("string").alias("a"), (F.max("timestamp") + F.expr("INTERVAL 1 second")).cast("string").alias("b")).first()
+        if span.a is not None:
+            sink(reports_as_events(changed_reports(ticks.sparkSession, path, span.a, span.b)), n)
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(batch).start()
+
+
 def reports_as_events(reports: DataFrame) -> DataFrame:
     """type, ts_ms, source, report (JSON) for each report that came in."""
     fields = [c for c in reports.columns if c not in ("run_id", "changed_at")]
@@ -92,10 +121,15 @@ def stream_standings(events: DataFrame, sink: Callable[[DataFrame, int], None],
     """Start a query that keeps agents' states and hands each batch's standings to sink.
 
     A stream's plan can't rank, so a batch's changed states are merged into the table of states (by last_seq) in
-    foreachBatch, under the checkpoint folder, and ranked there.
+    foreachBatch, under the checkpoint folder, and ranked there. A batch may be run again, so that the table before it
+    stays; older ones are deleted. The states are one row for each agent, whatever the number of events.
     """
     table = f"{checkpoint}/states"
 
+    def delete(spark: SparkSession, n: int) -> None:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
     def batch(changed: DataFrame, n: int) -> None:
         spark = changed.sparkSession
         old = [f"{table}/{n - 1}"] if n else []
@@ -104,6 +138,7 @@ def stream_standings(events: DataFrame, sink: Callable[[DataFrame, int], None],
             both = changed.unionByName(spark.read.schema(changed.schema).parquet(path))
         newest = F.row_number().over(Window.partitionBy(*AGENT).orderBy(F.col("last_seq").desc()))
         both.withColumn("_n", newest).where("_n = 1").drop("_n").write.mode("overwrite").parquet(f"{table}/{n}")
+        delete(spark, n - 2)
         sink(standings(spark.read.parquet(f"{table}/{n}")), n)
 
     return agent_state(events).writeStream.outputMode("update").option("checkpointLocation", f"{checkpoint}/query").trigger(availableNow=True).foreachBatch(batch).start()
@@ -150,10 +185,15 @@ def stream_tail(events: DataFrame, n: int = TAIL) -> DataFrame:
 
 
 def trajectory(events: DataFrame, base: DataFrame) -> DataFrame:
-    """session_id, agent_id, iteration, median, verdict of each comparison, against the session's one base (base_median)."""
-    rows = events.where("type = 'iterationCompare'").select(*AGENT, "seq", "iteration", "median").join(base, SESSION)
+    """session_id, agent_id, iteration, bench, median, verdict of each comparison's benches, against the session's base.
+
+    base: session_id, bench, base_median, one measurement for all agents of a session. Benches that the head lacks have
+    no point.
+    """
+    rows = events.where("type = 'iterationCompare'").select(*AGENT, "seq", "iteration", F.explode("diffs").alias("d")).where("d.head_median IS NOT NULL")
+    rows = rows.select(*AGENT, "iteration", "d.bench", F.col("d.head_median").alias("median")).join(base.select(*SESSION, "bench", "base_median"), [*SESSION, "bench"])
     change = F.try_divide(F.col("median") - F.col("base_median"), F.col("base_median"))
-    return rows.select(*AGENT, "iteration", "median", F.when(change > 0.05, "regression").when(change < -0.05, "improvement").otherwise("neutral").alias("verdict"))
+    return rows.select(*AGENT, "iteration", "bench", "median", F.when(change > 0.05, "regression").when(change < -0.05, "improvement").otherwise("neutral").alias("verdict"))
 
 
 def session_list(events: DataFrame) -> DataFrame:

@@ -121,6 +121,88 @@ def test_packing_equals_the_plain_fold(spark):
     assert got == want
 
 
+def cut(text, limit):
+    """The plain version: whole characters whose bytes fit in half the limit, then to the line feeds."""
+    data = text.encode()
+    if len(data) <= limit:
+        return text
+    half = limit // 2
+    head = data[:half].decode(errors="ignore")
+    head = head[: head.rfind("\n")] if "\n" in head else head
+    begin = len(data) - half
+    while data[begin] & 0xC0 == 0x80:
+        begin += 1
+    tail = data[begin:].decode()
+    tail = tail[tail.find("\n") + 1 :]
+    elided = len(data) - len(head.encode()) - len(tail.encode())
+    return f"{head}\n... [truncated {elided} bytes — file too large] ...\n{tail}"
+
+
+@pytest.mark.parametrize("limit", [20, 21, 22, 23, 100])
+def test_truncation_counts_bytes_and_keeps_characters_whole(spark, limit):
+    rng = random.Random(limit)
+    texts = ["é" * 80, "a" * 9 + "漢字" * 40, "😀" * 40, "short", "", "x\n" * 10_000] + ["".join(rng.choices("aé漢😀\n ", k=rng.randint(0, 120))) for _ in range(80)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = d.select("t", tx.truncate_middle(F.col("t"), limit).alias("c")).collect()
+    assert all(r["c"] == cut(r["t"], limit) for r in got)
+    assert all(" -" not in r["c"] for r in got)
+
+
+def test_white_space_of_all_kinds(spark):
+    d = spark.createDataFrame([("a.rs\r\n\t b.rs \u00a0\n\n\u2003",)], "value string")
+    assert {r["path"] for r in im.changed_files(d).collect()} == {"a.rs", "b.rs"}
+    f = files(spark, {"a.rs": "\tpub fn f() {\r\n\u3000export class K {}"})
+    got = {(r["name"], r["exported"], r["signature"]) for r in cg.extract_symbols(f).collect()}
+    assert got == {("f", True, "pub fn f() {"), ("K", True, "export class K {}")}
+
+
+def test_calls_are_found_as_by_the_plain_pattern(spark):
+    import re
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(["foo", "b_1", "9x", "(", " ", ")", "é", ".", "if", "\n"], k=40)) for _ in range(60)]
+    f = files(spark, {f"f{i}.ts": t for i, t in enumerate(texts)})
+    want = {(f"f{i}.ts", n) for i, t in enumerate(texts) for n in re.findall(r"([A-Za-z_]\w*)\s*\(", t, re.ASCII) if n not in cg.NOT_CALLS}
+    assert {(r["path"], r["name"]) for r in cg.calls_by_line(f).collect()} <= want
+    symbols = spark.createDataFrame([("r", p, 1, "fn", n) for p, n in want], "repo string, path string, line int, kind string, name string")
+    assert {(r["path"], r["to"][3:]) for r in cg.call_edges(f, symbols).collect()} == want
+
+
+def test_scope_listing(spark):
+    f = files(spark, {"a.ts": "main()\nexport function f(a) {\n  g(a);\n  f(a);\n}\nfunction g() {}", "b.ts": "function h() { f(); g() }", "c.ts": "f()"})
+    s = cg.extract_symbols(f)
+    by = cg.callers(cg.attribute_calls(cg.calls_by_line(f), s), s)
+    changed = spark.createDataFrame([("r", "a.ts"), ("r", "b.ts"), ("r", "no.ts")], "repo string, path string")
+    row = cg.scope_rows(s, by, changed).first()
+    assert row["elided"] == 0 and row["block"] == (
+        "\na.ts:\n  - fn f (L2) [pub] `export function f(a) {`\n    called by: b.ts::h, c.ts\n"
+        "  - fn g (L6) `function g() {}`\n    called by: a.ts::f, b.ts::h\n"
+        "\nb.ts:\n  - fn h (L1) `function h() { f(); g() }`\n"
+    )
+    small = cg.scope_rows(s, by, changed, 80).first()
+    assert small["elided"] == 2 and "fn g" in small["block"] and "fn f" not in small["block"] and small["block"].endswith("[+2 more entries elided to stay under 80 bytes]\n")
+    assert cg.scope_rows(s, by, changed.limit(0)).count() == 0
+
+
+def test_language_hints(spark):
+    d = spark.createDataFrame([(p,) for p in ("a.tsx", "b.kts", "c.py", "d.md", "e.RS", "f", "g.zsh", "h.hh", "i.php")], "p string")
+    assert [r[0] for r in d.select(tx.lang_hint(F.col("p"))).collect()] == ["ts", "kotlin", "py", "md", "", "", "bash", "cpp", "php"]
+
+
+def test_related_files_by_path(spark):
+    snapshot = spark.createDataFrame([("r", f"f{i}", "x" * (i * 10)) for i in range(6)], "repo string, path string, content string")
+    diff = spark.createDataFrame([("r", 1, "f5"), ("r", 2, "zz")], "repo string, pr bigint, path string")
+    related = df.related_files(snapshot, diff)
+    assert {(r["pr"], r["path"]) for r in related.collect()} == {(1, f"f{i}") for i in range(5)} | {(2, f"f{i}") for i in range(6)}
+    packed = df.pack_related(related, snapshot, ChunkPolicy(related_bytes=1000, chunk_related_bytes=75)).collect()
+    assert {(r["pr"], r["path"], len(r["content"])) for r in packed} == {(p, f"f{i}", i * 10) for p in (1, 2) for i in range(4)}
+
+
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "src bigint, dst bigint")
+    assert im.reachable(edges, spark.createDataFrame([(0,), (15,)], "entry bigint")).count() == 21 + 6
+
+
 def test_truncate_and_fit(spark):
     d = spark.createDataFrame([("a\n" * 50,), ("short",)], "t string")
     cut = [r[0] for r in d.select(tx.truncate_middle(F.col("t"), 20)).collect()]

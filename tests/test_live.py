@@ -11,14 +11,86 @@ from deltasieve.streaming import live
 
 @pytest.fixture(scope="module")
 def log(tmp_path_factory):
-    folder = tmp_path_factory.mktemp("log")
+    """A session's log as it is written: only its first event names it."""
+    folder = tmp_path_factory.mktemp("sessions") / "s"
+    folder.mkdir()
     rng = random.Random(4)
-    events = [{"seq": i, "tsMs": 1_000_000 + 1000 * i, "type": "agentOutput", "sessionId": "s", "agentId": f"a{rng.randint(0, 2)}", "text": f"t{i}"} for i in range(60)]
+    events = [{"seq": i, "tsMs": 1_000_000 + 1000 * i, "type": "agentOutput", "agentId": f"a{rng.randint(0, 2)}", "kind": "stdout", "text": f"t{i}"} for i in range(60)]
+    events[0] |= {"type": "sessionStarted", "sessionId": "s"}
     rng.shuffle(events)
     for k in range(3):
         lines = [json.dumps(e) for e in events[k * 20 : k * 20 + 20]] + ["{broken", ""]
         (folder / f"part{k}.jsonl").write_text("\n".join(lines))
-    return str(folder)
+    return str(folder.parent)
+
+
+def report(regressions, improvements, *changes):
+    diffs = [{"name": f"b{i}", "base": {"name": "b", "median": 100.0}, "head": None if c is None else {"name": "b", "median": 100.0 * (1 + c)}, "deltaPct": c, "verdict": "neutral"} for i, c in enumerate(changes)]
+    return {"base": {"ref": "a", "service": "s"}, "threshold": 0.05, "diffs": diffs, "summary": {"regressions": regressions, "improvements": improvements, "neutrals": 0}}
+
+
+@pytest.fixture(scope="module")
+def sessions(tmp_path_factory):
+    """Two sessions' logs: agents of a tournament with comparisons and reviews, one without data."""
+    root = tmp_path_factory.mktemp("logs")
+    spawn = lambda a: {"type": "agentSpawned", "agentId": a, "name": a, "task": "t", "worktree": "/w", "branch": "b", "tournamentId": "t1"}
+    compare = lambda a, i, r: {"type": "iterationCompare", "agentId": a, "iteration": i, "report": r}
+    told = lambda a, c: {"type": "councilVerdict", "agentId": a, "critical": c, "major": 0, "shippable": 1, "markdown": "m"}
+    one = [{"type": "sessionStarted", "sessionId": "one", "repoRoot": "/r", "baseRef": "main", "baseSha": "1", "benchLabel": "b"}]
+    one += [spawn(a) for a in ("win", "regressed", "flagged", "slower", "idle")]
+    one += [compare("win", 1, report(5, 0, 0.5)), compare("win", 2, report(0, 2, -0.10, None)), compare("regressed", 1, report(1, 2, 0.05)), compare("flagged", 1, report(0, 2, -0.08)), told("flagged", 2), compare("slower", 1, report(0, 2, 0.02))]
+    one += [{"type": "agentExited", "agentId": "win", "exitCode": 0, "iterations": 2}, {"type": "notice", "message": "n"}]
+    two = [{"type": "sessionStarted", "sessionId": "two"}, spawn("x"), {"type": "iterationStarted", "agentId": "x", "iteration": 1}]
+    for name, events in (("one", one), ("two", two)):
+        (root / name).mkdir()
+        (root / name / "events.jsonl").write_text("\n".join(json.dumps({"seq": i, "tsMs": 10 * i} | e) for i, e in enumerate(events)))
+    return str(root)
+
+
+def test_states_and_standings_from_logs(spark, sessions):
+    events = rp.read_events(spark, sessions)
+    assert {r["session_id"]: r["events"] for r in live.session_list(events).collect()} == {"one": 14, "two": 3}
+    state = {r["agent_id"]: r for r in live.agent_state(events).collect()}
+    assert (state["win"]["iterations"], state["win"]["regressions"], state["win"]["ended"], state["x"]["benching"]) == (2, 0, True, True)
+    assert state["win"]["delta_sum"] == pytest.approx(-0.10) and state["idle"]["improvements"] is None
+    ranks = [r["agent_id"] for r in live.standings(live.agent_state(events)).where("session_id = 'one'").orderBy("rank").collect()]
+    assert ranks == ["win", "slower", "idle", "regressed", "flagged"]
+    base = spark.createDataFrame([("one", "b0", 100.0)], "session_id string, bench string, base_median double")
+    got = {(r["agent_id"], r["iteration"]): r["verdict"] for r in live.trajectory(events, base).collect()}
+    assert got == {("win", 1): "regression", ("win", 2): "improvement", ("regressed", 1): "neutral", ("flagged", 1): "improvement", ("slower", 1): "neutral"}
+
+
+def test_standings_stream_from_logs(spark, sessions, tmp_path):
+    got = []
+    stream = live.stream_events(spark, sessions)
+    live.stream_standings(stream, lambda df, n: got.append({(r["session_id"], r["agent_id"], r["score"], r["rank"]) for r in df.collect()}), str(tmp_path / "cp")).awaitTermination(120)
+    assert got[-1] == {(r["session_id"], r["agent_id"], r["score"], r["rank"]) for r in live.standings(live.agent_state(rp.read_events(spark, sessions))).collect()}
+
+
+def test_review_events(spark):
+    lines = [{"kind": "start", "repo": "r", "pr": 1, "model": "m", "files_total": 2, "files_reviewed": 1, "n_chunks": 1}, {"kind": "proposer_done", "persona": "p", "chunk_idx": 0, "findings_count": 3, "duration_ms": 5}, {"kind": "synthesize_done", "n_raw": 3, "n_deduped": 2}, {"kind": "judge_done", "n_keep": 1, "n_downgrade": 1, "n_drop": 0, "duration_ms": 1}, {"kind": "done", "total_duration_ms": 9, "shippable_count": 2, "critical_count": 1, "total_prompt_tokens": 7, "total_completion_tokens": 8}]
+    table = spark.createDataFrame([("s", json.dumps(x)) for x in lines] + [("s", "nothing"), ("s", "{}")], "session_id string, value string")
+    r = live.review_progress(rp.parse_review_events(table)).first()
+    assert (r["reviewers_done"], r["findings"], r["n_raw"], r["n_deduped"], r["n_keep"], r["n_downgrade"], r["prompt_tokens"], r["shippable"], r["criticals"]) == (1, 3, 3, 2, 1, 1, 7, 2, 1)
+
+
+def test_reports_written_again_are_read_again(spark, tmp_path):
+    import time
+
+    (tmp_path / "in").mkdir()
+    write = lambda ref: (tmp_path / "in" / "r.json").write_text(json.dumps({"language": "rust", "ref": ref, "runs": []}))
+    seen = []
+    query = live.watch_reports(spark, str(tmp_path / "in"), lambda df, n: seen.extend(json.loads(r["report"])["ref"] for r in df.collect()), str(tmp_path / "cp"), "1 second")
+    try:
+        for ref in ("first", "second"):
+            time.sleep(4)
+            write(ref)
+        deadline = time.time() + 60
+        while "second" not in seen and time.time() < deadline:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert seen == ["first", "second"]
 
 
 def finished(df, mode, spark, tmp_path, name):
@@ -39,7 +111,7 @@ def test_stream_intake_and_dedupe(spark, log, tmp_path):
 
 def test_stream_tail_equals_batch(spark, log, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = live.stream_tail(spark.readStream.option("maxFilesPerTrigger", 1).text(log).transform(rp.parse_events), 4)
+    stream = live.stream_tail(spark.readStream.option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).text(log).transform(rp.event_lines).transform(rp.parse_events), 4)
     rows = finished(stream, "update", spark, tmp_path, "tail").collect()
     want = {(r["agent_id"], r["seq"]) for r in live.output_tail(rp.read_events(spark, log), 4).collect()}
     assert want <= {(r["agent_id"], r["seq"]) for r in rows}
@@ -79,7 +151,11 @@ def test_reports_and_baselines(spark, tmp_path):
     table.save("other", runs)
     assert table.load("main").count() == 1 and table.list().count() == 2
     table.remove("other")
-    assert table.list().count() == 1
+    assert [tuple(r) for r in table.list().collect()] == [("main", 1, True)]
+    (tmp_path / "base" / "baseline=bad").mkdir()
+    (tmp_path / "base" / "baseline=bad" / "part.parquet").write_text("no parquet")
+    assert {r["baseline"]: r["valid"] for r in table.list().collect()} == {"main": True, "bad": False}
+    assert rp.BaselineTable(spark, str(tmp_path / "none")).list().count() == 0
     with pytest.raises(ValueError):
         table.save("../x", runs)
     events = finished(live.reports_as_events(live.stream_reports(spark, str(tmp_path / "in"), "2020-01-01")), "append", spark, tmp_path, "reports")

@@ -8,11 +8,41 @@ from pyspark.sql import functions as F
 from deltasieve.operators import corpus as co
 from deltasieve.operators import evals as ev
 from deltasieve.operators import findings as fi
-from deltasieve.options import MergeOptions
 
 SCHEMA = "repo string, pr bigint, seq bigint, file string, line bigint, severity string, sev_rank int, category string, title string, rationale string, suggestion string, raised_by string"
 
 
+def absorbed(rows, window=3, least=0.55):
+    """The merge, told anew: rows in order look back over survivors, as far as lines are near, for one alike."""
+    import re
+
+    survivors = []
+    for row in rows:
+        words = set(re.findall(r"[^\W_]+", row["title"]))
+        for old in survivors[::-1]:
+            known = old["line"] is not None and row["line"] is not None
+            if known and abs(old["line"] - row["line"]) > window:
+                survivors.append(dict(row))
+                break
+            other = set(re.findall(r"[^\W_]+", old["title"]))
+            share = len(words & other) / len(words | other) if words | other else 1.0
+            if old["title"] == row["title"] or share >= least:
+                if row["sev_rank"] > old["sev_rank"]:
+                    old.update(sev_rank=row["sev_rank"], severity=row["severity"])
+                names = (old["raised_by"] or "").split("+") if old["raised_by"] else []
+                if row["raised_by"] and row["raised_by"] not in names:
+                    old["raised_by"] = "+".join([*names, row["raised_by"]])
+                if len(row["rationale"].encode()) > len(old["rationale"].encode()):
+                    old["rationale"] = row["rationale"]
+                if old["suggestion"] is None:
+                    old["suggestion"] = row["suggestion"]
+                old["merged"] += 1
+                break
+        else:
+            survivors.append(dict(row))
+    return survivors
+
+
 def test_merge_equals_the_whole_file_fold(spark):
     rng = random.Random(11)
     words = ["null", "check", "loop", "slow"]
@@ -24,7 +54,7 @@ def test_merge_equals_the_whole_file_fold(spark):
     want = []
     for file in "ab":
         some = sorted((dict(zip(names, r, strict=True)) | {"merged": 1} for r in rows if r[3] == file), key=lambda r: (r["line"] is None, r["line"] or 0, r["title"], r["seq"]))
-        want += fi._absorb(some, MergeOptions())
+        want += absorbed(some)
     key = lambda r: (r["seq"], r["merged"], r["sev_rank"], r["raised_by"], r["rationale"], r["suggestion"])
     got = fi.merge_findings(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(map(str, map(key, got))) == sorted(str(key(r)) for r in want)
@@ -46,6 +76,47 @@ def test_responses(spark):
     assert got == {("a", "critical", "security", 3), ("b", "minor", "performance", None)}
 
 
+def judged(spark, rows):
+    """(pr, seq, severity rank, title, verdict, confidence) as judged findings."""
+    full = [("r", p, s, f"f{s}", 1, list(fi.SEVERITY_RANK)[k], k, "c", t, v, c) for p, s, k, t, v, c in rows]
+    return spark.createDataFrame(full, "repo string, pr bigint, seq bigint, file string, line bigint, severity string, sev_rank int, category string, title string, verdict string, confidence double")
+
+
+def curated(spark, rows, decisions):
+    table = spark.createDataFrame([("r", p, i, a, at) for at, (p, i, a) in enumerate(decisions)], "repo string, pr bigint, index bigint, action string, at bigint")
+    return {(r["pr"], r["seq"]): r["verdict"] for r in fi.apply_curation(judged(spark, rows), table).collect()}
+
+
+def test_curation_numbers_what_would_ship(spark):
+    rows = [(1, 0, 3, "was dropped", "drop", 0.9), (1, 1, 3, "unsure", "keep", 0.2), (1, 2, 2, "major", "keep", 0.9), (1, 3, 1, "minor", "downgrade", 0.9), (1, 4, 0, "nit", "keep", 0.9)]
+    same = {(1, 0): "drop", (1, 1): "keep", (1, 2): "keep", (1, 3): "downgrade", (1, 4): "keep"}
+    assert curated(spark, rows, [(1, 1, "keep")]) == same
+    assert curated(spark, rows, [(1, 1, "keep"), (1, 2, "drop")]) == same | {(1, 3): "drop"}
+    assert curated(spark, rows, [(1, 1, "keep-rest")]) == same
+    assert curated(spark, rows, [(1, 1, "drop-rest")]) == same | {(1, 2): "drop", (1, 3): "drop", (1, 4): "drop"}
+    assert curated(spark, rows, [(1, 1, "drop"), (1, 2, "keep-rest")]) == same | {(1, 2): "drop"}
+    assert curated(spark, rows, [(1, 2, "drop-rest"), (1, 3, "keep")]) == same | {(1, 3): "drop"}
+    assert curated(spark, rows, [(1, 9, "drop"), (2, 1, "drop")]) == same
+    assert curated(spark, rows, [(1, 1, "drop"), (1, 1, "keep")]) == same
+
+
+def test_white_space_in_responses(spark):
+    texts = ['\n\t```json\n{"findings":[{"title":"\\n\\t ","severity":"\\tblocker"}]}\n```\r\n', '{"findings":[{"title":"\\ta\\r\\n","severity":"\\tblocker\\u2003","rationale":"\\n"}]}']
+    d = spark.createDataFrame([("r", 1, i, "security", t) for i, t in enumerate(texts)], "repo string, pr bigint, chunk_idx int, persona string, raw string")
+    assert [(r["title"], r["severity"], r["rationale"]) for r in fi.parse_findings(d).collect()] == [("a", "critical", "")]
+
+
+def test_guidance_block_counts_its_header_and_marks_the_overflow(spark):
+    lines = spark.createDataFrame([("r", i, f"{i}. " + "é" * 20 + "\n") for i in range(1, 6)] + [("q", 1, "1. short\n")], "repo string, place int, line string")
+    size = len(co.HEADER.encode())
+    got = {}
+    for r in co.budget_prefix(lines, size + 100).orderBy("repo", "place").collect():
+        got.setdefault(r["repo"], []).append(r["line"])
+    assert got["q"] == [co.HEADER, "1. short\n"]
+    assert got["r"][:3] == [co.HEADER, "1. " + "é" * 20 + "\n", "2. " + "é" * 20 + "\n"] and got["r"][3:] == ["…\n"]
+    assert co.budget_prefix(lines.limit(0)).count() == 0
+
+
 def test_verdicts_default(spark):
     c = spark.createDataFrame([("r", 1, i) for i in range(3)], "repo string, pr bigint, index bigint")
     raw = json.dumps({"verdicts": [{"index": 0, "verdict": "keep"}, {"index": 0, "verdict": "reject", "confidence": 7}, {"index": 9}]})
