@@ -53,6 +53,11 @@ def format_p(p: Column) -> Column:
     return F.when(p.isNotNull(), F.regexp_replace(shown, r"e([-]?)\+?0*(\d)", "e$1$2"))
 
 
+def short_ref(ref: Column) -> Column:
+    """The first seven characters of a name of a version."""
+    return F.left(ref, F.lit(7))
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

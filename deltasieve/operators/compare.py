@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DASH, basename, format_ns, format_p, format_pct, format_signed_pct
+from ..functions.text import DASH, basename, format_ns, format_p, format_pct, format_signed_pct, short_ref
 from ..options import CompareOptions
 from .stats import mann_whitney, summarize_samples, welch_t
 
@@ -124,6 +124,17 @@ def report_sections(diffs: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("headline", headline).drop("_r", "_i")
 
 
+# Names of the languages in reports.
+LANGUAGE_NAMES = {"ts": "TypeScript", "go": "Go", "rust": "Rust"}
+
+
+def report_header(pairs: DataFrame, keys: list[str], opts: CompareOptions = CompareOptions()) -> DataFrame:
+    """keys, header: the report's second line, of pairs with service, language, base_ref and head_ref."""
+    name = F.coalesce(*[F.when(F.col("language") == k, v) for k, v in LANGUAGE_NAMES.items()], "language")
+    text = F.format_string("Service `%s` (%s) · base `%s` → head `%s` · threshold ±%s · α=%s", "service", name, short_ref(F.col("base_ref")), short_ref(F.col("head_ref")), format_pct(F.lit(opts.threshold)), F.lit(f"{opts.alpha:g}"))
+    return pairs.select(*keys, text.alias("header"))
+
+
 def pair_metrics(metrics: DataFrame, keys: list[str]) -> DataFrame:
     """keys, name, base, head, direction (better, worse, same or null) of metrics other than time.
 

@@ -107,11 +107,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
+def _leading(tokens: Column, least: float) -> Column:
+    """The words of which two token arrays of at least this similarity share one: a marker if there are none.
+
+    They share at least the part least of either one's words; so of its words in order, all but that part and one more.
+    """
+    size = F.size(tokens)
+    n = size - F.ceil(size * least - 1e-9) + 1
+    return F.when(size == 0, F.array(F.lit(""))).otherwise(F.slice(F.array_sort(tokens), F.lit(1), F.greatest(F.lit(1), n).cast("int")))
+
+
 def near_duplicate_pairs(findings: DataFrame, opts: MergeOptions = MergeOptions()) -> DataFrame:
     """repo, pr, file, a, b (seq, a < b) of findings of a file whose lines are near, or one unknown, and titles alike.
 
     Known lines meet by equality on bands as wide as the window: a finding is looked up in its own band and the next
-    lower one. Unknown lines meet all of their file.
+    lower one. Where a line is unknown, titles meet first: alike ones share one of the first words of both, in order, as far as
+    the similarity leaves no other way (see _leading), so that a file's findings aren't all paired.
     """
     rows = findings.select("repo", "pr", "file", "seq", "line", "title", title_tokens(F.col("title")).alias("tokens"))
     band = opts.window + 1
@@ -119,12 +130,13 @@ def near_duplicate_pairs(findings: DataFrame, opts: MergeOptions = MergeOptions(
     left = known.withColumn("band", F.expr(f"line div {band}")).select(*[F.col(c).alias(c if c in ("repo", "pr", "file", "band") else f"{c}_x") for c in [*rows.columns, "band"]])
     right = known.withColumn("band", F.explode(F.array(F.expr(f"line div {band}"), F.expr(f"line div {band} + 1")))).select(*[F.col(c).alias(c if c in ("repo", "pr", "file", "band") else f"{c}_y") for c in [*rows.columns, "band"]])
     near = left.join(right, ["repo", "pr", "file", "band"]).where(f"(line_x - line_y BETWEEN 0 AND {opts.window}) AND (line_x > line_y OR seq_x > seq_y)").drop("band")
-    x = unknown.select("repo", "pr", "file", *[F.col(c).alias(f"{c}_x") for c in ("seq", "line", "title", "tokens")])
-    y = rows.select("repo", "pr", "file", *[F.col(c).alias(f"{c}_y") for c in ("seq", "line", "title", "tokens")])
-    loose = x.join(y, ["repo", "pr", "file"]).where("line_y IS NOT NULL OR seq_x > seq_y")
+    word = F.explode(_leading(F.col("tokens"), opts.similarity)).alias("_word")
+    x = unknown.select("repo", "pr", "file", word, *[F.col(c).alias(f"{c}_x") for c in ("seq", "line", "title", "tokens")])
+    y = rows.select("repo", "pr", "file", word, *[F.col(c).alias(f"{c}_y") for c in ("seq", "line", "title", "tokens")])
+    loose = x.join(y, ["repo", "pr", "file", "_word"]).where("line_y IS NOT NULL OR seq_x > seq_y").drop("_word")
     both = near.unionByName(loose)
     alike = (F.col("title_x") == F.col("title_y")) | (jaccard(F.col("tokens_x"), F.col("tokens_y")) >= opts.similarity)
-    return both.where(alike).select("repo", "pr", "file", F.least("seq_x", "seq_y").alias("a"), F.greatest("seq_x", "seq_y").alias("b"))
+    return both.where(alike).select("repo", "pr", "file", F.least("seq_x", "seq_y").alias("a"), F.greatest("seq_x", "seq_y").alias("b")).distinct()
 
 
 _TOKEN = re.compile(r"[^\W_]+")

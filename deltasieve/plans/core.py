@@ -96,6 +96,13 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.report_sections(by_file, ["file"])
 
 
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header of a comparison of each order's two versions."""
+    ref = lambda c: F.md5(F.col(c).cast("string"))
+    pairs = fx.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("service"), F.lit("rust").alias("language"), ref("o_custkey").alias("base_ref"), ref("o_orderkey").alias("head_ref"))
+    return compare.report_header(pairs, ["o_orderkey"])
+
+
 def metric_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fx.inventory(spark, sf_dir).groupBy("bench", "side", "l_partkey").agg(F.min("ns").alias("value"))
     m = m.select("bench", "side", F.lit("alloc").alias("name"), "value", F.when(F.col("l_partkey") % 3 == 0, True).when(F.col("l_partkey") % 3 == 1, False).alias("lower_is_better"))
@@ -134,6 +141,7 @@ QUERIES = {
     "failing_pairs": failing,
     "report_rows": rows,
     "report_sections": sections,
+    "report_header": headers,
     "pair_metrics": metric_pairs,
     "filter_benches": filtered,
     "split_param": params,
@@ -171,6 +179,7 @@ ORACLE_SQL = {
     "failing_pairs": f"{_D} SELECT file, {_COUNTS}, round(coalesce(sum(delta), 0), 6) AS delta_sum, true AS failed FROM d GROUP BY file HAVING count(*) FILTER (WHERE verdict = 'regression') > 0",
     "report_rows": f"{_D} SELECT bench, {_NS('b_median')} AS base_median, {_NS('h_median')} AS head_median, coalesce({_SIGNED('delta')}, '—') AS delta, CASE WHEN has_b AND has_h AND b_p95 > 0 THEN {_SIGNED('((h_p95 - b_p95) / b_p95)')} ELSE '—' END AS p95_delta, CASE WHEN has_b AND has_h THEN {_PCT('b_cv')} || '→' || {_PCT('h_cv')} ELSE '—' END AS cv, coalesce(CASE WHEN p_value = 0 THEN '0.00e0' ELSE regexp_replace(printf('%.2e', p_value), 'e([-]?)\\+?0*(\\d)', 'e\\1\\2') END, '—') AS p, {_BADGE} AS badge FROM d",
     "report_sections": f"{_D}, g AS (SELECT file, count(*) FILTER (WHERE verdict IN ('regression', 'improvement')) AS significant, count(*) FILTER (WHERE verdict = 'new') AS \"new\", count(*) FILTER (WHERE verdict = 'removed') AS removed, count(*) FILTER (WHERE verdict = 'neutral') AS neutral, count(*) FILTER (WHERE verdict = 'out-of-scope') AS out_of_scope, count(*) FILTER (WHERE neutral_reason = 'too-noisy') AS noisy, count(*) FILTER (WHERE verdict = 'regression') AS r, count(*) FILTER (WHERE verdict = 'improvement') AS i FROM d GROUP BY file) SELECT * EXCLUDE (r, i), 'Performance · ' || CASE WHEN r > 0 THEN r || ' regression' || CASE r WHEN 1 THEN '' ELSE 's' END WHEN i > 0 THEN i || ' improvement' || CASE i WHEN 1 THEN '' ELSE 's' END WHEN \"new\" + removed > 0 THEN 'inventory changed' ELSE 'no significant changes' END AS headline FROM g",
+    "report_header": "SELECT o_orderkey, 'Service `' || o_orderpriority || '` (Rust) · base `' || left(md5(o_custkey::VARCHAR), 7) || '` → head `' || left(md5(o_orderkey::VARCHAR), 7) || '` · threshold ±5% · α=0.05' AS header FROM orders",
     "pair_metrics": f"{_S}, {fx.INVENTORY_SQL}, g AS (SELECT bench, any_value(l_partkey) AS k, min(ns) FILTER (WHERE side = 'base') AS base, min(ns) FILTER (WHERE side = 'head') AS head FROM v GROUP BY bench) SELECT bench, 'alloc' AS name, round(base, 5) AS base, round(head, 5) AS head, CASE WHEN head = base THEN 'same' WHEN k % 3 = 2 OR head IS NULL OR base IS NULL THEN NULL WHEN (head < base) = (k % 3 = 0) THEN 'better' ELSE 'worse' END AS direction FROM g",
     "filter_benches": "SELECT DISTINCT 'p' || l_partkey AS bench FROM lineitem WHERE regexp_matches('p' || l_partkey, '^p1[0-9]*$') AND l_partkey % 3 = 1",
     "split_param": "SELECT DISTINCT CASE WHEN l_partkey % 2 = 0 THEN 'p' || l_partkey || '/' || (l_partkey % 9) || '/x' ELSE 'p' || l_partkey END AS bench, 'p' || l_partkey AS bench_base, CASE WHEN l_partkey % 2 = 0 THEN (l_partkey % 9) || '/x' END AS bench_param FROM lineitem",

@@ -29,6 +29,12 @@ def test_imports_resolve(spark):
     assert got == {("a/x.ts", "a/y.ts"), ("a/x.ts", "a/sub/index.ts"), ("a/x.ts", "b/z.js"), ("g/m.go", "g/pkg/one.go"), ("g/m.go", "g/pkg/two.go"), ("s/lib.rs", "s/inner.rs"), ("s/lib.rs", "s/deep/mod.rs"), ("s/lib.rs", "s/odd.rs"), ("s/lib.rs", "s/inc.rs")}
 
 
+def test_another_extractor(spark):
+    f = files(spark, {"a.ts": "b.ts", "b.ts": ""})
+    own = lambda d: d.where("content <> ''").select("repo", "path", "language", F.concat(F.lit("./"), "content").alias("spec"))
+    assert [(r["src"], r["dst"]) for r in im.import_edges(f, own).collect()] == [("a.ts", "b.ts")]
+
+
 def test_closure_with_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "d"), ("e", "c")], "src string, dst string")
     entries = spark.createDataFrame([("a",), ("d",), ("e",)], "entry string")

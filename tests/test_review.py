@@ -61,6 +61,23 @@ def test_merge_equals_the_whole_file_fold(spark):
     assert sum(r["merged"] for r in got) == 300
 
 
+def test_pairs_equal_all_pairs(spark):
+    import re
+
+    rng = random.Random(12)
+    words = ["null", "check", "loop", "slow", "index", "off"]
+    rows = [("r", 1, i, rng.choice("ab"), rng.choice([None, None, *range(0, 30)]), "nit", 0, "c", " ".join(rng.choices(words, k=rng.randint(0, 5))), "", None, None) for i in range(150)]
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[2] < y[2] and x[3] == y[3] and (None in (x[4], y[4]) or abs(x[4] - y[4]) <= 3):
+                s, t = (set(re.findall(r"[^\W_]+", z[8])) for z in (x, y))
+                if x[8] == y[8] or not s | t or len(s & t) / len(s | t) >= 0.55:
+                    want.add((x[3], x[2], y[2]))
+    got = [(r["file"], r["a"], r["b"]) for r in fi.near_duplicate_pairs(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_responses(spark):
     texts = [
         '```json\n{"findings":[{"title":" a ","severity":"BLOCKER","line":3}]}\n```',
