@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, chat, embedding_dedup, exact_dedup, langid, lm_scoring, mixing, quality, simhash, substring_dedup
+from . import alignment, bpe, chat, embedding_dedup, exact_dedup, langid, lm_scoring, mixing, quality, simhash, substring_dedup, trie
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_quality": quality.op10_quality,
     "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_prefix_trie": trie.op12_prefix_trie,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op7_chat_preferences": chat.OP7_SQL,
     "op9_embedding_dedup": embedding_dedup.OP9_SQL,
+    "op12_prefix_trie": trie.OP12_SQL,
 }
