@@ -389,7 +389,7 @@ def _align(docs: DataFrame, vocabulary: str, pattern: str, model: str, frequent:
 
     asked = encoded.mapInArrow(rare, "k bigint, pair bigint, m int")
     tail = asked.join(counts.where(~often), "pair").groupBy("k").agg(F.sum(F.col("m") * F.col("n")).alias("tail_sum"), F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("tail_best"))
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", *(["groups"] if texts else []), "groups_sha256"]
+    names = ["k", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", *(["groups"] if texts else []), "groups_sha256"]
     kinds = {"groups": "string", "groups_sha256": "string"}
 
     def work(batches: Iterator) -> Iterator:
@@ -398,26 +398,24 @@ def _align(docs: DataFrame, vocabulary: str, pattern: str, model: str, frequent:
         pairs, n, best = shared.value
         writer = Writer(ids)
         for batch in batches:
-            extra = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tail_sum", "tail_best")]
-            at = 0
+            k, at = batch.column("k"), 0
             for own, a, b in _chunks(iter([batch])):
                 found = Aligned(a, b, size_a, size_b)
-                where = np.minimum(np.searchsorted(pairs, found.pairs), max(len(pairs) - 1, 0))
                 hit = ~_missing(pairs, found.pairs)
-                doc, where = found.doc[hit], where[hit]
+                doc, where = found.doc[hit], np.searchsorted(pairs, found.pairs[hit])
                 sums, bests = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
                 np.add.at(sums, doc, n[where])
                 np.add.at(bests, doc, best[where])
-                links = np.bincount(found.doc, minlength=len(own))
                 shown = list(writer.write(found))
                 columns = {
+                    "k": k.slice(at, len(own)),
                     "doc_id": pa.array(own, pa.int64()),
                     "n_a": pa.array(found.n_a),
                     "n_b": pa.array(found.n_b),
                     "n_groups": pa.array([g for g, _ in shown], pa.int64()),
-                    "n_links": pa.array(links.astype(np.int64)),
-                    "n_best": pa.array(bests + extra[1][at : at + len(own)]),
-                    "count_sum": pa.array(sums + extra[0][at : at + len(own)]),
+                    "n_links": pa.array(np.bincount(found.doc, minlength=len(own)).astype(np.int64)),
+                    "n_best": pa.array(bests),
+                    "count_sum": pa.array(sums),
                     "groups_sha256": pa.array([hashlib.sha256(s).hexdigest() if s else "" for _, s in shown], pa.string()),
                 }
                 if texts:
@@ -425,8 +423,10 @@ def _align(docs: DataFrame, vocabulary: str, pattern: str, model: str, frequent:
                 yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
                 at += len(own)
 
-    whole = encoded.join(tail, "k", "left").na.fill(0, ["tail_sum", "tail_best"])
-    return whole.select("doc_id", "a", "b", "tail_sum", "tail_best").mapInArrow(work, ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in names))
+    # Only these results meet the rare pairs' counts: ids stay where they are.
+    rows = encoded.mapInArrow(work, ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in names)).join(tail, "k", "left")
+    rare_too = {c: F.col(c) + F.coalesce(t, F.lit(0)) for c, t in (("n_best", "tail_best"), ("count_sum", "tail_sum"))}
+    return rows.withColumns(rare_too).select(names[1:])
 
 
 def _missing(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
