@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, chat, embedding_dedup, exact_dedup, langid, lm_scoring, mixing, quality, simhash, substring_dedup, trie
+from . import alignment, bpe, chat, embedding_dedup, exact_dedup, langid, lm_scoring, mixing, quality, simhash, substring_dedup, suffix_dedup, trie
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_token_alignment": alignment.op11_token_alignment,
     "op12_prefix_trie": trie.op12_prefix_trie,
+    "op13_suffix_array": suffix_dedup.op13_suffix_array,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op7_chat_preferences": chat.OP7_SQL,
     "op9_embedding_dedup": embedding_dedup.OP9_SQL,
     "op12_prefix_trie": trie.OP12_SQL,
+    "op13_suffix_array": suffix_dedup.OP13_SQL,
 }
