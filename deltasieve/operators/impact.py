@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import glob_to_regex, normalize_path, strip
 from ..sources.shared import settled
+from .graphs import numbered, spread
 
 # Globs of benchmark files and source extensions of each language, folders that are never entered.
 BENCH_GLOBS = {"ts": ("**/*.bench.ts", "**/*.bench.js"), "go": ("**/*_bench_test.go",), "rust": ("**/benches/**/*.rs",)}
@@ -98,43 +99,51 @@ def import_edges(files: DataFrame, extractor: Callable[[DataFrame], DataFrame] =
     return resolve_imports(relative_only(extractor(files)), files)
 
 
-def _closure(edges: DataFrame, start: DataFrame, rounds: int, compact: int = 8) -> DataFrame:
-    """All of start's rows (.., node) and those reached over edges (src, dst, and the other columns of start that edges has).
+def _keys(edges: DataFrame) -> list[str]:
+    return [c for c in ("repo",) if c in edges.columns]
 
-    A frontier at a time: new nodes are those joined to the last ones and not seen before. Each frontier is written to
-    shared files; after some rounds what was seen is written anew as one table, so that few tables are read in a
-    round, however deep the graph. Raises if nodes are still found after so many rounds, rather than return a part.
+
+def _spelled(labels: DataFrame, ids: DataFrame, keys: list[str], columns: list[Column]) -> DataFrame:
+    """Labels as rows again: each set's members by ids (keys, word, bits and what they number)."""
+    on = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys], F.col("l.word") == F.col("i.word"))
+    rows = labels.alias("l").join(ids.alias("i"), on).where(F.col("l.bits").bitwiseAND(F.col("i.bits")) != 0)
+    return rows.select(*[F.col(f"l.{k}").alias(k) for k in keys], *columns)
+
+
+def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """entry, node (and repo, if edges have it): what each entry leads to, itself included.
+
+    All entries of a repository are numbered and spread along the edges at once, as sets of bits; see graphs.spread.
+    """
+    keys = _keys(edges)
+    ids = settled(numbered(entries, keys, ["entry"]), "entries")
+    back = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    labels = spread(back, ids.withColumnRenamed("entry", "node"), keys)
+    return _spelled(labels, ids, keys, [F.col("i.entry").alias("entry"), F.col("l.node").alias("node")])
+
+
+def affected_entries(edges: DataFrame, entries: DataFrame, changed: DataFrame) -> DataFrame:
+    """Entries that lead to a changed node or are one; where changed has a pr, those of each review, with its pr.
+
+    One spread against the edges serves all entries and all reviews: a node's label is the set of reviews whose changes it leads to.
     """
-    keys = start.columns
-    on = [c for c in keys if c != "node" and c in edges.columns]
-    seen = frontier = settled(start.distinct(), "frontier")
-    for turn in range(1, rounds + 1):
-        step = frontier.join(edges.withColumnRenamed("src", "node"), [*on, "node"]).drop("node").withColumnRenamed("dst", "node").select(keys)
-        frontier = settled(step.distinct().join(seen, keys, "left_anti"), "frontier")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-        if turn % compact == 0:
-            seen = settled(seen.repartition(*keys), "seen")
-    raise RuntimeError(f"the graph is deeper than {rounds} links")
-
-
-def reachable(edges: DataFrame, entries: DataFrame, rounds: int = 200) -> DataFrame:
-    """entry, node (and repo, if edges have it): what each entry leads to, itself included."""
-    repo = [c for c in ("repo",) if c in edges.columns]
-    return _closure(edges, entries.select(*repo, "entry", F.col("entry").alias("node")), rounds)
-
-
-def affected_entries(edges: DataFrame, entries: DataFrame, changed: DataFrame, rounds: int = 200) -> DataFrame:
-    """Entries that lead to a changed node or are one: one backward closure serves all entries."""
-    repo = [c for c in ("repo",) if c in edges.columns]
-    back = edges.select(*repo, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    hit = _closure(back, changed.select(*repo, "node"), rounds)
-    return entries.join(hit.withColumnRenamed("node", "entry"), [*repo, "entry"], "left_semi")
+    keys = _keys(edges)
+    if "pr" not in changed.columns:
+        seeds = changed.select(*keys, "node", F.lit(0).cast("bigint").alias("word"), F.lit(1).cast("bigint").alias("bits"))
+        return entries.join(spread(edges, seeds, keys).select(*keys, F.col("node").alias("entry")), [*keys, "entry"], "left_semi")
+    ids = settled(numbered(changed, keys, ["pr"]), "reviews")
+    seeds = changed.select(*keys, "pr", "node").distinct().join(ids, [*keys, "pr"])
+    labels = spread(edges, seeds, keys)
+    hit = labels.join(entries.select(*keys, F.col("entry").alias("node")).distinct(), [*keys, "node"], "left_semi")
+    told = _spelled(hit, ids, keys, [F.col("i.pr").alias("pr"), F.col("l.node").alias("entry")])
+    return entries.join(told, [*keys, "entry"])
 
 
 def scope_files(discovered: DataFrame, affected: DataFrame, changed: DataFrame) -> DataFrame:
-    """role (changed, ran, skipped) and path, with the other columns that all three tables share."""
+    """role (changed, ran, skipped) and path, with the other columns that affected and changed share: those of each review, if both have a pr."""
+    if "pr" in affected.columns and "pr" not in discovered.columns:
+        reviews = changed.select(*[c for c in ("repo", "pr") if c in changed.columns]).distinct()
+        discovered = discovered.join(reviews, "repo") if "repo" in discovered.columns else discovered.crossJoin(reviews)
     keys = [c for c in discovered.columns if c in affected.columns]
     roles = ((changed, "changed"), (affected, "ran"), (discovered.join(affected, keys, "left_anti"), "skipped"))
     return reduce(DataFrame.unionByName, [d.select(F.lit(role).alias("role"), *keys) for d, role in roles])

@@ -42,8 +42,6 @@ def test_closure_with_cycles(spark):
     assert got == {("a", "a"), ("a", "b"), ("a", "c"), ("d", "d"), ("e", "e"), ("e", "c"), ("e", "a"), ("e", "b")}
     changed = spark.createDataFrame([("b",)], "node string")
     assert {r["entry"] for r in im.affected_entries(edges, entries, changed).collect()} == {"a", "e"}
-    with pytest.raises(RuntimeError):
-        im.reachable(edges, entries, rounds=1)
 
 
 def test_paths_and_globs(spark):
@@ -209,6 +207,63 @@ def test_closure_of_a_long_chain(spark):
     assert im.reachable(edges, spark.createDataFrame([(0,), (15,)], "entry bigint")).count() == 21 + 6
 
 
+def reach(edges, node):
+    seen, todo = {node}, [node]
+    while todo:
+        for b in edges.get(todo.pop(), ()):
+            if b not in seen:
+                seen.add(b)
+                todo.append(b)
+    return seen
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reviews_of_random_graphs(spark, seed):
+    """Chains, circles and bushes of two repositories, the second one with reviews of its own; 70 reviews need two words."""
+    rng = random.Random(seed)
+    rows, changed = set(), set()
+    for repo, n, links, reviews in (("r", 60, 50 + 20 * seed, 70), ("q", 40, 39, 2)):
+        rows |= {(repo, f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(links)}
+        rows |= {(repo, f"c{i}", f"c{(i + 1) % 30}") for i in range(29 + seed % 2)} | {(repo, "n1", "c5"), (repo, "c20", "n2")}
+        changed |= {(repo, pr, rng.choice(["n", "c"]) + str(rng.randrange(n))) for pr in range(reviews) for _ in range(2)}
+    entries = {(repo, f"{x}{i}") for repo in "rq" for x in "nc" for i in range(0, 30, 3)}
+    e = spark.createDataFrame(sorted(rows), "repo string, src string, dst string")
+    t = spark.createDataFrame(sorted(entries), "repo string, entry string")
+    graph = {}
+    for repo, a, b in rows:
+        graph.setdefault((repo, a), []).append((repo, b))
+    got = {tuple(r) for r in im.affected_entries(e, t, spark.createDataFrame(sorted(changed), "repo string, pr bigint, node string")).select("repo", "pr", "entry").collect()}
+    ways = {x: reach(graph, x) for x in entries}
+    assert got == {(repo, pr, x) for repo, pr, node in changed for r, x in entries if r == repo and (repo, node) in ways[(r, x)]}
+    got = [tuple(r) for r in im.reachable(e, t).select("repo", "entry", "node").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(r, x, node) for (r, x), all_ in ways.items() for _, node in all_}
+
+
+def test_a_thousand_reviews_over_a_chain_of_ten_thousand(spark):
+    n = 10_000
+    edges = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    changed = spark.range(1000).select(F.col("id").alias("pr"), (F.col("id") * 10).alias("node"))
+    hit = im.affected_entries(edges, spark.createDataFrame([(0,), (5000,), (9990,), (10_000,)], "entry bigint"), changed)
+    assert {r["entry"]: r["n"] for r in hit.groupBy("entry").agg(F.count("*").alias("n")).collect()} == {0: 1000, 5000: 500, 9990: 1}
+
+
+def test_components_of_chains_and_stars(spark):
+    from deltasieve.operators import graphs
+
+    links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(20, 60)] + [(3, 3), (1, 2), (2, 1)]
+    got = {r["node"]: r["root"] for r in graphs.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(20, 60)]} | {1: 1, 2: 1}
+    assert graphs.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_scope_of_two_reviews(spark):
+    found = spark.createDataFrame([("r", "a"), ("r", "b"), ("q", "a")], "repo string, path string")
+    ran = spark.createDataFrame([("r", 1, "a")], "repo string, pr bigint, path string")
+    changed = spark.createDataFrame([("r", 1, "x"), ("r", 2, "y")], "repo string, pr bigint, path string")
+    got = {(r["role"], r["pr"], r["path"]) for r in im.scope_files(found, ran, changed).collect()}
+    assert got == {("changed", 1, "x"), ("changed", 2, "y"), ("ran", 1, "a"), ("skipped", 1, "b"), ("skipped", 2, "a"), ("skipped", 2, "b")}
+
+
 def test_truncate_and_fit(spark):
     d = spark.createDataFrame([("a\n" * 50,), ("short",)], "t string")
     cut = [r[0] for r in d.select(tx.truncate_middle(F.col("t"), 20)).collect()]
