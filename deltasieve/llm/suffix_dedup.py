@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,8 +22,8 @@ GRAMS = (20, 90, LENGTH)
 COMMON = 1000
 #: Anchors and bytes of fragments that a task holds before it sends them on, bytes that go into a suffix array.
 ASKED, HELD, SORTED = 1_000_000, 24_000_000, 2_000_000
-#: Shares among which the rows of one text are dealt.
-SALTS = 32
+#: Shares among which the rows of one text are dealt, and groups of anchors for each task of the sorting.
+SALTS, SLOTS = 32, 8
 _MOST = np.iinfo(np.uint64).max
 
 
@@ -245,8 +246,8 @@ def _questions(length: int, grams: tuple[int, ...]):
         n = np.concatenate([np.where(many, 2, 1)[once], count[count > 1]]).astype(np.int64)
         m = np.concatenate([np.where(many, 0, 1)[once], kinds[count > 1]]).astype(np.int64)
         null = np.arange(len(key)) >= once.sum()
-        asks = [np.concatenate([k[once], np.zeros(len(tell), np.int64)]) for k in (k1, k2)]
-        columns = [pa.array(key.view(np.int64)), pa.array(np.concatenate([h[once], h[tell]]).view(np.int64)), pa.array(n), pa.array(m), *(pa.array(a, mask=null) for a in asks)]
+        asks = [pa.array(np.concatenate([k[once], np.zeros(len(tell), np.int64)]), kind, mask=null) for k, kind in ((k1, pa.int64()), (k2, pa.int32()))]
+        columns = [pa.array(key.view(np.int64)), pa.array(np.concatenate([h[once], h[tell]]).view(np.int64)), pa.array(n), pa.array(m), *asks]
         return pa.RecordBatch.from_arrays(columns, ["key", "h", "n", "m", "k1", "k2"])
 
     def work(batches: Iterator) -> Iterator:
@@ -272,22 +273,45 @@ def _questions(length: int, grams: tuple[int, ...]):
     return work
 
 
-def _fragments(length: int, grams: tuple[int, ...]):
-    """Rows (key, id, k1, k2, pos, n, part): fragments of n strings that may repeat, by anchor; without part, strings that do.
+def _packed(rows: list[tuple], parts: list[bytes]) -> bytes:
+    """Fragments (or, without parts, strings known to start earlier) as one compressed value: key, id, k1, k2, pos, n of each."""
+    sizes = np.array([len(p) for p in parts], np.int32)
+    head = np.array([len(rows), len(parts)], np.int64)
+    return zlib.compress(b"".join([head.tobytes(), np.array(rows, np.int64).T.tobytes(), sizes.tobytes(), *parts]), 1)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """(six columns, parts) of what _packed() made."""
+    data = zlib.decompress(data)
+    n, m = np.frombuffer(data, np.int64, 2)
+    columns = np.frombuffer(data, np.int64, 6 * n, 16).reshape(6, n)
+    ends = np.cumsum(np.frombuffer(data, np.int32, m, 16 + 48 * n), dtype=np.int64) + 16 + 48 * n + 4 * m
+    cuts = [int(16 + 48 * n + 4 * m), *ends.tolist()]
+    return columns, [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def _fragments(length: int, grams: tuple[int, ...], slots: int):
+    """Rows (slot, data): packed fragments of strings that may repeat, by anchor, and strings that do.
 
     Of equal fragments that a task holds, only the earliest goes on; the others' strings are known to start earlier.
     """
-    names = ["key", "id", "k1", "k2", "pos", "n", "part"]
 
-    def rows(found: list[tuple]):
+    def flush(held: dict[bytes, tuple], known: list[tuple]):
         import pyarrow as pa
 
-        kinds = [*(pa.int64(),) * 6, pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+        by_slot: dict[int, tuple[list, list]] = {}
+        for part, row in held.items():
+            rows, parts = by_slot.setdefault(row[0] % slots, ([], []))
+            rows.append(row)
+            parts.append(part)
+        out = [(slot, _packed(*both)) for slot, both in by_slot.items()]
+        if known:
+            out.append((known[0][2] % slots, _packed(known, [])))
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["slot", "data"])
 
     def work(batches: Iterator) -> Iterator:
         held: dict[bytes, tuple] = {}
-        size, out = 0, []
+        size, known = 0, []
         fields = ["id", "k1", "k2", *(f"{kind}{g}" for g in grams for kind in ("rare", "common"))]
         for texts, ids, k1, k2, *answers in chunked(batches, fields, 1_000_000):
             chunk = Chunk(texts, length)
@@ -299,85 +323,95 @@ def _fragments(length: int, grams: tuple[int, ...]):
                 for anchor, d, start, pos, n in zip(h[rare].view(np.int64).tolist(), doc.tolist(), first[rare].tolist(), places.tolist(), count[rare].tolist(), strict=True):
                     part = chunk.blob[start : start + n + length - 1]
                     row = (anchor, ids[d], k1[d], k2[d], pos, n)
-                    other = held.get(part)
-                    if other is None:
-                        held[part] = row
+                    other = held.setdefault(part, row)
+                    if other is row:
                         size += len(part)
                     elif row[1:5] < other[1:5]:
                         held[part] = row
-                        out.append((other[2], *other[1:], None))
+                        known.append(other)
                     else:
-                        out.append((row[2], *row[1:], None))
-                known = _union(answers[2 * i + 1])
-                if not len(known):
+                        known.append(row)
+                common = _union(answers[2 * i + 1])
+                if not len(common):
                     break
-                hot = _among(h, known)
+                hot = _among(h, common)
                 chunk.narrow(first[hot], count[hot])
-            if size >= HELD or len(out) >= 100_000:
-                out += [(*row, part) for part, row in held.items()] if size >= HELD else []
+            if size >= HELD or len(known) >= 200_000:
+                yield flush(held if size >= HELD else {}, known)
+                known = []
                 if size >= HELD:
                     held, size = {}, 0
-                yield rows(out)
-                out = []
-        out += [(*row, part) for part, row in held.items()]
-        if out:
-            yield rows(out)
+        if held or known:
+            yield flush(held, known)
 
     return work
 
 
 def _sort(length: int):
-    """Rows (k1, k2, pos, n) of strings that start earlier, from all fragments of some anchors, which come sorted by key."""
+    """Rows (k1, k2, pos, n) of strings that start earlier, from all fragments of some anchors, which come sorted by slot."""
 
-    def solve(held: list[dict]):
-        import pyarrow as pa
-
-        rows = {name: [x for part in held for x in part[name]] for name in held[0]}
-        later = [i for i, part in enumerate(rows["part"]) if part is None]
-        out = [tuple(rows[c][i] for c in ("k1", "k2", "pos", "n")) for i in later]
+    def solve(rows: np.ndarray, parts: list[bytes], out: list[np.ndarray]) -> None:
+        """Fragments of whole anchors: equal ones count once, by the earliest; the others go into a suffix array."""
+        place = list(zip(*rows[1:5].tolist(), strict=True))
         known: dict[bytes, int] = {}
-        place = list(zip(rows["id"], rows["k1"], rows["k2"], rows["pos"], strict=True))
-        for i, part in enumerate(rows["part"]):
-            if part is None:
-                continue
+        again = []
+        for i, part in enumerate(parts):
             other = known.setdefault(part, i)
             if other != i:
                 first, second = (i, other) if place[i] < place[other] else (other, i)
                 known[part] = first
-                out.append((*place[second][1:], rows["n"][second]))
-        if known:
-            at = list(known.values())
-            order = np.empty(len(at), np.int64)
-            order[sorted(range(len(at)), key=lambda j: place[at[j]])] = np.arange(len(at))
-            of, first, n = repeated(list(known), np.array([rows["n"][i] for i in at], np.int64), order, length)
-            out += [(rows["k1"][at[f]], rows["k2"][at[f]], rows["pos"][at[f]] + o, c) for f, o, c in zip(of.tolist(), first.tolist(), n.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["k1", "k2", "pos", "n"])
+                again.append(second)
+        at = np.array([*known.values()], np.int64)
+        order = np.empty(len(at), np.int64)
+        order[np.lexsort(rows[4:0:-1, at])] = np.arange(len(at))
+        of, first, n = repeated(list(known), rows[5, at], order, length)
+        found = rows[2:6, at[of]].copy()
+        found[2] += first
+        found[3] = n
+        out += [rows[2:6, again], found]
+
+    def finish(held: list[tuple[np.ndarray, list[bytes]]]):
+        import pyarrow as pa
+
+        out = [rows[2:6] for rows, parts in held if not parts]
+        held = [h for h in held if h[1]]
+        if held:
+            rows, parts = np.concatenate([h[0] for h in held], 1), [p for h in held for p in h[1]]
+            order = np.argsort(rows[0], kind="stable")
+            rows, parts = rows[:, order], [parts[i] for i in order.tolist()]
+            upto = np.cumsum([len(p) for p in parts])
+            edges = np.append(np.flatnonzero(np.diff(rows[0])) + 1, len(parts))  # ends of anchors
+            begin = 0
+            while begin < len(parts):
+                # As many anchors as fit in an array; one of them at least.
+                room = (upto[begin - 1] if begin else 0) + SORTED
+                fit = edges[(edges > begin) & (upto[edges - 1] <= room)]
+                end = int(fit[-1]) if len(fit) else int(edges[edges > begin][0])
+                solve(rows[:, begin:end], parts[begin:end], out)
+                begin = end
+        k1, k2, pos, n = np.concatenate(out, 1)
+        return pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2.astype(np.int32)), pa.array(pos), pa.array(n)], ["k1", "k2", "pos", "n"])
 
     def work(batches: Iterator) -> Iterator:
-        held: list[dict] = []
-        size = 0
+        held: list[tuple[np.ndarray, list[bytes]]] = []
+        at = None
         for batch in batches:
-            now = {name: batch.column(name).to_pylist() for name in ("key", "id", "k1", "k2", "pos", "n", "part")}
-            keys, at = now["key"], 0
-            for i in range(len(keys)):
-                before = keys[i - 1] if i else held[-1]["key"][-1] if held else keys[0]
-                if size >= SORTED and keys[i] != before:
-                    held.append({c: v[at:i] for c, v in now.items()})
-                    yield solve([h for h in held if h["key"]])
-                    held, size, at = [], 0, i
-                size += len(now["part"][i] or b"")
-            held.append({c: v[at:] for c, v in now.items()})
-        held = [h for h in held if h["key"]]
+            for slot, data in zip(batch.column("slot").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if slot != at and held:
+                    yield finish(held)
+                    held = []
+                at = slot
+                held.append(_unpacked(data))
         if held:
-            yield solve(held)
+            yield finish(held)
 
     return work
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # The second hash begins with another seed: the two are 128 bits of the text.
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text"), "size": F.octet_length("text").cast("bigint")})
+    # Two unlike hashes: 96 bits of the text.
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.hash("text"), "size": F.octet_length("text").cast("bigint")})
 
 
 def _answers(asked: DataFrame, gram: int, common: int) -> DataFrame:
@@ -385,7 +419,9 @@ def _answers(asked: DataFrame, gram: int, common: int) -> DataFrame:
     dealt = asked.repartition(partitions(asked.sparkSession), "key")
     again = dealt.withColumn("met", F.sum("n").over(Window.partitionBy("key"))).where("met > 1 AND k1 IS NOT NULL").select("h", "k1", "k2")
     # A row from each hold at most has m, so that these sums are of few rows; what is too common has over `common` of all surroundings.
-    hot = F.broadcast(dealt.where("m > 0").groupBy("key").agg(F.sum("m").alias("m")).where(F.col("m") > common).select(F.col("key").alias("hot")))
+    # All columns are asked about, with conditions that always hold, so that both plans read one exchange.
+    sums = dealt.groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.max("h").alias("h"), F.count("k1").alias("c1"), F.count("k2").alias("c2"))
+    hot = F.broadcast(sums.where((F.col("m") > common) & (F.col("n") >= F.col("m")) & (F.col("n") >= F.col("c1")) & (F.col("n") >= F.col("c2")) & (F.col("h") == F.col("key"))).select(F.col("key").alias("hot")))
     marked = again.join(hot, F.col("h") == F.col("hot"), "left")
     lists = [F.collect_list(F.when(F.col("hot").isNull(), F.col("h"))).alias(f"rare{gram}"), F.collect_list("hot").alias(f"common{gram}")]
     return marked.groupBy("k1", "k2").agg(*lists)
@@ -445,14 +481,14 @@ def _run(docs: DataFrame, length: int, grams: tuple[int, ...], common: int | Non
         asking = whole.select("k1", "k2", "text")
         for old, known in zip(grams, answers, strict=False):
             asking = asking.join(known.where(F.size(f"common{old}") > 0).select("k1", "k2", f"common{old}"), ["k1", "k2"])
-        asked = asking.mapInArrow(_questions(length, grams[: i + 1]), "key bigint, h bigint, n bigint, m bigint, k1 bigint, k2 bigint")
+        asked = asking.mapInArrow(_questions(length, grams[: i + 1]), "key bigint, h bigint, n bigint, m bigint, k1 bigint, k2 int")
         answers.append(_answers(asked, gram, common if gram < length else 1 << 62))
     # A null doc_id comes before all others.
     named = whole.select("k1", "k2", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "text").join(answers[0], ["k1", "k2"])
     found = reduce(lambda a, b: a.join(b, ["k1", "k2"], "left"), answers[1:], named)
-    parts = found.mapInArrow(_fragments(length, grams), "key bigint, id bigint, k1 bigint, k2 bigint, pos bigint, n bigint, part binary")
-    dealt = parts.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    later = dealt.mapInArrow(_sort(length), "k1 bigint, k2 bigint, pos bigint, n bigint")
+    parts = found.mapInArrow(_fragments(length, grams, SLOTS * partitions(spark)), "slot int, data binary")
+    dealt = parts.repartition(partitions(spark), "slot").sortWithinPartitions("slot")
+    later = dealt.mapInArrow(_sort(length), "k1 bigint, k2 int, pos bigint, n bigint")
     spans = later.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
     last = "kept binary" if texts else "kept_sha256 string"
     kept = whole.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(_remover(length, texts), f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {last}")
@@ -478,7 +514,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...]
 
     A null text is empty. A row whose text stands in an earlier row loses all of it (nothing if it is shorter than length).
     A null doc_id comes first; rows that share a doc_id are in order of a hash of their texts; of equal rows one
-    is first. Texts are told apart by 128 bits of hash, strings by their bytes. A text of any length goes through as one
+    is first. Texts are told apart by 96 bits of hash, strings by their bytes. A text of any length goes through as one
     row. Other columns play no part; an empty table gives no rows. length must be 8 at least.
     """
     return _run(docs, length, grams, common, True)
