@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import itertools
-import re
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..options import MergeOptions
+from ..sources.shared import settled
+from .graphs import components
 
 SEVERITY_RANK = {"nit": 0, "minor": 1, "major": 2, "critical": 3}
 # Spellings of severities, categories and verdicts.
@@ -97,8 +97,8 @@ def parse_verdicts(responses: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def title_tokens(c: Column) -> Column:
-    """The distinct words of a title, in its own case."""
-    return F.array_distinct(F.filter(F.split(c, r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != ""))
+    """The distinct words of a title, in its own case; none of a null one."""
+    return F.array_distinct(F.filter(F.split(F.coalesce(c, F.lit("")), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -107,105 +107,195 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def _leading(tokens: Column, least: float) -> Column:
-    """The words of which two token arrays of at least this similarity share one: a marker if there are none.
+def _meeting(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """rows with low, high, word: under which those of a key that can be alike meet, few others do, and all with no words.
 
-    They share at least the part least of either one's words; so of its words in order, all but that part and one more.
+    Two arrays of m and n words that are alike have s = least / (1 + least) * (m + n) words in common, so that each one's first
+    m - s + 1 (or n - s + 1) words hold one of these, whatever the order of words. Words that few of the key's rows
+    have come first. low and high are the sizes m and n that a row meets another for.
     """
-    size = F.size(tokens)
-    n = size - F.ceil(size * least - 1e-9) + 1
-    return F.when(size == 0, F.array(F.lit(""))).otherwise(F.slice(F.array_sort(tokens), F.lit(1), F.greatest(F.lit(1), n).cast("int")))
+    named = rows.select(*keys, "node", F.posexplode("tokens").alias("_at", "word"))
+    rare = named.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("_rows"))
+    ranked = named.join(rare, [*keys, "word"]).groupBy(*keys, "node").agg(F.sort_array(F.collect_list(F.struct("_rows", "word"))).alias("_words"))
+    n = F.size("tokens")
+    sizes = F.when(n == 0, F.array(F.lit(0))).otherwise(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int")))
+    each = rows.join(ranked, [*keys, "node"], "left").withColumn("_other", F.explode(sizes))
+    first = n - F.ceil(least / (1 + least) * (n + F.col("_other")) - 1e-9) + 1
+    words = F.when(n == 0, F.array(F.lit(""))).otherwise(F.transform(F.slice("_words", F.lit(1), F.greatest(F.lit(0), first).cast("int")), lambda w: w["word"]))
+    return each.select(*rows.columns, F.least(n, "_other").alias("low"), F.greatest(n, "_other").alias("high"), F.explode(words).alias("word"))
+
+
+FILE = ["repo", "pr", "file"]
+
+
+def _close(rows: DataFrame, opts: MergeOptions) -> DataFrame:
+    """a, b (nodes, a < b) and the keys of rows (keys, node, line, tokens) of a file whose lines are near and titles alike.
+
+    Lines meet by equality on bands as wide as the window: a row is looked up in its own band and the next lower one.
+    """
+    band = opts.window + 1
+    known = rows.where("line IS NOT NULL").withColumn("band", F.expr(f"line div {band}"))
+    x = known.select(*FILE, "band", *[F.col(c).alias(f"{c}_x") for c in ("node", "line", "tokens")])
+    y = known.select(*FILE, F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), *[F.col(c).alias(f"{c}_y") for c in ("node", "line", "tokens")])
+    near = x.join(y, [*FILE, "band"]).where(f"(line_x - line_y BETWEEN 0 AND {opts.window}) AND (line_x > line_y OR node_x > node_y)")
+    return near.where(jaccard(F.col("tokens_x"), F.col("tokens_y")) >= opts.similarity).select(*FILE, F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+
+
+BLOCK = [*FILE, "low", "high", "word"]
+
+
+def _met_without_line(rows: DataFrame, opts: MergeOptions) -> DataFrame:
+    """The rows of files that have any without a line, under the words by which titles meet."""
+    files = rows.where("line IS NULL").select(*FILE).distinct()
+    return _meeting(rows.join(files, FILE, "left_semi").select(*FILE, "node", "line", "tokens"), FILE, opts.similarity)
+
+
+def _alike(x: DataFrame, y: DataFrame, opts: MergeOptions) -> DataFrame:
+    """a, b of the rows of x and those of y that meet and whose titles are alike, once for each word by which they meet."""
+    left = x.select(*BLOCK, F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
+    right = y.select(*BLOCK, F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
+    return left.join(right, BLOCK).where((F.col("a") != F.col("b")) & (jaccard(F.col("tokens_a"), F.col("tokens_b")) >= opts.similarity)).select(*FILE, "a", "b")
+
+
+def _loose(rows: DataFrame, opts: MergeOptions) -> DataFrame:
+    """a, b (nodes, a < b) and the keys of rows of a file of which one has no line, and whose titles are alike."""
+    met = _met_without_line(rows, opts)
+    late = met.where("line IS NULL")
+    with_line = _alike(met.where("line IS NOT NULL"), late, opts)
+    both = with_line.unionByName(_alike(late, late, opts).where("a < b"))
+    return both.select(*FILE, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _late_gone(met: DataFrame, opts: MergeOptions, rounds: int = 2) -> DataFrame:
+    """node: the rows without a line that an earlier surviving row takes in; met has them and the surviving rows with a line.
+
+    First go those alike to a row with a line. Of the others, one that comes first under all its words survives: those alike to
+    it go, so that many alike titles aren't paired with one another. What is left after some rounds of that is paired.
+    """
+    left = met.where("line IS NULL")
+    found: list[DataFrame] = []
+    sure = met.where("line IS NOT NULL")
+    for turn in range(rounds + 1):
+        gone = settled(_alike(sure, left, opts).select(F.col("b").alias("node")).distinct(), "gone")
+        found.append(gone)
+        if turn:
+            left = left.join(sure.select("node").distinct(), "node", "left_anti")
+        left = settled(left.join(gone, "node", "left_anti"), "left")
+        if turn == rounds or left.isEmpty():
+            break
+        first = left.groupBy(*BLOCK).agg(F.min("node").alias("_first"))
+        others = left.join(first, BLOCK).where("node > _first").select("node").distinct()
+        sure = settled(left.join(others, "node", "left_anti"), "sure")
+    pairs = _alike(left, left, opts).where("a < b").select("a", "b").distinct()
+    return reduce(DataFrame.unionByName, [*found, _not_surviving(settled(pairs, "pairs"))])
 
 
 def near_duplicate_pairs(findings: DataFrame, opts: MergeOptions = MergeOptions()) -> DataFrame:
     """repo, pr, file, a, b (seq, a < b) of findings of a file whose lines are near, or one unknown, and titles alike.
 
-    Known lines meet by equality on bands as wide as the window: a finding is looked up in its own band and the next
-    lower one. Where a line is unknown, titles meet first: alike ones share one of the first words of both, in order, as far as
-    the similarity leaves no other way (see _leading), so that a file's findings aren't all paired.
+    Titles are alike by their words; a null one has none, and two without words are alike. Where both lines are known, near
+    ones meet first, else alike titles (see _meeting), so that a file's findings aren't all paired.
     """
-    rows = findings.select("repo", "pr", "file", "seq", "line", "title", title_tokens(F.col("title")).alias("tokens"))
-    band = opts.window + 1
-    known, unknown = rows.where("line IS NOT NULL"), rows.where("line IS NULL")
-    left = known.withColumn("band", F.expr(f"line div {band}")).select(*[F.col(c).alias(c if c in ("repo", "pr", "file", "band") else f"{c}_x") for c in [*rows.columns, "band"]])
-    right = known.withColumn("band", F.explode(F.array(F.expr(f"line div {band}"), F.expr(f"line div {band} + 1")))).select(*[F.col(c).alias(c if c in ("repo", "pr", "file", "band") else f"{c}_y") for c in [*rows.columns, "band"]])
-    near = left.join(right, ["repo", "pr", "file", "band"]).where(f"(line_x - line_y BETWEEN 0 AND {opts.window}) AND (line_x > line_y OR seq_x > seq_y)").drop("band")
-    word = F.explode(_leading(F.col("tokens"), opts.similarity)).alias("_word")
-    x = unknown.select("repo", "pr", "file", word, *[F.col(c).alias(f"{c}_x") for c in ("seq", "line", "title", "tokens")])
-    y = rows.select("repo", "pr", "file", word, *[F.col(c).alias(f"{c}_y") for c in ("seq", "line", "title", "tokens")])
-    loose = x.join(y, ["repo", "pr", "file", "_word"]).where("line_y IS NOT NULL OR seq_x > seq_y").drop("_word")
-    both = near.unionByName(loose)
-    alike = (F.col("title_x") == F.col("title_y")) | (jaccard(F.col("tokens_x"), F.col("tokens_y")) >= opts.similarity)
-    return both.where(alike).select("repo", "pr", "file", F.least("seq_x", "seq_y").alias("a"), F.greatest("seq_x", "seq_y").alias("b")).distinct()
-
-
-_TOKEN = re.compile(r"[^\W_]+")
-
-
-def _joined_names(names: str | None, name: str | None) -> str | None:
-    if name is None or names is None:
-        return names if name is None else name
-    return names if name in names.split("+") else f"{names}+{name}"
-
-
-#: How a survivor's fields take in those of a row it absorbs; the fields not named stay as they are.
-_TAKEN = {
-    "severity": lambda old, new: new["severity"] if new["sev_rank"] > old["sev_rank"] else old["severity"],
-    "sev_rank": lambda old, new: max(old["sev_rank"], new["sev_rank"]),
-    "raised_by": lambda old, new: _joined_names(old["raised_by"], new["raised_by"]),
-    "rationale": lambda old, new: max(old["rationale"], new["rationale"], key=lambda t: len((t or "").encode())),
-    "suggestion": lambda old, new: new["suggestion"] if old["suggestion"] is None else old["suggestion"],
-    "merged": lambda old, new: old["merged"] + new["merged"],
-}
-
-
-def _alike(a: tuple[str, set], b: tuple[str, set], least: float) -> bool:
-    both = len(a[1] | b[1])
-    return a[0] == b[0] or not both or len(a[1] & b[1]) / both >= least
-
-
-def _absorb(rows: list[dict], opts: MergeOptions) -> list[dict]:
-    """The greedy merge of rows in scan order: each goes to the nearest survivor before it that is alike, or survives."""
-    kept: list[dict] = []
-    titles: list[tuple[str, set]] = []
-    for row in rows:
-        title = (row["title"], set(_TOKEN.findall(row["title"])))
-        near = (i for i in reversed(range(len(kept))))
-        reach = itertools.takewhile(lambda i, row=row: None in (row["line"], kept[i]["line"]) or abs(row["line"] - kept[i]["line"]) <= opts.window, near)
-        host = next((i for i in reach if _alike(titles[i], title, opts.similarity)), None)
-        if host is None:
-            kept.append(row)
-            titles.append(title)
-        else:
-            kept[host] |= {field: take(kept[host], row) for field, take in _TAKEN.items()}
-    return kept
+    rows = findings.select(*FILE, F.col("seq").alias("node"), "line", title_tokens(F.col("title")).alias("tokens"))
+    return _close(rows, opts).unionByName(_loose(rows, opts)).distinct()
+
+
+def _walk(batches: Iterator) -> Iterator:
+    """b of pairs (root, b, a), sorted, whose row isn't a survivor: an earlier one alike is.
+
+    Pairs pass as a stream; what is held is the survivors of one component.
+    """
+    import pyarrow as pa
+
+    root, gone, node, hit = None, set(), None, False
+    for batch in batches:
+        out = []
+        for r, b, a in zip(*(batch.column(c).to_pylist() for c in ("root", "b", "a")), strict=True):
+            if r != root:
+                root, gone = r, set()
+            if b != node:
+                node, hit = b, False
+            if not hit and a not in gone:
+                hit = True
+                gone.add(b)
+                out.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["node"])
+
+
+def _not_surviving(pairs: DataFrame, rounds: int = 3) -> DataFrame:
+    """node: the later rows of pairs (a, b; a < b) that an earlier row, one that survives itself, takes in.
+
+    A row with no earlier one alike survives, and those alike to it don't; without these, others have no earlier one. After some
+    rounds of that, what is left, chains that can only be walked in order, is walked component by component.
+    """
+    found: list[DataFrame] = []
+    left = pairs.select("a", "b")
+    for _ in range(rounds):
+        first = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
+        gone = settled(left.join(first, "a", "left_semi").select(F.col("b").alias("node")).distinct(), "gone")
+        found.append(gone)
+        rest = left.join(gone, F.col("a") == F.col("node"), "left_anti").join(gone, F.col("b") == F.col("node"), "left_anti")
+        left = settled(rest, "left")
+        if left.isEmpty():
+            break
+    else:
+        rooted = left.join(components(left), F.col("a") == F.col("node")).select("root", "b", "a")
+        walked = rooted.repartition("root").sortWithinPartitions("root", "b", "a").mapInArrow(_walk, "node bigint")
+        found.append(walked)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _names(parts: Column) -> Column:
+    """Names joined in order (structs with name), each one left out that is among the parts joined so far."""
+    step = lambda acc, p: F.when(acc.isNull(), p["name"]).when(F.array_contains(F.split(acc, r"\+"), p["name"]), acc).otherwise(F.concat_ws("+", acc, p["name"]))
+    return F.aggregate(parts, F.lit(None).cast("string"), step)
 
 
 def merge_findings(findings: DataFrame, opts: MergeOptions = MergeOptions()) -> DataFrame:
     """findings after the merge of near-duplicates, with merged, the number of rows that each stands for.
 
-    A file's findings in order of line fall into islands at gaps wider than the window; no island can absorb
-    a row of another, so each is folded on its own. Findings without a line come after all of their file's
-    survivors and are folded over these, for the files that have any.
+    In order of line (none: last), title and seq, a file's row goes to the nearest row before it that survives and is alike
+    (see near_duplicate_pairs), or survives itself. The survivor keeps its line, title and category, takes the highest severity,
+    the longest rationale, the first suggestion, and names who raised any. A null title has no words and sorts as an empty one.
+
+    Rows of a file with one line and title are one node; nodes are numbered in that order by one sort of the whole table, and who
+    survives follows from numbers of alike nodes alone, so that no file is folded in one task. Texts are joined at last.
     """
     cols = ["repo", "pr", "seq", "file", "line", "severity", "sev_rank", "category", "title", "rationale", "suggestion", "raised_by"]
-    rows = findings.select(*cols).withColumn("merged", F.lit(1).cast("bigint"))
-    order = Window.partitionBy("repo", "pr", "file").orderBy(F.col("line").asc_nulls_last(), "title", "seq")
-    gap = F.coalesce(F.col("line") - F.lag("line").over(order) > opts.window, F.lit(False))
-    known = rows.where("line IS NOT NULL").withColumn("_gap", gap.cast("int")).withColumn("_island", F.sum("_gap").over(order)).drop("_gap")
-    schema = known.drop("_island").schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.astype(object).where(pdf.notna(), None)
-        rows = pdf.to_dict("records")
-        rows.sort(key=lambda r: (r["line"] is None, r["line"] or 0, r["title"], r["seq"]))
-        return pd.DataFrame(_absorb(rows, opts)).reindex(columns=schema.names).astype({"seq": "int64", "pr": "int64", "line": "Int64", "sev_rank": "int32", "merged": "int64"})
-
-    survivors = known.groupBy("repo", "pr", "file", "_island").applyInPandas(lambda pdf: fold(pdf.drop(columns="_island")), schema)
-    unknown = rows.where("line IS NULL")
-    mixed = unknown.select("repo", "pr", "file").distinct()
-    late = survivors.join(mixed, ["repo", "pr", "file"], "left_semi").unionByName(unknown).groupBy("repo", "pr", "file").applyInPandas(fold, schema)
-    return survivors.join(mixed, ["repo", "pr", "file"], "left_anti").unionByName(late)
+    # A title is known by its words and its hash here, and by itself in the sort.
+    rows = settled(findings.select(*cols).withColumns({"_row": F.monotonically_increasing_id(), "_title": F.coalesce("title", F.lit("")), "_size": F.octet_length(F.coalesce("rationale", F.lit("")))}), "findings")
+    kinds = rows.groupBy(*FILE, "line", "_title").agg(F.min("seq").alias("_first"))
+    nodes = kinds.orderBy(*FILE, F.col("line").asc_nulls_last(), "_title").withColumn("node", F.monotonically_increasing_id())
+    nodes = settled(nodes.withColumn("tokens", title_tokens(F.col("_title"))), "titles")
+    pairs = settled(_close(nodes, opts).select("a", "b"), "pairs")
+    gone = settled(_not_surviving(pairs), "gone")
+    hosts = pairs.join(gone, F.col("b") == F.col("node"), "left_semi").join(gone, F.col("a") == F.col("node"), "left_anti")
+    # Rows without a line come after all others of their file, so that those with one are decided by then.
+    met = settled(_met_without_line(nodes, opts).join(gone, "node", "left_anti"), "met")
+    late = settled(_late_gone(met, opts), "late")
+    taken = met.join(late, "node", "left_semi")
+    hosts = hosts.unionByName(_alike(met.join(late, "node", "left_anti"), taken, opts).where("a < b").select("a", "b"))
+    hosts = hosts.groupBy(F.col("b").alias("node")).agg(F.max("a").alias("host"))
+    named = nodes.join(hosts, "node", "left").select(*[F.col(c).alias(f"_{c}") for c in FILE], F.col("line").alias("_line"), F.col("_title").alias("_text"), "node", F.coalesce("host", "node").alias("host"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*FILE, "line")]) & (F.col("_title") == F.col("_text"))
+    order = F.struct("node", "seq", "_row")
+    members = rows.select(*FILE, "line", "_title", "seq", "_row", "_size", "severity", "sev_rank", "raised_by", F.col("suggestion").isNotNull().alias("_told")).join(named, same)
+    later = F.struct(-F.col("node"), -F.col("seq"), -F.col("_row"))
+    picked = members.groupBy("host").agg(
+        F.min(order).alias("_head"),
+        F.max_by("severity", F.struct(F.col("sev_rank").alias("rank"), later.alias("later"))).alias("severity"),
+        F.max("sev_rank").alias("sev_rank"),
+        F.max_by("_row", F.struct(F.col("_size").alias("size"), later.alias("later"))).alias("_rationale"),
+        F.min_by("_row", F.when(F.col("_told"), order)).alias("_suggestion"),
+        F.count(F.lit(1)).alias("merged"),
+    )
+    # Of a name without a plus only the first place counts; who raised a row is then joined in order.
+    once = members.where("raised_by IS NOT NULL").groupBy("host", "raised_by", F.when(F.col("raised_by").contains("+"), F.col("_row")).alias("_own")).agg(F.min(order).alias("_at"))
+    names = once.groupBy("host").agg(_names(F.sort_array(F.collect_list(F.struct("_at", F.col("raised_by").alias("name"))))).alias("raised_by"))
+    chosen = picked.join(names, "host", "left").withColumn("_row", F.col("_head._row"))
+    text = lambda c: rows.select(F.col("_row").alias(f"_{c}"), c)
+    own = rows.select("_row", "repo", "pr", "seq", "file", "line", "category", "title")
+    return chosen.join(own, "_row").join(text("rationale"), "_rationale", "left").join(text("suggestion"), "_suggestion", "left").select(*cols, "merged")
 
 
 def rank_findings(findings: DataFrame) -> DataFrame:

@@ -61,6 +61,41 @@ def test_merge_equals_the_whole_file_fold(spark):
     assert sum(r["merged"] for r in got) == 300
 
 
+def merged_by_fold(rows):
+    """The plain fold of rows, file by file, by the words that title_tokens() has."""
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    some = sorted((dict(zip(names, r, strict=True)) | {"merged": 1} for r in rows), key=lambda r: (r["line"] is None, r["line"] or 0, r["title"], r["seq"]))
+    return sorted((r["seq"], r["merged"]) for r in absorbed(some))
+
+
+def test_merge_of_a_large_file_without_lines(spark):
+    """Many alike titles (taken in by one), many unlike ones with common words, and copies of one."""
+    alike = [f"unused variable in x{i}" for i in range(400)]
+    unlike = [f"check number {i} of loop{i}" for i in range(400)]
+    titles = alike + unlike + ["same title"] * 300 + [f"a b{i % 7} c{i % 5} d{i % 3}" for i in range(200)]
+    random.Random(2).shuffle(titles)
+    rows = [("r", 1, i, "f", None, "nit", 0, "c", t, "", None, None) for i, t in enumerate(titles)]
+    got = fi.merge_findings(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["seq"], r["merged"]) for r in got) == merged_by_fold(rows)
+
+
+def test_merge_along_the_lines_of_a_file(spark):
+    """A finding on every line: a chain, of which each survivor follows from the one before."""
+    rows = [("r", 1, i, "f", i, "nit", 0, "c", "missing doc", "", None, None) for i in range(200)]
+    got = fi.merge_findings(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["seq"], r["merged"]) for r in got) == [(i, 4) for i in range(0, 200, 4)]
+
+
+def test_titles_of_all_scripts_and_none(spark):
+    titles = ["भाषा", "भूषि", "漢字 検査", "漢字  検査!", None, None, "--", "été_x"]
+    rows = [("r", 1, i, "f", None, "nit", 0, "c", t, None, None, "p+q" if i % 2 else "p") for i, t in enumerate(titles)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    assert {(r["a"], r["b"]) for r in fi.near_duplicate_pairs(d).collect()} == {(2, 3), (4, 5), (4, 6), (5, 6)}
+    got = {r["seq"]: (r["merged"], r["title"], r["raised_by"], r["rationale"]) for r in fi.merge_findings(d).collect()}
+    assert got == {0: (1, titles[0], "p", None), 1: (1, titles[1], "p+q", None), 3: (2, titles[3], "p+q", None), 4: (3, None, "p+p+q", None), 7: (1, titles[7], "p+q", None)}
+    assert fi.merge_findings(d.limit(0)).count() == 0
+
+
 def test_pairs_equal_all_pairs(spark):
     import re
 
