@@ -417,7 +417,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _answers(asked: DataFrame, gram: int, common: int) -> DataFrame:
     """k1, k2, rare and common: anchors of a text that other strings have too, by how many surroundings they have in all."""
     dealt = asked.repartition(partitions(asked.sparkSession), "key")
-    again = dealt.withColumn("met", F.sum("n").over(Window.partitionBy("key"))).where("met > 1 AND k1 IS NOT NULL").select("h", "k1", "k2")
+    again = dealt.withColumn("met", F.sum("n").over(Window.partitionBy("key"))).where("met > 1 AND n >= m AND k1 IS NOT NULL").select("h", "k1", "k2")
     # A row from each hold at most has m, so that these sums are of few rows; what is too common has over `common` of all surroundings.
     # All columns are asked about, with conditions that always hold, so that both plans read one exchange.
     sums = dealt.groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.max("h").alias("h"), F.count("k1").alias("c1"), F.count("k2").alias("c2"))
@@ -481,7 +481,7 @@ def _run(docs: DataFrame, length: int, grams: tuple[int, ...], common: int | Non
         asking = whole.select("k1", "k2", "text")
         for old, known in zip(grams, answers, strict=False):
             asking = asking.join(known.where(F.size(f"common{old}") > 0).select("k1", "k2", f"common{old}"), ["k1", "k2"])
-        asked = asking.mapInArrow(_questions(length, grams[: i + 1]), "key bigint, h bigint, n bigint, m bigint, k1 bigint, k2 int")
+        asked = asking.mapInArrow(_questions(length, grams[: i + 1]), "key bigint NOT NULL, h bigint NOT NULL, n bigint NOT NULL, m bigint NOT NULL, k1 bigint, k2 int")
         answers.append(_answers(asked, gram, common if gram < length else 1 << 62))
     # A null doc_id comes before all others.
     named = whole.select("k1", "k2", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "text").join(answers[0], ["k1", "k2"])
