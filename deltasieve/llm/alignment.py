@@ -372,23 +372,6 @@ def _align(docs: DataFrame, vocabulary: str, pattern: str, model: str, frequent:
     shared = spark.sparkContext.broadcast(tuple(rows.column(c).to_numpy() for c in ("pair", "n", "best")))
     ids = max(len(size_a), len(size_b))
 
-    def rare(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        common = shared.value[0]
-        for batch in batches:
-            k = batch.column("k").to_numpy()
-            at = 0
-            for own, a, b in _chunks(iter([batch])):
-                found = Aligned(a, b, size_a, size_b)
-                keep = _missing(common, found.pairs)
-                doc, pair = found.doc[keep], found.pairs[keep]
-                key, n = np.unique(doc << 32 | pair, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k[at + (key >> 32)]), pa.array(key & 0xFFFFFFFF), pa.array(n.astype(np.int32))], ["k", "pair", "m"])
-                at += len(own)
-
-    asked = encoded.mapInArrow(rare, "k bigint, pair bigint, m int")
-    tail = asked.join(counts.where(~often), "pair").groupBy("k").agg(F.sum(F.col("m") * F.col("n")).alias("tail_sum"), F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("tail_best"))
     names = ["k", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", *(["groups"] if texts else []), "groups_sha256"]
     kinds = {"groups": "string", "groups_sha256": "string"}
 
@@ -401,8 +384,8 @@ def _align(docs: DataFrame, vocabulary: str, pattern: str, model: str, frequent:
             k, at = batch.column("k"), 0
             for own, a, b in _chunks(iter([batch])):
                 found = Aligned(a, b, size_a, size_b)
-                hit = ~_missing(pairs, found.pairs)
-                doc, where = found.doc[hit], np.searchsorted(pairs, found.pairs[hit])
+                rare = _missing(pairs, found.pairs)
+                doc, where = found.doc[~rare], np.searchsorted(pairs, found.pairs[~rare])
                 sums, bests = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
                 np.add.at(sums, doc, n[where])
                 np.add.at(bests, doc, best[where])
@@ -420,11 +403,21 @@ def _align(docs: DataFrame, vocabulary: str, pattern: str, model: str, frequent:
                 }
                 if texts:
                     columns["groups"] = pa.array([s.decode() for _, s in shown], pa.string())
-                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+                key, times = np.unique(found.doc[rare] << 32 | found.pairs[rare], return_counts=True)
+                asks = {"k": pa.array(k.to_numpy()[at + (key >> 32)]), "pair": pa.array(key & 0xFFFFFFFF), "m": pa.array(times.astype(np.int64))}
+                for some in (columns, asks):
+                    size = len(some["k"])
+                    yield pa.RecordBatch.from_arrays([some.get(c, pa.nulls(size, types[c])) for c in types], list(types))
                 at += len(own)
 
-    # Only these results meet the rare pairs' counts: ids stay where they are.
-    rows = encoded.mapInArrow(work, ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in names)).join(tail, "k", "left")
+    # A row with each document's results, and rows that ask for its rare pairs' counts. Ids stay where they are.
+    import pyarrow as pa
+
+    types = {c: pa.string() if c in kinds else pa.int64() for c in [*names, "pair", "m"]}
+    told = stash(encoded.mapInArrow(work, ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in types)), "aligned")
+    asked = told.where("pair IS NOT NULL").select("k", "pair", "m")
+    tail = asked.join(counts.where(~often), "pair").groupBy("k").agg(F.sum(F.col("m") * F.col("n")).alias("tail_sum"), F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("tail_best"))
+    rows = told.where("pair IS NULL").join(tail, "k", "left")
     rare_too = {c: F.col(c) + F.coalesce(t, F.lit(0)) for c, t in (("n_best", "tail_best"), ("count_sum", "tail_sum"))}
     return rows.withColumns(rare_too).select(names[1:])
 
