@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, truncate_middle
 from ..options import ChunkPolicy
+from ..sources.shared import settled
 from .codegraph import fit_in_order
+from .graphs import follow
 
 # Paths that are not reviewed.
 IGNORED = (
@@ -107,33 +110,80 @@ def related_files(files: DataFrame, diff_files: DataFrame) -> DataFrame:
     return sized.join(reviews, "repo").join(diff_files.select("repo", "pr", "path"), ["repo", "pr", "path"], "left_anti")
 
 
+REVIEW = ["repo", "pr"]
+#: Positions of a review whose running values one task works out.
+PIECE = 4096
+
+
+def _running(rows: DataFrame, value: Column, fold: Callable[[Column | str], Column], plus: Callable[[Column, Column], Column], name: str, back: bool = False) -> DataFrame:
+    """rows (repo, pr, pos, ..) with the fold of value over all rows up to each (or from each on), null where there is none.
+
+    Within pieces of a review and over the pieces' own folds, so that a review of any size is dealt over tasks.
+    """
+    at = (lambda c: F.col(c).desc()) if back else F.col
+    pieces = rows.withColumns({"_piece": F.expr(f"pos div {PIECE}"), "_value": value})
+    before = Window.partitionBy(*REVIEW).orderBy(at("_piece")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = pieces.groupBy(*REVIEW, "_piece").agg(fold("_value").alias("_whole")).withColumn("_before", fold("_whole").over(before)).drop("_whole")
+    within = Window.partitionBy(*REVIEW, "_piece").orderBy(at("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    near = pieces.withColumn("_near", fold("_value").over(within)).join(whole, [*REVIEW, "_piece"])
+    both = F.coalesce(plus(F.col("_before"), F.col("_near")), F.col("_before"), F.col("_near"))
+    return near.withColumn(name, both).drop("_piece", "_value", "_near", "_before")
+
+
+def _next_cuts(sizes: DataFrame, limit: int) -> DataFrame:
+    """repo, pr, node, to: for each file (its pos), the file that would begin the next chunk if this one began a chunk.
+
+    A chunk's bytes are its bodies and one more between two, from its first body that isn't empty on. With running sums of
+    bodies and ones, the next chunk begins at the first file whose sum is over a bound. Sums and bounds meet in bands as wide as a chunk; where
+    a bound's band has no sum above it, it is the next band's least one.
+    """
+    size = F.col("body") + 1
+    rows = _running(sizes, size, F.sum, lambda a, b: a + b, "upto")
+    # What comes before the first body from here on that isn't empty, and that body's share.
+    rows = _running(rows, F.when(F.col("body") > 0, F.struct((F.col("upto") - size).alias("base"), size.alias("size"))), F.min, lambda a, b: F.least(a, b), "first", back=True)
+    base = F.col("first.base")
+    bound = F.when((F.col("body") == 0) & (F.col("first.size") > limit), base).otherwise(F.greatest(base + limit + 1, F.col("upto")))
+    width = limit + 1
+    points = rows.select(*REVIEW, F.col("upto").alias("value"), F.col("pos").alias("point"), F.lit(None).cast("int").alias("node"))
+    bounds = rows.where(base.isNotNull()).select(*REVIEW, bound.alias("value"), F.lit(None).cast("int").alias("point"), F.col("pos").alias("node"))
+    both = points.unionByName(bounds).withColumn("band", F.expr(f"value div {width}"))
+    above = Window.partitionBy(*REVIEW, "band").orderBy(F.col("value").desc(), F.col("point").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("to", F.last("point", ignorenulls=True).over(above)).where("node IS NOT NULL")
+    later = Window.partitionBy(*REVIEW).orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    bands = both.groupBy(*REVIEW, "band").agg(F.min("point").alias("_least")).withColumn("beyond", F.last("_least", ignorenulls=True).over(later)).drop("_least")
+    cuts = found.join(bands, [*REVIEW, "band"]).withColumn("to", F.coalesce("to", "beyond"))
+    return cuts.where("to IS NOT NULL").select(*REVIEW, "node", "to")
+
+
 def pack_chunks(diff_files: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
     """diff_files with body and context cut to their limits, chunk_idx, and context null where its budget is spent.
 
     Files are packed in order; one that would overfill a chunk begins the next. Context counts against the chunk at
-    hand before that is known, and a new chunk's budget begins after its first file. Only sizes are folded.
+    hand before that is known, and a new chunk's budget begins after its first file.
+
+    Where a chunk would end is found for every file at once; pointers from the first file on, doubled, then tell which
+    files begin chunks. So a review of any number of files is dealt over tasks; only a chunk's contexts are folded
+    in order, of which there are no more than a chunk has bytes. Only sizes take part; a null body is empty.
     """
     cut = diff_files.withColumns({"body": truncate_middle(F.col("body"), policy.file_bytes), "context": truncate_middle(F.col("context"), policy.file_context_bytes)})
-    sizes = F.struct("pos", F.octet_length("body").cast("bigint").alias("body"), F.octet_length("context").cast("bigint").alias("context"))
-
-    def step(acc: Column, f: Column) -> Column:
-        fits = f["context"].isNotNull() & (acc["context"] + f["context"] <= policy.chunk_context_bytes)
-        opens = acc["any"] & (acc["bytes"] + f["body"] + 1 > policy.chunk_bytes)
-        decided = F.transform(F.array(F.struct(F.coalesce(fits, F.lit(False)).alias("fits"), opens.alias("opens"))), lambda d: F.struct(
-            (acc["chunk"] + d["opens"].cast("int")).alias("chunk"),
-            F.when(d["opens"], f["body"]).otherwise(acc["bytes"] + f["body"] + (acc["bytes"] > 0).cast("int")).alias("bytes"),
-            F.when(d["opens"], F.lit(0).cast("bigint")).when(d["fits"], acc["context"] + f["context"]).otherwise(acc["context"]).alias("context"),
-            F.lit(True).alias("any"),
-            F.concat(acc["out"], F.array(F.struct(f["pos"].alias("pos"), (acc["chunk"] + d["opens"].cast("int")).alias("chunk_idx"), d["fits"].alias("keep")))).alias("out"),
-        ))
-        return decided[0]
-
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(F.lit(0).alias("chunk"), zero.alias("bytes"), zero.alias("context"), F.lit(False).alias("any"), F.array().cast("array<struct<pos:int,chunk_idx:int,keep:boolean>>").alias("out"))
-    folded = cut.groupBy("repo", "pr").agg(F.sort_array(F.collect_list(sizes)).alias("files"))
-    placed = folded.select("repo", "pr", F.inline(F.aggregate("files", start, step, lambda acc: acc["out"])))
-    out = cut.join(placed, ["repo", "pr", "pos"])
-    return out.withColumn("context", F.when(F.col("keep"), F.col("context"))).drop("keep")
+    bytes_ = lambda c: F.octet_length(c).cast("bigint")
+    sizes = settled(cut.select(*REVIEW, "pos", F.coalesce(bytes_("body"), F.lit(0)).alias("body"), bytes_("context").alias("context")), "sizes")
+    start = sizes.groupBy(*REVIEW).agg(F.min("pos").alias("node"))
+    begun = follow(_next_cuts(sizes, policy.chunk_bytes), REVIEW, start).select(*REVIEW, F.col("node").alias("pos"), "rank")
+    numbered = _running(sizes.join(begun, [*REVIEW, "pos"], "left"), F.col("rank"), F.max, F.greatest, "chunk_idx")
+    files = numbered.groupBy(*REVIEW, "chunk_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "context"))).alias("files"))
+    # The first file of a chunk, but for a review's first, is told by the budget of the chunk before.
+    rest = F.when(F.col("chunk_idx") == 0, F.col("files")).otherwise(F.slice("files", F.lit(2), F.size("files")))
+    over = F.lit(policy.chunk_context_bytes + 1).cast("bigint")
+    folded = files.withColumn("rest", rest).withColumn("keeps", fit_in_order(F.transform("rest", lambda f: F.coalesce(f["context"], over)), policy.chunk_context_bytes))
+    kept = F.arrays_zip(F.transform("rest", lambda f: f["pos"]).alias("pos"), F.transform("rest", lambda f: f["context"]).alias("context"), F.col("keeps").alias("keep"))
+    spent = F.aggregate(kept, F.lit(0).cast("bigint"), lambda n, f: n + F.when(f["keep"], f["context"]).otherwise(0))
+    chunks = settled(folded.select(*REVIEW, "chunk_idx", F.col("files")[0].alias("opens"), kept.alias("kept"), spent.alias("spent")), "chunks")
+    before = chunks.select(*REVIEW, (F.col("chunk_idx") + 1).alias("chunk_idx"), F.col("spent").alias("_spent"))
+    opening = chunks.join(before, [*REVIEW, "chunk_idx"]).select(*REVIEW, "chunk_idx", "opens.pos", (F.col("_spent") + F.col("opens.context") <= policy.chunk_context_bytes).alias("keep"))
+    inner = chunks.select(*REVIEW, "chunk_idx", F.explode("kept").alias("f")).select(*REVIEW, "chunk_idx", "f.pos", "f.keep")
+    placed = opening.unionByName(inner).withColumn("chunk_idx", F.col("chunk_idx").cast("int"))
+    return cut.join(placed, [*REVIEW, "pos"]).withColumn("context", F.when(F.col("keep"), F.col("context"))).drop("keep")
 
 
 def pack_related(related: DataFrame, files: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:

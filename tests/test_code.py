@@ -125,6 +125,31 @@ def test_packing_equals_the_plain_fold(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [1, 7, 60])
+def test_packing_with_empty_bodies_and_gaps(spark, limit):
+    rng = random.Random(limit)
+    policy = ChunkPolicy(chunk_bytes=limit, chunk_context_bytes=20)
+    rows, want = [], {}
+    for pr in range(40):
+        sizes = [(rng.choice([0, 0, 1, limit - 1, limit, rng.randint(0, limit + 9)]), rng.choice([None, rng.randint(0, 25)])) for _ in range(rng.randint(1, 12))]
+        want[pr] = [(100 * pos, chunk, keep) for pos, chunk, keep in pack(sizes, policy)]
+        rows += [("r", pr, 100 * i, f"f{i}", False, "x" * b or None, None if c is None else "y" * c) for i, (b, c) in enumerate(sizes)]
+    t = spark.createDataFrame(rows, "repo string, pr bigint, pos int, path string, is_deleted boolean, body string, context string")
+    got = {}
+    for r in df.pack_chunks(t, policy).orderBy("pr", "pos").collect():
+        got.setdefault(r["pr"], []).append((r["pos"], r["chunk_idx"], r["context"] is not None))
+    assert got == want
+
+
+def test_packing_of_a_hundred_thousand_files(spark):
+    policy = ChunkPolicy(chunk_bytes=50_000, chunk_context_bytes=2_000)
+    n = 100_000
+    body, context = (F.col("id") * 7919) % 211 + 1, (F.col("id") * 104729) % 97
+    t = spark.range(n).select(F.lit("r").alias("repo"), F.lit(1).cast("bigint").alias("pr"), F.col("id").cast("int").alias("pos"), F.repeat(F.lit("x"), body.cast("int")).alias("body"), F.repeat(F.lit("y"), context.cast("int")).alias("context"))
+    got = [tuple(r) for r in df.pack_chunks(t, policy).orderBy("pos").select("pos", "chunk_idx", F.col("context").isNotNull()).collect()]
+    assert got == pack([((i * 7919) % 211 + 1, (i * 104729) % 97) for i in range(n)], policy)
+
+
 def cut(text, limit):
     """The plain version: whole characters whose bytes fit in half the limit, then to the line feeds."""
     data = text.encode()
