@@ -478,7 +478,7 @@ def _run(docs: DataFrame, length: int, grams: tuple[int, ...], common: int | Non
     whole = whole.select("k1", "k2", F.col("least.doc_id").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     answers: list[DataFrame] = []
     for i, gram in enumerate(grams):
-        asking = whole.select("k1", "k2", "text")
+        asking = whole  # with doc_id, which isn't asked about: all plans read one exchange of the same columns
         for old, known in zip(grams, answers, strict=False):
             asking = asking.join(known.where(F.size(f"common{old}") > 0).select("k1", "k2", f"common{old}"), ["k1", "k2"])
         asked = asking.mapInArrow(_questions(length, grams[: i + 1]), "key bigint NOT NULL, h bigint NOT NULL, n bigint NOT NULL, m bigint NOT NULL, k1 bigint, k2 int")
