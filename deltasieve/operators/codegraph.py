@@ -106,28 +106,32 @@ def fit_in_order(sizes: Column, cap: int) -> Column:
     return F.aggregate(sizes, start, step, lambda acc: acc["kept"])
 
 
-def _one_line(text: Column) -> Column:
+def _one_line(text: Column, most: int = 240) -> Column:
+    """text on one line; over most bytes, the whole characters that fit in three bytes less, and a mark."""
     flat = F.regexp_replace(text, r"[ \n\r\t]+", " ")
-    return F.when(F.octet_length(flat) > 240, F.concat(F.left(flat, F.lit(237)), F.lit("…"))).otherwise(flat)
+    room = most - 3
+    fitting = F.filter(F.sequence(F.lit(room // 4), F.lit(room)), lambda n: F.octet_length(F.left(flat, n)) <= room)
+    return F.when(F.octet_length(flat) > most, F.concat(F.left(flat, F.array_max(fitting)), F.lit("…"))).otherwise(flat)
 
 
 def scope_rows(symbols: DataFrame, called_by: DataFrame, changed: DataFrame, cap: int = 8 * 1024) -> DataFrame:
-    """repo, block, elided: the symbols of changed files and who calls them, as text of at most cap bytes, file by file.
+    """repo (and pr, if changed has it), block, elided: the symbols of changed files and who calls them, as text of at most cap bytes.
 
     A file has a header, then its symbols in order. What doesn't fit any more is passed over, while smaller entries
     after it may fit; without its header a file has no entries. The number of entries left out is told at the end.
     Only places and sizes are folded; the texts of what fits, which cap bounds, are joined back.
     """
-    mine = symbols.join(changed.select("repo", "path").distinct(), ["repo", "path"], "left_semi").join(called_by, ["repo", "path", "name"], "left")
+    keys = [c for c in ("repo", "pr") if c in changed.columns]
+    mine = symbols.join(changed.select(*keys, "path").distinct(), ["repo", "path"]).join(called_by, ["repo", "path", "name"], "left")
     who = F.array_join(F.transform("called_by", lambda c: F.concat(c["path"], F.coalesce(F.concat(F.lit("::"), c["caller"]), F.lit("")))), ", ")
     signature = F.when(F.col("signature") == "", "").otherwise(F.concat(F.lit(" `"), _one_line(F.col("signature")), F.lit("`")))
     entry = F.concat(F.lit("  - "), "kind", F.lit(" "), "name", F.lit(" (L"), F.col("line").cast("string"), F.lit(")"), F.when(F.col("exported"), " [pub]").otherwise(""), signature, F.lit("\n"))
     shown = F.concat(entry, F.coalesce(F.concat(F.lit("    called by: "), who, F.lit("\n")), F.lit("")))
-    in_file = Window.partitionBy("repo", "path").orderBy("line", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")))
-    entries = mine.select("repo", "path", F.row_number().over(in_file).alias("nth"), shown.alias("shown"))
-    headers = mine.select("repo", "path").distinct().select("repo", "path", F.lit(0).alias("nth"), F.concat(F.lit("\n"), "path", F.lit(":\n")).alias("shown"))
+    in_file = Window.partitionBy(*keys, "path").orderBy("line", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")))
+    entries = mine.select(*keys, "path", F.row_number().over(in_file).alias("nth"), shown.alias("shown"))
+    headers = mine.select(*keys, "path").distinct().select(*keys, "path", F.lit(0).alias("nth"), F.concat(F.lit("\n"), "path", F.lit(":\n")).alias("shown"))
     rows = headers.unionByName(entries)
-    sized = rows.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("path", "nth", F.octet_length("shown").cast("bigint").alias("size")))).alias("all"))
+    sized = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("path", "nth", F.octet_length("shown").cast("bigint").alias("size")))).alias("all"))
 
     def step(acc: Column, x: Column) -> Column:
         fits = (acc["used"] + x["size"] <= cap) & ((x["nth"] == 0) | acc["open"])
@@ -141,8 +145,8 @@ def scope_rows(symbols: DataFrame, called_by: DataFrame, changed: DataFrame, cap
 
     zero = F.lit(0).cast("bigint")
     start = F.struct(zero.alias("used"), F.lit(False).alias("open"), zero.alias("elided"), F.array().cast("array<struct<path:string,nth:int>>").alias("kept"))
-    folded = sized.select("repo", F.aggregate("all", start, step).alias("f"))
-    kept = folded.select("repo", F.col("f.elided").alias("elided"), F.explode("f.kept").alias("k")).select("repo", "elided", "k.path", "k.nth")
-    whole = rows.join(kept, ["repo", "path", "nth"]).groupBy("repo", "elided").agg(F.sort_array(F.collect_list(F.struct("path", "nth", "shown"))).alias("parts"))
+    folded = sized.select(*keys, F.aggregate("all", start, step).alias("f"))
+    kept = folded.select(*keys, F.col("f.elided").alias("elided"), F.explode("f.kept").alias("k")).select(*keys, "elided", "k.path", "k.nth")
+    whole = rows.join(kept, [*keys, "path", "nth"]).groupBy(*keys, "elided").agg(F.sort_array(F.collect_list(F.struct("path", "nth", "shown"))).alias("parts"))
     mark = F.when(F.col("elided") > 0, F.concat(F.lit("\n… [+"), F.col("elided").cast("string"), F.lit(f" more entries elided to stay under {cap} bytes]\n"))).otherwise("")
-    return whole.select("repo", F.concat(F.array_join(F.transform("parts", lambda x: x["shown"]), ""), mark).alias("block"), "elided")
+    return whole.select(*keys, F.concat(F.array_join(F.transform("parts", lambda x: x["shown"]), ""), mark).alias("block"), "elided")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitise, strip
-from ..options import ScoreOptions
+from ..options import GuidanceOptions, ScoreOptions
 
 # Kinds of signals with their authority in scores and their rank in merges.
 AUTHORITY = {"user-directive": 5.0, "confirmed": 2.0, "inferred-applied": 1.0, "refuted": 0.0, "inferred-ignored": 0.5}
@@ -179,28 +179,82 @@ def glob_matches(glob: Column, path: Column) -> Column:
     )
 
 
-def select_guidance(corpus: DataFrame, changed: DataFrame | None, persona: str | None = None, keep: int = 8) -> DataFrame:
-    """The best entries of each repo that fit a persona and touch a changed file, with place.
+def _glob_keys(glob: Column) -> Column:
+    """kind and key under which a glob is found: one pair of those that each path it matches has (see _path_keys)."""
+    lhs = F.substring_index(glob, "*", 1)
+    rhs = F.substring(glob, F.char_length(lhs) + 2, F.lit(1 << 30))
+    cut = lambda n: F.left(glob, F.char_length(glob) - n)
+    pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    # What a path must end with: by its last name if it has a whole one, else by all of it, which then is in a path's name.
+    ending = lambda t: F.when(F.instr(t, "/") > 0, pair("name", F.substring_index(t, "/", -1))).otherwise(pair("end", t))
+    begin = F.when(F.instr(lhs, "/") > 0, pair("folder", F.regexp_replace(lhs, "/[^/]*$", ""))).otherwise(pair("begin", lhs))
+    other = (
+        F.when(glob.endswith("/**"), pair("folder", cut(3)))
+        .when(glob.endswith("/*"), pair("parent", cut(2)))
+        .when(glob.startswith("**/"), ending(F.substring(glob, F.lit(4), F.lit(1 << 30))))
+        .when((F.instr(glob, "*") > 0) & (rhs != ""), ending(rhs))
+        .when(F.instr(glob, "*") > 0, begin)
+    )
+    return F.filter(F.array(pair("path", glob), other), lambda k: k.isNotNull())
+
+
+def _path_keys(path: Column) -> Column:
+    """All pairs of kind and key under which a glob that matches the path may be found."""
+    parts = F.split(path, "/")
+    name, first = F.element_at(parts, -1), parts[0]
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    ends = F.transform(F.sequence(F.lit(0), F.char_length(name)), lambda n: F.right(name, n))
+    begins = F.transform(F.sequence(F.lit(0), F.char_length(first)), lambda n: F.left(first, n))
+    parent = F.when(F.size(parts) > 1, F.array(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/"))).otherwise(F.array().cast("array<string>"))
+    named = (("path", F.array(path)), ("folder", folders), ("parent", parent), ("name", F.array(name)), ("end", ends), ("begin", begins))
+
+    def pairs(kind: str, keys: Column) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+
+    return F.concat(*[pairs(kind, keys) for kind, keys in named])
+
+
+def matching_globs(globs: DataFrame, paths: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, path, file_glob: the globs (keys, file_glob) that match paths (keys, path), each once.
+
+    Globs are indexed by what they fix: the whole path, a folder, a parent, a name, or the beginning or end of one. A path
+    looks up its own, some dozens of keys, so that globs and paths of a key aren't paired; what is found is then matched.
+    """
+    index = globs.where("file_glob IS NOT NULL").select(*keys, "file_glob").distinct().select("*", F.explode(_glob_keys(F.col("file_glob"))).alias("k")).select(*keys, "file_glob", "k.kind", "k.key")
+    asked = paths.where("path IS NOT NULL").select(*keys, "path").distinct().select("*", F.explode(F.array_distinct(_path_keys(F.col("path")))).alias("k")).select(*keys, "path", "k.kind", "k.key")
+    found = asked.join(index, [*keys, "kind", "key"]).where(glob_matches(F.col("file_glob"), F.col("path")))
+    return found.select(*keys, "path", "file_glob").distinct()
+
+
+def _review(df: DataFrame) -> list[str]:
+    return [c for c in ("repo", "pr") if c in df.columns]
+
+
+def select_guidance(corpus: DataFrame, changed: DataFrame | None, persona: str | None = None, opts: GuidanceOptions = GuidanceOptions()) -> DataFrame:
+    """The best entries that fit a persona and touch a changed file, with place: of each repo, or of each review if changed has a pr.
 
-    Entries without category or glob fit all. Globs are matched once for each distinct one of a repo.
+    Entries without category or glob fit all, and all entries fit where no changed file is known: in repositories that changed
+    doesn't have, or for reviews whose paths are null. A repository's paths look up its globs once, for all reviews.
     """
     rows = corpus if persona is None else corpus.where(F.col("category").isNull() | (F.col("category") == persona))
+    keys = ["repo"]
     if changed is not None:
-        globs = rows.where("file_glob IS NOT NULL").select("repo", "file_glob").distinct()
-        hit = globs.join(changed.select("repo", "path").distinct(), "repo").where(glob_matches(F.col("file_glob"), F.col("path"))).select("repo", "file_glob").distinct()
-        free = rows.join(changed.select("repo").distinct(), "repo", "left_anti").unionByName(rows.join(changed.select("repo").distinct(), "repo", "left_semi").where("file_glob IS NULL"))
-        rows = free.unionByName(rows.join(hit, ["repo", "file_glob"], "left_semi"))
-    order = Window.partitionBy("repo").orderBy(F.col("score").desc(), "id")
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)
+        keys = _review(changed)
+        hits = matching_globs(rows, changed, ["repo"]).join(changed.select(*keys, "path").distinct(), ["repo", "path"]).select(*keys, "file_glob").distinct()
+        reviews = changed.groupBy(*keys).agg((F.count("path") == 0).alias("_open"))
+        told = rows.join(reviews, "repo", "left").withColumn("_open", F.coalesce("_open", F.lit(True)))
+        rows = told.where(F.col("_open") | F.col("file_glob").isNull()).unionByName(told.where(~F.col("_open")).join(hits, [*keys, "file_glob"], "left_semi")).drop("_open")
+    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "id")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= opts.keep)
 
 
 def guidance_lines(chosen: DataFrame) -> DataFrame:
-    """repo, place, line: entries as the lines of a list."""
+    """repo (and pr, if chosen has it), place, line: entries as the lines of a list."""
     label = _of({"user-directive": "📌 directive", "confirmed": "✅ confirmed", "inferred-applied": "↪ likely-relevant", "refuted": "🚫 false-positive pattern", "inferred-ignored": "≈ low-signal"}, F.col("strongest_kind"))
     inner = F.concat_ws(" · ", F.when(F.col("file_glob").isNotNull(), F.concat(F.lit("`"), "file_glob", F.lit("`"))), "category")
     scope = F.when(inner == "", "").otherwise(F.concat(F.lit(" [scope: "), inner, F.lit("]")))
     line = F.concat(F.col("place").cast("string"), F.lit(". "), label, scope, F.lit(": "), sanitise(F.col("guidance")), F.lit(" (+"), F.col("confirmations").cast("string"), F.lit("/-"), F.col("refutations").cast("string"), F.lit(")\n"))
-    return chosen.select("repo", "place", line.alias("line"))
+    return chosen.select(*_review(chosen), "place", line.alias("line"))
 
 
 # Fixed value: what opens the block of guidance.
@@ -208,17 +262,18 @@ HEADER = "Project-specific guidance (distilled from prior reviewer feedback). Tr
 OVERFLOW = "…\n"
 
 
-def budget_prefix(lines: DataFrame, limit: int = 1500, header: str = HEADER) -> DataFrame:
-    """The block of guidance of each repo, as lines: a header (place 0), then lines in order of place.
+def budget_prefix(lines: DataFrame, opts: GuidanceOptions = GuidanceOptions(), header: str = HEADER) -> DataFrame:
+    """The block of guidance of each repo (or review, if lines have a pr), as lines: a header (place 0), then lines in order of place.
 
-    The first line that would bring all to over limit bytes is replaced by a mark, and none follows it.
+    The first line that would bring all to over the limit, in bytes, is replaced by a mark, and none follows it.
     """
-    upto = Window.partitionBy("repo").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    keys = _review(lines)
+    upto = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     used = len(header.encode()) + F.sum(F.octet_length("line").cast("bigint")).over(upto)
-    marked = lines.select("repo", "place", "line", (used > limit).alias("_over"))
+    marked = lines.select(*keys, "place", "line", (used > opts.limit).alias("_over"))
     first_over = F.sum(F.col("_over").cast("bigint")).over(upto)
-    kept = marked.withColumn("_nth", first_over).where("_nth <= 1").select("repo", "place", F.when(F.col("_over"), OVERFLOW).otherwise(F.col("line")).alias("line"))
-    heads = lines.select("repo").distinct().select("repo", F.lit(0).alias("place"), F.lit(header).alias("line"))
+    kept = marked.withColumn("_nth", first_over).where("_nth <= 1").select(*keys, "place", F.when(F.col("_over"), OVERFLOW).otherwise(F.col("line")).alias("line"))
+    heads = lines.select(*keys).distinct().select(*keys, F.lit(0).alias("place"), F.lit(header).alias("line"))
     return heads.unionByName(kept)
 
 

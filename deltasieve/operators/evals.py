@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..options import EvaluationOptions
 from .compare import compare_samples
 
 SEVERITIES = ("nit", "minor", "major", "critical")
@@ -54,7 +55,7 @@ def assign_matches(candidates: DataFrame) -> DataFrame:
     return per_case.select(*KEYS, F.inline(F.aggregate("labels", start, step, lambda acc: acc["pairs"])))
 
 
-def score_cases(cases: DataFrame, expected: DataFrame, forbidden: DataFrame, judged: DataFrame, floor: float = 0.5) -> DataFrame:
+def score_cases(cases: DataFrame, expected: DataFrame, forbidden: DataFrame, judged: DataFrame, floor: float = EvaluationOptions().floor) -> DataFrame:
     """One row for each run and case: labels required, caught and extra, severity distance, Brier sum, false positives, cap.
 
     critical_shipped are the case's critical findings, critical_right those that match a critical label. cases may have
@@ -130,10 +131,12 @@ def finding_records(judged: DataFrame, width: int = 80) -> DataFrame:
 def recalibrate(records: DataFrame, cases: DataFrame, expected: DataFrame, forbidden: DataFrame, floors: list[float]) -> DataFrame:
     """The corpus summary of each run at each floor, from records alone. The floors are a literal list on each row.
 
-    Raises if a run has no records at all, or records of a case that isn't known.
+    Raises if a run has cases but no records at all, or records of a case that isn't known. Cases without records are
+    fine in a run that has others with some.
     """
-    if records.isEmpty():
-        raise ValueError("no records to sweep over")
+    bare = [r["run"] for r in cases.select("run").distinct().join(records.select("run").distinct(), "run", "left_anti").orderBy("run").limit(5).collect()]
+    if bare or records.isEmpty():
+        raise ValueError(f"no records to sweep over: {', '.join(map(str, bare)) or 'none at all'}")
     stray = records.select(*KEYS).distinct().join(cases, KEYS, "left_anti")
     if not stray.isEmpty():
         raise ValueError("records of an unknown case")

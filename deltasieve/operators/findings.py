@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..options import MergeOptions
+from ..options import EvaluationOptions, MergeOptions
 from ..sources.shared import settled
 from .graphs import components
 
@@ -311,7 +311,7 @@ def apply_verdicts(judged: DataFrame) -> DataFrame:
     return judged.withColumn("sev_rank", lower).withColumn("severity", F.element_at(names, (F.col("sev_rank") + 1).cast("int")))
 
 
-def shippable(judged: DataFrame, floor: float = 0.5) -> DataFrame:
+def shippable(judged: DataFrame, floor: float = EvaluationOptions().floor) -> DataFrame:
     """Findings not dropped and confident enough, with place (from 0): severity, category, title."""
     order = Window.partitionBy("repo", "pr").orderBy(F.col("sev_rank").desc(), "category", "title", "seq")
     return judged.where((F.col("verdict") != "drop") & (F.col("confidence") >= floor)).withColumn("place", F.row_number().over(order) - 1)
@@ -321,7 +321,7 @@ def has_critical(shipped: DataFrame) -> DataFrame:
     return shipped.groupBy("repo", "pr").agg(F.max(F.col("sev_rank") == 3).alias("critical"))
 
 
-def review_summary(judged: DataFrame, raw: DataFrame, responses: DataFrame, files: DataFrame, floor: float = 0.5) -> DataFrame:
+def review_summary(judged: DataFrame, raw: DataFrame, responses: DataFrame, files: DataFrame, floor: float = EvaluationOptions().floor) -> DataFrame:
     """One row for each review: files in all and reviewed, tokens of the reviewers, findings raw and merged, verdicts.
 
     files: repo, pr, path, kept. Tokens of the judge don't count.
@@ -348,7 +348,7 @@ def category_counts(shipped: DataFrame) -> DataFrame:
     return shipped.groupBy("repo", "pr", "category").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY_RANK])
 
 
-def apply_curation(judged: DataFrame, decisions: DataFrame, floor: float = 0.5) -> DataFrame:
+def apply_curation(judged: DataFrame, decisions: DataFrame, floor: float = EvaluationOptions().floor) -> DataFrame:
     """Verdicts after a person's decisions: repo, pr, index (from 1, in the order of shippable()), action, in order of at.
 
     Only what would be shipped is shown and numbered. Actions are keep or drop of one index, and keep-rest or drop-rest,

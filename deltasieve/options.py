@@ -36,3 +36,18 @@ class ScoreOptions:
     unparsed_decay: float = 0.1
     keep: int = 100
     least: float = 0.1
+
+
+@dataclass(frozen=True)
+class GuidanceOptions:
+    """Entries of a block of guidance, and its bytes."""
+
+    keep: int = 8
+    limit: int = 1500
+
+
+@dataclass(frozen=True)
+class EvaluationOptions:
+    """Confidence from which on a judged finding counts as shipped."""
+
+    floor: float = 0.55

@@ -47,6 +47,23 @@ def affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return im.affected_entries(_edges(spark, sf_dir), _entries(spark, sf_dir), _changed(spark, sf_dir))
 
 
+def _changed_in_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A review for each of ten sizes of parts: these parts have changed in it."""
+    return fx.table(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_size").cast("bigint").alias("pr"), F.col("p_partkey").alias("node"))
+
+
+def affected_in_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return im.affected_entries(_edges(spark, sf_dir), _entries(spark, sf_dir), _changed_in_reviews(spark, sf_dir)).select("pr", "entry")
+
+
+def scope_of_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of files of each role in each review."""
+    hit = affected_in_reviews(spark, sf_dir).select("pr", F.col("entry").alias("path"))
+    changed = _changed_in_reviews(spark, sf_dir).select("pr", F.col("node").alias("path"))
+    found = _entries(spark, sf_dir).select(F.col("entry").alias("path"))
+    return im.scope_files(found, hit, changed).groupBy("pr", "role").agg(F.count("path").alias("files"), F.sum("path").alias("paths"))
+
+
 def scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _entries(spark, sf_dir)
     hit = im.affected_entries(_edges(spark, sf_dir), entries, _changed(spark, sf_dir))
@@ -171,6 +188,8 @@ QUERIES = {
     "import_edges": imports,
     "reachable": reach,
     "affected_entries": affected,
+    "affected_in_reviews": affected_in_reviews,
+    "scope_of_reviews": scope_of_reviews,
     "scope_files": scope,
     "glob_filter": globs,
     "discover_entries": entries_of,
@@ -206,6 +225,7 @@ _SPECS = f""", code AS (SELECT repo, path, i, language, regexp_replace(regexp_re
     ELSE list_concat(list_concat(list_transform({_all('c', im.RUST_MOD)}, lambda x: './' || x), list_transform({_all('c', _RUST[0])}, lambda x: {_REL('x')})), list_transform({_all('c', _RUST[1])}, lambda x: {_REL('x')})) END) AS spec FROM code)"""
 _E = "WITH RECURSIVE e AS (SELECT p_partkey AS src, unnest([p_partkey // 16 * 16 + (7 * p_partkey + 3) % 16, p_partkey // 16 * 16 + p_partkey % 16 // 2]) AS dst FROM part)"
 _HIT = ", h AS (SELECT p_partkey AS node FROM part WHERE p_size = 7 UNION SELECT e.src FROM h JOIN e ON e.dst = h.node), a AS (SELECT p_partkey AS entry FROM part WHERE p_partkey IN (SELECT node FROM h))"
+_HITS = ", c AS (SELECT p_size::BIGINT AS pr, p_partkey AS node FROM part WHERE p_size <= 10), h AS (SELECT pr, node FROM c UNION SELECT h.pr, e.src FROM h JOIN e ON e.dst = h.node), a AS (SELECT DISTINCT h.pr, p_partkey AS entry FROM part JOIN h ON h.node = p_partkey)"
 _WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160) || chr(5760) || " + " || ".join(f"chr({c})" for c in range(0x2000, 0x200B)) + " || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)"
 _SYM = f""", ln AS (SELECT repo, path, unnest(string_split(content, chr(10))) AS text, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line FROM f),
   s0 AS (SELECT repo, path, line, text, regexp_extract(text, {_q(cg.FUNCTION)}, 1) AS fn, regexp_extract(text, {_q(cg.CLASS)}, 1) AS cls, regexp_extract(text, {_q(cg.TYPE)}, 1) AS typ FROM ln),
@@ -267,6 +287,8 @@ ORACLE_SQL = {
     "import_edges": f"{_F} SELECT a.repo, a.path AS src, b.path AS dst FROM f a JOIN f b ON b.i IN (a.i + 3, a.i + 6) AND a.repo = b.repo WHERE a.i % 3 IN (0, 2)",
     "reachable": f"{_E}, r AS (SELECT p_partkey AS entry, p_partkey AS node FROM part UNION SELECT r.entry, e.dst FROM r JOIN e ON e.src = r.node) SELECT entry, node FROM r",
     "affected_entries": f"{_E}{_HIT} SELECT entry FROM a",
+    "affected_in_reviews": f"{_E}{_HITS} SELECT pr, entry FROM a",
+    "scope_of_reviews": f"{_E}{_HITS}, r AS (SELECT DISTINCT pr FROM c), x AS (SELECT pr, 'changed' AS role, node AS path FROM c UNION ALL SELECT pr, 'ran', entry FROM a UNION ALL SELECT r.pr, 'skipped', p_partkey FROM part, r WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.pr = r.pr AND a.entry = p_partkey)) SELECT pr, role, count(*) AS files, sum(path)::BIGINT AS paths FROM x GROUP BY pr, role",
     "scope_files": f"{_E}{_HIT} SELECT 'changed' AS role, p_partkey AS path FROM part WHERE p_size = 7 UNION ALL SELECT 'ran', entry FROM a UNION ALL SELECT 'skipped', p_partkey FROM part WHERE p_partkey NOT IN (SELECT entry FROM a)",
     "glob_filter": f"{_F} SELECT path FROM f WHERE regexp_matches(path, '^.*doc_1[^/]*\\.ts$') OR regexp_matches(path, '^s/doc_[^/][^/]\\.rs$')",
     "discover_entries": f"{_F} SELECT regexp_replace(path, '\\.ts$', '.bench.ts') AS path FROM f WHERE i % 3 = 0 AND i % 2 = 1",

@@ -56,12 +56,28 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored corpus for each document: good, old, newer, broken and partly broken ones, with the whole text as guidance."""
+    """A stored corpus for each document: good, old, newer, broken and partly broken ones, with the whole text as guidance.
+
+    Of the entries' fields some are missing, unknown or of another type, by modulus.
+    """
     i = F.col("doc_id")
-    entry = F.concat(F.lit('{"id":"a","guidance":'), F.to_json(F.array("text")), F.lit(',"sourcePr":1}'))
-    entry = F.replace(F.replace(entry, F.lit('"guidance":['), F.lit('"guidance":')), F.lit('],"sourcePr"'), F.lit(',"sourcePr"'))
+    pick = lambda by, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values) + 1).cast("int"))
+    guidance = F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1)
+    fields = (
+        F.when(i % 4 > 0, F.concat(F.lit('"id":"a'), i.cast("string"), F.lit('",'))).otherwise(""),
+        F.concat(F.lit('"guidance":'), guidance),
+        pick(i, ',"fileGlob":"src/**"', "", ',"fileGlob":3'),
+        pick(i, ',"category":"\\tSecurity "', ',"category":"zzz"', "", ',"category":"judge"', ',"category":["security"]'),
+        pick(F.expr("doc_id div 6"), ',"strongestKind":"weird"', "", ',"strongestKind":"Directive"', ',"strongestKind":"refuted"', ',"strongestKind":" inferred-ignored"'),
+        pick(F.expr("doc_id div 5"), ',"sourcePr":"1"', ',"sourcePr":7', ',"sourcePr":-2', ""),
+        pick(F.expr("doc_id div 2"), ',"sourceCommentId":12', ',"sourceCommentId":1.5', ',"sourceCommentId":null'),
+        pick(F.expr("doc_id div 3"), ',"confirmations":-3', ',"confirmations":2,"refutations":"4"', ',"confirmations":4294967297,"refutations":5'),
+        F.when(i % 7 > 0, ',"firstSeen":"2026-01-01"').otherwise(""),
+        pick(F.expr("doc_id div 4"), ',"lastSeen":"2026-02-02"', ',"lastSeen":5'),
+    )
+    entry = F.concat(F.lit("{"), *fields, F.lit("}"))
     version = F.when(i % 6 == 1, "").when(i % 6 == 2, '"schemaVersion":9,').when(i % 6 == 3, '"schemaVersion":"1",').otherwise('"schemaVersion":1,')
-    value = F.when(i % 6 == 4, "{oops").when(i % 6 == 5, " \t\r\n").otherwise(F.concat(F.lit("\n{"), version, F.lit('"entries":['), entry, F.lit(',{"guidance":7},{}]}')))
+    value = F.when(i % 6 == 4, "{oops").when(i % 6 == 5, " \t\r\n").otherwise(F.concat(F.lit("\n{"), version, F.lit('"entries":['), entry, F.lit(',{"guidance":7,"firstSeen":"x"},{},42]}')))
     return fx.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(i.cast("string").alias("repo"), value.alias("value"))
 
 
@@ -208,7 +224,7 @@ ORACLE_SQL = {
     "merge_runs": f"{_R}, b AS (SELECT DISTINCT side, file, bench, l_partkey // 100 AS k FROM s WHERE file <> 'mod_5.rs'), o AS (SELECT *, row_number() OVER w - 1 AS pos, '2025-' || last_value(k) OVER (PARTITION BY file, side ORDER BY file || '/' || side || '/' || k, bench ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) % 12 AS finished_at FROM b WINDOW w AS (PARTITION BY file, side ORDER BY file || '/' || side || '/' || k, bench)) SELECT file AS service, side AS ref, bench, pos, finished_at FROM o",
     "go_events_to_samples": "WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS n, CASE WHEN l_linenumber IN (1, 3) THEN 'T' || (l_partkey % 20) ELSE 'BenchmarkB' || (l_partkey % 50) || '-8' END AS bench, 'pkg' || (l_suppkey % 7) AS pkg, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS ns FROM lineitem WHERE l_linenumber NOT IN (5, 6)), f AS (SELECT bench, arg_min(pkg, n) AS file FROM l GROUP BY bench) SELECT bench, file, count(ns) AS n, sum(ns) AS ns FROM l JOIN f USING (bench) GROUP BY bench, file HAVING count(ns) > 0",
     "metric_lines": "SELECT 'k' || (p_partkey % 10) AS name, count(*) AS n, sum(p_size)::DOUBLE AS value FROM part WHERE p_partkey % 3 = 0 GROUP BY 1",
-    "load_corpus": "SELECT doc_id::VARCHAR AS repo, doc_id % 6 IN (3, 4) AS invalid, CASE WHEN doc_id % 6 = 2 THEN 9 END AS future, CASE WHEN doc_id % 6 = 1 THEN 0 END AS upgraded_from, CASE WHEN doc_id % 6 IN (0, 1) AND trim(text, chr(9) || chr(10) || chr(13) || ' ') <> '' THEN 1 ELSE 0 END AS entries_loaded, CASE WHEN doc_id % 6 IN (0, 1) THEN 2 + (trim(text, chr(9) || chr(10) || chr(13) || ' ') = '')::INT ELSE 0 END AS entries_dropped FROM documents WHERE text IS NOT NULL",
+    "load_corpus": "SELECT doc_id::VARCHAR AS repo, doc_id % 6 IN (3, 4) AS invalid, CASE WHEN doc_id % 6 = 2 THEN 9 END AS future, CASE WHEN doc_id % 6 = 1 THEN 0 END AS upgraded_from, CASE WHEN doc_id % 6 IN (0, 1) AND told THEN 1 ELSE 0 END AS entries_loaded, CASE WHEN doc_id % 6 IN (0, 1) THEN 3 + (NOT told)::INT ELSE 0 END AS entries_dropped FROM (SELECT *, doc_id % 7 > 0 AND trim(text, chr(9) || chr(10) || chr(13) || ' ') <> '' AS told FROM documents WHERE text IS NOT NULL)",
     "compare_to_baseline": f"{_B} SELECT 'svc' AS service, " + ", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v.replace('-', '_')}" for v in compare.VERDICTS) + ", round(coalesce(sum(delta), 0), 6) AS delta_sum, count(*) FILTER (WHERE verdict = 'regression') > 0 AS failed FROM d",
     "agent_state": f"{_A} SELECT * FROM st",
     "standings": f"{_A}, x AS (SELECT session_id, tournament_id, agent_id, coalesce(improvements, 0) - 2.0 * coalesce(regressions, 0) - 1.5 * coalesce(criticals, 0) AS score, coalesce(delta_sum, 0)::DOUBLE AS delta_sum FROM st WHERE tournament_id IS NOT NULL) SELECT session_id, tournament_id, agent_id, score::DOUBLE AS score, delta_sum, row_number() OVER (PARTITION BY session_id, tournament_id ORDER BY score DESC, delta_sum, agent_id) AS rank FROM x",
@@ -220,5 +236,13 @@ ORACLE_SQL = {
     "review_progress": "SELECT 's' || (user_id % 10) AS session_id, count(*) FILTER (WHERE event_type = 'click') AS reviewers_done, coalesce(sum(event_id % 5) FILTER (WHERE event_type = 'click'), 0) AS findings, " + ", ".join(f"coalesce(sum(event_id % {m}) FILTER (WHERE {c}), 0) AS {n}" for n, m, c in (("n_raw", 7, "event_type = 'view'"), ("n_deduped", 3, "event_type = 'view'"), ("n_keep", 4, "event_type = 'purchase'"), ("n_downgrade", 2, "event_type = 'purchase'"), ("n_drop", 6, "event_type = 'purchase'"), ("prompt_tokens", 11, "event_type NOT IN ('click', 'view', 'purchase')"), ("shippable", 9, "event_type NOT IN ('click', 'view', 'purchase')"), ("criticals", 8, "event_type NOT IN ('click', 'view', 'purchase')"))) + " FROM events WHERE event_id % 10 > 0 GROUP BY 1",
     "change_points": "WITH c AS (SELECT 'a' || user_id AS agent_id, event_id AS seq, event_id // 50 <> lag(event_id // 50) OVER (PARTITION BY user_id ORDER BY event_id) AS ch FROM events), d AS (SELECT *, sum(coalesce(ch, false)::INT) OVER (PARTITION BY agent_id ORDER BY seq) AS iteration FROM c) SELECT agent_id, seq, iteration FROM d WHERE ch",
     "parse_events": f"{_E}, x AS (SELECT *, type = 'iterationCompare' AS c FROM e) SELECT session_id, seq, ts_ms, type, agent_id, CASE WHEN type = 'agentSpawned' THEN 'n' || seq END AS name, CASE WHEN type = 'agentSpawned' THEN 't' || (user_id % 3) END AS tournament_id, CASE WHEN type = 'agentOutput' THEN 'o' || seq END AS text, CASE WHEN type = 'notice' THEN 'm' || seq END AS message, CASE WHEN type IN ('iterationStarted', 'iterationCompare') THEN seq END AS iteration, CASE WHEN type = 'councilVerdict' THEN seq % 3 END AS critical, CASE WHEN c THEN seq % 4 END AS regressions, CASE WHEN c THEN seq % 5 END AS improvements, CASE WHEN c THEN {_DS} END AS delta_sum, CASE WHEN c THEN 'b0:108:' || (100 + seq % 21) || ',' || concat_ws(':', 'b1', CASE WHEN seq % 3 > 0 THEN '50' END, CASE WHEN seq % 3 < 2 THEN ((100 + seq % 21) // 2)::VARCHAR END) END AS diffs FROM x",
-    "load_corpus_entries": "SELECT doc_id::VARCHAR AS repo, 'a' AS id, md5(CASE WHEN length(text) > 2000 THEN left(text, 1999) || '…' ELSE text END) AS guidance, NULL::VARCHAR AS file_glob, NULL::VARCHAR AS category, 'inferred-applied' AS strongest_kind, 1 AS source_pr, NULL::BIGINT AS source_comment_id, 0 AS confirmations, 0 AS refutations, '' AS first_seen, '' AS last_seen FROM documents WHERE doc_id % 6 IN (0, 1) AND trim(text, chr(9) || chr(10) || chr(13) || ' ') <> ''",
+    "load_corpus_entries": """WITH g AS (
+      SELECT doc_id AS i, CASE WHEN length(text) > 2000 THEN left(text, 1999) || '…' ELSE text END AS guidance, CASE WHEN doc_id % 3 = 0 THEN 'src/**' END AS file_glob,
+        CASE doc_id % 5 WHEN 0 THEN 'security' WHEN 3 THEN 'judge' END AS category
+      FROM documents WHERE doc_id % 6 IN (0, 1) AND doc_id % 7 > 0 AND trim(text, chr(9) || chr(10) || chr(13) || ' ') <> '')
+    SELECT i::VARCHAR AS repo, CASE WHEN i % 4 > 0 THEN 'a' || i ELSE 'e' || left(sha256(coalesce(file_glob, '') || chr(31) || coalesce(category, '') || chr(31) || trim(regexp_replace(lower(guidance), '\\s+', ' ', 'g'))), 16) END AS id,
+      md5(guidance) AS guidance, file_glob, category, CASE i // 6 % 5 WHEN 2 THEN 'user-directive' WHEN 3 THEN 'refuted' WHEN 4 THEN 'inferred-ignored' ELSE 'confirmed' END AS strongest_kind,
+      CASE WHEN i // 5 % 4 = 1 THEN 7 ELSE 0 END AS source_pr, CASE WHEN i // 2 % 3 = 0 THEN 12 END AS source_comment_id, CASE i // 3 % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS confirmations,
+      CASE WHEN i // 3 % 3 = 2 THEN 5 ELSE 0 END AS refutations, '2026-01-01' AS first_seen, CASE WHEN i // 4 % 2 = 0 THEN '2026-02-02' ELSE '2026-01-01' END AS last_seen
+    FROM g""",
 }

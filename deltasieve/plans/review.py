@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..operators import corpus as co
 from ..operators import evals as ev
 from ..operators import findings as fi
-from ..options import ScoreOptions
+from ..options import GuidanceOptions, ScoreOptions
 from . import fixtures as fx
 from .core import _rounded
 
 NOW = "2026-01-01T00:00:00Z"
+FLOOR = 0.5
 
 
 def _case(c: F.Column, *values) -> F.Column:
@@ -65,16 +66,16 @@ def applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fi.shippable(judged(spark, sf_dir)).select("pr", "seq", "place")
+    return fi.shippable(judged(spark, sf_dir), FLOOR).select("pr", "seq", "place")
 
 
 def critical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fi.has_critical(fi.shippable(judged(spark, sf_dir)).where("pr % 3 <> 2 OR sev_rank < 3")).select("pr", "critical")
+    return fi.has_critical(fi.shippable(judged(spark, sf_dir), FLOOR).where("pr % 3 <> 2 OR sev_rank < 3")).select("pr", "critical")
 
 
 def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = fx.findings(spark, sf_dir).select("repo", "pr", F.col("file").alias("path"), (F.col("seq") % 3 > 0).alias("kept"))
-    return fi.review_summary(judged(spark, sf_dir), fx.findings(spark, sf_dir), responses(spark, sf_dir), files).drop("repo")
+    return fi.review_summary(judged(spark, sf_dir), fx.findings(spark, sf_dir), responses(spark, sf_dir), files, FLOOR).drop("repo")
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +88,12 @@ def degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fi.category_counts(fi.shippable(judged(spark, sf_dir))).drop("repo")
+    return fi.category_counts(fi.shippable(judged(spark, sf_dir), FLOOR)).drop("repo")
 
 
 def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fx.findings(spark, sf_dir).select("repo", "pr", (F.col("seq") % fx.REVIEW + 1).alias("index"), F.when(F.col("seq") % 8 == 0, "drop").when(F.col("seq") % 8 == 1, "keep").when(F.col("seq") % 50 == 2, "keep-rest").when(F.col("seq") % 50 == 28, "drop-rest").alias("action"), F.col("seq").alias("at")).where("action IS NOT NULL")
-    return fi.apply_curation(judged(spark, sf_dir), d).select("pr", "seq", "verdict")
+    return fi.apply_curation(judged(spark, sf_dir), d, FLOOR).select("pr", "seq", "verdict")
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,12 +116,12 @@ _ENTRY = ["repo", "guidance", "file_glob", "category", "strongest_kind", "source
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = co.parse_directives(co.trusted(comments(spark, sf_dir), bot="robot"), "bot")
-    return co.directives_to_entries(d, fi.shippable(judged(spark, sf_dir)), NOW).select(*_ENTRY)
+    return co.directives_to_entries(d, fi.shippable(judged(spark, sf_dir), FLOOR), NOW).select(*_ENTRY)
 
 
 def reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     system, _ = co.split_comments(comments(spark, sf_dir), "<!-- marker -->")
-    return co.reactions_to_entries(system, fi.shippable(judged(spark, sf_dir)), NOW).select(*_ENTRY)
+    return co.reactions_to_entries(system, fi.shippable(judged(spark, sf_dir), FLOOR), NOW).select(*_ENTRY)
 
 
 def _entries_of(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
@@ -184,15 +185,23 @@ def _guided(spark: SparkSession, sf_dir: str) -> DataFrame:
     repo = F.expr(f"doc_id div {fx.REPO}")
     path = F.concat(F.when(i % 2 == 0, "src/m1/f").otherwise("lib/f"), "doc_id", F.lit(".rs"))
     files = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("r"), F.when(repo % 3 == 2, F.lit(-1)).otherwise(repo)).alias("repo"), path.alias("path"))
-    return co.select_guidance(_scored(spark, sf_dir), files, "security", 12)
+    return co.select_guidance(_scored(spark, sf_dir), files, "security", GuidanceOptions(keep=12))
 
 
 def guided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _guided(spark, sf_dir).select("repo", "id", "place")
 
 
+def guided_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guidance for two reviews of each repository: one of some files, one of none that any glob names."""
+    i = F.col("doc_id")
+    path = F.when(i % 3 == 0, F.concat(F.lit("lib/f"), "doc_id", F.lit(".go"))).when(i % 3 == 1, F.concat(F.lit("src/m1/f"), "doc_id"))
+    files = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("r"), F.expr(f"doc_id div {fx.REPO}")).alias("repo"), (i % 3).alias("pr"), path.alias("path"))
+    return co.select_guidance(_scored(spark, sf_dir), files, "security", GuidanceOptions(keep=12)).select("repo", "pr", "id", "place")
+
+
 def budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.budget_prefix(co.guidance_lines(_guided(spark, sf_dir)), 6000)
+    return co.budget_prefix(co.guidance_lines(_guided(spark, sf_dir)), GuidanceOptions(limit=6000))
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,16 +227,16 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ev.score_cases(**_eval(spark, sf_dir)), 6)
+    return _rounded(ev.score_cases(**_eval(spark, sf_dir), floor=FLOOR), 6)
 
 
 def case_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = ev.score_cases(**_eval(spark, sf_dir))
+    c = ev.score_cases(**_eval(spark, sf_dir), floor=FLOOR)
     return c.select("run", "case", "expected_total", "findings_total", "findings_forbidden", "over_cap", *[f"{s}_total" for s in ev.SEVERITIES])
 
 
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ev.score_corpus(ev.score_cases(**_eval(spark, sf_dir))), 6)
+    return _rounded(ev.score_corpus(ev.score_cases(**_eval(spark, sf_dir), floor=FLOOR)), 6)
 
 
 FLOORS = [0.3, 0.5, 0.8]
@@ -303,6 +312,7 @@ QUERIES = {
     "compact_corpus": compacted,
     "evicted_entries": evicted,
     "select_guidance": guided,
+    "guidance_of_reviews": guided_reviews,
     "budget_prefix": budgeted,
     "corpus_listing": listing,
     "match_candidates": candidates,
@@ -388,6 +398,7 @@ ORACLE_SQL = {
     "compact_corpus": f"{_CO} SELECT repo, id, row_number() OVER (PARTITION BY repo ORDER BY score DESC, seen DESC, id) AS place FROM sc WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY score DESC, seen DESC, id) <= 120",
     "evicted_entries": f"{_CO} SELECT repo, count(*) - least(120, count(*) FILTER (WHERE score >= 0.1)) AS evicted FROM sc GROUP BY repo",
     "select_guidance": f"{_G} SELECT repo, id, place FROM gk",
+    "guidance_of_reviews": f"{_CO}, rv AS (SELECT DISTINCT 'r' || (doc_id // 1000) AS repo, doc_id % 3 AS pr FROM documents) SELECT repo, pr, id, row_number() OVER (PARTITION BY repo, pr ORDER BY score DESC, id) AS place FROM sc JOIN rv USING (repo) WHERE (cat IS NULL OR cat = 'security') AND (gl IS NULL OR pr = 2 OR (pr = 1 AND gl <> '*.rs')) QUALIFY place <= 12",
     "corpus_listing": f"{_CO} SELECT repo, id, kind, coalesce(nullif(concat_ws(' · ', gl, cat), ''), 'all') AS scope, CASE WHEN length(guidance) > 20 THEN left(guidance, 19) || '…' ELSE guidance END AS guidance, round(score, 2) AS score, conf AS confirmations, ref AS refutations FROM sc",
     "match_candidates": f"{_EV} SELECT run, \"case\", ord, seq FROM ca",
     "case_findings": f"{_AS} SELECT run, \"case\", expected_total, findings_total, findings_forbidden, over_cap, " + ", ".join(f"{s}_total" for s in ev.SEVERITIES) + " FROM re WHERE floor = 0.5",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -137,16 +137,23 @@ def read_cases(spark: SparkSession, root: str, index: str | None = None) -> dict
     }
 
 
-_ENTRY = "struct<id:string,guidance:string,fileGlob:string,category:string,strongestKind:string,sourcePr:bigint,sourceCommentId:bigint,confirmations:bigint,refutations:bigint,firstSeen:string,lastSeen:string,score:double>"
+# Kinds and categories of a stored entry, and another spelling of a kind.
+_STORED_KINDS = {"user-directive": "user-directive", "directive": "user-directive", "confirmed": "confirmed", "refuted": "refuted", "inferred-applied": "inferred-applied", "inferred-ignored": "inferred-ignored"}
+_STORED_CATEGORIES = {c: c for c in ("correctness", "security", "performance", "maintainability", "judge")}
 
 
 def load_corpus(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, summary) of stored corpora (repo, value), whatever their state; never fails.
 
     A text that isn't JSON, or whose version isn't a whole number, is invalid; a newer version is refused; an older or
-    missing one is upgraded. An entry without guidance or source is dropped and counted; long guidance is cut.
+    missing one is upgraded.
+
+    An entry without guidance or without firstSeen is dropped and counted; all else has a default, also where it is of
+    another type: no glob, no category, kind confirmed, source_pr 0, no comment, counters 0 (whole numbers from 0 on, by their
+    lowest 32 bits), last seen when first seen, and the id of its scope and wording. Kinds and categories are read in any case, with
+    blanks around them; unknown ones count as missing. Long guidance is cut.
     """
-    from ..operators.corpus import clamp_guidance
+    from ..operators.corpus import clamp_guidance, entry_id
 
     doc = texts.select("repo", strip(F.coalesce("value", F.lit(""))).alias("value")).withColumn("doc", F.try_parse_json("value"))
     kind = F.schema_of_variant(F.try_variant_get("doc", "$.schemaVersion", "variant"))
@@ -159,9 +166,35 @@ def load_corpus(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     usable = ~F.col("invalid") & F.col("future").isNull()
     items = F.when(usable, F.try_variant_get("doc", "$.entries", "array<variant>"))
     rows = state.select("repo", F.explode(items).alias("x"))
-    e = F.col("e")
-    rows = rows.withColumn("e", F.try_variant_get("x", "$", _ENTRY)).withColumn("ok", F.coalesce((strip(e["guidance"]) != "") & e["sourcePr"].isNotNull(), F.lit(False)))
-    entries = rows.where("ok").select("repo", "e.id", clamp_guidance(F.col("e.guidance")).alias("guidance"), F.col("e.fileGlob").alias("file_glob"), "e.category", F.coalesce("e.strongestKind", F.lit("inferred-applied")).alias("strongest_kind"), F.col("e.sourcePr").alias("source_pr"), F.col("e.sourceCommentId").alias("source_comment_id"), F.coalesce("e.confirmations", F.lit(0)).alias("confirmations"), F.coalesce("e.refutations", F.lit(0)).alias("refutations"), F.coalesce("e.firstSeen", F.lit("")).alias("first_seen"), F.coalesce("e.lastSeen", F.lit("")).alias("last_seen"))
+
+    def kind_of(field: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get("x", f"$.{field}", "variant"))
+
+    def text(field: str) -> Column:
+        return F.when(kind_of(field) == "STRING", F.try_variant_get("x", f"$.{field}", "string"))
+
+    def whole(field: str) -> Column:
+        number = F.when(kind_of(field) == "BIGINT", F.try_variant_get("x", f"$.{field}", "bigint"))
+        return F.when(number >= 0, number)
+
+    def known(field: str, names: dict[str, str]) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(n) for pair in names.items() for n in pair]), F.lower(strip(text(field))))
+
+    rows = rows.withColumn("ok", F.coalesce((strip(text("guidance")) != "") & text("firstSeen").isNotNull(), F.lit(False)))
+    kept = rows.where("ok").select(
+        "repo",
+        text("id").alias("id"),
+        clamp_guidance(text("guidance")).alias("guidance"),
+        text("fileGlob").alias("file_glob"),
+        known("category", _STORED_CATEGORIES).alias("category"),
+        F.coalesce(known("strongestKind", _STORED_KINDS), F.lit("confirmed")).alias("strongest_kind"),
+        F.coalesce(whole("sourcePr"), F.lit(0)).alias("source_pr"),
+        whole("sourceCommentId").alias("source_comment_id"),
+        *[(F.coalesce(whole(n), F.lit(0)) % (1 << 32)).alias(n) for n in ("confirmations", "refutations")],
+        text("firstSeen").alias("first_seen"),
+        F.coalesce(text("lastSeen"), text("firstSeen")).alias("last_seen"),
+    )
+    entries = kept.withColumn("id", F.coalesce("id", entry_id(F.col("file_glob"), F.col("category"), F.col("guidance"))))
     counts = rows.groupBy("repo").agg(F.count_if("ok").alias("entries_loaded"), F.count_if(~F.col("ok")).alias("entries_dropped"))
     summary = state.join(counts, "repo", "left").select("repo", "invalid", "future", "upgraded_from", F.coalesce("entries_loaded", F.lit(0)).alias("entries_loaded"), F.coalesce("entries_dropped", F.lit(0)).alias("entries_dropped"))
     return entries, summary

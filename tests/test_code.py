@@ -213,6 +213,17 @@ def test_scope_listing(spark):
     assert cg.scope_rows(s, by, changed.limit(0)).count() == 0
 
 
+def test_scope_listing_of_two_reviews_and_wide_signatures(spark):
+    f = files(spark, {"a.ts": "function f(a) { return '" + "漢" * 200 + "' }", "b.ts": "function g() {}"})
+    s = cg.extract_symbols(f)
+    by = cg.callers(cg.attribute_calls(cg.calls_by_line(f), s), s)
+    changed = spark.createDataFrame([("r", 1, "a.ts"), ("r", 2, "b.ts"), ("r", 2, "no.ts")], "repo string, pr bigint, path string")
+    rows = {r["pr"]: r["block"] for r in cg.scope_rows(s, by, changed).collect()}
+    assert rows[2] == "\nb.ts:\n  - fn g (L1) `function g() {}`\n" and list(sorted(rows)) == [1, 2]
+    signature = rows[1].split("`")[1]
+    assert signature.endswith("漢…") and 237 <= len(signature.encode()) <= 240
+
+
 def test_language_hints(spark):
     d = spark.createDataFrame([(p,) for p in ("a.tsx", "b.kts", "c.py", "d.md", "e.RS", "f", "g.zsh", "h.hh", "i.php")], "p string")
     assert [r[0] for r in d.select(tx.lang_hint(F.col("p"))).collect()] == ["ts", "kotlin", "py", "md", "", "", "bash", "cpp", "php"]

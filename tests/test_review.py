@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from deltasieve.operators import corpus as co
 from deltasieve.operators import evals as ev
 from deltasieve.operators import findings as fi
+from deltasieve.options import GuidanceOptions
 
 SCHEMA = "repo string, pr bigint, seq bigint, file string, line bigint, severity string, sev_rank int, category string, title string, rationale string, suggestion string, raised_by string"
 
@@ -162,13 +163,80 @@ def test_guidance_block_counts_its_header_and_marks_the_overflow(spark):
     lines = spark.createDataFrame([("r", i, f"{i}. " + "é" * 20 + "\n") for i in range(1, 6)] + [("q", 1, "1. short\n")], "repo string, place int, line string")
     size = len(co.HEADER.encode())
     got = {}
-    for r in co.budget_prefix(lines, size + 100).orderBy("repo", "place").collect():
+    for r in co.budget_prefix(lines, GuidanceOptions(limit=size + 100)).orderBy("repo", "place").collect():
         got.setdefault(r["repo"], []).append(r["line"])
     assert got["q"] == [co.HEADER, "1. short\n"]
     assert got["r"][:3] == [co.HEADER, "1. " + "é" * 20 + "\n", "2. " + "é" * 20 + "\n"] and got["r"][3:] == ["…\n"]
     assert co.budget_prefix(lines.limit(0)).count() == 0
 
 
+def test_globs_found_by_index_as_by_all_pairs(spark):
+    rng = random.Random(4)
+    parts = ["src", "src2", "a", "b.rs", "x.test.ts", "", "*", "**"]
+    globs = {"/".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(120)} | {"src/**", "src/*", "**/x.test.ts", "**/a/b.rs", "**/", "*", "*.rs", "sr*", "src/a*", "s*/b.rs", "src*.ts", "", "a/*/b.rs"}
+    paths = {"/".join(rng.choices([p for p in parts if "*" not in p], k=rng.randint(1, 4))) for _ in range(120)} | {"src", "b.rs", "src/a/b.rs", "", "é/ü.rs"}
+    g = spark.createDataFrame([("r", x) for x in globs], "repo string, file_glob string")
+    p = spark.createDataFrame([("r", x) for x in paths] + [("q", "src/a"), ("r", None)], "repo string, path string")
+    want = {tuple(r) for r in g.join(p, "repo").where(co.glob_matches(F.col("file_glob"), F.col("path"))).select("path", "file_glob").collect()}
+    got = [tuple(r) for r in co.matching_globs(g, p, ["repo"]).select("path", "file_glob").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
+def test_guidance_of_two_reviews(spark):
+    corpus = spark.createDataFrame([("r", "a", "g", "src/**", None, "confirmed", 1, 0, 2.0), ("r", "b", "g", "*.go", "security", "confirmed", 1, 0, 3.0), ("r", "c", "g", None, "performance", "confirmed", 1, 0, 1.0), ("s", "d", "g", "x", None, "confirmed", 1, 0, 1.0)], "repo string, id string, guidance string, file_glob string, category string, strongest_kind string, confirmations int, refutations int, score double")
+    changed = spark.createDataFrame([("r", 1, "src/x"), ("r", 2, "m.go"), ("r", 3, None)], "repo string, pr bigint, path string")
+    chosen = co.select_guidance(corpus, changed)
+    assert {(r["repo"], r["pr"], r["id"], r["place"]) for r in chosen.collect()} == {("r", 1, "a", 1), ("r", 1, "c", 2), ("r", 2, "b", 1), ("r", 2, "c", 2), ("r", 3, "b", 1), ("r", 3, "a", 2), ("r", 3, "c", 3), ("s", None, "d", 1)}
+    block = co.budget_prefix(co.guidance_lines(chosen))
+    assert {(r["repo"], r["pr"], r["place"]) for r in block.where("repo = 'r' AND pr < 3").collect()} == {("r", p, n) for p in (1, 2) for n in range(3)}
+    assert {r["id"] for r in co.select_guidance(corpus, None, "security", GuidanceOptions(keep=1)).collect()} == {"b", "d"}
+
+
+def test_a_run_without_records_is_refused(spark):
+    import pytest
+
+    cases = spark.createDataFrame([("x", 1), ("x", 2), ("y", 1)], "run string, case bigint").withColumns({c: F.lit(None).cast("bigint") for c in ("max_findings", "duration_ms", "prompt_tokens", "completion_tokens")}).withColumn("judge_error", F.lit(None).cast("string"))
+    record = "run string, case bigint, seq bigint, file string, line bigint, severity string, sev_rank int, category string, confidence double, verdict string, title string"
+    some = [("x", 1, 1, "f", 3, "major", 2, "security", 0.9, "keep", "t")]
+    expected = spark.createDataFrame([("x", 1, 0, "f", None, None, 2, None, True)], "run string, case bigint, ord bigint, file string, line_lo bigint, line_hi bigint, sev_rank int, category string, must_catch boolean")
+    forbidden = spark.createDataFrame([], "run string, case bigint, path string")
+    with pytest.raises(ValueError, match="y"):
+        ev.recalibrate(spark.createDataFrame(some, record), cases, expected, forbidden, [0.5])
+    with pytest.raises(ValueError):
+        ev.recalibrate(spark.createDataFrame([], record), cases, expected, forbidden, [0.5])
+    with pytest.raises(ValueError, match="unknown"):
+        ev.recalibrate(spark.createDataFrame([*some, ("y", 9, *some[0][2:])], record), cases, expected, forbidden, [0.5])
+    ok = ev.recalibrate(spark.createDataFrame(some, record), cases.where("run = 'x'"), expected, forbidden, [0.5, 0.95])
+    assert {(r["floor"], r["critical_recall"], r["recall_major"]) for r in ok.collect()} == {(0.5, 1.0, 1.0), (0.95, 1.0, 0.0)}
+
+
+def test_stored_corpora_heal(spark):
+    from deltasieve.sources import reports as rp
+
+    good = {"id": "a", "guidance": "g", "strongestKind": "confirmed", "sourcePr": 1, "firstSeen": "x", "lastSeen": "y"}
+    odd = [
+        good,
+        good | {"id": None, "strongestKind": "\tDirective ", "category": "SECURITY", "fileGlob": "src/**", "lastSeen": 3, "sourcePr": "1", "confirmations": -3, "refutations": 2**32 + 1},
+        good | {"strongestKind": "weird", "category": "zzz", "sourceCommentId": 1.5, "guidance": "z" * 5000},
+        {k: v for k, v in good.items() if k not in ("strongestKind", "sourcePr", "lastSeen")},
+        {k: v for k, v in good.items() if k != "firstSeen"},
+        good | {"guidance": " \t"},
+        good | {"guidance": 7},
+        42,
+        [good],
+        None,
+    ]
+    texts = {"odd": json.dumps({"schemaVersion": 1, "entries": odd}), "text": '{"schemaVersion": "9999999999999999999", "entries": []}', "big": '{"schemaVersion": 5000000000}', "minus": '{"schemaVersion": -1}', "object": '{"schemaVersion": {"v": 1}}', "old": json.dumps({"entries": [good]}), "empty": ""}
+    entries, summary = rp.load_corpus(spark.createDataFrame(list(texts.items()), "repo string, value string"))
+    got = [r for r in entries.where("repo = 'odd'").collect()]
+    assert sorted((r["strongest_kind"], r["category"] or "", r["source_pr"], r["confirmations"], r["refutations"], r["last_seen"], len(r["guidance"])) for r in got) == [
+        ("confirmed", "", 0, 0, 0, "x", 1), ("confirmed", "", 1, 0, 0, "y", 1), ("confirmed", "", 1, 0, 0, "y", 2000), ("user-directive", "security", 0, 0, 1, "x", 1)]
+    made = spark.range(1).select(co.entry_id(F.lit("src/**"), F.lit("security"), F.lit("g"))).first()[0]
+    assert {r["id"] for r in got} == {"a", made}
+    s = {r["repo"]: (r["invalid"], r["future"], r["upgraded_from"], r["entries_loaded"], r["entries_dropped"]) for r in summary.collect()}
+    assert s == {"odd": (False, None, None, 4, 6), "text": (True, None, None, 0, 0), "big": (False, 2**32 - 1, None, 0, 0), "minus": (True, None, None, 0, 0), "object": (True, None, None, 0, 0), "old": (False, None, 0, 1, 0), "empty": (False, None, None, 0, 0)}
+
+
 def test_verdicts_default(spark):
     c = spark.createDataFrame([("r", 1, i) for i in range(3)], "repo string, pr bigint, index bigint")
     raw = json.dumps({"verdicts": [{"index": 0, "verdict": "keep"}, {"index": 0, "verdict": "reject", "confidence": 7}, {"index": 9}]})
