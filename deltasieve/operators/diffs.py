@@ -177,9 +177,9 @@ def pack_chunks(diff_files: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> D
     over = F.lit(policy.chunk_context_bytes + 1).cast("bigint")
     folded = files.withColumn("rest", rest).withColumn("keeps", fit_in_order(F.transform("rest", lambda f: F.coalesce(f["context"], over)), policy.chunk_context_bytes))
     kept = F.arrays_zip(F.transform("rest", lambda f: f["pos"]).alias("pos"), F.transform("rest", lambda f: f["context"]).alias("context"), F.col("keeps").alias("keep"))
-    spent = F.aggregate(kept, F.lit(0).cast("bigint"), lambda n, f: n + F.when(f["keep"], f["context"]).otherwise(0))
-    chunks = settled(folded.select(*REVIEW, "chunk_idx", F.col("files")[0].alias("opens"), kept.alias("kept"), spent.alias("spent")), "chunks")
-    before = chunks.select(*REVIEW, (F.col("chunk_idx") + 1).alias("chunk_idx"), F.col("spent").alias("_spent"))
+    chunks = settled(folded.select(*REVIEW, "chunk_idx", F.col("files")[0].alias("opens"), kept.alias("kept")), "chunks")
+    spent = F.aggregate("kept", F.lit(0).cast("bigint"), lambda n, f: n + F.when(f["keep"], f["context"]).otherwise(0))
+    before = chunks.select(*REVIEW, (F.col("chunk_idx") + 1).alias("chunk_idx"), spent.alias("_spent"))
     opening = chunks.join(before, [*REVIEW, "chunk_idx"]).select(*REVIEW, "chunk_idx", "opens.pos", (F.col("_spent") + F.col("opens.context") <= policy.chunk_context_bytes).alias("keep"))
     inner = chunks.select(*REVIEW, "chunk_idx", F.explode("kept").alias("f")).select(*REVIEW, "chunk_idx", "f.pos", "f.keep")
     placed = opening.unionByName(inner).withColumn("chunk_idx", F.col("chunk_idx").cast("int"))
