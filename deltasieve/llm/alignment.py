@@ -48,7 +48,8 @@ class Encoders:
 
     A word with the spaces and line feeds before it is encoded by itself, to the same ids: the pattern of A never goes on
     over white space that follows something else, and no piece of B goes on over a space that follows something else,
-    or over a line feed. Texts with other white space, and all texts if a model has other pieces, are encoded whole.
+    or over a line feed. Texts with other white space or with some at their end, and all texts if a model has other pieces, are
+    encoded whole.
     """
 
     WORD = re.compile("[ \n]+[^ \n]*")
@@ -90,16 +91,14 @@ class Encoders:
         """Take in words not known; those that haven't been met for long are forgotten."""
         if len(self.known[0]) + len(words) > MEMORY:
             self.known, self.older = ({}, {}), self.known
-        fresh, blank = [], []
+        fresh = []
         for w in words.difference(self.known[0]):
             if w in self.older[0]:
                 for known, older in zip(self.known, self.older, strict=True):
                     known[w] = older[w]
             else:
-                (fresh if w[-1] not in " \n" else blank).append(w)
-        found = self._apart(fresh) if fresh else []
-        found += [self._apart([w])[0] for w in blank]  # these would go together with the spaces after them
-        for w, ids in zip(fresh + blank, found, strict=True):
+                fresh.append(w)
+        for w, ids in zip(fresh, self._apart(fresh) if fresh else [], strict=True):
             self.known[0][w], self.known[1][w] = ids or (None, None)
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
@@ -107,7 +106,7 @@ class Encoders:
         if not text:
             return b"", b""
         spaced = " " + text
-        if not self.apart or self.OTHER_SPACE.search(text):
+        if not self.apart or text[-1] in " \n" or self.OTHER_SPACE.search(text):
             ids = self._ids(spaced)
             return (ids[0].tobytes(), ids[1].tobytes()) if ids else (b"", b"")
         words = self.WORD.findall(spaced)
