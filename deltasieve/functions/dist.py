@@ -1,11 +1,10 @@
-"""Distribution functions: the normal as Columns, Student's t over Arrow batches."""
+"""Distribution functions as Columns: the normal, and Student's t by a fold."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,46 +39,55 @@ def norm_cdf(x: Column) -> Column:
     return 0.5 * (1 + erf(x / math.sqrt(2)))
 
 
-def _ln_gamma(z: np.ndarray) -> np.ndarray:
-    z = z - 1
-    series = LANCZOS[0] + sum(c / (z + i) for i, c in enumerate(LANCZOS[1:], 1))
-    t = z + 7.5
-    return 0.5 * math.log(2 * math.pi) + (z + 0.5) * np.log(t) - t + np.log(series)
+def _ln_gamma(z: Column) -> Column:
+    shifted = z - 1
+    series = F.lit(LANCZOS[0])
+    for i, c in enumerate(LANCZOS[1:], 1):
+        series = series + c / (shifted + i)
+    t = shifted + 7.5
+    return 0.5 * math.log(2 * math.pi) + (shifted + 0.5) * F.log(t) - t + F.log(series)
 
 
-def _incomplete_beta(x: np.ndarray, a: np.ndarray, b: float) -> np.ndarray:
-    """Regularised incomplete beta by Lentz's continued fraction, all rows of a batch at once."""
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _continued_fraction(x: Column, a: Column, b: float, steps: int = 200) -> Column:
+    """Lentz's continued fraction of the incomplete beta, until it no longer changes: a fold that then passes its value on."""
     tiny = 1e-300
+    floor = lambda v: _bound(v, lambda w: F.when(F.abs(w) < tiny, F.lit(tiny)).otherwise(w))
+
+    def half(acc: Column, factor: Column) -> Column:
+        both = F.struct((1 / floor(1 + factor * acc["d"])).alias("d"), floor(1 + factor / acc["c"]).alias("c"))
+        return _bound(both, lambda n: F.struct(n["c"].alias("c"), n["d"].alias("d"), (acc["h"] * n["d"] * n["c"]).alias("h"), (F.abs(n["d"] * n["c"] - 1) >= 1e-15).alias("going")))
+
+    def step(acc: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m))
+        return F.when(acc["going"], _bound(half(acc, even), lambda once: half(once, odd))).otherwise(acc)
+
+    first = 1 / floor(1 - (a + b) * x / (a + 1))
+    start = _bound(first, lambda d: F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h"), F.lit(True).alias("going")))
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda m: m.cast("double")), start, step, lambda acc: acc["h"])
+
+
+def _incomplete_beta(x: Column, a: Column, b: float) -> Column:
+    """Regularised incomplete beta for x strictly between 0 and 1."""
+    front = F.exp(a * F.log(x) + b * F.log1p(-x) - _ln_gamma(a) - _ln_gamma(F.lit(b)) + _ln_gamma(a + b)) / a
+    return front * _continued_fraction(x, a, b)
+
+
+def student_t_cdf(t: Column | str, df: Column | str) -> Column:
+    """P(T <= t) for df degrees of freedom; one half for df <= 0 and for infinite ones. Null in, null out; NaN in, NaN out."""
+    t, n = (F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in (t, df))
+    infinite = lambda c: F.abs(c) == float("inf")
+
+    def finite(p: Column) -> Column:
+        """Of both, as one value: neither null, NaN nor infinite, and df above 0."""
+        x = p["n"] / (p["n"] + p["t"] * p["t"])
+        beta = F.when(x >= 1, 1.0).when(x <= 0, 0.0).otherwise(_bound(F.struct(x.alias("x"), (p["n"] / 2).alias("a")), lambda q: _incomplete_beta(q["x"], q["a"], 0.5)))
+        return _bound(beta, lambda v: F.when(p["t"] >= 0, 1 - 0.5 * v).otherwise(0.5 * v))
 
-    def floor(v: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(v) < tiny, tiny, v)
-
-    inside = (x > 0) & (x < 1)
-    x = np.where(inside, x, 0.5)
-    front = np.exp(a * np.log(x) + b * np.log1p(-x) - _ln_gamma(a) - _ln_gamma(np.full_like(a, b)) + _ln_gamma(a + b)) / a
-    c, d = np.ones_like(x), 1 / floor(1 - (a + b) * x / (a + 1))
-    h, going = d.copy(), np.ones(len(x), bool)
-    for m in range(1, 201):
-        for factor in (m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m))):
-            d = 1 / floor(1 + factor * d)
-            c = floor(1 + factor / c)
-            h = np.where(going, h * d * c, h)
-        going &= np.abs(d * c - 1) >= 1e-15
-        if not going.any():
-            break
-    return np.where(inside, front * h, np.where(x <= 0, 0.0, 1.0))
-
-
-def student_t_cdf(t: Column, df: Column) -> Column:
-    """P(T <= t) for df degrees of freedom; one half for df <= 0. Null in, null out."""
-    return F.pandas_udf(_student_t, "double")(t, df)
-
-
-def _student_t(t: pd.Series, df: pd.Series) -> pd.Series:
-    x, n = t.to_numpy(float), df.to_numpy(float)
-    good = np.isfinite(x) & np.isfinite(n) & (n > 0)
-    safe = np.where(good, n, 1.0)
-    at = np.where(good, x, 0.0)
-    beta = np.where(at == 0, 1.0, _incomplete_beta(safe / (safe + at * at), safe / 2, 0.5))
-    p = np.where(at >= 0, 1 - 0.5 * beta, 0.5 * beta)
-    return pd.Series(np.where(np.isnan(x) | np.isnan(n), np.nan, np.where(good, p, 0.5)))
+    whole = _bound(F.struct(t.alias("t"), n.alias("n")), finite)
+    return F.when(t.isNull() | n.isNull(), None).when(F.isnan(t) | F.isnan(n), float("nan")).when(infinite(t) | infinite(n) | (n <= 0), 0.5).otherwise(whole)

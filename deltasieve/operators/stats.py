@@ -217,7 +217,7 @@ def welch_moments(samples: DataFrame, keys: list[str], side: str = "side", base:
 
 
 def welch_t(samples: DataFrame, keys: list[str], side: str = "side", base: str = "base", head: str = "head") -> DataFrame:
-    """keys, t, df, p (two-tailed; 1 where the test can't be made): one row for each key reaches the Arrow function."""
+    """keys, t, df, p (two-tailed; 1 where the test can't be made)."""
     m = welch_moments(samples, keys, side, base, head)
     p = F.when(F.col("t").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * (1 - student_t_cdf(F.abs("t"), "df")))))
     return m.select(*keys, _or_zero(F.col("t")).alias("t"), _or_zero(F.col("df")).alias("df"), p.alias("p"))

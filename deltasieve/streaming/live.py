@@ -117,31 +117,97 @@ def standings(state: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order))
 
 
-def stream_standings(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Start a query that keeps agents' states and hands each batch's standings to sink.
+class Standings(StatefulProcessor):
+    """Keeps what standings need of each agent of a session, by sequence number, and ranks the tournaments that a batch changed.
 
-    A stream's plan can't rank, so a batch's changed states are merged into the table of states (by last_seq) in
-    foreachBatch, under the checkpoint folder, and ranked there. A batch may be run again, so that the table before it
-    stays; older ones are deleted. The states are one row for each agent, whatever the number of events.
+    Of every field the value with the highest number counts, so that the order in which events come doesn't matter.
     """
-    table = f"{checkpoint}/states"
 
-    def delete(spark: SparkSession, n: int) -> None:
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}")
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    FIELDS = (("agentSpawned", "tournament_id", "string"), ("iterationCompare", "regressions", "bigint"), ("iterationCompare", "improvements", "bigint"), ("iterationCompare", "delta_sum", "double"), ("councilVerdict", "critical", "bigint"))
 
-    def batch(changed: DataFrame, n: int) -> None:
-        spark = changed.sparkSession
-        old = [f"{table}/{n - 1}"] if n else []
-        both = changed
-        for path in old:
-            both = changed.unionByName(spark.read.schema(changed.schema).parquet(path))
-        newest = F.row_number().over(Window.partitionBy(*AGENT).orderBy(F.col("last_seq").desc()))
-        both.withColumn("_n", newest).where("_n = 1").drop("_n").write.mode("overwrite").parquet(f"{table}/{n}")
-        delete(spark, n - 2)
-        sink(standings(spark.read.parquet(f"{table}/{n}")), n)
+    FORMS = {"string": str, "bigint": int, "double": float}
 
-    return agent_state(events).writeStream.outputMode("update").option("checkpointLocation", f"{checkpoint}/query").trigger(availableNow=True).foreachBatch(batch).start()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        values = ", ".join(f"{c}_seq bigint, {c} {kind}" for _, c, kind in self.FIELDS)
+        self.agents = handle.getMapState("agents", "agent_id string", values)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = {k[0]: list(v) for k, v in self.agents.iterator()}
+        changed = set()
+        for pdf in rows:
+            pdf = pdf.astype(object).where(pdf.notna(), None)
+            for row in pdf.to_dict("records"):
+                now = held.setdefault(row["agent_id"], [None] * (2 * len(self.FIELDS)))
+                before = list(now)
+                for i, (kind, field, form) in enumerate(self.FIELDS):
+                    if row["type"] == kind and (now[2 * i] is None or row["seq"] > now[2 * i]):
+                        now[2 * i : 2 * i + 2] = [int(row["seq"]), None if row[field] is None else self.FORMS[form](row[field])]
+                if now != before:
+                    self.agents.updateValue((row["agent_id"],), tuple(now))
+                if now[1::2] != before[1::2]:
+                    changed |= {before[1], now[1]} - {None}
+        out = []
+        for tournament in sorted(changed):
+            agents = [(a, v) for a, v in held.items() if v[1] == tournament]
+            scored = [(a, (v[5] or 0) - 2.0 * (v[3] or 0) - 1.5 * (v[9] or 0), float(v[7] or 0.0)) for a, v in agents]
+            scored.sort(key=lambda x: (-x[1], x[2], x[0]))
+            out += [(*key, tournament, a, score, delta, n) for n, (a, score, delta) in enumerate(scored, 1)]
+        yield pd.DataFrame(out, columns=["session_id", "tournament_id", "agent_id", "score", "delta_sum", "rank"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_standings(events: DataFrame) -> DataFrame:
+    """standings() as a stream: an update has the whole ranking of each tournament that it changes, and of no other.
+
+    State is a row for each agent, in a map for each session, from which nothing is rewritten but what changes.
+    """
+    kinds = [kind for kind, _, _ in Standings.FIELDS]
+    rows = events.where(F.col("type").isin(*kinds) & F.col("agent_id").isNotNull()).select(*AGENT, "seq", "type", *[c for _, c, _ in Standings.FIELDS])
+    schema = "session_id string, tournament_id string, agent_id string, score double, delta_sum double, rank int"
+    return rows.groupBy(*SESSION).transformWithStateInPandas(Standings(), schema, "Update", "None")
+
+
+class Numbers(StatefulProcessor):
+    """Gives a session's events their numbers, going on from those given before."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "seq bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = self.last.get()[0] if self.last.exists() else 0
+        batch = pd.concat(list(rows)).sort_values(["ts_ms", "value"], kind="stable")
+        batch["seq"] = range(first + 1, first + 1 + len(batch))
+        self.last.update((first + len(batch),))
+        yield batch[["session_id", "seq", "ts_ms", "value"]]
+
+    def close(self) -> None:
+        pass
+
+
+def number_events(raw: DataFrame) -> DataFrame:
+    """session_id, seq, ts_ms, value (JSON) of a stream of events without numbers (session_id, ts_ms, value): 1, 2, .. in each session.
+
+    Within a batch, events are in order of time, and those of one time in order of their text. Any number of writers may
+    feed the stream, as one task at a time numbers a session.
+    """
+    rows = raw.select("session_id", F.col("ts_ms").cast("bigint").alias("ts_ms"), "value")
+    return rows.groupBy(*SESSION).transformWithStateInPandas(Numbers(), "session_id string, seq bigint, ts_ms bigint, value string", "Append", "None")
+
+
+def append_log(raw: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Start a query that numbers events and appends them to the log at path, each once, whatever is started again.
+
+    The log is a folder of JSON files for each session. Numbers are state under the checkpoint, and the sink notes which
+    files of a batch are whole, so that a batch that is run again replaces what it left.
+    """
+    return number_events(raw).writeStream.outputMode("append").format("json").partitionBy("session_id").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_log(spark: SparkSession, path: str, after: int = 0) -> DataFrame:
+    """session_id, seq, ts_ms, value of an appended log: what came strictly after a number."""
+    return since(spark.read.schema("seq bigint, ts_ms bigint, value string, session_id string").json(path), after).select("session_id", "seq", "ts_ms", "value")
 
 
 def output_tail(events: DataFrame, n: int = TAIL) -> DataFrame:
@@ -196,6 +262,60 @@ def trajectory(events: DataFrame, base: DataFrame) -> DataFrame:
     return rows.select(*AGENT, "iteration", "bench", "median", F.when(change > 0.05, "regression").when(change < -0.05, "improvement").otherwise("neutral").alias("verdict"))
 
 
+class Trajectory(StatefulProcessor):
+    """Keeps a bench's base measurement, and the points that came before it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.base = handle.getValueState("base", "median double")
+        self.waiting = handle.getListState("waiting", "agent_id string, iteration bigint, median double")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        for median in initialState["base_median"]:
+            self.base.update((float(median),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        points = []
+        for pdf in rows:
+            told = pdf["base_median"].dropna()
+            if len(told) and not self.base.exists():
+                self.base.update((float(told.iloc[0]),))
+            points += [(r.agent_id, int(r.iteration), float(r.median)) for r in pdf[pdf["base_median"].isna()].itertuples()]
+        if not self.base.exists():
+            if points:
+                self.waiting.appendList(points)
+            points = []
+        elif self.waiting.exists():
+            points = [tuple(p) for p in self.waiting.get()] + points
+            self.waiting.clear()
+        base = self.base.get()[0] if self.base.exists() else None
+        out = [(key[0], agent, iteration, key[1], median, _verdict(median, base)) for agent, iteration, median in points]
+        yield pd.DataFrame(out, columns=["session_id", "agent_id", "iteration", "bench", "median", "verdict"])
+
+    def close(self) -> None:
+        pass
+
+
+def _verdict(median: float, base: float) -> str:
+    change = (median - base) / base if base else 0.0
+    return "regression" if change > 0.05 else "improvement" if change < -0.05 else "neutral"
+
+
+def stream_trajectory(events: DataFrame, known: DataFrame, late: DataFrame | None = None) -> DataFrame:
+    """trajectory() as a stream: known base measurements (session_id, bench, base_median) are its first state.
+
+    late: a stream of measurements like these, of sessions that begin afterwards. A point whose base hasn't come waits for
+    it; of several measurements of one bench the first that comes stays.
+    """
+    rows = events.where("type = 'iterationCompare'").select(*AGENT, "iteration", F.explode("diffs").alias("d")).where("d.head_median IS NOT NULL")
+    points = rows.select(*SESSION, F.col("d.bench").alias("bench"), "agent_id", "iteration", F.col("d.head_median").alias("median"), F.lit(None).cast("double").alias("base_median"))
+    if late is not None:
+        empty = {"agent_id": "string", "iteration": "bigint", "median": "double"}
+        points = points.unionByName(late.select(*SESSION, "bench", "base_median", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()]))
+    schema = "session_id string, agent_id string, iteration bigint, bench string, median double, verdict string"
+    first = known.select(*SESSION, "bench", F.col("base_median").cast("double").alias("base_median")).groupBy(*SESSION, "bench")
+    return points.groupBy(*SESSION, "bench").transformWithStateInPandas(Trajectory(), schema, "Append", "None", initialState=first)
+
+
 def session_list(events: DataFrame) -> DataFrame:
     """session_id, events, started_ms; sort by started_ms for the newest first."""
     return events.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("events"), F.min_by("ts_ms", "seq").alias("started_ms"))
@@ -237,20 +357,51 @@ def change_points(states: DataFrame) -> DataFrame:
     return numbered.where("_changed").select(*AGENT, "seq", "iteration")
 
 
-def stream_change_points(states: DataFrame) -> DataFrame:
-    """change_points as a stream whose events come in order of seq within an agent."""
+class ChangePoints(StatefulProcessor):
+    """Holds an agent's states back until no earlier one can come, then compares each with the one before it."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values("seq")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "seq bigint", "at bigint, fingerprint string")
+        self.last = handle.getValueState("last", "fingerprint string, n bigint, any boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for pdf in rows:
+            for seq, ts, mark in zip(pdf["seq"], pdf["at"], pdf["fingerprint"], strict=True):
+                at = int(ts.value // 1_000_000)
+                self.held.updateValue((int(seq),), (at, mark))
+                self.handle.registerTimer(at + 1)
+        yield self._released(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self._released(key, timerValues)
+
+    def _released(self, key, timer_values) -> pd.DataFrame:
+        """Changes among the held states whose time is past, in order of seq, up to the first one whose time isn't."""
+        upto = timer_values.getCurrentWatermarkInMs()
+        mark, n, any_ = self.last.get() if self.last.exists() else (None, 0, False)
         out = []
-        for seq, mark in zip(rows["seq"], rows["fingerprint"], strict=True):
-            if last is not None and mark != last:
+        for seq, at, new in sorted((k[0], *v) for k, v in self.held.iterator()):
+            if at >= upto:
+                break
+            if any_ and None not in (mark, new) and new != mark:
                 n += 1
-                out.append((*key, int(seq), n))
-            last = mark
-        state.update((last, n))
-        yield pd.DataFrame(out, columns=[*AGENT, "seq", "iteration"])
+                out.append((*key, seq, n))
+            mark, any_ = new, True
+            self.held.removeKey((seq,))
+        self.last.update((mark, n, any_))
+        return pd.DataFrame(out, columns=[*AGENT, "seq", "iteration"])
+
+    def close(self) -> None:
+        pass
 
-    rows = states.select(*AGENT, "seq", "fingerprint")
-    return rows.groupBy(*AGENT).applyInPandasWithState(step, "session_id string, agent_id string, seq bigint, iteration bigint", "last string, n bigint", "append", "NoTimeout")
+
+def stream_change_points(states: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """change_points as a stream: events (with ts) may come in any order, as far as delay in event time allows.
+
+    A state is held until the stream's watermark has passed its time; a timer then lets it go. What comes later than that
+    is lost, as in dedupe_events. A null fingerprint changes nothing, and nothing changes after it, as in the batch.
+    """
+    rows = states.select(*AGENT, "seq", "fingerprint", F.col("ts").cast("timestamp").alias("at")).withWatermark("at", delay)
+    schema = "session_id string, agent_id string, seq bigint, iteration bigint"
+    return rows.groupBy(*AGENT).transformWithStateInPandas(ChangePoints(), schema, "Append", "EventTime")

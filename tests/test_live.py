@@ -60,11 +60,38 @@ def test_states_and_standings_from_logs(spark, sessions):
     assert got == {("win", 1): "regression", ("win", 2): "improvement", ("regressed", 1): "neutral", ("flagged", 1): "improvement", ("slower", 1): "neutral"}
 
 
-def test_standings_stream_from_logs(spark, sessions, tmp_path):
-    got = []
-    stream = live.stream_events(spark, sessions)
-    live.stream_standings(stream, lambda df, n: got.append({(r["session_id"], r["agent_id"], r["score"], r["rank"]) for r in df.collect()}), str(tmp_path / "cp")).awaitTermination(120)
-    assert got[-1] == {(r["session_id"], r["agent_id"], r["score"], r["rank"]) for r in live.standings(live.agent_state(rp.read_events(spark, sessions))).collect()}
+@pytest.fixture
+def stateful(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
+def in_files(spark, df, path, order):
+    """A stream of df's rows, a file for each part of their numbers in order, in that order."""
+    import os
+
+    path.mkdir()
+    rows = df.collect()
+    for k, part in enumerate(order):
+        spark.createDataFrame([rows[i] for i in part], df.schema).coalesce(1).write.parquet(str(path / f"w{k}"))
+        file = next((path / f"w{k}").glob("part-*.parquet"))
+        file.rename(path / f"{k:03}.parquet")
+        os.utime(path / f"{k:03}.parquet", (1_000_000_000 + k, 1_000_000_000 + k))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(str(path))
+
+
+def batches(df, mode, checkpoint):
+    """What each batch of a stream hands on."""
+    out = []
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).foreachBatch(lambda d, n: out.append(d.collect())).start()
+    query.awaitTermination(180)
+    return [b for b in out if b]
+
+
+def test_standings_stream_from_logs(stateful, sessions, tmp_path):
+    spark = stateful
+    got = batches(live.stream_standings(live.stream_events(spark, sessions)), "update", tmp_path / "cp")
+    assert {(r["session_id"], r["agent_id"], r["score"], r["rank"]) for r in got[-1]} == {(r["session_id"], r["agent_id"], r["score"], r["rank"]) for r in live.standings(live.agent_state(rp.read_events(spark, sessions))).collect()}
 
 
 def test_review_events(spark):
@@ -117,26 +144,76 @@ def test_stream_tail_equals_batch(spark, log, tmp_path):
     assert want <= {(r["agent_id"], r["seq"]) for r in rows}
 
 
-def test_standings_in_batches(spark, tmp_path):
+def test_standings_in_batches(stateful, tmp_path):
+    """In any order of files the last ranking of each tournament is the batch's; a batch hands on no tournament it didn't change."""
+    spark = stateful
     cols = "session_id string, agent_id string, seq bigint, type string, name string, tournament_id string, regressions bigint, improvements bigint, delta_sum double, critical bigint"
-    rows = [("s", f"a{a}", 10 * a + k, t, "n", "t", a % 2, a % 3, 0.1 * a, a % 2) for a in range(4) for k, t in enumerate(("agentSpawned", "iterationCompare", "councilVerdict"))]
+    rows = [("s", f"a{a}", 10 * a + k, t, "n", f"t{a % 2}", a % 3, (a + k) % 4, 0.1 * a, a % 2) for a in range(6) for k, t in enumerate(("agentSpawned", "iterationCompare", "councilVerdict", "iterationCompare"))]
+    rows += [("s", "a1", 100, "iterationCompare", None, None, None, None, None, None), ("s", "a3", 101, "notice", None, None, 9, 9, 9.0, 9)]
     events = spark.createDataFrame(rows, cols)
-    events.repartition(3).write.parquet(str(tmp_path / "in"))
-    got = []
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    live.stream_standings(stream, lambda df, n: got.append({(r["agent_id"], r["score"], r["rank"]) for r in df.collect()}), str(tmp_path / "cp")).awaitTermination(120)
-    want = {(r["agent_id"], r["score"], r["rank"]) for r in live.standings(live.agent_state(events)).collect()}
-    assert got[-1] == want
-
-
-def test_change_points(spark, tmp_path):
-    rows = [("s", "a", i, f) for i, f in enumerate("xxyyxzz")]
-    df = spark.createDataFrame(rows, "session_id string, agent_id string, seq bigint, fingerprint string")
-    want = [(2, 1), (4, 2), (5, 3)]
-    assert sorted((r["seq"], r["iteration"]) for r in live.change_points(df).collect()) == want
-    df.write.parquet(str(tmp_path / "in"))
-    stream = live.stream_change_points(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    assert sorted((r["seq"], r["iteration"]) for r in finished(stream, "append", spark, tmp_path, "changes").collect()) == want
+    shuffled = list(range(len(rows)))
+    random.Random(3).shuffle(shuffled)
+    order = [shuffled[:9], shuffled[9:18], shuffled[18:], [i for i, r in enumerate(rows) if r[1] == "a2"]]
+    got = batches(live.stream_standings(in_files(spark, events, tmp_path / "in", order)), "update", tmp_path / "cp")
+    last = {}
+    for batch in got:
+        for tournament in {r["tournament_id"] for r in batch}:
+            last[tournament] = {(r["agent_id"], r["score"], r["rank"]) for r in batch if r["tournament_id"] == tournament}
+    want = live.standings(live.agent_state(events)).collect()
+    assert last == {t: {(r["agent_id"], r["score"], r["rank"]) for r in want if r["tournament_id"] == t} for t in ("t0", "t1")}
+    assert len(got) <= 3  # the last file repeats events, and changes nothing
+
+
+def test_change_points(stateful, tmp_path):
+    spark = stateful
+    rows = [("s", "a", i, f, 100 * i) for i, f in enumerate("xxyyxzz")] + [("s", "b", i, f, 70 * i) for i, f in enumerate(["p", None, "q", "q", "r"])]
+    df = spark.createDataFrame(rows, "session_id string, agent_id string, seq bigint, fingerprint string, t bigint").selectExpr("session_id", "agent_id", "seq", "fingerprint", "timestamp_seconds(t) AS ts")
+    want = [("a", 2, 1), ("a", 4, 2), ("a", 5, 3), ("b", 4, 1)]
+    batch = sorted((r["agent_id"], r["seq"], r["iteration"]) for r in live.change_points(df).collect())
+    assert batch == want
+    far = spark.createDataFrame([("s", "z", 0, "x", 10**7)], "session_id string, agent_id string, seq bigint, fingerprint string, t bigint").selectExpr("session_id", "agent_id", "seq", "fingerprint", "timestamp_seconds(t) AS ts")
+    shuffled = list(range(len(rows)))
+    random.Random(5).shuffle(shuffled)
+    order = [shuffled[:4], shuffled[4:8], shuffled[8:], [len(rows)]]  # the last event of all brings the watermark past the others
+    stream = live.stream_change_points(in_files(spark, df.unionByName(far), tmp_path / "in", order), "20 minutes")
+    got = batches(stream, "append", tmp_path / "cp")
+    assert sorted((r["agent_id"], r["seq"], r["iteration"]) for b in got for r in b) == want
+
+
+def test_numbered_log_of_two_writers_and_a_restart(stateful, tmp_path):
+    spark = stateful
+    rows = [(f"s{i % 2}", 1000 - i // 3, json.dumps({"writer": i % 3, "i": i})) for i in range(40)]
+    events = spark.createDataFrame(rows, "session_id string, ts_ms bigint, value string")
+    one = in_files(spark, events, tmp_path / "one", [range(0, 10), range(10, 15)])
+    in_files(spark, events, tmp_path / "two", [range(20, 28)])
+    two = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "two"))
+    log, cp = str(tmp_path / "log"), str(tmp_path / "cp")
+    live.append_log(one.unionByName(two), log, cp).awaitTermination(180)
+    first = {(r["session_id"], r["seq"]): r["value"] for r in live.read_log(spark, log).collect()}
+    assert len(first) == 23 and {v for v in first.values()} == {rows[i][2] for i in (*range(15), *range(20, 28))}
+    # Started again: what is there stays, and numbers go on.
+    spark.createDataFrame([rows[i] for i in range(28, 40)], events.schema).coalesce(1).write.parquet(str(tmp_path / "more"))
+    next((tmp_path / "more").glob("part-*.parquet")).rename(tmp_path / "two" / "more.parquet")
+    live.append_log(one.unionByName(two), log, cp).awaitTermination(180)
+    got = {(r["session_id"], r["seq"]): r["value"] for r in live.read_log(spark, log).collect()}
+    assert first.items() <= got.items() and len(got) == 35 and live.read_log(spark, log).count() == 35
+    for session in ("s0", "s1"):
+        numbers = sorted(n for s, n in got if s == session)
+        assert numbers == list(range(1, len(numbers) + 1))
+    assert live.read_log(spark, log, after=10).count() == 35 - 20
+
+
+def test_trajectory_stream_with_known_and_late_bases(stateful, tmp_path):
+    spark = stateful
+    diff = "array<struct<bench:string,head_median:double>>"
+    rows = [("s", "a", i, "iterationCompare", i, [("b0", 100.0 + 10 * i), ("b1", 50.0), ("none", 1.0)][: 2 + i % 2] + [("b2", None)]) for i in range(6)] + [("s", "a", 9, "notice", None, [])]
+    events = spark.createDataFrame(rows, f"session_id string, agent_id string, seq bigint, type string, iteration bigint, diffs {diff}")
+    known = spark.createDataFrame([("s", "b0", 110.0), ("other", "b0", 1.0)], "session_id string, bench string, base_median double")
+    late = spark.createDataFrame([("s", "b1", 40.0)], known.schema)
+    stream = live.stream_trajectory(in_files(spark, events, tmp_path / "in", [[3, 1], [5, 6, 0], [2, 4]]), known, in_files(spark, late, tmp_path / "late", [[0]]))
+    got = sorted(tuple(r) for b in batches(stream, "append", tmp_path / "cp") for r in b)
+    want = sorted(tuple(r) for r in live.trajectory(events, known.unionByName(late)).select("session_id", "agent_id", "iteration", "bench", "median", "verdict").collect())
+    assert got == want and len(want) == 12
 
 
 def test_reports_and_baselines(spark, tmp_path):
