@@ -120,6 +120,39 @@ def test_reports_written_again_are_read_again(spark, tmp_path):
     assert seen == ["first", "second"]
 
 
+def test_changed_reports_after_restarts(spark, tmp_path):
+    """Each start reads what was written since the last one: new files, and old names written again; nothing twice."""
+    import os
+
+    from deltasieve.sources import report_source as rs
+
+    folder = tmp_path / "in"
+    (folder / "deep").mkdir(parents=True)
+
+    def write(name, ref, at):
+        (folder / name).write_text(json.dumps({"language": "rust", "ref": ref, "runs": []}) if ref else "{nothing")
+        os.utime(folder / name, (at, at))
+
+    def started():
+        stream = rs.stream_changed_reports(spark, str(folder), start=1_000_000)
+        events = live.reports_as_events(stream)
+        return sorted(json.loads(r["report"])["ref"] for b in batches(events, "append", tmp_path / "cp") for r in b)
+
+    write("old.json", "old", 999_999)
+    write("a.json", "a1", 2_000_000)
+    write("deep/b.json", "b1", 2_000_000)
+    write("bad.json", None, 2_000_001)
+    write("c.txt", "c", 2_000_001)
+    assert started() == ["a1", "b1"]
+    assert started() == []
+    write("a.json", "a2", 2_000_005)
+    write("d.json", "d1", 2_000_005)
+    assert started() == ["a2", "d1"]
+    write("d.json", "d2", 2_000_006)
+    assert started() == ["d2"]
+    assert live.reports_as_events(rs.stream_changed_reports(spark, str(folder))).isStreaming
+
+
 def finished(df, mode, spark, tmp_path, name):
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
     q.awaitTermination(120)
