@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers that are rendered together, before the pieces of a section are put together.
+#: Turns that are rendered together, before the pieces of a section are put together.
 PIECE = 64
 TRAINED = "assistant"
 
@@ -24,7 +24,7 @@ def format_preferences(turns: DataFrame, piece: int = PIECE) -> DataFrame:
     """One row for each pair: pair_id, prompt, chosen, rejected, and of the two the spans and numbers of turns.
 
     From rows pair_id, side (chosen or rejected), turn, role, text. The prompt is the longest common prefix of the two
-    sides' turns (equal in number, role and text), rendered once; what follows on each side is its completion. A turn is
+    sides' turns (equal in place, role and text), rendered once; what follows on each side is its completion. A turn is
     rendered as an opening with its role, its text and a closing. chosen_spans and rejected_spans list the places
     "begin-end" of a completion that are trained on: the texts of its assistant's turns; the prompt is all masked.
 
@@ -32,23 +32,23 @@ def format_preferences(turns: DataFrame, piece: int = PIECE) -> DataFrame:
     is 'unknown', a null text empty. A section without turns is an empty text. A side that is missing altogether
     shares nothing. Rows with a null pair_id are one pair. Other columns play no part; an empty table gives no rows.
 
-    A long conversation's turns are rendered piece by piece, by ranges of turn numbers, and only these texts meet: a
+    A long conversation's turns are rendered piece by piece, by ranges of places, and only these texts meet: a
     task holds a piece's turns, or one pair's rendered row, which is the result and must fit in a row.
     """
-    rows = turns.select("pair_id", "side", F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    nth = F.row_number().over(Window.partitionBy("pair_id", "side", "turn").orderBy("role", "text"))
-    rows = rows.withColumn("nth", nth)
+    rows = turns.select("pair_id", "side", F.col("turn").cast("bigint").alias("number"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # A side's turns are known by their places, whatever its numbers are.
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("pair_id", "side").orderBy("number", "role", "text")) - 1).drop("number")
     # Places at which one side has no turn like the other's; the least of them ends the prompt.
-    place = F.struct(F.col("turn"), F.col("nth"))
-    same = rows.groupBy("pair_id", "turn", "nth").agg(F.count(F.lit(1)).alias("sides"), F.countDistinct("role", "text").alias("kinds"))
+    place = F.col("turn")
+    same = rows.groupBy("pair_id", "turn").agg(F.count(F.lit(1)).alias("sides"), F.countDistinct("role", "text").alias("kinds"))
     ends = same.where("sides < 2 OR kinds > 1").groupBy("pair_id").agg(F.min(place).alias("end"))
     ends = ends.withColumnRenamed("pair_id", "p")
     split = rows.join(ends, F.col("pair_id").eqNullSafe(F.col("p")), "left").drop("p")
     shared = F.col("end").isNull() | (place < F.col("end"))
     split = split.where(~shared | (F.col("side") == "chosen")).withColumn("section", F.when(shared, F.lit("prompt")).otherwise(F.col("side")))
-    split = split.withColumn("piece", F.coalesce(F.floor(F.col("turn") / piece), F.lit(-(1 << 62))).cast("bigint"))
+    split = split.withColumn("piece", F.floor(F.col("turn") / piece).cast("bigint"))
     opening = _opening(F.col("role"))
-    body = F.struct("turn", "nth", F.concat(opening, F.col("text"), F.lit(_CLOSING)).alias("shown"), F.char_length(opening).alias("skip"), F.char_length("text").alias("long"), ((F.col("role") == TRAINED) & (F.col("section") != "prompt")).alias("trained"))
+    body = F.struct("turn", F.concat(opening, F.col("text"), F.lit(_CLOSING)).alias("shown"), F.char_length(opening).alias("skip"), F.char_length("text").alias("long"), ((F.col("role") == TRAINED) & (F.col("section") != "prompt")).alias("trained"))
     groups = split.groupBy("pair_id", "section", "piece").agg(F.sort_array(F.collect_list(body)).alias("parts"))
 
     def step(acc: Column, part: Column) -> Column:
@@ -77,7 +77,10 @@ def format_preferences(turns: DataFrame, piece: int = PIECE) -> DataFrame:
 def stale_replies(conversations: DataFrame) -> DataFrame:
     """Preference rows from plain conversations: chosen as they are, rejected with the last reply gone stale.
 
-    The text of the last assistant turn is replaced by that of the first one, or by nothing if that is the same turn.
+    The text of the last assistant turn is replaced by that of the first one, or by nothing if that is the same turn. Where
+    there is no assistant turn, or the two texts are equal, both sides are alike, and such a pair has two empty completions.
+    Of turns with one number the least role and text counts as the first; all with the last number are replaced. A null text
+    is a text of its own here, and empty when rendered; rows with a null conv_id are one conversation.
     """
     plain = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     reply = F.when(F.col("role") == TRAINED, F.col("turn"))

@@ -619,6 +619,23 @@ def test_preferences(spark):
     assert chat.format_preferences(table.limit(0)).count() == 0
 
 
+def test_preferences_by_place_not_by_number(spark):
+    talk = [("user", "hi"), ("assistant", "yo"), ("user", "q")]
+    rows = [(1, "chosen", i, r, t) for i, (r, t) in enumerate([*talk, ("assistant", "good")])] + [(1, "rejected", 1 + 3 * i, r, t) for i, (r, t) in enumerate([*talk, ("assistant", "bad")])]
+    r = chat.format_preferences(spark.createDataFrame(rows, "pair_id bigint, side string, turn bigint, role string, text string")).first()
+    assert (r["prompt"], r["chosen"], r["rejected"]) == (render(talk), render([("assistant", "good")]), render([("assistant", "bad")]))
+
+
+def test_stale_replies_of_odd_conversations(spark):
+    rows = [(1, 0, "user", "a"), (2, 0, "assistant", "x"), (2, 1, "assistant", "x"), (3, None, "assistant", None), (3, 4, "assistant", "y"), (None, 0, "user", None)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r["pair_id"]: (r["prompt"], r["chosen"], r["rejected"]) for r in chat.format_preferences(chat.stale_replies(table)).collect()}
+    assert got[1] == (render([("user", "a")]), "", "") and got[None] == (render([("user", "")]), "", "")
+    assert got[2] == (render([("assistant", "x")] * 2), "", "")
+    assert got[3][1] == render([("assistant", "y")])
+    assert chat.format_preferences(chat.stale_replies(table.limit(0))).count() == 0
+
+
 def test_long_conversations_are_one_row(spark):
     talk = [("assistant" if i % 2 else "user", f"turn {i} " + "w" * (i % 5)) for i in range(300)]
     ends = [("assistant", "x" * 70_000), ("assistant", "same number"), ("assistant", "same number")]
