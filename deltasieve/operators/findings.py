@@ -39,7 +39,8 @@ def sev_rank(c: Column) -> Column:
 
 def json_body(raw: Column) -> Column:
     """Text from its first brace on, without a code fence around it; null if there is no brace."""
-    bare = F.regexp_replace(F.regexp_replace(strip(raw), r"^```(json)?\s*", ""), r"\s*```$", "")
+    bare = F.regexp_replace(strip(raw), r"^```(json)?\s*", "")
+    bare = F.when(F.right(bare, F.lit(3)) == "```", strip(F.left(bare, F.greatest(F.lit(0), F.char_length(bare) - 3)))).otherwise(bare)
     at = F.instr(bare, "{")
     return F.when(at > 0, F.substring(bare, at, F.lit(1 << 30)))
 
@@ -55,8 +56,9 @@ def parse_findings(responses: DataFrame) -> DataFrame:
     A response with a field of another type than it should have is rejected whole; findings without a title are
     dropped. The persona stands for a missing or unknown category. Text before and after the JSON object is ignored.
     """
-    body = json_body(F.col("raw"))
-    doc = responses.withColumn("doc", F.try_parse_json(body)).where("doc IS NOT NULL")
+    # Generated, not projected, so that a response is parsed once, whatever is asked of it.
+    keys = ["repo", "pr", "chunk_idx", "persona"]
+    doc = responses.select(*keys, F.explode(F.array(F.try_parse_json(json_body(F.col("raw"))))).alias("doc")).where("doc IS NOT NULL")
     listed = F.try_variant_get("doc", "$.findings", "array<variant>")
     given = F.try_variant_get("doc", "$.findings", "variant")
     # Elements one by one: each field must be text (line: a whole number from 0) or null or absent.
