@@ -111,7 +111,7 @@ def directives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.parse_directives(co.trusted(comments(spark, sf_dir), bot="robot"), "bot").select("id", "at", "kind", "text", "index")
 
 
-_ENTRY = ["repo", "guidance", "file_glob", "category", "strongest_kind", "source_pr", "source_comment_id", "confirmations", "refutations", "first_seen", "last_seen"]
+_ENTRY = ["repo", "id", "guidance", "file_glob", "category", "strongest_kind", "source_pr", "source_comment_id", "confirmations", "refutations", "first_seen", "last_seen"]
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,6 +378,15 @@ _MEAN = {"severity_calibration_mae": "coalesce(sum(severity_distance_sum) / null
 _METRICS = "m AS (SELECT l_returnflag AS flag, unnest(['critical_recall', 'critical_f1', 'judge_brier_score', 'forbidden_path_findings', 'avg_false_positives_per_case']) AS metric, unnest([avg(l_discount), avg(l_tax) * 10, avg(l_quantity) / 25, (count(*) FILTER (WHERE l_linenumber = 7))::DOUBLE, avg(l_extendedprice) / 1e4]) AS value FROM lineitem GROUP BY l_returnflag)"
 _CAL = f"WITH {fx.SAMPLES_SQL}, {fx.SUMMARY_SQL.format(src='s')}, {fx.MANN_WHITNEY_SQL.format(src='s')}, {fx.COMPARE_SQL.format(scoped='false')}, g AS (SELECT (substr(bench, 2)::BIGINT) % 5 AS scenario, count(*) AS trials, avg((verdict = 'regression')::INT) AS regression_rate, avg((verdict = 'improvement')::INT) AS improvement_rate, avg((verdict = 'neutral')::INT) AS neutral_rate, avg((coalesce(neutral_reason, '') = 'too-noisy')::INT) AS too_noisy_rate, avg(p_value) AS mean_p FROM d GROUP BY 1), x AS (SELECT ['gain', 'null', 'small', 'borderline', 'loss'][scenario + 1] AS scenario, * EXCLUDE (scenario) FROM g WHERE scenario IN (1, 3, 4)), y AS (SELECT *, concat_ws(',', CASE WHEN scenario = 'borderline' AND regression_rate < 0.2 OR scenario = 'loss' AND regression_rate < 0.99 THEN 'min_regression_rate' END, CASE WHEN scenario = 'null' AND regression_rate > 0.05 THEN 'max_regression_rate' END, CASE WHEN scenario = 'loss' AND improvement_rate > 0 THEN 'max_improvement_rate' END, CASE WHEN scenario = 'null' AND neutral_rate < 0.9 THEN 'min_neutral_rate' END, CASE WHEN scenario = 'loss' AND too_noisy_rate < 0.9 THEN 'min_too_noisy_rate' END) AS failures FROM x)"
 
+_BLANKS = _FLAT[_FLAT.rindex("'["):_FLAT.rindex("]+'") + 3]
+
+
+def _with_id(tables: str, select: str) -> str:
+    """A query of entries with their ids: a digest of scope and wording."""
+    words = f"trim(regexp_replace(lower(guidance), {_BLANKS}, ' ', 'g'))"
+    return f"{tables}, told AS ({select}) SELECT *, 'e' || left(sha256(coalesce(file_glob, '') || chr(31) || coalesce(category, '') || chr(31) || {words}), 16) AS id FROM told"
+
+
 ORACLE_SQL = {
     "parse_findings": f"{_F} SELECT seq AS chunk_idx, file, line, ['major', 'critical', 'minor', 'minor', 'nit'][seq % 5 + 1] AS severity, CASE seq % 3 WHEN 0 THEN 'performance' WHEN 1 THEN 'correctness' ELSE category END AS category, 't' || seq AS title, md5(trim(rationale, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160) || chr(5760) || chr(8195) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288))) AS rationale, suggestion, category AS raised_by FROM fi WHERE seq % 13 <> 0 AND seq % 17 <> 0",
     "parse_verdicts": "WITH x AS (SELECT doc_id // 200 AS pr, doc_id % 200 AS index FROM documents) SELECT pr, index, CASE WHEN index % 3 = 0 THEN 'keep' ELSE ['drop', 'downgrade', 'keep', 'keep'][index % 4 + 1] END AS verdict, round(CASE WHEN index % 3 = 0 THEN 0.6 ELSE greatest(0, least(1, index % 30 / 10 - 0.5)) END, 5) AS confidence FROM x",
@@ -392,7 +401,7 @@ ORACLE_SQL = {
     "category_counts": f"{_F} SELECT pr, category, " + ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in ev.SEVERITIES) + " FROM sh GROUP BY pr, category",
     "apply_curation": f"{_F}, dc AS (SELECT pr, seq % 200 + 1 AS idx, CASE WHEN seq % 8 = 0 THEN 'drop' WHEN seq % 8 = 1 THEN 'keep' END AS one, CASE WHEN seq % 8 > 1 AND seq % 50 = 2 THEN 'keep' WHEN seq % 8 > 1 AND seq % 50 = 28 THEN 'drop' END AS rest FROM fi), y AS (SELECT sh.pr, seq, coalesce(one, last_value(rest IGNORE NULLS) OVER (PARTITION BY sh.pr ORDER BY place ROWS UNBOUNDED PRECEDING)) AS told FROM sh LEFT JOIN dc ON sh.pr = dc.pr AND dc.idx = place + 1) SELECT ju.pr, ju.seq, CASE WHEN told = 'drop' THEN 'drop' ELSE verdict END AS verdict FROM ju LEFT JOIN y ON y.seq = ju.seq",
     "parse_directives": f"WITH {_CM} SELECT id, \"at\", kind, txt AS text, idx AS \"index\" FROM di WHERE txt IS NULL OR txt <> ''",
-    "directive_entries": f"{_F}, {_CM} SELECT repo, CASE WHEN length(txt) > 2000 THEN left(txt, 1999) || '…' ELSE txt END AS guidance, NULL::VARCHAR AS file_glob, NULL::VARCHAR AS category, 'user-directive' AS strongest_kind, pr AS source_pr, id AS source_comment_id, 1 AS confirmations, 0 AS refutations, seen AS first_seen, seen AS last_seen FROM di WHERE kind = 'remember' AND txt <> '' UNION ALL SELECT di.repo, 'On `' || file || '`, the council finding `' || title || '` was ' || CASE di.kind WHEN 'good' THEN 'confirmed' ELSE 'refuted' END || ' by a human reviewer on PR #' || di.pr || '.', {_GLOB}, category, CASE di.kind WHEN 'good' THEN 'confirmed' ELSE 'refuted' END, di.pr, id, (di.kind = 'good')::INT, (di.kind = 'bad')::INT, seen, seen FROM di JOIN sh ON di.pr = sh.pr AND di.repo = sh.repo AND di.idx = sh.place WHERE di.kind <> 'remember'",
+    "directive_entries": _with_id(f"{_F}, {_CM}", f"SELECT repo, CASE WHEN length(txt) > 2000 THEN left(txt, 1999) || '…' ELSE txt END AS guidance, NULL::VARCHAR AS file_glob, NULL::VARCHAR AS category, 'user-directive' AS strongest_kind, pr AS source_pr, id AS source_comment_id, 1 AS confirmations, 0 AS refutations, seen AS first_seen, seen AS last_seen FROM di WHERE kind = 'remember' AND txt <> '' UNION ALL SELECT di.repo, 'On `' || file || '`, the council finding `' || title || '` was ' || CASE di.kind WHEN 'good' THEN 'confirmed' ELSE 'refuted' END || ' by a human reviewer on PR #' || di.pr || '.', {_GLOB}, category, CASE di.kind WHEN 'good' THEN 'confirmed' ELSE 'refuted' END, di.pr, id, (di.kind = 'good')::INT, (di.kind = 'bad')::INT, seen, seen FROM di JOIN sh ON di.pr = sh.pr AND di.repo = sh.repo AND di.idx = sh.place WHERE di.kind <> 'remember'"),
     "merge_entries": f"{_CO}, b AS (SELECT 0 AS o, repo, id, guidance, gl, cat, kind, rk, i, cid, conf, ref, born, seen FROM co UNION ALL SELECT 1, repo, CASE WHEN i % 3 = 0 THEN 'n' || i ELSE 'e' || md5(text) END, CASE WHEN i % 19 = 0 THEN guidance ELSE 'again: ' || text END, gl, cat, kind, rk, i, cid, conf, ref, born, seen FROM en), w AS (SELECT *, row_number() OVER (PARTITION BY repo, id ORDER BY o, seen, i) AS rn, row_number() OVER (PARTITION BY repo, id ORDER BY trim(guidance, chr(9) || chr(10) || chr(13) || ' ') = '', o, seen, i) AS rg, row_number() OVER (PARTITION BY repo, id ORDER BY cid IS NULL, o, seen, i) AS rc, row_number() OVER (PARTITION BY repo, id ORDER BY rk DESC, o) AS rr FROM b) SELECT repo, id, md5(max(guidance) FILTER (WHERE rg = 1)) AS guidance, max(gl) FILTER (WHERE rn = 1) AS file_glob, max(cat) FILTER (WHERE rn = 1) AS category, max(kind) FILTER (WHERE rr = 1) AS strongest_kind, max(i) FILTER (WHERE rn = 1) AS source_pr, max(cid) FILTER (WHERE rc = 1) AS source_comment_id, sum(conf) AS confirmations, sum(ref) AS refutations, max(born) FILTER (WHERE rn = 1) AS first_seen, max(seen) AS last_seen, count(*) FILTER (WHERE o = 1) AS hits, min(o) = 1 AS added FROM w GROUP BY repo, id",
     "score_entries": f"{_CO} SELECT repo, id, round(score, 6) AS score FROM sc",
     "compact_corpus": f"{_CO} SELECT repo, id, row_number() OVER (PARTITION BY repo ORDER BY score DESC, seen DESC, id) AS place FROM sc WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY score DESC, seen DESC, id) <= 120",
@@ -408,7 +417,7 @@ ORACLE_SQL = {
     "gate_calibration": f"{_CAL} SELECT scenario, trials, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("regression_rate", "improvement_rate", "neutral_rate", "too_noisy_rate", "mean_p")) + " FROM g",
     "check_expectations": f"{_CAL} SELECT scenario, failures = '' AS passed, failures FROM y",
     "calibration_summary": f"{_CAL} SELECT round(avg((failures = '')::INT), 6) AS pass_rate, round(max(regression_rate) FILTER (WHERE scenario = 'null'), 6) AS observed_null_fpr, round(max(regression_rate) FILTER (WHERE scenario = 'borderline'), 6) AS observed_borderline_tpr FROM y",
-    "reaction_entries": f"{_F}, {_CM}, sy AS (SELECT *, (c % 3) + ((c + 2) % 3) + ((c + 3) % 3) + ((c + 4) % 3) AS pos, ((c + 1) % 3) + ((c + 5) % 3) AS neg FROM cm WHERE t % 4 = 3 QUALIFY row_number() OVER (PARTITION BY repo, pr ORDER BY id) = 1), re AS (SELECT *, true AS good, pos AS n FROM sy UNION ALL SELECT *, false, neg FROM sy) SELECT re.repo, 'Council finding `' || title || '` in `' || file || CASE WHEN good THEN '` was reinforced by ' ELSE '` was refuted by ' END || n || CASE WHEN good THEN ' positive' ELSE ' negative' END || ' reaction(s) on PR #' || re.pr || CASE WHEN good THEN '.' ELSE ' — likely a false positive pattern.' END AS guidance, {_GLOB} AS file_glob, category, CASE WHEN good THEN 'confirmed' ELSE 'refuted' END AS strongest_kind, re.pr AS source_pr, re.id AS source_comment_id, CASE WHEN good THEN n ELSE 0 END AS confirmations, CASE WHEN good THEN 0 ELSE n END AS refutations, '2026-01-01T00:00:00Z' AS first_seen, '2026-01-01T00:00:00Z' AS last_seen FROM re JOIN sh ON sh.pr = re.pr AND sh.repo = re.repo AND place = 0 WHERE n > 0",
+    "reaction_entries": _with_id(f"{_F}, {_CM}, sy AS (SELECT *, (c % 3) + ((c + 2) % 3) + ((c + 3) % 3) + ((c + 4) % 3) AS pos, ((c + 1) % 3) + ((c + 5) % 3) AS neg FROM cm WHERE t % 4 = 3 QUALIFY row_number() OVER (PARTITION BY repo, pr ORDER BY id) = 1), re AS (SELECT *, true AS good, pos AS n FROM sy UNION ALL SELECT *, false, neg FROM sy)", f"SELECT re.repo, 'Council finding `' || title || '` in `' || file || CASE WHEN good THEN '` was reinforced by ' ELSE '` was refuted by ' END || n || CASE WHEN good THEN ' positive' ELSE ' negative' END || ' reaction(s) on PR #' || re.pr || CASE WHEN good THEN '.' ELSE ' — likely a false positive pattern.' END AS guidance, {_GLOB} AS file_glob, category, CASE WHEN good THEN 'confirmed' ELSE 'refuted' END AS strongest_kind, re.pr AS source_pr, re.id AS source_comment_id, CASE WHEN good THEN n ELSE 0 END AS confirmations, CASE WHEN good THEN 0 ELSE n END AS refutations, '2026-01-01T00:00:00Z' AS first_seen, '2026-01-01T00:00:00Z' AS last_seen FROM re JOIN sh ON sh.pr = re.pr AND sh.repo = re.repo AND place = 0 WHERE n > 0"),
     "budget_prefix": f"{_G}, li AS (SELECT repo, place, place || '. ' || CASE kind WHEN 'user-directive' THEN '📌 directive' WHEN 'confirmed' THEN '✅ confirmed' WHEN 'inferred-applied' THEN '↪ likely-relevant' WHEN 'refuted' THEN '🚫 false-positive pattern' ELSE '≈ low-signal' END || CASE WHEN gl IS NULL AND cat IS NULL THEN '' ELSE ' [scope: ' || concat_ws(' · ', '`' || gl || '`', cat) || ']' END || ': ' || {_FLAT} || ' (+' || conf || '/-' || ref || ')' || chr(10) AS line FROM gk), up AS (SELECT *, strlen($h${co.HEADER}$h$) + sum(strlen(line)) OVER (PARTITION BY repo ORDER BY place) > 6000 AS over FROM li), ov AS (SELECT *, sum(over::INT) OVER (PARTITION BY repo ORDER BY place) AS nth FROM up) SELECT repo, place, CASE WHEN over THEN '…' || chr(10) ELSE line END AS line FROM ov WHERE nth <= 1 UNION ALL SELECT DISTINCT repo, 0, $h${co.HEADER}$h$ FROM li",
     "score_cases": f"{_AS} SELECT * EXCLUDE (floor) REPLACE (round(brier_sum, 6) AS brier_sum) FROM re WHERE floor = 0.5",
     "eval_summary": f"{_AS}, y AS (SELECT run, count(*) AS cases_total, count(*) FILTER (WHERE expected_total = expected_caught) AS cases_fully_recalled, count(*) FILTER (WHERE over_cap) AS cases_over_cap, " + ", ".join(f"{e} AS recall_{n}" for n, e in _RECALL.items()) + ", " + ", ".join(f"{e} AS {n}" for n, e in _MEAN.items()) + ", sum(findings_forbidden) AS forbidden_path_findings, CASE WHEN sum(critical_shipped) = 0 THEN 1.0 ELSE sum(critical_right) / sum(critical_shipped) END AS measured_critical_precision, count(judge_error) AS cases_with_judge_error, sum(duration_ms) // count(*) AS avg_latency_ms, sum(prompt_tokens) AS total_prompt_tokens, sum(completion_tokens) AS total_completion_tokens FROM re WHERE floor = 0.5 GROUP BY run) SELECT run, cases_total, cases_fully_recalled, cases_over_cap, " + ", ".join(f"round({n}, 6) AS {n}" for n in (*(f"recall_{x}" for x in ev.SEVERITIES), *_MEAN, "measured_critical_precision")) + ", forbidden_path_findings, cases_with_judge_error, avg_latency_ms, total_prompt_tokens, total_completion_tokens, 1.0::DOUBLE AS critical_precision, round(recall_critical, 6) AS critical_recall, round(2 * recall_critical / (1 + recall_critical), 6) AS critical_f1 FROM y",
