@@ -47,12 +47,14 @@ def go_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = F.when(F.col("l_linenumber") == 3, F.concat(F.lit("noise "), "l_quantity")).otherwise(F.concat(F.when(F.col("l_linenumber") == 1, "").otherwise(F.concat(F.lit("BenchmarkB"), F.col("l_partkey") % 50, F.lit("-8  "))), F.lit("1000  "), F.col("l_quantity"), F.lit(" ns/op\n")))
     event = F.to_json(F.struct(F.when(F.col("l_linenumber") == 5, "run").otherwise("output").alias("Action"), F.concat(F.lit("T"), F.col("l_partkey") % 20).alias("Test"), out.alias("Output"), F.concat(F.lit("pkg"), F.col("l_suppkey") % 7).alias("Package")))
     lines = li.select(n.alias("line_no"), F.when(F.col("l_linenumber") == 6, "PASS").otherwise(event).alias("value"))
-    return rp.go_events_to_samples(lines).groupBy("bench", "file").agg(F.count(F.lit(1)).alias("n"), F.sum("ns").alias("ns"))
+    # Some lines have one number, so that their places aren't compared, but how many there are.
+    rows = rp.go_events_to_samples(lines)
+    return rows.join(rows.groupBy("bench").agg(F.count_distinct("idx").alias("places"), F.max("idx").alias("last")), "bench").drop("idx")
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("METRIC k"), F.col("p_partkey") % 10, F.lit("="), F.col("p_size"))).when(F.col("p_partkey") % 3 == 1, F.lit("METRIC bad=x")).otherwise(F.lit("other"))
-    return rp.metric_lines(fx.table(spark, sf_dir, "part").select(value.alias("value"))).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+    return rp.metric_lines(fx.table(spark, sf_dir, "part").select(value.alias("value")))
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +128,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live.agent_state(live.dedupe_events(events(spark, sf_dir))).drop("ended")
+    return live.agent_state(live.dedupe_events(events(spark, sf_dir)))
 
 
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +155,16 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.table(spark, sf_dir, "events").select(F.concat(F.lit("s"), F.col("user_id") % 10).alias("session_id"), F.lit("p").alias("persona"), F.expr("event_id div 2").alias("chunk_idx"), F.expr("timestamp_millis(1700000000000 + event_id * 977)").alias("ts"), "event_id", "user_id")
-    return live.reviewer_latency(e.where("event_id % 2 = 0").withColumn("session_id", F.lit("x")), e.where("event_id % 2 = 1").withColumn("session_id", F.lit("x"))).select("chunk_idx", "latency_ms")
+    """Reviewers' starts and ends by session, persona and chunk: some end at once, some after minutes, some too late, some never."""
+    i = F.col("event_id")
+    e = fx.table(spark, sf_dir, "events").select(F.concat(F.lit("s"), F.col("user_id") % 10).alias("session_id"), F.concat(F.lit("p"), i % 4).alias("persona"), F.expr("event_id div 40").alias("chunk_idx"), F.timestamp_millis(1_700_000_000_000 + i * 977).alias("ts"), i.alias("i"))
+    dones = e.where("i % 5 > 0").withColumn("ts", F.timestamp_millis(1_700_000_000_000 + _done()))
+    return live.reviewer_latency(e, dones).groupBy("session_id", "persona", "chunk_idx").agg(F.count(F.lit(1)).alias("pairs"), F.sum("latency_ms").alias("latency_ms"), F.max("latency_ms").alias("longest_ms"))
+
+
+def _done() -> F.Column:
+    """When the review that began with event i ended, in milliseconds: up to 70 minutes later."""
+    return F.col("i") * 977 + F.col("i") % 7 * 700_000
 
 
 _COUNTERS = {"findings_count": 5, "n_raw": 7, "n_deduped": 3, "n_keep": 4, "n_downgrade": 2, "n_drop": 6, "total_prompt_tokens": 11, "shippable_count": 9, "critical_count": 8}
@@ -213,7 +223,7 @@ _A = f"""{_E}, st AS (SELECT session_id, agent_id, {_L("'n' || seq", 'agentSpawn
   count(*) FILTER (WHERE type = 'agentOutput') AS outputs, count(*) FILTER (WHERE type = 'iterationCompare') AS iterations, 0 AS failures,
   coalesce({_L("type = 'iterationStarted'", 'iterationStarted', 'iterationCompare')}, false) AS benching,
   {_L('seq % 4', 'iterationCompare')} AS regressions, {_L('seq % 5', 'iterationCompare')} AS improvements, {_L(_DS, 'iterationCompare')} AS delta_sum,
-  CASE WHEN count(*) FILTER (WHERE type = 'councilVerdict') > 0 THEN 'done' END AS council_state, {_L('seq % 3', 'councilVerdict')} AS criticals, max(seq) AS last_seq
+  CASE WHEN count(*) FILTER (WHERE type = 'councilVerdict') > 0 THEN 'done' END AS council_state, {_L('seq % 3', 'councilVerdict')} AS criticals, false AS ended, max(seq) AS last_seq
   FROM e WHERE agent_id IS NOT NULL GROUP BY session_id, agent_id)"""
 _R = f"WITH {fx.SAMPLES_SQL}"
 _B = _R + ", " + fx.SUMMARY_SQL.format(src="s") + ", " + fx.MANN_WHITNEY_SQL.format(src="s") + ", " + fx.COMPARE_SQL.format(scoped="false")
@@ -222,8 +232,8 @@ ORACLE_SQL = {
     "captured_reports": f"{_R} SELECT file || '/' || side || '/' || (l_partkey // 100) AS run_id, bench, file, row_number() OVER (PARTITION BY bench, side ORDER BY ns) - 1 AS idx, round(ns, 5) AS ns FROM s WHERE file <> 'mod_5.rs'",
     "rejected_reports": f"{_R} SELECT DISTINCT file || '/' || side || '/' || (l_partkey // 100) AS run_id, 'language' AS reason FROM s WHERE file = 'mod_5.rs'",
     "merge_runs": f"{_R}, b AS (SELECT DISTINCT side, file, bench, l_partkey // 100 AS k FROM s WHERE file <> 'mod_5.rs'), o AS (SELECT *, row_number() OVER w - 1 AS pos, '2025-' || last_value(k) OVER (PARTITION BY file, side ORDER BY file || '/' || side || '/' || k, bench ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) % 12 AS finished_at FROM b WINDOW w AS (PARTITION BY file, side ORDER BY file || '/' || side || '/' || k, bench)) SELECT file AS service, side AS ref, bench, pos, finished_at FROM o",
-    "go_events_to_samples": "WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS n, CASE WHEN l_linenumber IN (1, 3) THEN 'T' || (l_partkey % 20) ELSE 'BenchmarkB' || (l_partkey % 50) || '-8' END AS bench, 'pkg' || (l_suppkey % 7) AS pkg, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS ns FROM lineitem WHERE l_linenumber NOT IN (5, 6)), f AS (SELECT bench, arg_min(pkg, n) AS file FROM l GROUP BY bench) SELECT bench, file, count(ns) AS n, sum(ns) AS ns FROM l JOIN f USING (bench) GROUP BY bench, file HAVING count(ns) > 0",
-    "metric_lines": "SELECT 'k' || (p_partkey % 10) AS name, count(*) AS n, sum(p_size)::DOUBLE AS value FROM part WHERE p_partkey % 3 = 0 GROUP BY 1",
+    "go_events_to_samples": "WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS n, CASE WHEN l_linenumber IN (1, 3) THEN 'T' || (l_partkey % 20) ELSE 'BenchmarkB' || (l_partkey % 50) || '-8' END AS bench, 'pkg' || (l_suppkey % 7) AS pkg, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS ns FROM lineitem WHERE l_linenumber NOT IN (5, 6)), f AS (SELECT bench, arg_min(pkg, n) AS file FROM l GROUP BY bench) SELECT bench, file, ns::DOUBLE AS ns, count(*) OVER (PARTITION BY bench) AS places, count(*) OVER (PARTITION BY bench) - 1 AS last FROM l JOIN f USING (bench) WHERE ns IS NOT NULL",
+    "metric_lines": "SELECT 'k' || (p_partkey % 10) AS name, p_size::DOUBLE AS value FROM part WHERE p_partkey % 3 = 0",
     "load_corpus": "SELECT doc_id::VARCHAR AS repo, doc_id % 6 IN (3, 4) AS invalid, CASE WHEN doc_id % 6 = 2 THEN 9 END AS future, CASE WHEN doc_id % 6 = 1 THEN 0 END AS upgraded_from, CASE WHEN doc_id % 6 IN (0, 1) AND told THEN 1 ELSE 0 END AS entries_loaded, CASE WHEN doc_id % 6 IN (0, 1) THEN 3 + (NOT told)::INT ELSE 0 END AS entries_dropped FROM (SELECT *, doc_id % 7 > 0 AND trim(text, chr(9) || chr(10) || chr(13) || ' ') <> '' AS told FROM documents WHERE text IS NOT NULL)",
     "compare_to_baseline": f"{_B} SELECT 'svc' AS service, " + ", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v.replace('-', '_')}" for v in compare.VERDICTS) + ", round(coalesce(sum(delta), 0), 6) AS delta_sum, count(*) FILTER (WHERE verdict = 'regression') > 0 AS failed FROM d",
     "agent_state": f"{_A} SELECT * FROM st",
@@ -232,7 +242,9 @@ ORACLE_SQL = {
     "notice_tail": f"{_E} SELECT session_id, seq, 'm' || seq AS message FROM e WHERE type = 'notice' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 4",
     "trajectory": f"{_E}, d AS (SELECT session_id, agent_id, seq, 'b0' AS bench, (100 + seq % 21)::DOUBLE AS median FROM e WHERE type = 'iterationCompare' UNION ALL SELECT session_id, agent_id, seq, 'b1', (100 + seq % 21) / 2 FROM e WHERE type = 'iterationCompare' AND seq % 3 < 2), b AS (SELECT session_id, bench, min(median) * 1.05::DOUBLE AS m FROM d GROUP BY session_id, bench) SELECT session_id, agent_id, seq AS iteration, bench, median, CASE WHEN (median - m) / m > 0.05::DOUBLE THEN 'regression' WHEN (median - m) / m < -0.05::DOUBLE THEN 'improvement' ELSE 'neutral' END AS verdict FROM d JOIN b USING (session_id, bench)",
     "session_list": f"{_E} SELECT session_id, count(*) AS events, arg_min(ts_ms, seq) AS started_ms FROM e WHERE seq > 100 GROUP BY session_id",
-    "reviewer_latency": "SELECT a.event_id // 2 AS chunk_idx, 977 AS latency_ms FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_id % 2 = 0",
+    "reviewer_latency": """WITH e AS (SELECT 's' || (user_id % 10) AS session_id, 'p' || (event_id % 4) AS persona, event_id // 40 AS chunk_idx, event_id * 977 AS ms, event_id * 977 + event_id % 7 * 700000 AS done, event_id AS i FROM events),
+      x AS (SELECT a.session_id, a.persona, a.chunk_idx, b.done - a.ms AS latency FROM e a JOIN e b ON a.session_id = b.session_id AND a.persona = b.persona AND a.chunk_idx = b.chunk_idx WHERE b.i % 5 > 0 AND b.done BETWEEN a.ms AND a.ms + 3600000)
+      SELECT session_id, persona, chunk_idx, count(*) AS pairs, sum(latency)::BIGINT AS latency_ms, max(latency) AS longest_ms FROM x GROUP BY ALL""",
     "review_progress": "SELECT 's' || (user_id % 10) AS session_id, count(*) FILTER (WHERE event_type = 'click') AS reviewers_done, coalesce(sum(event_id % 5) FILTER (WHERE event_type = 'click'), 0) AS findings, " + ", ".join(f"coalesce(sum(event_id % {m}) FILTER (WHERE {c}), 0) AS {n}" for n, m, c in (("n_raw", 7, "event_type = 'view'"), ("n_deduped", 3, "event_type = 'view'"), ("n_keep", 4, "event_type = 'purchase'"), ("n_downgrade", 2, "event_type = 'purchase'"), ("n_drop", 6, "event_type = 'purchase'"), ("prompt_tokens", 11, "event_type NOT IN ('click', 'view', 'purchase')"), ("shippable", 9, "event_type NOT IN ('click', 'view', 'purchase')"), ("criticals", 8, "event_type NOT IN ('click', 'view', 'purchase')"))) + " FROM events WHERE event_id % 10 > 0 GROUP BY 1",
     "change_points": "WITH c AS (SELECT 'a' || user_id AS agent_id, event_id AS seq, event_id // 50 <> lag(event_id // 50) OVER (PARTITION BY user_id ORDER BY event_id) AS ch FROM events), d AS (SELECT *, sum(coalesce(ch, false)::INT) OVER (PARTITION BY agent_id ORDER BY seq) AS iteration FROM c) SELECT agent_id, seq, iteration FROM d WHERE ch",
     "parse_events": f"{_E}, x AS (SELECT *, type = 'iterationCompare' AS c FROM e) SELECT session_id, seq, ts_ms, type, agent_id, CASE WHEN type = 'agentSpawned' THEN 'n' || seq END AS name, CASE WHEN type = 'agentSpawned' THEN 't' || (user_id % 3) END AS tournament_id, CASE WHEN type = 'agentOutput' THEN 'o' || seq END AS text, CASE WHEN type = 'notice' THEN 'm' || seq END AS message, CASE WHEN type IN ('iterationStarted', 'iterationCompare') THEN seq END AS iteration, CASE WHEN type = 'councilVerdict' THEN seq % 3 END AS critical, CASE WHEN c THEN seq % 4 END AS regressions, CASE WHEN c THEN seq % 5 END AS improvements, CASE WHEN c THEN {_DS} END AS delta_sum, CASE WHEN c THEN 'b0:108:' || (100 + seq % 21) || ',' || concat_ws(':', 'b1', CASE WHEN seq % 3 > 0 THEN '50' END, CASE WHEN seq % 3 < 2 THEN ((100 + seq % 21) // 2)::VARCHAR END) END AS diffs FROM x",
