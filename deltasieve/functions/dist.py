@@ -79,7 +79,10 @@ def _incomplete_beta(x: Column, a: Column, b: float) -> Column:
 
 
 def student_t_cdf(t: Column | str, df: Column | str) -> Column:
-    """P(T <= t) for df degrees of freedom; one half for df <= 0 and for infinite ones. Null in, null out; NaN in, NaN out."""
+    """P(T <= t) for df degrees of freedom; one half for df <= 0 and for infinite ones. Null in, null out; NaN in, NaN out.
+
+    For t within about 0.05 of 0 the fraction isn't at its limit after its 200 steps, which are part of the definition.
+    """
     t, n = (F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in (t, df))
     infinite = lambda c: F.abs(c) == float("inf")
 

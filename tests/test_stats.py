@@ -85,6 +85,16 @@ def test_distributions(spark):
     t = spark.createDataFrame([(2.0, 10.0), (1.0, 5.0), (2.576, 1000.0), (12.706, 1.0), (1.0, 0.0)], "t double, df double")
     p = [2 * (1 - r[0]) for r in t.select(dist.student_t_cdf(F.col("t"), F.col("df"))).collect()]
     assert p == pytest.approx([0.0733880, 0.3632175, 0.0101376, 0.0500008, 1.0], abs=1e-6)
+    # Closed forms for one, two and four degrees of freedom.
+    two = lambda v: 0.5 + v / (2 * math.sqrt(2 + v * v))
+    four = lambda v: 0.5 + 3 / 8 * v / math.sqrt(1 + v * v / 4) * (1 - v * v / (1 + v * v / 4) / 12)
+    exact = [(v, n, f(v)) for v in (-40.0, -3.0, -0.2, 0.0, 0.7, 2.5, 90.0) for n, f in ((1.0, lambda v: 0.5 + math.atan(v) / math.pi), (2.0, two), (4.0, four))]
+    whole = spark.createDataFrame(exact, "t double, df double, want double").select("want", dist.student_t_cdf("t", "df").alias("p"))
+    assert max(abs(r["p"] - r["want"]) for r in whole.collect()) < 1e-10
+    assert "Python" not in whole._jdf.queryExecution().executedPlan().toString()
+    odd = spark.createDataFrame([(0, None, 1.0), (1, 1.0, None), (2, float("nan"), 1.0), (3, float("-inf"), 1.0), (4, 1.0, -2.0), (5, 1e200, 3.0), (6, -1e200, 3.0)], "i int, t double, df double")
+    got = [r[0] for r in odd.orderBy("i").select(dist.student_t_cdf("t", "df")).collect()]
+    assert got[:2] == [None, None] and math.isnan(got[2]) and got[3:] == [0.5, 0.5, 1.0, 0.0]
     x = spark.createDataFrame([(-1.5,), (0.3,), (2.0,)], "x double")
     for r in x.select("x", dist.erf(F.col("x")).alias("e")).collect():
         assert r["e"] == pytest.approx(math.erf(r["x"]), abs=2e-7)
