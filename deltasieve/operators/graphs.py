@@ -77,21 +77,23 @@ def _collapse(edges: DataFrame, labels: DataFrame, keys: list[str]) -> tuple[Dat
     """
     single = edges.groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("n"), F.first("dst").alias("to")).where("n = 1")
     ends = settled(single.select(*keys, F.col("src").alias("node"), "to"), "ends")
-    many = ends.count()
-    if not many:
+    if ends.isEmpty():
         return edges, labels, ends
     # Gathered: what stands on the way from a node up to, but without, where its pointer leads.
     gathered = settled(_or(labels.alias("l").join(ends.alias("e"), _same(keys, "l", "e", node="node"), "left_semi"), keys), "gathered")
-    done = 1
+    before = None
     while True:
-        go_on = ends.alias("a").join(ends.alias("b"), _same(keys, "a", "b", to="node"))
-        if done > many or go_on.isEmpty():
+        # Fewer pointers lead on after each round while any chain isn't at its end, and more is gathered while any circle isn't gone
+        # over; where neither is so, what leads on leads into circles.
+        leading_on = ends.alias("a").join(ends.alias("b"), _same(keys, "a", "b", to="node"), "left_semi").count()
+        state = (leading_on, gathered.agg(F.sum(F.bit_count("bits"))).first()[0])
+        if not leading_on or state == before:
             break
+        before = state
         on_way = _taken(ends.select(*keys, F.col("node").alias("src"), F.col("to").alias("dst")), gathered, keys)
         gathered = settled(_or(gathered.unionByName(on_way), keys), "gathered")
         ahead = ends.alias("a").join(ends.alias("b"), _same(keys, "a", "b", to="node"), "left")
         ends = settled(ahead.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.node").alias("node"), F.coalesce("b.to", "a.to").alias("to")), "ends")
-        done *= 2
     inner = ends.alias("e").join(ends.alias("x"), _same(keys, "e", "x", to="node"), "left")
     ends = settled(inner.select(*[F.col(f"e.{k}").alias(k) for k in keys], F.col("e.node").alias("node"), F.when(F.col("x.node").isNull(), F.col("e.to")).alias("to")), "ends")
     rest = edges.alias("e").join(ends.alias("x"), _same(keys, "e", "x", src="node"), "left_anti")
