@@ -1,5 +1,6 @@
 """Statistics against plain Python, and on degenerate groups."""
 
+import datetime
 import math
 import random
 import statistics
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from deltasieve.functions import dist
 from deltasieve.operators import compare, stats
+from deltasieve.plans import fixtures
 
 
 @pytest.fixture(scope="module")
@@ -128,6 +130,13 @@ def test_no_python_in_verdict_plans(spark, samples):
     assert "Python" not in plan and "CartesianProduct" not in plan
 
 
+def test_lines_of_one_number_are_numbered_alike_in_any_order(spark, tmp_path):
+    rows = [(1, 5, 7, q, datetime.datetime(1998, 1, 1)) for q in (3.0, 1.0, 2.0)]
+    for name, lines in (("up", rows), ("down", rows[::-1])):
+        spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double, l_shipdate timestamp").coalesce(1).write.parquet(str(tmp_path / name / "lineitem.parquet"))
+        assert sorted((r["idx"], r["ns"]) for r in fixtures.samples(spark, str(tmp_path / name)).collect()) == [(0, 10.0), (1, 20.0), (2, 30.0)]
+
+
 def test_wide_groups_give_the_same(spark, samples):
     two = samples.withColumn("side", F.when(F.col("idx") % 2 == 0, "base").otherwise("head"))
     plain, wide = (sorted(map(tuple, stats.mann_whitney(two, ["bench"], wide=w).collect())) for w in (False, True))
