@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from deltasieve.plans import intake
 from deltasieve.sources import reports as rp
 from deltasieve.streaming import live
 
@@ -296,6 +297,14 @@ def test_trees_cases_and_comments(spark, tmp_path):
     assert [tuple(r) for r in rp.metric_lines(lines).collect()] == [("a", 1.5)]
 
 
+def test_metric_query_counts_and_adds_up_names(spark, tmp_path):
+    spark.createDataFrame([(k, k % 50) for k in range(31)], "p_partkey bigint, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted(tuple(r) for r in intake.metrics(spark, str(tmp_path)).collect())
+    parts = [k for k in range(31) if k % 3 == 0]
+    of = lambda k: [float(p) for p in parts if p % 10 == k % 10]
+    assert got == sorted((f"k{k % 10}", float(k), len(of(k)), sum(of(k))) for k in parts)
+
+
 def test_latency_stream_equals_batch(spark, tmp_path):
     rows = [("s", "p", i, 1_700_000_000 + i * 10 + d, d) for i in range(6) for d in (0, 3)]
     df = spark.createDataFrame(rows, "session_id string, persona string, chunk_idx bigint, t bigint, d int").selectExpr("session_id", "persona", "chunk_idx", "timestamp_seconds(t) AS ts", "d")
