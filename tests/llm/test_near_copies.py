@@ -98,3 +98,16 @@ def test_real_near_copies(spark):
     assert pairs and not any(ids[i] in kept and ids[j] in kept for i, j in pairs)
     before = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
     assert any(ids[i] in before and ids[j] in before for i, j in pairs)
+
+
+def test_fingerprints_meet_by_deletion_variants(spark):
+    prints = [0, 1, 1 | 1 << 40, 0, 0b11111 << 20, 0b1111 << 20]
+    nodes = spark.createDataFrame(list(enumerate(prints)), "node bigint, w0 bigint")
+    root = roots_of(len(prints), [tuple(r) for r in near_copies._by_variants(nodes).collect()])
+    assert root == [0, 0, 0, 0, 4, 4]
+
+
+def test_a_turn_verifies_the_nearest_pairs_of_each_row(spark):
+    pairs = [(a, b, b - a) for a in range(40) for b in range(a + 1, 40)]
+    got = near_copies._nearest_first(spark.createDataFrame(pairs, "a bigint, b bigint, apart bigint"), 2).collect()
+    assert {tuple(r) for r in got} == {(a, b) for a, b, n in pairs if n <= 2}
