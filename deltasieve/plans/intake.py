@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare
 from ..sources import reports as rp
-from ..sources.shared import shared_dir
+from ..sources.shared import settled, shared_dir
 from ..streaming import live
 from . import fixtures as fx
 from .core import _rounded
@@ -48,7 +48,7 @@ def go_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = F.to_json(F.struct(F.when(F.col("l_linenumber") == 5, "run").otherwise("output").alias("Action"), F.concat(F.lit("T"), F.col("l_partkey") % 20).alias("Test"), out.alias("Output"), F.concat(F.lit("pkg"), F.col("l_suppkey") % 7).alias("Package")))
     lines = li.select(n.alias("line_no"), F.when(F.col("l_linenumber") == 6, "PASS").otherwise(event).alias("value"))
     # Some lines have one number, so that their places aren't compared, but how many there are.
-    rows = rp.go_events_to_samples(lines)
+    rows = settled(rp.go_events_to_samples(lines), "samples")
     return rows.join(rows.groupBy("bench").agg(F.count_distinct("idx").alias("places"), F.max("idx").alias("last")), "bench").drop("idx")
 
 

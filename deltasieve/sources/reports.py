@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .shared import settled
 
 _HEADER = ("language", "service", "ref", "runner", "startedAt", "finishedAt")
 _NUMBERS = ("mean", "median", "trimmedMean", "stddev", "cv", "mad", "iqr", "min", "max", "p50", "p95", "p99")
@@ -76,15 +77,23 @@ def go_events_to_samples(lines: DataFrame) -> DataFrame:
     Only output events count. The name is the output's first word if it begins with Benchmark, else the event's
     test; a name's file is the first package seen with it; lines that aren't such JSON are skipped.
     """
-    event = F.from_json(strip(F.col("value")), "Action STRING, Test STRING, Output STRING, Package STRING")
-    rows = lines.where(strip(F.col("value")).startswith("{")).select("line_no", event.alias("e")).where("e.Action = 'output' AND e.Output IS NOT NULL")
-    out = strip(F.col("e.Output"))
-    name = F.coalesce(F.when(out.startswith("Benchmark"), F.regexp_extract(out, r"^(\S+)", 1)), F.col("e.Test"))
-    ns = F.regexp_extract(out, r"(?:^|\s)(\S+)\s+ns/op(?:\s|$)", 1).try_cast("double")
-    named = rows.select("line_no", name.alias("bench"), ns.alias("ns"), F.col("e.Package").alias("package")).where("bench IS NOT NULL")
+    # Generated, not projected, so that a line is stripped and parsed once, whatever is asked of it; and written, as it is used thrice.
+    once = lambda c: F.explode(F.array(c))
+    texts = lines.select("line_no", once(strip(F.col("value"))).alias("text")).where("startswith(text, '{')")
+    event = F.from_json("text", "Action STRING, Test STRING, Output STRING, Package STRING")
+    rows = texts.select("line_no", once(event).alias("e")).where("e.Action = 'output' AND e.Output IS NOT NULL")
+    outs = rows.select("line_no", "e.Test", "e.Package", once(strip(F.col("e.Output"))).alias("out"))
+    name = F.coalesce(F.when(F.col("out").startswith("Benchmark"), F.regexp_extract("out", r"^(\S+)", 1)), F.col("Test"))
+    ns = F.regexp_extract("out", r"(?:^|\s)(\S+)\s+ns/op(?:\s|$)", 1).try_cast("double")
+    named = settled(outs.select("line_no", once(F.struct(name.alias("bench"), ns.alias("ns"))).alias("r"), F.col("Package").alias("package")).select("line_no", "r.bench", "r.ns", "package").where("bench IS NOT NULL"), "events")
     files = named.groupBy("bench").agg(F.coalesce(F.min_by("package", F.when(F.col("package").isNotNull(), F.col("line_no"))), F.lit("")).alias("file"))
-    idx = F.row_number().over(Window.partitionBy("bench").orderBy("line_no")) - 1
-    return named.where("ns IS NOT NULL").withColumn("idx", idx).join(files, "bench").select("bench", "file", "idx", "ns")
+    # A name's samples are numbered in ranges of lines, moved on by those of the ranges before.
+    ranges = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = settled(named.where("ns IS NOT NULL").select("bench", "line_no", "ns").repartitionByRange(ranges, "bench", "line_no").withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("bench").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy("bench", "_range").agg(F.count(F.lit(1)).alias("_n")).select("bench", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).join(files, "bench")
+    within = F.row_number().over(Window.partitionBy("bench", "_range").orderBy("line_no"))
+    return cut.withColumn("_at", within).join(offsets, ["bench", "_range"]).select("bench", "file", (F.col("_before") + F.col("_at") - 1).cast("int").alias("idx"), "ns")
 
 
 def metric_lines(lines: DataFrame) -> DataFrame:

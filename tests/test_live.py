@@ -305,6 +305,17 @@ def test_metric_query_counts_and_adds_up_names(spark, tmp_path):
     assert got == sorted((f"k{k % 10}", float(k), len(of(k)), sum(of(k))) for k in parts)
 
 
+def test_log_lines_are_parsed_once_and_numbered_over_ranges(spark):
+    event = lambda i: json.dumps({"Action": "output", "Test": "T", "Package": f"p{i}", "Output": f"Benchmark{i % 2} {i} ns/op" if i % 3 else " 5 ns/op "})
+    lines = spark.createDataFrame([(i, f" {event(i)} ") for i in range(60)] + [(99, "PASS"), (100, None)], "line_no bigint, value string").repartition(3)
+    got = rp.go_events_to_samples(lines)
+    assert "from_json" not in got._jdf.queryExecution().toString()
+    want = []
+    for bench, own in (("T", range(0, 60, 3)), ("Benchmark0", [i for i in range(0, 60, 2) if i % 3]), ("Benchmark1", [i for i in range(1, 60, 2) if i % 3])):
+        want += [(bench, f"p{own[0]}", k, float(i) if bench != "T" else 5.0) for k, i in enumerate(own)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_latency_stream_equals_batch(spark, tmp_path):
     rows = [("s", "p", i, 1_700_000_000 + i * 10 + d, d) for i in range(6) for d in (0, 3)]
     df = spark.createDataFrame(rows, "session_id string, persona string, chunk_idx bigint, t bigint, d int").selectExpr("session_id", "persona", "chunk_idx", "timestamp_seconds(t) AS ts", "d")
