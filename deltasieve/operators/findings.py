@@ -103,6 +103,11 @@ def title_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.coalesce(c, F.lit("")), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != ""))
 
 
+def word_keys(c: Column) -> Column:
+    """title_tokens as 64-bit hashes, which take a third of the room when titles are dealt out."""
+    return F.array_distinct(F.transform(title_tokens(c), lambda w: F.xxhash64(w)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two token arrays; one for two empty ones."""
     both = F.size(F.array_union(a, b))
@@ -110,11 +115,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _meeting(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """rows with low, high, word: under which those of a key that can be alike meet, few others do, and all with no words.
+    """rows with block: under which those of a key that can be alike meet, few others do, and all with no words.
 
     Two arrays of m and n words that are alike have s = least / (1 + least) * (m + n) words in common, so that each one's first
     m - s + 1 (or n - s + 1) words hold one of these, whatever the order of words. Words that few of the key's rows
-    have come first. low and high are the sizes m and n that a row meets another for.
+    have come first. A block is a hash of such a word and of the sizes m and n that a row meets another for.
     """
     named = rows.select(*keys, "node", F.posexplode("tokens").alias("_at", "word"))
     rare = named.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("_rows"))
@@ -123,8 +128,9 @@ def _meeting(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
     sizes = F.when(n == 0, F.array(F.lit(0))).otherwise(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int")))
     each = rows.join(ranked, [*keys, "node"], "left").withColumn("_other", F.explode(sizes))
     first = n - F.ceil(least / (1 + least) * (n + F.col("_other")) - 1e-9) + 1
-    words = F.when(n == 0, F.array(F.lit(""))).otherwise(F.transform(F.slice("_words", F.lit(1), F.greatest(F.lit(0), first).cast("int")), lambda w: w["word"]))
-    return each.select(*rows.columns, F.least(n, "_other").alias("low"), F.greatest(n, "_other").alias("high"), F.explode(words).alias("word"))
+    words = F.when(n == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(F.slice("_words", F.lit(1), F.greatest(F.lit(0), first).cast("int")), lambda w: w["word"]))
+    blocks = F.transform(words, lambda w: F.xxhash64(F.least(n, F.col("_other")), F.greatest(n, F.col("_other")), w))
+    return each.select(*rows.columns, F.explode(blocks).alias("block"))
 
 
 FILE = ["repo", "pr", "file"]
@@ -143,7 +149,7 @@ def _close(rows: DataFrame, opts: MergeOptions) -> DataFrame:
     return near.where(jaccard(F.col("tokens_x"), F.col("tokens_y")) >= opts.similarity).select(*FILE, F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
 
 
-BLOCK = [*FILE, "low", "high", "word"]
+BLOCK = [*FILE, "block"]
 
 
 def _met_without_line(rows: DataFrame, opts: MergeOptions) -> DataFrame:
@@ -198,7 +204,7 @@ def near_duplicate_pairs(findings: DataFrame, opts: MergeOptions = MergeOptions(
     Titles are alike by their words; a null one has none, and two without words are alike. Where both lines are known, near
     ones meet first, else alike titles (see _meeting), so that a file's findings aren't all paired.
     """
-    rows = findings.select(*FILE, F.col("seq").alias("node"), "line", title_tokens(F.col("title")).alias("tokens"))
+    rows = findings.select(*FILE, F.col("seq").alias("node"), "line", word_keys(F.col("title")).alias("tokens"))
     return _close(rows, opts).unionByName(_loose(rows, opts)).distinct()
 
 
@@ -268,7 +274,7 @@ def merge_findings(findings: DataFrame, opts: MergeOptions = MergeOptions()) ->
     rows = settled(findings.select(*cols).withColumns({"_row": F.monotonically_increasing_id(), "_title": F.coalesce("title", F.lit("")), "_size": F.octet_length(F.coalesce("rationale", F.lit("")))}), "findings")
     kinds = rows.groupBy(*FILE, "line", "_title").agg(F.min("seq").alias("_first"))
     nodes = kinds.orderBy(*FILE, F.col("line").asc_nulls_last(), "_title").withColumn("node", F.monotonically_increasing_id())
-    nodes = settled(nodes.withColumn("tokens", title_tokens(F.col("_title"))), "titles")
+    nodes = settled(nodes.withColumn("tokens", word_keys(F.col("_title"))), "titles")
     pairs = settled(_close(nodes, opts).select("a", "b"), "pairs")
     gone = settled(_not_surviving(pairs), "gone")
     hosts = pairs.join(gone, F.col("b") == F.col("node"), "left_semi").join(gone, F.col("a") == F.col("node"), "left_anti")

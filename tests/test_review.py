@@ -275,3 +275,15 @@ def test_merge_entries_idempotent(spark):
     assert got["y"]["added"] and not got["x"]["added"]
     again = {r["id"]: r for r in co.merge_entries(old, new, idempotent=True).collect()}
     assert again["x"]["confirmations"] == 1
+
+
+def test_titles_are_dealt_out_as_hashes(spark):
+    titles = ["Slow \u00fcber query", "slow", "", None, "query Slow \u00fcber", "Slow Slow"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "node bigint, title string").withColumn("tokens", fi.word_keys(F.col("title")))
+    assert dict(rows.dtypes)["tokens"] == "array<bigint>"
+    got = {r["node"]: set(r["tokens"]) for r in rows.collect()}
+    assert [len(got[i]) for i in range(6)] == [3, 1, 0, 0, 3, 1] and got[0] == got[4] and got[5] < got[0] and not got[1] & got[0]
+    met = fi._meeting(rows.withColumn("k", F.lit(1)), ["k"], 0.55)
+    assert dict(met.dtypes)["block"] == "bigint" and not {"low", "high", "word"} & set(met.columns)
+    at = {i: {r["block"] for r in met.collect() if r["node"] == i} for i in range(6)}
+    assert at[0] & at[4] and at[2] == at[3] and not at[0] & at[2]
