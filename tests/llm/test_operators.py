@@ -689,3 +689,30 @@ def test_simhash_query_against_all_pairs(spark, rows, folder):
         least |= {i: min(ids, default=None) for i in g}
     want = Counter((r[0], f"{prints[i]:016x}", least[i]) for i, r in enumerate(rows))
     assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.op8_simhash(spark, folder).collect()) == want
+
+
+def test_lm_trains_on_every_segment(spark):
+    import base64
+
+    import public_tokenizers as tokenizers
+
+    with open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    tools = lm_scoring.Subwords(ranks, tokenizers.PATTERN)
+    rng = random.Random(41)
+    texts = [" ".join(rng.choices(WORDS, k=k)).upper() for k in (1, 127, 128, 129, 1000, 0)]
+    training = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "k1 bigint, k2 bigint, text string")
+    ranks_of, pattern = ranks, tokenizers.PATTERN
+    rows = lm_scoring._segments(training, lambda: lm_scoring._loaded(ranks_of, pattern, "segments")).collect()
+    got = Counter(np.concatenate([np.frombuffer(r["ids"], np.uint16) for r in rows]).tolist())
+    want = Counter()
+    for t in texts:
+        want.update(tools.words([w.lower() for w in t.encode().split()])[0].tolist())
+        want[tools.end] += 1 + max(1, -(-len(t.split()) // lm_scoring.SEGMENT))
+    assert got == want and lm_scoring.SPARSE == 1
+
+
+def test_lm_keys_are_packed_and_unpacked():
+    keys = np.sort(np.array([0, 0, 1, 255, 256, 70_000, 2**32 - 1], np.uint32))
+    for some in (keys, keys[:1], keys[:0]):
+        assert lm_scoring._unpacked(lm_scoring._packed(some.tobytes())).tolist() == some.tolist()
