@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from ._common import discard, stash
 
 #: Nodes with more neighbours than this, and than their share of the edges below, are hubs: at most so many are broadcast.
 HUB, MOST_HUBS = 20_000, 50_000
+#: Edges that a task draws together at once.
+HELD = 1_000_000
 
 
 def _lowest(edges: DataFrame, least: DataFrame, size: int) -> DataFrame:
@@ -25,6 +30,43 @@ def _lowest(edges: DataFrame, least: DataFrame, size: int) -> DataFrame:
     return near.unionByName(far)
 
 
+def drawn_together(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) of these edges' nodes that aren't themselves the least."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        p, q = root[x], root[y]
+        new = p != q
+        if not new.any():
+            break
+        x, y, p, q = x[new], y[new], p[new], q[new]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+    some = root != np.arange(len(nodes))
+    return nodes[some], nodes[root[some]]
+
+
+def _stars(batches: Iterator) -> Iterator:
+    """Edges (a, b) in place of a task's own, some at a time: each node with the least one that these lead it to."""
+    import pyarrow as pa
+
+    def drawn(held: list) -> pa.RecordBatch:
+        a, b = drawn_together(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")])
+        size += batch.num_rows
+        if size > HELD:
+            yield drawn(held)
+            held, size = [], 0
+    if held:
+        yield drawn(held)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root for every node of edges (a, b bigint); root is the component's smallest node.
 
@@ -32,9 +74,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     smallest node around it. Neither gathers a node's neighbours; each takes a minimum and a join. A round's edges
     are written to the shared folder, in place of those of the round before. The edges become stars after a number of
     rounds that is logarithmic in practice; if they haven't by the last round allowed, an error is raised rather than a
-    partial result given. Links from a node to itself and repeated links change nothing; no edges give no rows.
+    partial result given. Before the first round each task draws its own edges together, so that few rounds are left. Links from a node to itself and repeated links change nothing; no edges give no rows.
     """
-    now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    linked = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b")
+    now = stash(linked.mapInArrow(_stars, "a bigint, b bigint").distinct(), "edges")
     size = _size(now)
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -13,8 +13,8 @@ from ._components import components
 
 #: Vectors in an interval of the sequence, and in the intervals at which the recursion inside a task ends.
 INTERVAL, LEAF = 4096, 256
-#: Leading principal dimensions of the grid, and the vectors that these are fitted on (least by hash).
-DIMENSIONS, FITTED = 8, 20_000
+#: Leading principal dimensions of the grid.
+DIMENSIONS = 8
 #: Slack of the bounds and of single precision; whatever falls in it is decided in double precision.
 SLACK = 1e-4
 
@@ -54,10 +54,35 @@ def units(vectors: DataFrame) -> DataFrame:
 
 
 def principal(classes: DataFrame, width: int, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """The leading principal directions [width, dimensions] of at most FITTED vectors."""
-    some = classes.where(F.col("width") == width).orderBy(F.xxhash64("unit"), "unit").limit(FITTED).select("unit").toPandas()["unit"]
-    x = np.stack([np.frombuffer(b) for b in some])
-    values, directions = np.linalg.eigh(np.cov(x.T) if len(x) > 1 else np.eye(width))
+    """The leading principal directions [width, dimensions] of all vectors of this width; the driver gets sums alone."""
+
+    def moments(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        n, total = 0, np.zeros((width + 1, width))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                x = np.stack([np.frombuffer(b) for b in batch.column("unit").slice(at, 1000).to_pylist()])
+                n, total = n + len(x), total + np.concatenate([x.T @ x, x.sum(axis=0)[None]])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
+
+    def added(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        n, total = 0, 0.0
+        for batch in batches:
+            for k, sums in zip(batch.column("n").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                n, total = n + k, total + np.frombuffer(sums)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
+
+    schema = "n bigint, sums binary"
+    parts = classes.where(F.col("width") == width).select("unit").mapInArrow(moments, schema).repartition(8).mapInArrow(added, schema).collect()
+    n, sums = sum(p["n"] for p in parts), sum(np.frombuffer(p["sums"]) for p in parts).reshape(width + 1, width)
+    mean = sums[width] / n
+    spread = (sums[:width] - n * np.outer(mean, mean)) / max(1, n - 1)
+    values, directions = np.linalg.eigh(spread)
     return np.ascontiguousarray(directions[:, np.argsort(-values)[:dimensions]])
 
 
@@ -130,11 +155,11 @@ def near_intervals(blocks: DataFrame, epsilon: float) -> DataFrame:
     bounds = blocks.select(F.col("block").alias("b"), "low", "high")
     count = (bounds.agg(F.max("b")).first()[0] or 0) + 1
     depth = max(0, int(count - 1).bit_length())
-    wider = [bounds]
-    for level in range(1, depth + 1):
-        merged = bounds.select(F.shiftright("b", level).alias("b"), F.posexplode(F.arrays_zip("low", "high")).alias("k", "z")).groupBy("b", "k").agg(F.min("z.low").alias("l"), F.max("z.high").alias("h"))
-        axes = F.sort_array(F.collect_list(F.struct("k", "l", "h")))
-        wider.append(merged.groupBy("b").agg(axes.alias("axes")).select("b", F.col("axes.l").alias("low"), F.col("axes.h").alias("high")))
+    axes = range(len(blocks.select("low").first()["low"]))
+    of_level = bounds.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("b", F.expr("shiftright(b, level)"))
+    least, most = (F.array(*[f(F.col(c)[k]) for k in axes]).alias(c) for f, c in ((F.min, "low"), (F.max, "high")))
+    levels = stash(of_level.groupBy("level", "b").agg(least, most), "bounds")
+    wider = [levels.where(F.col("level") == level).select("b", "low", "high") for level in range(depth + 1)]
     pairs = wider[depth].select(F.col("b").alias("x"), F.col("b").alias("y"))
     for level in reversed(range(depth)):
         halves = pairs.withColumn("p", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("q", F.explode(F.array(F.lit(0), F.lit(1))))

@@ -716,3 +716,24 @@ def test_lm_keys_are_packed_and_unpacked():
     keys = np.sort(np.array([0, 0, 1, 255, 256, 70_000, 2**32 - 1], np.uint32))
     for some in (keys, keys[:1], keys[:0]):
         assert lm_scoring._unpacked(lm_scoring._packed(some.tobytes())).tolist() == some.tolist()
+
+
+def test_edges_are_drawn_together_into_stars():
+    from deltasieve.llm._components import drawn_together
+
+    rng = random.Random(51)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(500)]
+    node, root = drawn_together(*(np.array(c, np.int64) for c in zip(*edges, strict=True)))
+    got = dict(zip(node.tolist(), root.tolist(), strict=True))
+    want = {i: min(g) for g in groups_of(set(edges)) for i in g if i != min(g)}
+    assert len(node) == len(got) and got == want
+
+
+def test_principal_directions_are_of_all_vectors(spark):
+    rng = np.random.default_rng(61)
+    x = rng.standard_normal((200, 6)) * [5, 4, 3, 2, 1, 0.5] + 1
+    classes = spark.createDataFrame([(v.tobytes(), 6) for v in x], "unit binary, width int").repartition(3)
+    got = embedding_dedup.principal(classes, 6, 2)
+    values, directions = np.linalg.eigh(np.cov(x.T))
+    assert np.abs(got.T @ directions[:, np.argsort(-values)[:2]]) == pytest.approx(np.eye(2), abs=1e-6)
+    assert not hasattr(embedding_dedup, "FITTED")
