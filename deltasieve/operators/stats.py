@@ -59,19 +59,21 @@ def with_running_sum(rows: DataFrame, keys: list[str], order: str, value: str, n
     within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     totals = cut.groupBy(*keys, "_range").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
-    summed = cut.withColumn(name, F.sum(value).over(within)).join(offsets, [*keys, "_range"])
-    return summed.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+    # Each range goes on with one group of the range before it at most, so that there are fewer of these rows than ranges.
+    offsets = totals.withColumn("_before", F.sum("_total").over(before)).drop("_total").where("_before IS NOT NULL")
+    summed = cut.withColumn(name, F.sum(value).over(within)).join(F.broadcast(offsets), [*keys, "_range"], "left")
+    return summed.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_range", "_before")
 
 
-def percentiles_by_rank(samples: DataFrame, keys: list[str], points: list[float], c: str = "ns", wide: bool = False) -> DataFrame:
+def percentiles_by_rank(samples: DataFrame, keys: list[str], points: list[float], c: str = "ns", wide: bool = False, weight: str | None = None) -> DataFrame:
     """keys, p, value: the same percentiles from counts of distinct values, for groups of any size.
 
     A group is reduced to its distinct values before it is ordered, and no value list is held in memory. wide: see
-    with_running_sum.
+    with_running_sum. weight: a column that tells how many samples a row stands for.
     """
-    counts = samples.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    many = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = samples.groupBy(*keys, c).agg(many.alias("_n"))
+    sizes = samples.groupBy(*keys).agg(many.alias("_all"))
     ranked = with_running_sum(counts, keys, c, "_n", "_to", wide).withColumn("_from", F.col("_to") - F.col("_n")).join(sizes, keys)
     asked = ranked.withColumn("p", F.explode(F.array(*map(F.lit, points))))
     at = F.col("p") * (F.col("_all") - 1)
@@ -142,22 +144,40 @@ def _with_points(rows: DataFrame, keys: list[str], carry: tuple[str, ...]) -> Da
 
 
 def _summarize_wide(samples: DataFrame, keys: list[str], trim: float, carry: tuple[str, ...]) -> DataFrame:
-    """summarize_samples for groups of any size: over counts of distinct values, ordered by ranges, not by group."""
-    counts = samples.groupBy(*keys, "ns").agg(F.count(F.lit(1)).alias("_k"))
-    plain = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("ns").alias("elapsed_ns"), mean_ns().alias("mean"), stddev_ns().alias("stddev"), cv().alias("cv"), F.min("ns").alias("min"), F.max("ns").alias("max"), *[F.max(c).alias(c) for c in carry])
-    at = percentiles_by_rank(samples, keys, [0.5, *_POINTS], wide=True)
-    of = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
-    points = at.groupBy(*keys).agg(of(0.5).alias("median"), *[of(p).alias(f"_p{i}") for i, p in enumerate(_POINTS)])
-    both = plain.join(points, keys)
-    ranked = with_running_sum(counts, keys, "ns", "_k", "_to", True).join(both.select(*keys, "n", "median"), keys)
-    cut = F.floor(F.col("n") * trim)
+    """summarize_samples for groups of any size: over counts of distinct values, ordered by ranges, not by group.
+
+    The counts are ordered once; all but the median distance comes from these, and that from the same counts.
+    """
+    counts = samples.groupBy(*keys, "ns").agg(F.count(F.lit(1)).alias("_k"), *[F.max(c).alias(c) for c in carry])
+    ranked = settled(with_running_sum(counts, keys, "ns", "_k", "_to", True), "ranked")
+    k, ns, n = F.col("_k"), F.col("ns"), F.col("n")
+    # Values alone count for moments.
+    there = F.when(ns.isNotNull(), k)
+    plain = ranked.groupBy(*keys).agg(F.sum("_k").alias("n"), F.sum(there).alias("_there"), F.sum(k * ns).alias("elapsed_ns"), F.min("ns").alias("min"), F.max("ns").alias("max"), *[F.max(c).alias(c) for c in carry])
+    plain = plain.withColumn("_mean", F.try_divide("elapsed_ns", "_there"))
+    rows = ranked.drop(*carry).join(plain, keys)
+    start = F.col("_to") - k
+    cut = F.floor(n * trim)
     # How many of a value's samples lie within the places that are kept.
-    inside = F.greatest(F.lit(0), F.least(F.col("_to"), F.col("n") - cut) - F.greatest(F.col("_to") - F.col("_k"), cut))
-    weight = F.when(2 * cut >= F.col("n"), F.col("_k")).otherwise(inside)
-    trimmed = ranked.groupBy(*keys).agg(_or_zero(F.try_divide(F.sum(weight * F.col("ns")), F.sum(weight))).alias("trimmed_mean"))
-    apart = samples.join(both.select(*keys, "median"), keys).select(*keys, F.abs(F.col("ns") - F.col("median")).alias("ns"))
-    mads = percentiles_by_rank(apart, keys, [0.5], wide=True).select(*keys, F.col("value").alias("mad"))
-    return _with_points(both.join(trimmed, keys).join(mads, keys), keys, carry)
+    inside = F.greatest(F.lit(0), F.least(F.col("_to"), n - cut) - F.greatest(start, cut))
+    weight = F.when(2 * cut >= n, k).otherwise(inside)
+    at = {p: p * (n - 1) for p in (0.5, *_POINTS)}
+    of = lambda place: F.max(F.when((start <= place) & (place < F.col("_to")), ns))
+    found = rows.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in plain.columns if c not in keys],
+        _or_zero(F.try_divide(F.sum(weight * ns), F.sum(weight))).alias("trimmed_mean"),
+        F.sum(k * (ns - F.col("_mean")) * (ns - F.col("_mean"))).alias("_squares"),
+        *[of(f(place)).alias(f"_{side}{i}") for i, place in enumerate(at.values()) for side, f in (("lo", F.floor), ("hi", F.ceil))],
+    )
+    names = ["median", *(f"_p{i}" for i in range(len(_POINTS)))]
+    between = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (place - F.floor(place)) for i, place in enumerate(at.values())]
+    found = found.withColumns(dict(zip(names, between, strict=True)))
+    deviation = F.when(F.col("_there") > 1, F.sqrt(F.try_divide("_squares", F.col("_there") - 1)))
+    found = found.withColumns({"mean": _or_zero(F.col("_mean")), "stddev": _or_zero(deviation), "cv": _or_zero(F.try_divide(deviation, "_mean"))})
+    found = settled(found, "found")
+    apart = ranked.join(found.select(*keys, "median"), keys).select(*keys, F.abs(ns - F.col("median")).alias("ns"), "_k")
+    mads = percentiles_by_rank(apart, keys, [0.5], wide=True, weight="_k").select(*keys, F.col("value").alias("mad"))
+    return _with_points(found.join(mads, keys), keys, carry)
 
 
 DERIVED = ["mean", "median", "trimmed_mean", "stddev", "cv", "mad", "iqr", "min", "max", "p50", "p95", "p99"]

@@ -143,3 +143,14 @@ def test_wide_groups_give_the_same(spark, samples):
     assert plain == wide
     plain, wide = (sorted(map(tuple, stats.percentiles_by_rank(samples, ["bench"], [0.2, 0.9], wide=w).collect())) for w in (False, True))
     assert plain == wide
+
+
+def test_wide_summaries_of_rows_that_stand_for_many(spark):
+    rows = [("a", x) for x in (5.0, 1.0, 1.0, 9.0, 9.0, 9.0, 2.5)] + [("b", 3.0), ("c", None), ("c", 4.0)]
+    samples = spark.createDataFrame(rows, "bench string, ns double")
+    pick = lambda d: {r["bench"]: [r[c] for c in ("n", "elapsed_ns", *stats.DERIVED)] for r in d.collect()}
+    got, want = (pick(stats.summarize_samples(samples.where("ns IS NOT NULL"), ["bench"], wide=w)) for w in (True, False))
+    assert got.keys() == want.keys() and all(got[b] == pytest.approx(want[b]) for b in want)
+    counted = samples.groupBy("bench", "ns").count()
+    plain, weighed = (sorted(map(tuple, stats.percentiles_by_rank(d, ["bench"], [0.5, 0.9], wide=True, **k).where("bench = 'a'").collect())) for d, k in ((samples, {}), (counted, {"weight": "count"})))
+    assert plain == weighed
