@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..llm._components import components as least_around
 from ..sources.shared import settled
 
 #: Jumps of a length are found while there are at most so many times as many of them as edges.
 JUMPS = 8
 #: Rounds after which what was written in each is put together as one table.
 COMPACT = 8
+#: A part of a graph with up to so many edges and seeds is spread over within a task, with others of about TOGETHER rows in all.
+SMALL, TOGETHER = 1000, 20_000
 
 
 def _same(keys: list[str], left: str, right: str, **pairs: str) -> Column:
@@ -127,18 +133,144 @@ def _jumps(edges: DataFrame, keys: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+def parted(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """code, part of each node of edges (keys, src, dst): nodes that edges join, whichever way, are of one part.
+
+    Nodes are told apart by 64-bit hashes here. If two hash alike, their parts count as one, which only makes it larger.
+    """
+    ends = edges.select(F.xxhash64(*keys, "src").alias("a"), F.xxhash64(*keys, "dst").alias("b"))
+    return least_around(ends).select(F.col("node").alias("code"), F.col("root").alias("part"))
+
+
+def with_part(rows: DataFrame, node: str, keys: list[str], parts: DataFrame) -> DataFrame:
+    """rows with the part of their node; a node without edges is a part of its own."""
+    coded = rows.withColumn("_code", F.xxhash64(*keys, node)).join(parts, F.col("_code") == F.col("code"), "left")
+    return coded.withColumn("part", F.coalesce("part", "_code")).drop("_code", "code")
+
+
+def _whole(batches: Iterator) -> Iterator:
+    """Tables of whole parts, from batches in order of part."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size > TOGETHER:
+            table = pa.Table.from_batches(held)
+            part = table.column("part").to_numpy()
+            cut = int(np.searchsorted(part, part[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            held, size = table.slice(cut).to_batches(), len(part) - cut
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def _alike(columns: list) -> np.ndarray:
+    """A number for each row: the same for rows that are alike in all columns, nulls too."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for column in columns:
+        code = column.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+        out = np.unique(out * (code.max(initial=0) + 1) + code, return_inverse=True)[1]
+    return out
+
+
+def _told(table, keys: list[str]) -> tuple[np.ndarray, ...]:
+    """(row of a node's name, whether that is its dst, part's row, word, bits): all that nodes of whole parts have or are led to."""
+    import pyarrow as pa
+
+    of = lambda name: pa.concat_arrays(table.column(name).chunks)
+    is_edge = table.column("word").is_null().to_numpy()
+    edge, seed = np.flatnonzero(is_edge), np.flatnonzero(~is_edge)
+    if not len(seed):
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    rows = np.concatenate([np.arange(len(is_edge)), edge])
+    names = pa.concat_arrays([of("src"), of("dst").take(pa.array(edge))])
+    _, named, node = np.unique(_alike([*(of(k).take(pa.array(rows)) for k in keys), names]), return_index=True, return_inverse=True)
+    part = np.unique(of("part").to_numpy(), return_inverse=True)[1]
+    words, word = np.unique(of("word").take(pa.array(seed)).to_numpy(), return_inverse=True)
+    # Every node has a place for each word that a seed of its part has.
+    kinds, kind = np.unique(part[seed] * len(words) + word, return_inverse=True)
+    n = np.bincount(kinds // len(words), minlength=part[-1] + 1)
+    first = np.cumsum(n) - n
+    each = n[part[rows[named]]]
+    begin = np.cumsum(each) - each
+    bits = np.zeros(each.sum(), np.int64)
+    np.bitwise_or.at(bits, begin[node[seed]] + kind - first[part[seed]], of("bits").take(pa.array(seed)).to_numpy())
+    many = n[part[edge]]
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    to, come, kind = (np.repeat(x, many) + nth for x in (begin[node[edge]], begin[node[len(is_edge) :]], first[part[edge]]))
+    while len(to):
+        new = bits[come] & ~bits[to]
+        some = np.flatnonzero(new)
+        np.bitwise_or.at(bits, to[some], new[some])
+        # Where a word has changed nowhere in a part, it is done.
+        going = np.zeros(len(kinds), bool)
+        going[kind[some]] = True
+        to, come, kind = (x[going[kind]] for x in (to, come, kind))
+    found = np.flatnonzero(bits)
+    node = np.repeat(np.arange(len(each)), each)[found]
+    at = first[part[rows[named]]][node] + found - begin[node]
+    return named[node], rows[named][node], words[kinds[at] % len(words)], bits[found]
+
+
+def _within(edges: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, word, bits of parts (a column) that are small: each is gone over to its end within a task."""
+    named = [k for k in keys if k != "part"]
+    none = F.lit(None).cast("bigint")
+    ways = edges.select("part", *named, "src", "dst", none.alias("word"), none.alias("bits"))
+    rows = ways.unionByName(labels.select("part", *named, F.col("node").alias("src"), F.lit(None).cast(dict(ways.dtypes)["dst"]).alias("dst"), "word", "bits"))
+    fields = {f.name: f for f in rows.schema}
+    schema = StructType([*(fields[k] for k in keys), *StructType().add("node", fields["src"].dataType), *(fields[c] for c in ("word", "bits"))])
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for table in _whole(batches):
+            name, row, word, bits = _told(table, named)
+            if len(name):
+                is_edge = np.flatnonzero(table.column("word").is_null().to_numpy())
+                names = pa.concat_arrays([*table.column("src").chunks, *table.column("dst").take(pa.array(is_edge)).chunks])
+                columns = [*(pa.concat_arrays(table.column(k).chunks).take(pa.array(row)) for k in keys), names.take(pa.array(name)), pa.array(word), pa.array(bits)]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(work, schema)
+
+
 def spread(edges: DataFrame, seeds: DataFrame, keys: list[str] = ()) -> DataFrame:
     """keys, node, word, bits: every node's own bits and those of all nodes that edges (keys, src, dst) lead it to.
 
-    seeds: keys, node, word, bits: a node's set, 64 numbers to a word. One spread serves all numbers at once.
+    seeds: keys, node, word, bits: a node's set, 64 numbers to a word. One spread serves all numbers at once. If edges and
+    seeds have the part of their nodes (see parted), it is one of the keys; else it is found here.
+
+    Parts of up to SMALL edges and seeds are gone over within tasks, many at once; larger ones by rounds over their tables.
+    """
+    keys = list(keys)
+    edges = edges.select(*keys, "src", "dst").where("src <> dst").distinct()
+    labels = _or(seeds.select(*keys, "node", "word", "bits"), keys)
+    if "part" not in keys:
+        edges, labels = settled(edges, "edges"), settled(labels, "labels")
+        parts = parted(edges, keys)
+        edges, labels = with_part(edges, "src", keys, parts), with_part(labels, "node", keys, parts)
+    edges, labels = settled(edges, "edges"), settled(labels, "labels")
+    # Few: each has over SMALL rows of its own.
+    large = settled(edges.select("part").unionAll(labels.select("part")).groupBy("part").count().where(F.col("count") > SMALL).select("part"), "large")
+    if large.isEmpty():
+        return _within(edges, labels, keys)
+    of = lambda rows, how: rows.join(F.broadcast(large), "part", how)
+    by_rounds = _by_rounds(of(edges, "left_semi").select(*keys, "src", "dst"), of(labels, "left_semi").select(*keys, "node", "word", "bits"), keys)
+    return _within(of(edges, "left_anti"), of(labels, "left_anti"), keys).unionByName(by_rounds)
+
+
+def _by_rounds(edges: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, word, bits as spread() gives them, of any graph; edges and labels are distinct.
 
     Nodes with one target are taken out first, by doubling pointers, so that plain chains and circles, however long, cost
     a logarithm of rounds. Over what is left, edges are extended by jumps over 2, 4, 8, .. of them, as long as there are
     few; then only new bits are handed on, round by round, until there are none: there is no limit of rounds.
     """
-    keys = list(keys)
-    edges = settled(edges.select(*keys, "src", "dst").where("src <> dst").distinct(), "edges")
-    labels = settled(_or(seeds.select(*keys, "node", "word", "bits"), keys), "labels")
+    edges, labels = settled(edges, "edges"), settled(labels, "labels")
     core, labels, ends = _collapse(edges, labels, keys)
     if not core.isEmpty():
         jumps = settled(_jumps(core, keys), "jumps")
@@ -159,9 +291,9 @@ def spread(edges: DataFrame, seeds: DataFrame, keys: list[str] = ()) -> DataFram
 
 
 def numbered(df: DataFrame, keys: list[str], of: list[str]) -> DataFrame:
-    """df's distinct (keys, of) with word and bits, the place of each in a set of its key's."""
-    from pyspark.sql import Window
+    """df's distinct (keys, of) with word and bits, the place of each in a set of its key's; to be settled, as other runs may number otherwise.
 
-    order = Window.partitionBy(*keys, F.lit(0)).orderBy(*of)
-    n = F.row_number().over(order) - 1
-    return df.select(*keys, *of).distinct().withColumn("_n", n).select(*keys, *of, F.expr("_n div 64").alias("word"), F.expr("shiftleft(1L, CAST(_n % 64 AS INT))").alias("bits"))
+    Rows are numbered in order, range by range, so that no task has all of a key's. Numbers have gaps between ranges.
+    """
+    ordered = df.select(*keys, *of).distinct().repartitionByRange(*keys, *of).sortWithinPartitions(*keys, *of)
+    return ordered.withColumn("_n", F.monotonically_increasing_id()).select(*keys, *of, F.expr("_n div 64").alias("word"), F.expr("shiftleft(1L, CAST(_n % 64 AS INT))").alias("bits"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import glob_to_regex, normalize_path, strip
 from ..sources.shared import settled
-from .graphs import numbered, spread
+from .graphs import numbered, parted, spread, with_part
 
 # Globs of benchmark files and source extensions of each language, folders that are never entered.
 BENCH_GLOBS = {"ts": ("**/*.bench.ts", "**/*.bench.js"), "go": ("**/*_bench_test.go",), "rust": ("**/benches/**/*.rs",)}
@@ -113,13 +113,16 @@ def _spelled(labels: DataFrame, ids: DataFrame, keys: list[str], columns: list[C
 def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """entry, node (and repo, if edges have it): what each entry leads to, itself included.
 
-    All entries of a repository are numbered and spread along the edges at once, as sets of bits; see graphs.spread.
+    All entries are numbered, those of one part of a graph in a row, and spread along the edges at once, as sets of bits;
+    see graphs.spread.
     """
     keys = _keys(edges)
-    ids = settled(numbered(entries, keys, ["entry"]), "entries")
-    back = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    labels = spread(back, ids.withColumnRenamed("entry", "node"), keys)
-    return _spelled(labels, ids, keys, [F.col("i.entry").alias("entry"), F.col("l.node").alias("node")])
+    back = settled(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")), "edges")
+    parts = parted(back, keys)
+    of_part = [*keys, "part"]
+    ids = settled(numbered(with_part(entries.select(*keys, "entry"), "entry", keys, parts), of_part, ["entry"]), "entries")
+    labels = spread(with_part(back, "src", keys, parts), ids.withColumnRenamed("entry", "node"), of_part)
+    return _spelled(labels, ids, of_part, [F.col("i.entry").alias("entry"), F.col("l.node").alias("node")]).drop("part")
 
 
 def affected_entries(edges: DataFrame, entries: DataFrame, changed: DataFrame) -> DataFrame:

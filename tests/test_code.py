@@ -305,3 +305,37 @@ def test_truncate_and_fit(spark):
     cut = [r[0] for r in d.select(tx.truncate_middle(F.col("t"), 20)).collect()]
     assert cut[1] == "short" and "truncated" in cut[0] and cut[0].startswith("a\na\n")
     assert spark.range(1).select(cg.fit_in_order(F.array(*[F.lit(x).cast("bigint") for x in (5, 9, 3)]), 8)).first()[0] == [True, False, True]
+
+
+@pytest.mark.parametrize("small", [0, 40, 1000])
+def test_parts_within_tasks_and_by_rounds(spark, small, monkeypatch):
+    """Parts gone over within a task and by rounds give the same, alone and mixed; numbers of 150 entries take several words."""
+    from deltasieve.operators import graphs
+
+    monkeypatch.setattr(graphs, "SMALL", small)
+    rng = random.Random(5)
+    rows = {(repo, 100 * block + rng.randrange(8), 100 * block + rng.randrange(8)) for repo in ("r", None) for block in range(8) for _ in range(12)}
+    rows |= {("r", 5000 + i, 5001 + i) for i in range(150)} | {("r", 5150, 5000)}
+    entries = {(repo, 100 * block + i) for repo in ("r", None) for block in range(10) for i in range(4)} | {("r", 5000 + i) for i in range(150)}
+    graph = {}
+    for repo, a, b in rows:
+        graph.setdefault((repo, a), []).append((repo, b))
+    wanted = {(r, x, node) for r, x in entries for _, node in reach(graph, (r, x))}
+    key = lambda t: (t[0] or "", *t[1:])
+    e = spark.createDataFrame(sorted(rows, key=key), "repo string, src bigint, dst bigint")
+    t = spark.createDataFrame(sorted(entries, key=key), "repo string, entry bigint")
+    got = [tuple(r) for r in im.reachable(e, t).select("repo", "entry", "node").collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+
+
+def test_small_parts_need_no_rounds(spark, monkeypatch):
+    """A thousand blocks of sixteen are settled within tasks, and no task numbers all entries."""
+    from deltasieve.operators import graphs
+
+    monkeypatch.setattr(graphs, "_by_rounds", None)
+    edges = spark.range(16_000).selectExpr("id AS src", "id div 16 * 16 + (7 * id + 3) % 16 AS dst").unionByName(spark.range(16_000).selectExpr("id AS src", "id div 16 * 16 + id % 16 div 2 AS dst"))
+    found = im.reachable(edges, spark.range(16_000).withColumnRenamed("id", "entry"))
+    block = {i: [(7 * i + 3) % 16, i // 2] for i in range(16)}
+    assert found.count() == 1000 * sum(len(reach(block, i)) for i in range(16))
+    plan = graphs.numbered(spark.range(100).withColumnRenamed("id", "entry"), [], ["entry"])._jdf.queryExecution().toString()
+    assert "Window" not in plan
