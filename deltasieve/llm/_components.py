@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._common import discard, stash
@@ -20,9 +20,11 @@ def _lowest(edges: DataFrame, least: DataFrame, size: int) -> DataFrame:
     """edges (a, b) with m from least (u, m, n; n neighbours), matched on a = u.
 
     A hub's edges aren't dealt by its number, which would put all of them into one task: hubs are so few (no more than
-    MOST_HUBS, as each has at least that share of the edges) that they are broadcast.
+    MOST_HUBS, as each has at least that share of the edges) that they are broadcast. Of no more than HUB edges, none has so many.
     """
     limit = max(HUB, size // MOST_HUBS)
+    if size <= limit:
+        return edges.join(least.select("u", "m"), F.col("a") == F.col("u")).select("a", "b", "m")
     hubs = F.broadcast(least.where(F.col("n") > limit).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
     marked = edges.join(hubs, edges["a"] == F.col("hub"), "left")
     far = marked.where("hub IS NOT NULL").select("a", "b", F.col("hub_m").alias("m"))
@@ -74,19 +76,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     smallest node around it. Neither gathers a node's neighbours; each takes a minimum and a join. A round's edges
     are written to the shared folder, in place of those of the round before. The edges become stars after a number of
     rounds that is logarithmic in practice; if they haven't by the last round allowed, an error is raised rather than a
-    partial result given. Before the first round each task draws its own edges together, so that few rounds are left. Links from a node to itself and repeated links change nothing; no edges give no rows.
+    partial result given. Before the first round each task draws its own edges together, and once more those that it is dealt of
+    what is left, so that few rounds are left. Links from a node to itself and repeated links change nothing; no edges give no rows.
     """
     linked = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b")
-    now = stash(linked.mapInArrow(_stars, "a bigint, b bigint").distinct(), "edges")
-    size = _size(now)
+    drawn = lambda e: e.mapInArrow(_stars, "a bigint, b bigint").distinct()
+    now, size = _written(drawn(drawn(linked)))
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
         large = _lowest(both, least, 2 * size[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = _lowest(large, low, 2 * size[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        after = stash(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
-        grown = _size(after)
+        after, grown = _written(small.select("e.a", "e.b").where("a <> b").distinct())
         discard(now)
         if grown == size:
             return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(after.select("b", "b").distinct())
@@ -94,6 +96,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def _size(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()
-    return tuple(row)
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """edges (a, b), stashed, with their number and two sums of hashes that tell them apart, taken as they are written."""
+    seen = Observation()
+    sums = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)")).alias("s")
+    found = stash(edges.observe(seen, *sums), "edges")
+    return found, tuple(seen.get[c] for c in "nxs")

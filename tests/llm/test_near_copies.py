@@ -111,3 +111,16 @@ def test_a_turn_verifies_the_nearest_pairs_of_each_row(spark):
     pairs = [(a, b, b - a) for a in range(40) for b in range(a + 1, 40)]
     got = near_copies._nearest_first(spark.createDataFrame(pairs, "a bigint, b bigint, apart bigint"), 2).collect()
     assert {tuple(r) for r in got} == {(a, b) for a, b, n in pairs if n <= 2}
+
+
+def test_few_edges_take_no_broadcast(spark):
+    """Of no more edges than a hub has neighbours, rounds join plainly, once; the components are as before."""
+    from pyspark.sql import functions as F
+
+    from deltasieve.llm import _components
+
+    edges = spark.range(300).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    least = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    plan = _components._lowest(edges, least, 600)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan and plan.count("Join") == 1
+    assert {tuple(r) for r in _components.components(edges.repartition(7)).collect()} == {(i, 0) for i in range(301)}
