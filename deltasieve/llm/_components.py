@@ -14,6 +14,8 @@ from ._common import discard, stash
 HUB, MOST_HUBS = 20_000, 50_000
 #: Edges that a task draws together at once.
 HELD = 1_000_000
+#: No more edges than these are drawn together in one task, in place of rounds.
+FEW = 10_000
 
 
 def _lowest(edges: DataFrame, least: DataFrame, size: int) -> DataFrame:
@@ -77,11 +79,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     are written to the shared folder, in place of those of the round before. The edges become stars after a number of
     rounds that is logarithmic in practice; if they haven't by the last round allowed, an error is raised rather than a
     partial result given. Before the first round each task draws its own edges together, and once more those that it is dealt of
-    what is left, so that few rounds are left. Links from a node to itself and repeated links change nothing; no edges give no rows.
+    what is left, so that few rounds are left; up to FEW edges that are left by then are drawn together at once. Links from a node to itself and repeated links change nothing; no edges give no rows.
     """
     linked = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b")
     drawn = lambda e: e.mapInArrow(_stars, "a bigint, b bigint").distinct()
     now, size = _written(drawn(drawn(linked)))
+    if size[0] <= min(FEW, HUB):
+        stars = stash(now.coalesce(1).mapInArrow(_stars, "a bigint, b bigint"), "edges")
+        discard(now)
+        return _rooted(stars)
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
@@ -91,11 +97,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         after, grown = _written(small.select("e.a", "e.b").where("a <> b").distinct())
         discard(now)
         if grown == size:
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(after.select("b", "b").distinct())
+            return _rooted(after)
         now, size = after, grown
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _rooted(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
+
+
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """edges (a, b), stashed, with their number and two sums of hashes that tell them apart, taken as they are written."""
     seen = Observation()

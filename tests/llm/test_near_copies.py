@@ -124,3 +124,47 @@ def test_few_edges_take_no_broadcast(spark):
     plan = _components._lowest(edges, least, 600)._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" not in plan and plan.count("Join") == 1
     assert {tuple(r) for r in _components.components(edges.repartition(7)).collect()} == {(i, 0) for i in range(301)}
+
+
+def test_texts_are_dealt_out_twice_whatever_the_number_of_turns(spark, texts, monkeypatch):
+    """Shingle sets are made for what meets first and for all that is proposed later, not again in each turn."""
+    names = []
+    stash = near_copies.stash
+    monkeypatch.setattr(near_copies, "stash", lambda df, name: names.append(name) or stash(df, name))
+    monkeypatch.setattr(near_copies, "GROUP", 2)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {r["doc_id"]: r["root"] for r in near_copies.groups(docs).collect()}
+    assert names.count("turn") > 0 and names.count("shingles") == 2
+    want = roots_of(len(texts), similar_pairs(texts))
+    assert len({(got[i], r) for i, r in enumerate(want)}) == len(set(want)) == len(set(got.values()))
+
+
+def test_whole_fingerprints_and_sizes_part_rows_where_they_meet():
+    """Rows alike in their first 64 bits alone, or of unlike sizes, are not proposed; those of one label neither."""
+    import pyarrow as pa
+
+    rows = [  # key, node, n, label, w0..w3
+        (1, 10, 50, 10, 0, 0, 0, 0),
+        (1, 11, 50, 11, 1, 0, 0, 0),
+        (1, 12, 50, 12, 0, -1, 0, 0),
+        (1, 13, 90, 13, 0, 0, 0, 0),
+        (1, 14, 50, 10, 3, 0, 0, 0),
+    ]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["key", *near_copies._CARRIED])
+    for again in (False, True):
+        found = {(r["a"], r["b"], r["apart"]) for out in near_copies._pairs(0.8, again)([batch]) for r in out.to_pylist() if r["key"] is None}
+        assert {(*sorted(f[:2]), f[2]) for f in found} == {(10, 11, 1), (11, 14, 1)}
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    """Up to FEW edges are drawn together in one task, more in rounds, with the same components."""
+    from deltasieve.llm import _components
+
+    edges = spark.range(300).select((F.col("id") * 7 % 300 + 1).alias("a"), (F.col("id") * 7 % 300).alias("b")).repartition(7)
+    rounds = []
+    lowest = _components._lowest
+    monkeypatch.setattr(_components, "_lowest", lambda *a: rounds.append(1) or lowest(*a))
+    got = {tuple(r) for r in _components.components(edges).collect()}
+    assert got == {(i, 0) for i in range(301)} and not rounds
+    monkeypatch.setattr(_components, "FEW", 0)
+    assert {tuple(r) for r in _components.components(edges).collect()} == got and rounds
