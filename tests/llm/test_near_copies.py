@@ -168,3 +168,10 @@ def test_few_edges_take_no_rounds(spark, monkeypatch):
     assert got == {(i, 0) for i in range(301)} and not rounds
     monkeypatch.setattr(_components, "FEW", 0)
     assert {tuple(r) for r in _components.components(edges).collect()} == got and rounds
+
+
+def test_ends_of_pairs_are_not_written_out_for_each_pair(spark):
+    pairs = spark.createDataFrame([(a, b) for a in range(20) for b in range(a + 1, 20)], "a bigint, b bigint")
+    ends = near_copies._ends(pairs)
+    assert "Generate" not in ends._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["node"] for r in ends.collect()) == sorted([*range(19), *range(1, 20)])
