@@ -737,3 +737,18 @@ def test_principal_directions_are_of_all_vectors(spark):
     values, directions = np.linalg.eigh(np.cov(x.T))
     assert np.abs(got.T @ directions[:, np.argsort(-values)[:2]]) == pytest.approx(np.eye(2), abs=1e-6)
     assert not hasattr(embedding_dedup, "FITTED")
+
+
+def test_lm_answers_carry_one_hash(spark):
+    """A chunk is told of a context and what follows there by one hash of both."""
+    import base64
+    import re
+
+    import public_tokenizers as tokenizers
+
+    with open(tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    rows = [(i, "one two three four five six seven eight") for i in range(3)]
+    scored = lm_scoring.score(spark.createDataFrame(rows, "doc_id bigint, text string"), F.lit(True), ranks, tokenizers.PATTERN)
+    used = re.search(r"\bwork\(([^)]*)\)", scored._jdf.queryExecution().analyzed().toString())[1]
+    assert "word" in used and "next" not in used
