@@ -251,10 +251,12 @@ def per_op_ns(samples: DataFrame, reading: str = "ns", size: str = "batch_size")
 def sufficient_prefix(samples: DataFrame, keys: list[str], least: int = 30, target_cv: float = 0.02, budget_ns: float = math.inf) -> DataFrame:
     """keys, n_samples, enough_at: the shortest prefix (in order of idx) of at least `least` samples that would have sufficed.
 
-    It suffices if its variation is above 0 and at most target_cv, or its time reaches the budget; null if none does.
+    It suffices if its variation is above 0 and at most target_cv, or its time reaches the budget; null if none does. The
+    variance is taken as the samples' covariance with themselves, which rounds as DuckDB's stddev_samp does (Spark's rounds
+    otherwise): some prefixes vary by target_cv exactly, so that the last digit decides.
     """
     prefix = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    run = samples.select(*keys, "idx", F.count(F.lit(1)).over(prefix).alias("_n"), F.avg("ns").over(prefix).alias("_m"), F.stddev_samp("ns").over(prefix).alias("_s"), F.sum("ns").over(prefix).alias("_sum"))
-    ratio = F.coalesce(F.try_divide(F.col("_s"), F.col("_m")), F.lit(0.0))
+    run = samples.select(*keys, "idx", F.count(F.lit(1)).over(prefix).alias("_n"), F.avg("ns").over(prefix).alias("_m"), F.covar_samp("ns", "ns").over(prefix).alias("_v"), F.sum("ns").over(prefix).alias("_sum"))
+    ratio = F.coalesce(F.try_divide(F.sqrt("_v"), F.col("_m")), F.lit(0.0))
     enough = (F.col("_n") >= least) & (((ratio > 0) & (ratio <= target_cv)) | (F.col("_sum") >= budget_ns))
     return run.groupBy(*keys).agg(F.max("_n").alias("n_samples"), F.min(F.when(enough, F.col("_n"))).alias("enough_at"))

@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """service, bench, file, side, idx, ns: order lines as timings, halves of the calendar as sides.
 
-    Lines with one number, of which there are some, come in order of ns, so that idx doesn't depend on how rows arrive.
+    Lines without an order or a number come last. Lines with one number, of which there are some, come in order of ns, so
+    that idx doesn't depend on how rows arrive.
     """
     side = F.when(F.col("l_shipdate") < F.lit("1998-05-24").cast("timestamp"), "base").otherwise("head")
     reading = F.when(F.col("l_partkey") % 7 == 0, 10 * F.col("l_quantity")).otherwise(1000 + 10 * F.col("l_quantity"))
@@ -31,7 +32,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey",
         (reading * F.when(side == "head", drift).otherwise(1.0)).alias("ns"),
     )
-    idx = F.row_number().over(Window.partitionBy("bench", "side").orderBy("l_orderkey", "l_linenumber", "ns")) - 1
+    idx = F.row_number().over(Window.partitionBy("bench", "side").orderBy(F.asc_nulls_last("l_orderkey"), F.asc_nulls_last("l_linenumber"), "ns")) - 1
     return rows.withColumn("idx", idx.cast("bigint")).drop("l_orderkey", "l_linenumber")
 
 

@@ -154,3 +154,21 @@ def test_wide_summaries_of_rows_that_stand_for_many(spark):
     counted = samples.groupBy("bench", "ns").count()
     plain, weighed = (sorted(map(tuple, stats.percentiles_by_rank(d, ["bench"], [0.5, 0.9], wide=True, **k).where("bench = 'a'").collect())) for d, k in ((samples, {}), (counted, {"weight": "count"})))
     assert plain == weighed
+
+
+def test_sufficient_prefix_is_that_of_its_sql_at_the_limit_and_without_numbers(spark, tmp_path):
+    """Prefixes that vary by the limit exactly end alike (quantities of 15, 25, 35), and lines without order or number come last."""
+    import duckdb
+
+    from deltasieve.plans import core
+
+    rng, day = random.Random(1), (datetime.datetime(1995, 1, 1), datetime.datetime(1999, 1, 1))
+    rows = [(o, 1, o // 30, rng.choice([15.0] * 4 + [35.0] * 4 + [25.0]), day[o // 30 % 2]) for o in range(30_000)]
+    rows += [(None if i % 6 == 5 else i, None if i % 6 == 2 else 1, 2000 + i // 6, float(rng.randint(1, 50)), day[0]) for i in range(600)]
+    lines = spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double, l_shipdate timestamp_ntz")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(core.sufficient(spark, str(tmp_path)).collect())
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        want = sorted(con.execute(core.ORACLE_SQL["sufficient_prefix"]).fetchall(), key=lambda r: r[:2])
+    assert [tuple(r) for r in got] == want and len(want) == 1100
