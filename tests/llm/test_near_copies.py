@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from deltasieve.llm import exact_dedup, near_copies, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string"
@@ -175,3 +177,37 @@ def test_ends_of_pairs_are_not_written_out_for_each_pair(spark):
     ends = near_copies._ends(pairs)
     assert "Generate" not in ends._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["node"] for r in ends.collect()) == sorted([*range(19), *range(1, 20)])
+
+
+@pytest.mark.parametrize("group", [64, 4])
+def test_rows_that_are_not_among_the_nearest_are_compared_too(spark, monkeypatch, group):
+    """Texts that are alike to one only, of many that are about as near by fingerprint, are still its copies."""
+    rng = random.Random(8)
+    base = rng.choices(WORDS, k=150)
+    with_new = lambda at: [f"x{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(base)]
+    texts = [" ".join(with_new((20,)))] + [" ".join(with_new((40 + 2 * rng.randrange(20), 90 + 2 * rng.randrange(20)))) for _ in range(58)]
+    monkeypatch.setattr(near_copies, "GROUP", group)
+    monkeypatch.setattr(near_copies, "bands", lambda n, s: np.zeros((1, 0), np.int64))
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["root"] for r in near_copies.groups(docs).collect()}
+    want = roots_of(len(texts), similar_pairs(texts))
+    assert len(set(want)) == 1 and len(set(got.values())) == 1
+
+
+def test_a_pair_is_compared_in_the_first_band_where_it_meets():
+    """Rows alike in their bits of two bands are a pair in the first one, and in the second where they meet there alone."""
+    import pyarrow as pa
+
+    chosen = np.array([[0, 1], [2, 3]])
+    rows = [  # key (band, two bits), node, n, label, w0..w3
+        (0b000, 10, 50, 10, 0, 0, 0, 0),
+        (0b000, 11, 50, 11, 1 << 9, 0, 0, 0),
+        (0b001, 12, 50, 12, 2, 0, 0, 0),
+        (0b100, 10, 50, 10, 0, 0, 0, 0),
+        (0b100, 11, 50, 11, 1 << 9, 0, 0, 0),
+        (0b100, 12, 50, 12, 2, 0, 0, 0),
+    ]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["key", *near_copies._CARRIED])
+    for again in (False, True):
+        found = [(*sorted((r["a"], r["b"])), r["apart"]) for out in near_copies._pairs(0.8, again, chosen)([batch]) for r in out.to_pylist()]
+        assert sorted(found) == [(10, 11, 1), (10, 12, 1), (11, 12, 2)]
