@@ -752,3 +752,19 @@ def test_lm_answers_carry_one_hash(spark):
     scored = lm_scoring.score(spark.createDataFrame(rows, "doc_id bigint, text string"), F.lit(True), ranks, tokenizers.PATTERN)
     used = re.search(r"\bwork\(([^)]*)\)", scored._jdf.queryExecution().analyzed().toString())[1]
     assert "word" in used and "next" not in used
+
+
+def test_lm_contexts_of_many_chunks_are_ordered_once():
+    """What stands more than once in all lists, of each: its time follows the numbers, not their product with the lists."""
+    import time
+
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        keys = [np.sort(rng.integers(0, 60, rng.integers(0, 12))).astype(np.uint32) for _ in range(rng.integers(1, 6))]
+        n = Counter(np.concatenate(keys).tolist())
+        want = [sorted({x for x in k.tolist() if n[x] > 1}) for k in keys]
+        assert [k.tolist() for k in lm_scoring._more_than_once(keys)] == want
+    keys = [np.sort(rng.integers(0, 2**22, 10_000)).astype(np.uint32) for _ in range(200)]
+    begin = time.process_time()
+    assert sum(map(len, lm_scoring._more_than_once(keys))) > 0
+    assert time.process_time() - begin < 5  # 60 s and more with a look-up for each list
